@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import table
+from quern.llm.decontamination import contaminated
 from quern.llm.license_scan import license_scan
 from quern.llm.packing import pack_documents
 from quern.llm.secret_scan import secret_scan
+from quern.llm.simhash_dedup import simhash_groups
+from quern.llm.substring_dedup import substring_dedup
 from quern.llm.toxicity import fit, toxicity_scores
 from quern.llm.url_filter import url_filter
 
@@ -24,6 +27,10 @@ URL_RULES = (
 )
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -46,6 +53,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
@@ -60,6 +71,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -90,9 +106,12 @@ SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, CASE WHEN ho
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op4_packing": op4_packing,
     "op5_license_scan": op5_license_scan,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_simhash_dedup": op8_simhash_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
