@@ -9,9 +9,7 @@ Packing runs inside each task over blocks of bounded size, so there is no shuffl
 
 from __future__ import annotations
 
-import string
-import sys
-from array import array
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,17 +18,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches, tokenizer_path
+from quern.llm.common import Powers, map_batches, mixed, tokenizer_path
 
 #: Pieces and tokens that one block gathers before it is packed.
 BLOCK_PIECES, BLOCK_TOKENS = 16384, 4 << 20
-#: Words, and parts of words, of one generation of a worker's cache (about 220 bytes each); longer ones are not kept.
-CACHE_WORDS, CACHE_CHARS = 600_000, 48
-#: ASCII punctuation, and the end of the blocks in which lower-casing goes letter by letter.
-TAIL, LATIN = string.punctuation, "\u0250"
+#: Code points that the array path knows, and the classes of characters.
+PLAIN_END = 0x2070
+BLANK, LETTER, NUMBER, MARK, ODD = range(5)
+#: Characters that one pass of the encoder takes, distinct runs that its table holds, and bits of its slots.
+CHARS_AT_ONCE, MOST_RUNS, SLOT_BITS = 1 << 19, 1 << 21, 22
 #: Sequence ids of a task start at its partition's place times this.
 IDS_PER_PARTITION = 1 << 40
 
+POWERS = Powers()
+
 
 class CapacityTree:
     """Stacks of open windows by remaining capacity, under a segment tree that knows which are not empty."""
@@ -115,80 +116,169 @@ def _topped_up(windows: list[list[tuple[int, int, int]]], capacity: int, slack:
     return [w for w in order if w]
 
 
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Class and lower case of each code point below PLAIN_END; class ODD where a character may act on its neighbours."""
+    kind, lower = np.full(PLAIN_END + 1, ODD, np.uint8), np.zeros(PLAIN_END + 1, np.uint32)
+    for cp in range(PLAIN_END):
+        c = chr(cp)
+        low, group = c.lower(), unicodedata.category(c)
+        lower[cp] = ord(low[0])
+        joins = group[0] == "M" or 0x1100 <= cp < 0x1200 or cp == 0x3A3 or len(low) > 1 or unicodedata.normalize("NFC", c) != c or unicodedata.normalize("NFC", low) != low
+        blank = c in "\t\n\r \xa0"
+        if joins or group[0] in "CZ" and not blank:
+            continue
+        kind[cp] = BLANK if blank else LETTER if group[0] == "L" else NUMBER if group[0] == "N" else MARK
+    return kind, lower
+
+
 class WordEncoder:
-    """Token ids of whole texts by a tokenizer that drops white space and case, remembering the ids of blank-separated words.
+    """Token ids of whole texts by a byte-pair tokenizer that first lowers case and cuts texts into letters, digits and marks.
 
-    Such a tokenizer never joins characters across a blank, nor a letter or digit with punctuation that ends a word, so a
-    text's ids are those of its words' stems and tails, one after another.
+    Such a tokenizer encodes each run of letters, each digit, each run of other marks and each English contraction on its
+    own, and ends it with a token of its own kind. Texts are cut the same way with arrays; runs are looked up by a 64-bit
+    hash in a table of those seen, and only new ones go through the tokenizer. Texts with characters outside PLAIN_END, or
+    that combine with neighbours, or with the tokenizer's own marks, are encoded by the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        if array("I").itemsize != 4 or sys.byteorder != "little":
-            raise RuntimeError("ids are kept as the machine's own 32-bit little-endian integers")
         self.tokenizer = Tokenizer.from_file(path)
-        # Two generations of each: when the young one is full it becomes the old one, and what is still used moves back.
-        self.words: dict[str, bytes] = {"": b""}
-        self.old_words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-        self.old_parts: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind, self.lower = _tables()
+        self._reset()
+
+    def _reset(self) -> None:
+        self.keys = np.zeros(1 << 16, np.uint64)
+        self.start = np.zeros(1 << 16, np.int64)
+        self.length = np.zeros(1 << 16, np.int64)
+        self.pool = np.zeros(1 << 18, "<u4")
+        self.n = self.used = 0
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; a null text counts as empty."""
-        if len(self.words) > CACHE_WORDS:
-            self.words, self.old_words = {"": b""}, self.words
-        if len(self.parts) > CACHE_WORDS:
-            self.parts, self.old_parts = {"": b""}, self.parts
-        words = self.words
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        out = [list(map(words.get, own)) for own in split]
-        gaps = [(ids, own, [i for i, x in enumerate(ids) if x is None]) for ids, own in zip(out, split, strict=True) if None in ids]
-        if gaps:
-            missing = {own[i] for _, own, at in gaps for i in at}
-            old = self.old_words
-            again = missing & old.keys() if old else missing & set()
-            words.update((w, old[w]) for w in again)
-            self._add(missing - again if again else missing)
-            for ids, own, at in gaps:
-                for i in at:
-                    ids[i] = words[own[i]]
-            for w in missing:
-                if len(w) > CACHE_CHARS:
-                    del words[w]
-        return [b"".join(ids) for ids in out]
-
-    def _add(self, missing: set[str]) -> None:
-        """Put words that no cache holds into self.words, their parts into self.parts."""
-        parts, old = self.parts, self.old_parts
-        cut = [(w, *self._cut(w)) for w in missing]
-        fresh = {p for _, stem, tail in cut for p in (stem, tail) if p not in parts}
-        for p in fresh & old.keys() if old else ():
-            parts[p] = old[p]
-            fresh.discard(p)
-        some = list(fresh)
-        for a in range(0, len(some), 1024):
-            batch = some[a : a + 1024]
-            for p, e in zip(batch, self.tokenizer.encode_batch_fast(batch, add_special_tokens=False), strict=True):
-                parts[p] = array("I", e.ids).tobytes()
-        words = self.words
-        for w, stem, tail in cut:
-            words[w] = parts[stem] + parts[tail]
-        for p in some:
-            if len(p) > CACHE_CHARS:
-                del parts[p]
+        out: list[bytes] = [b""] * len(texts)
+        some, size = [], 0
+        for i, t in enumerate(texts):
+            if t:
+                some.append(i)
+                size += len(t) + 1
+            if size > CHARS_AT_ONCE or some and i == len(texts) - 1:
+                self._encode(texts, some, out)
+                some, size = [], 0
+        if some:
+            self._encode(texts, some, out)
+        return out
+
+    def _encode(self, texts: list[str], rows: list[int], out: list[bytes]) -> None:
+        codes = np.frombuffer(("\n".join([texts[i] for i in rows]) + "\n").encode("utf-32-le"), "<u4")
+        at = np.minimum(codes, PLAIN_END)
+        kind = self.kind[at]
+        stops = np.cumsum([len(texts[i]) + 1 for i in rows])
+        odd = np.unique(np.searchsorted(stops, np.flatnonzero(kind == ODD), side="right")).tolist()
+        odd = sorted({*odd, *(k for k, i in enumerate(rows) if any(m in texts[i] for m in self.marks))})
+        whole = dict(zip(odd, self.tokenizer.encode_batch_fast([texts[rows[k]] for k in odd], add_special_tokens=False), strict=True)) if odd else {}
+        for k in odd:
+            kind[stops[k] - len(texts[rows[k]]) - 1 : stops[k]] = BLANK
+        low = self.lower[at]
+        opens = np.empty(len(kind), bool)
+        opens[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=opens[1:])
+        opens |= kind == NUMBER
+        self._contractions(low, kind, opens)
+        opens &= kind != BLANK
+        # a run ends where the next opens or a blank stands
+        first = np.flatnonzero(opens)
+        edge = np.flatnonzero(opens | (kind == BLANK))
+        last = edge[np.searchsorted(edge, first) + 1]
+        up, down = POWERS(len(codes))
+        h = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(low * up[: len(codes)], out=h[1:])
+        key = mixed((h[last] - h[first]) * down[first] + (last - first).astype(np.uint64))
+        found = self._find(key)
+        gone = np.flatnonzero(found < 0)
+        if len(gone):
+            self._learn(low, key, first, last, gone)
+            found = self._find(key)
+        count, begin = self.length[found], self.start[found]
+        stop = np.cumsum(count)
+        ids = self.pool[np.repeat(begin - stop + count, count) + np.arange(stop[-1] if len(stop) else 0)]
+        ends = np.concatenate([[0], stop])[np.searchsorted(first, stops)]
+        a = 0
+        for k, (i, b) in enumerate(zip(rows, ends.tolist(), strict=True)):
+            out[i] = np.array(whole[k].ids, "<u4").tobytes() if k in whole else ids[a:b].tobytes()
+            a = b
 
     @staticmethod
-    def _cut(word: str) -> tuple[str, str]:
-        """(stem, tail of ASCII punctuation); the stem in lower case where that can't change its ids."""
-        if "<|" in word:  # may be one of the tokenizer's own marks
-            return word, ""
-        stem = word.rstrip(TAIL)
-        if not stem or not stem[-1].isalnum():
-            return word, ""
-        if stem.isascii() or max(stem) < LATIN and "\u0130" not in stem:
-            return stem.lower(), word[len(stem) :]
-        return stem, word[len(stem) :]
+    def _contractions(low: np.ndarray, kind: np.ndarray, opens: np.ndarray) -> None:
+        """Let 's 't 're 've 'm 'll 'd be runs of their own where the apostrophe opens its run and letters follow."""
+        for i in np.flatnonzero((low[:-1] == 0x27) & opens[:-1] & (kind[1:] == LETTER)).tolist():
+            after = "".join(map(chr, low[i + 1 : i + 3].tolist()))
+            n = 1 if after[0] in "stmd" else 2 if after in ("re", "ve", "ll") else 0
+            if n:
+                opens[i + 1] = False
+                opens[i + 1 + n] = True
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Places of the keys, -1 for those that are new."""
+        slot = (key >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        place = self.slots[slot].astype(np.int64)
+        wrong = np.flatnonzero((place >= 0) & (self.keys[place] != key))
+        while len(wrong):
+            slot[wrong] = (slot[wrong] + 1) & ((1 << SLOT_BITS) - 1)
+            place[wrong] = self.slots[slot[wrong]]
+            wrong = wrong[(place[wrong] >= 0) & (self.keys[place[wrong]] != key[wrong])]
+        return place
+
+    def _learn(self, low: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray, gone: np.ndarray) -> None:
+        new, where = np.unique(key[gone], return_index=True)
+        if self.n + len(new) > MOST_RUNS:
+            self._reset()
+            new, where = np.unique(key, return_index=True)
+            where = where.astype(np.int64)
+            rows = where
+        else:
+            rows = gone[where]
+        made = []
+        for a in range(0, len(rows), 4096):
+            part = rows[a : a + 4096]
+            text = " ".join([low[x:y].tobytes().decode("utf-32-le") for x, y in zip(first[part].tolist(), last[part].tolist(), strict=True)])
+            made.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4"))
+        ids = np.concatenate(made)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) != len(rows):
+            raise RuntimeError("the tokenizer does not cut texts into runs as expected")
+        n, used = self.n + len(new), self.used + len(ids)
+        while len(self.keys) < n:
+            self.keys, self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.start, self.length))
+        while len(self.pool) < used:
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        place = np.arange(self.n, n)
+        self.keys[place] = new
+        self.start[place] = self.used + np.concatenate([[0], stop[:-1]])
+        self.length[place] = np.diff(stop, prepend=0)
+        self.pool[self.used : used] = ids
+        self.n, self.used = n, used
+        slot = (new >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        while len(place):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = place[free]
+            lost = self.slots[slot] != place
+            place, slot = place[lost], (slot[lost] + 1) & ((1 << SLOT_BITS) - 1)
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One encoder for each worker process, so that its table lasts over tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
 
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -222,10 +312,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield sequence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, block, tokens = WordEncoder(path), [], 0
+        words, block, tokens = encoder(path), [], 0
         sequence = TaskContext.get().partitionId() * IDS_PER_PARTITION
         for b in batches:
-            for doc, data in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
+            for doc, data in zip(b.column(0).to_pylist(), words.encode(b.column(1).to_pylist()), strict=True):
                 data += end
                 block.append((doc, data))
                 tokens += len(data) // 4
