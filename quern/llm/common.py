@@ -85,7 +85,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow in batches of few rows, as whole documents may be long."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return df.mapInArrow(f, schema)
@@ -117,3 +117,13 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return os.fspath(public_tokenizers.path(name))
+
+
+def keep_rows(df: DataFrame, column: str, keep: Callable[[list], list[bool]]) -> DataFrame:
+    """Rows of df, all columns as they are, for which keep says so; keep gets the values of one column, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(b.schema.get_field_index(column)).to_pylist()), pa.bool_()))
+
+    return map_batches(df, run, df.schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BROADCAST_BYTES, map_batches, utf8
+from quern.llm.common import BROADCAST_BYTES, keep_rows, map_batches, utf8
 from quern.llm.license_scan import words_of
 from quern.llm.simhash_dedup import simhash
 
@@ -171,6 +171,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return docs.sparkSession.createDataFrame([], SCHEMA) if found is None else found
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", radius: int = RADIUS, threshold: float = 0.8, max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns; null texts stay."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    for block in _blocks(items, max_broadcast_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(block, radius, threshold))
+        docs = keep_rows(docs, text_col, lambda texts, sent=sent: [not sent.value.find(words_of((t or "").encode())) for t in texts])
+    return docs
+
+
 def _scan(rows: DataFrame, index: BenchmarkIndex) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(index)
 

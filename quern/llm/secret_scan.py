@@ -103,6 +103,28 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_batches(rows, scan, SCHEMA)
 
 
+def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", mask: str = "[SECRET]", reach: int = 64, context: int = 256, least_novelty: float = 0.6) -> DataFrame:
+    """The documents with every reported span masked, all their columns kept; chars_col, where there is one, is counted anew."""
+    kind = docs.schema[text_col].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            texts = b.column(at).to_pylist()
+            new = [masked(t, scan_text(t, reach, context, least_novelty), mask) if t else t for t in texts]
+            columns = list(b.columns)
+            columns[at] = pa.array(new, b.schema.field(at).type)
+            n = b.schema.get_field_index(chars_col)
+            if n >= 0:
+                counts = [old if x == y else len(y) for old, x, y in zip(b.column(n).to_pylist(), texts, new, strict=True)]
+                columns[n] = pa.array(counts, b.schema.field(n).type)
+            yield pa.record_batch(columns, schema=b.schema)
+
+    if kind.typeName() != "string":
+        raise TypeError(f"{text_col} is no string column")
+    return map_batches(docs, run, docs.schema)
+
+
 def masked(text: str | None, spans: list[tuple[int, int, int]], mask: str) -> str | None:
     if not text or not spans:
         return text

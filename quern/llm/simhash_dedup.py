@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import LOWER_BYTES, map_batches, materialize, utf8
@@ -54,16 +54,21 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     return simhash(shingle_hashes((text or b"").translate(LOWER_BYTES).split(), width))
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row; a null text counts as empty and gives 0."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    """doc_id, key (a hash of the text), fp (the fingerprint as a signed long) of every row; a null text counts as empty and gives 0."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, width) for t in utf8(b.column(1))], np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, width) for t in utf8(b.column(2))], np.uint64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return map_batches(rows, run, "doc_id long, fp long")
+    return map_batches(rows, run, "doc_id long, key long, fp long")
 
 
 class TopTree:
@@ -259,7 +264,7 @@ def link_nodes(nodes: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the least doc_id that links lead to, its own included).
+    """One row per document: doc_id, key, fp, label (one fingerprint of its component), component_id (the least doc_id that links reach).
 
     A null text counts as empty; documents without words have fingerprint 0, which links like any other. A null doc_id
     takes part but is never a component's id unless all of its ids are null. Repeated rows are all returned. Fingerprints
@@ -270,7 +275,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     labels = materialize(components(link_nodes(nodes, radius)), "labels")
     linked = labels.join(nodes, labels.node == nodes.fp).select("fp", "label", "least")
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "label").select("fp", "component_id")
+    linked = linked.join(least, "label").select("fp", "label", "component_id")
     # nodes that no link touches answer for themselves
-    known = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return held.join(known, "fp").select("doc_id", "fp", "component_id")
+    known = nodes.join(linked, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "least").alias("component_id"))
+    return held.join(known, "fp").select("doc_id", "key", "fp", "label", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
+    """One document of each component, that with the least doc_id, with all its columns; a null id stays only where no other is."""
+    groups = simhash_groups(docs, id_col, text_col, width, radius)
+    first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
+    first = first.select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_key"))
+    rows = docs.withColumn("_text_key", text_key(F.col(text_col)))
+    kept = rows.join(first, rows[id_col].cast("long").eqNullSafe(first["_id"]) & (rows["_text_key"] == first["_key"]))
+    # rows that repeat an id and a text
+    once = Window.partitionBy("_id", "_key").orderBy("_key")
+    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*[docs[c] for c in docs.columns])

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches
+from quern.llm.common import keep_rows, map_batches
 
 ORDERS = (4, 5, 6, 7)
 BITS = 20
@@ -129,6 +129,27 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
     return fit_model([t for _, _, t in sample], np.array([y for _, y, _ in sample], np.int64), prior=(n1 + 0.5) / (n1 + n0 + 1), **options)
 
 
+def _sent(docs: DataFrame, model: Model):
+    """The model as a broadcast of 4 MB and a little."""
+    return docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), np.packbits(model.keep), model.bias))
+
+
+def _received(sent) -> Model:
+    w, k, bias = sent.value
+    return Model(w, np.unpackbits(k, count=len(w)).astype(bool), bias)
+
+
+def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents that score below the threshold, with all their columns; a null text is scored as an empty one."""
+    sent = _sent(docs, model)
+
+    def keep(texts: list[str | None]) -> list[bool]:
+        m = _received(sent)
+        return [m.score(t) < threshold for t in texts]
+
+    return keep_rows(docs, text_col, keep)
+
+
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -140,11 +161,10 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """
     held = is_held_out(F.col(id_col), folds)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), np.packbits(model.keep), model.bias))
+    sent = _sent(docs, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, k, bias = sent.value
-        m = Model(w, np.unpackbits(k, count=len(w)).astype(bool), bias)
+        m = _received(sent)
         for b in batches:
             s = np.array([m.score(t) for t in b.column(2).to_pylist()], np.float64)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
