@@ -1 +1 @@
-"""Package of the engine."""
+"""Column functions: vectors, weighted sets, spectra-like peak lists, scores."""

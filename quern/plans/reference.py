@@ -1,4 +1,4 @@
-"""Queries of the record-identification operators, with their SQL."""
+"""All queries of the record-identification operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from quern.plans import aggregates, evaluation, filters, joins, ranking, similarity, sources  # noqa: F401
+from quern.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401

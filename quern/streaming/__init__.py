@@ -1 +1 @@
-"""Package of the engine."""
+"""Structured Streaming forms of windowed aggregation and per-key state."""
