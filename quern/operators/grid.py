@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.storage import materialize
 
-
-def grid_components(cells: DataFrame, frame: str, y: str, x: str, colour: str, rounds: int = 64) -> DataFrame:
+def grid_components(cells: DataFrame, frame: str, y: str, x: str, colour: str) -> DataFrame:
     """cells with label, the least (y, x) of its 4-connected component of one colour in its frame, as a struct.
 
-    Labels travel along neighbours and then jump to their label's label, so long shapes settle in few rounds.
+    A frame is a board of bounded size, so one frame is one group of a grouped map; frames spread over all tasks.
     """
-    here = cells.select(frame, y, x, colour).withColumn("label", F.struct(F.col(y).alias("y"), F.col(x).alias("x")))
-    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))]))
-    for _ in range(rounds):
-        sent = here.withColumn("_s", steps).select(frame, (F.col(y) + F.col("_s.dy")).alias(y), (F.col(x) + F.col("_s.dx")).alias(x), colour, F.col("label").alias("_l"))
-        least = sent.groupBy(frame, y, x, colour).agg(F.min("_l").alias("_l"))
-        moved = here.join(least, [frame, y, x, colour]).withColumn("_new", F.least("label", "_l"))
-        far = moved.select(frame, F.col(y).alias("_y"), F.col(x).alias("_x"), F.col("_new").alias("_jump"))
-        jumped = moved.join(far, [moved[frame] == far[frame], moved["_new.y"] == far["_y"], moved["_new.x"] == far["_x"]]).select(moved[frame], moved[y], moved[x], moved[colour], moved["label"].alias("_old"), F.col("_jump").alias("label"))
-        done = materialize(jumped, "labels")
-        here = done.drop("_old")
-        if done.where("_old <> label").isEmpty():
-            return here
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = {(a, b): i for i, (a, b) in enumerate(zip(pdf[y], pdf[x], strict=True))}
+        tint, parent = pdf[colour].to_list(), list(range(len(pdf)))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for (a, b), i in sorted(at.items()):
+            for near in ((a - 1, b), (a, b - 1)):
+                j = at.get(near)
+                if j is not None and tint[i] == tint[j]:
+                    parent[root(i)] = root(j)
+        least: dict[int, tuple[int, int]] = {}
+        for place, i in sorted(at.items()):
+            least.setdefault(root(i), place)
+        found = [least[root(i)] for i in range(len(pdf))]
+        return pd.DataFrame({frame: pdf[frame], y: pdf[y], x: pdf[x], colour: pdf[colour], "label_y": [p[0] for p in found], "label_x": [p[1] for p in found]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+    columns = ", ".join(f"{c} {kinds[c]}" for c in (frame, y, x, colour))
+    labelled = cells.select(frame, y, x, colour).groupBy(frame).applyInPandas(label, f"{columns}, label_y long, label_x long")
+    return labelled.select(frame, y, x, colour, F.struct(F.col("label_y").alias("y"), F.col("label_x").alias("x")).alias("label"))
 
 
 def frame_diff(before: DataFrame, after: DataFrame, key: str, y: str, x: str) -> DataFrame:

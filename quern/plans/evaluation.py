@@ -161,7 +161,7 @@ def e14(t):
 
 @query("e15_list_difference", """
 WITH l AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS a, list(o_orderkey ORDER BY o_totalprice, o_orderkey) AS b FROM orders GROUP BY 1)
-SELECT o_custkey, a = b AS same, list_position(list_transform(range(1, len(a) + 1), lambda i: a[i] <> b[i]), true) AS first_difference FROM l
+SELECT o_custkey, a = b AS same, CAST(list_position(list_transform(range(1, len(a) + 1), lambda i: a[i] <> b[i]), true) AS BIGINT) AS first_difference FROM l
 """)
 def e15(t):
     row = F.struct("o_totalprice", "o_orderkey")

@@ -1 +1,391 @@
-PLACEHOLDER = None
+"""Similarity joins and scoring functions. Documents' words and vectors' components stand for peaks and bits."""
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quern.functions import peaks as P
+from quern.functions import vectors as V
+from quern.operators import generate as G
+from quern.operators import joins as J
+from quern.operators import rank as R
+from quern.plans.registry import query
+
+SETS = "SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark"
+WEIGHTS = "SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) GROUP BY 1, 2"
+
+
+def item_words(t):
+    return t("benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+
+
+def counts(t):
+    return item_words(t).groupBy("item_id", "w").agg(F.count("*").alias("n"))
+
+
+def pairs_of(rows, key="item_id"):
+    """Shared counts of all pairs through an inverted index, with both sides' sizes; frequent words are salted by Spark."""
+    left, right = rows.withColumnRenamed(key, "a"), rows.withColumnRenamed(key, "b")
+    return J.index_join(left, right, "a", "b", "w")
+
+
+@query("j15_tanimoto_topk", f"""
+WITH s AS ({SETS}), n AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS c FROM s x JOIN s y ON x.w = y.w AND x.item_id <> y.item_id GROUP BY 1, 2),
+r AS (SELECT a, b, c / (na.n + nb.n - c) AS sim FROM p JOIN n na ON a = na.item_id JOIN n nb ON b = nb.item_id), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rank FROM r)
+SELECT a, b, round(sim, 6) AS sim, rank FROM k WHERE rank <= 5
+""")
+def j15(t):
+    """For each item the five most similar others by the Tanimoto index of their word sets."""
+    s = item_words(t).distinct()
+    n = s.groupBy("item_id").agg(F.count("*").alias("n"))
+    p = pairs_of(s).where("a <> b").join(n.withColumnsRenamed({"item_id": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"item_id": "b", "n": "nb"}), "b")
+    p = p.withColumn("sim", F.col("score") / (F.col("na") + F.col("nb") - F.col("score")))
+    return R.top_k(p, ["a"], [F.col("sim").desc(), F.col("b")], 5).select("a", "b", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query("j16_two_stage_search", f"""
+WITH c AS ({WEIGHTS}), f AS (SELECT w, count(*) AS df FROM c GROUP BY 1), l AS (SELECT x.item_id AS a, y.item_id AS b, sum(x.n * y.n) AS s FROM c x JOIN c y USING (w) JOIN f USING (w) WHERE df <= 20 AND x.item_id <> y.item_id GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM l), g AS (SELECT a, b FROM k WHERE r <= 10), z AS (SELECT item_id, sqrt(sum(n * n)) AS z FROM c GROUP BY 1),
+e AS (SELECT a, b, coalesce(sum(x.n * y.n), 0) / (any_value(za.z) * any_value(zb.z)) AS cos FROM g JOIN c x ON x.item_id = a JOIN c y ON y.item_id = b AND x.w = y.w JOIN z za ON za.item_id = a JOIN z zb ON zb.item_id = b GROUP BY 1, 2)
+SELECT a, b, round(cos, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cos, 9) DESC, b) AS r FROM e) WHERE r <= 3
+""")
+def j16(t):
+    """A shortlist by shared rare words, then an exact cosine over all words on the shortlist alone."""
+    c = counts(t)
+    rare = c.groupBy("w").agg(F.count("*").alias("df")).where("df <= 20").select("w")
+    kept = c.join(rare, "w", "left_semi")
+    left, right = kept.withColumnsRenamed({"item_id": "a", "n": "x"}), kept.withColumnsRenamed({"item_id": "b", "n": "y"})
+    short = R.top_k(J.index_join(left, right, "a", "b", "w", "x", "y").where("a <> b"), ["a"], [F.col("score").desc(), F.col("b")], 10).select("a", "b")
+    norms = c.groupBy("item_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("z"))
+    full = short.join(c.withColumnsRenamed({"item_id": "a", "n": "x"}), "a").join(c.withColumnsRenamed({"item_id": "b", "n": "y"}), ["b", "w"])
+    dots = full.groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scored = dots.join(norms.withColumnsRenamed({"item_id": "a", "z": "za"}), "a").join(norms.withColumnsRenamed({"item_id": "b", "z": "zb"}), "b")
+    scored = scored.withColumn("cos", F.col("dot") / (F.col("za") * F.col("zb")))
+    return R.top_k(scored, ["a"], [F.round("cos", 9).desc(), F.col("b")], 3).select("a", "b", F.round("cos", 5).alias("score"))
+
+
+@query("j17_best_posting_retrieval", """
+WITH v AS (SELECT vec_id, label, unnest(embedding[1:8]) AS y, generate_subscripts(embedding[1:8], 1) AS d FROM embeddings), b AS (SELECT *, CAST(floor(CAST(y AS DOUBLE) / 0.05) AS BIGINT) AS bin FROM v),
+p AS (SELECT q.vec_id AS q, l.label AS lib, q.d, max(1 - abs(CAST(q.y AS DOUBLE) - CAST(l.y AS DOUBLE)) / 0.05) AS s FROM b q JOIN b l ON q.d = l.d AND abs(q.bin - l.bin) <= 1 AND abs(CAST(q.y AS DOUBLE) - CAST(l.y AS DOUBLE)) <= 0.05 AND q.vec_id <> l.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2, 3),
+s AS (SELECT q, lib, round(sum(s), 6) AS score FROM p GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, lib) AS rank FROM s)
+SELECT q, lib, rank FROM r WHERE rank <= 3
+""")
+def j17(t):
+    """Retrieval over bins and their neighbours: each query component counts its best posting per library entry once."""
+    v = t("embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 8)).alias("d", "y")).withColumn("y", F.col("y").cast("double")).withColumn("bin", F.floor(F.col("y") / 0.05))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "d", F.col("y").alias("qy"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    near = q.join(v.select("vec_id", F.col("label").alias("lib"), "d", "y", "bin"), ["d", "bin"]).where((F.abs(F.col("qy") - F.col("y")) <= 0.05) & (F.col("q") != F.col("vec_id")))
+    best = near.groupBy("q", "lib", "d").agg(F.max(1 - F.abs(F.col("qy") - F.col("y")) / 0.05).alias("s"))
+    return R.top_k(best.groupBy("q", "lib").agg(F.round(F.sum("s"), 6).alias("score")), ["q"], [F.col("score").desc(), F.col("lib")], 3).select("q", "lib", "rank")
+
+
+ENTROPY = "p AS (SELECT item_id, w, n / sum(n) OVER (PARTITION BY item_id) AS p FROM c), h AS (SELECT item_id, -sum(p * ln(p)) AS s FROM p GROUP BY 1), r AS (SELECT item_id, w, CASE WHEN s < 3 THEN pow(p, 0.25 + 0.25 * s) ELSE p END AS v FROM p JOIN h USING (item_id)), e AS (SELECT item_id, w, v / sum(v) OVER (PARTITION BY item_id) AS p FROM r)"
+
+
+def shares(t):
+    lists = counts(t).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("w", "n"))).alias("l"))
+    p = V.entropy_weighted(F.transform("l", lambda x: x.n))
+    return lists.select("item_id", F.explode(F.arrays_zip(F.transform("l", lambda x: x.w).alias("w"), p.alias("p"))).alias("z")).select("item_id", "z.w", "z.p")
+
+
+@query("f1_entropy_weighting", f"WITH c AS ({WEIGHTS}), {ENTROPY} SELECT item_id, round(-sum(p * ln(p)), 5) AS entropy, round(max(p), 6) AS largest FROM e GROUP BY 1")
+def f1(t):
+    return shares(t).groupBy("item_id").agg(F.round(-F.sum(F.col("p") * F.ln("p")), 5).alias("entropy"), F.round(F.max("p"), 6).alias("largest"))
+
+
+@query("f2_entropy_similarity", f"""
+WITH c AS ({WEIGHTS}), {ENTROPY}, m AS (SELECT x.item_id AS a, y.item_id AS b, sum((x.p + y.p) * ln(x.p + y.p) - x.p * ln(x.p) - y.p * ln(y.p)) / ln(4) AS s FROM e x JOIN e y USING (w) WHERE x.item_id < y.item_id GROUP BY 1, 2)
+SELECT a, b, round(least(1, greatest(0, s)), 5) AS similarity FROM m WHERE s >= 0.15
+""")
+def f2(t):
+    """Unmatched peaks cancel in the entropy similarity, so only shared ones are joined."""
+    e = shares(t)
+    pair = e.select(F.col("item_id").alias("a"), "w", F.col("p").alias("x")).join(e.select(F.col("item_id").alias("b"), "w", F.col("p").alias("y")), "w").where("a < b")
+    x, y = F.col("x"), F.col("y")
+    s = F.sum((x + y) * F.ln(x + y) - x * F.ln(x) - y * F.ln(y)) / F.ln(F.lit(4.0))
+    return pair.groupBy("a", "b").agg(s.alias("s")).where("s >= 0.15").select("a", "b", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")), 5).alias("similarity"))
+
+
+def _peak_pairs(t):
+    """Vectors of one label, each with the next, as peak lists: place and positive component."""
+    peaks = F.filter(F.transform("embedding", lambda v, i: F.struct((i * 0.01 + v.cast("double") * 0.01).alias("x"), v.cast("double").alias("y"))), lambda p: p.y > 0)
+    w = Window.partitionBy("label").orderBy("vec_id")
+    return t("embeddings").withColumn("a", peaks).select("vec_id", "a", F.lead("a").over(w).alias("b")).where("b is not null")
+
+
+@query("f2_tolerance_entropy")
+def f2t(t):
+    return _peak_pairs(t).select("vec_id", P.pair_similarity("entropy", 0.01)("a", "b", F.lit(0.0)).alias("similarity"))
+
+
+@query("f3_best_peak_cosine")
+def f3(t):
+    return _peak_pairs(t).select("vec_id", P.pair_similarity("best", 0.01)("a", "b", F.lit(0.0)).alias("similarity"))
+
+
+@query("f4_modified_cosine")
+def f4(t):
+    return _peak_pairs(t).select("vec_id", P.pair_similarity("modified", 0.004)("a", "b", F.lit(0.02)).alias("similarity"))
+
+
+@query("f5_closest_matches")
+def f5(t):
+    return _peak_pairs(t).select("vec_id", P.pair_similarity("closest", 0.004)("a", "b", F.lit(0.0)).alias("matches"))
+
+
+@query("f6_chain_merge", """
+WITH RECURSIVE o AS (SELECT o_custkey, o_totalprice AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS i FROM orders),
+r AS (SELECT o_custkey, i, x AS anchor FROM o WHERE i = 1 UNION ALL SELECT o.o_custkey, o.i, CASE WHEN o.x - r.anchor <= 20000 THEN r.anchor ELSE o.x END FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.i = r.i + 1)
+SELECT o_custkey, count(DISTINCT anchor) AS n_runs, count(*) AS n FROM r GROUP BY 1
+""")
+def f6(t):
+    """Runs are anchored at their first value, so they are not sessions."""
+    lists = t("orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_totalprice").alias("x"), F.lit(1.0).alias("y"))).alias("l"))
+    runs = V.chain_merged(F.col("l"), 20000.0)
+    return lists.select("o_custkey", F.size(runs).cast("long").alias("n_runs"), V.total(F.transform(runs, lambda p: p.y)).cast("long").alias("n"))
+
+
+@query("f7_bit_tanimoto", """
+WITH b AS (SELECT vec_id, label, list_reduce(list_prepend(0::UBIGINT, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN (1::UBIGINT << (i - 1)) ELSE 0::UBIGINT END)), lambda x, y: x | y) AS b FROM embeddings), n AS (SELECT *, lead(b) OVER (PARTITION BY label ORDER BY vec_id) AS c FROM b)
+SELECT vec_id, round(bit_count(b & c) / bit_count(b | c), 6) AS tanimoto FROM n WHERE c IS NOT NULL
+""")
+def f7(t):
+    rows = t("embeddings").select("vec_id", "label", V.sign_bits(F.col("embedding")).alias("b"))
+    nxt = F.lead("b").over(Window.partitionBy("label").orderBy("vec_id"))
+    return rows.withColumn("c", nxt).where("c is not null").select("vec_id", F.round(V.bit_tanimoto(F.col("b"), F.col("c")), 6).alias("tanimoto"))
+
+
+@query("f8_set_tanimoto", f"""
+WITH s AS (SELECT item_id, list(w) AS l FROM ({SETS}) GROUP BY 1) SELECT x.item_id AS a, y.item_id AS b, round(len(list_intersect(x.l, y.l)) / len(list_distinct(list_concat(x.l, y.l))), 6) AS tanimoto FROM s x JOIN s y ON y.item_id = x.item_id + 1
+""")
+def f8(t):
+    s = item_words(t).groupBy("item_id").agg(F.collect_set("w").alias("l"))
+    nxt = s.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("l").alias("m"))
+    return s.join(nxt, "item_id").select(F.col("item_id").alias("a"), "b", F.round(V.set_tanimoto(F.col("l"), F.col("m")), 6).alias("tanimoto"))
+
+
+BITS = "q AS (SELECT label AS q, CAST(i AS BIGINT) AS bit, avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) AS p FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY 1, 2), c AS (SELECT vec_id, CAST(i AS BIGINT) AS bit FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) WHERE v > 0)"
+
+
+def bit_rows(t):
+    v = t("embeddings").select("vec_id", "label", F.posexplode("embedding").alias("bit", "v"))
+    q = v.groupBy(F.col("label").alias("q"), "bit").agg(F.avg((F.col("v") > 0).cast("double")).alias("p"))
+    return q, v.where("v > 0").select("vec_id", "bit")
+
+
+@query("f9_continuous_tanimoto", f"""
+WITH {BITS}, s AS (SELECT q, vec_id, sum(p) AS sp, count(*) AS n FROM c JOIN q USING (bit) GROUP BY 1, 2), t AS (SELECT q, sum(p) AS total FROM q GROUP BY 1), r AS (SELECT q, vec_id, sp / (n + total - sp) AS s FROM s JOIN t USING (q)),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, vec_id) AS rank FROM r) SELECT q, vec_id, round(s, 6) AS score, rank FROM k WHERE rank <= 5
+""")
+def f9(t):
+    q, c = bit_rows(t)
+    s = c.join(F.broadcast(q), "bit").groupBy("q", "vec_id").agg(F.sum("p").alias("sp"), F.count("*").alias("n"))  # q: 64 bits of each label
+    s = s.join(q.groupBy("q").agg(F.sum("p").alias("total")), "q").withColumn("s", F.col("sp") / (F.col("n") + F.col("total") - F.col("sp")))
+    return R.top_k(s, ["q"], [F.round("s", 9).desc(), F.col("vec_id")], 5).select("q", "vec_id", F.round("s", 6).alias("score"), "rank")
+
+
+@query("f10_log_odds", f"""
+WITH {BITS}, s AS (SELECT q, vec_id, sum(ln(least(greatest(p, 0.001), 0.999) / (1 - least(greatest(p, 0.001), 0.999)))) AS s FROM c JOIN q USING (bit) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 8) DESC, vec_id) AS rank FROM s) SELECT q, vec_id, round(s, 5) AS score, rank FROM k WHERE rank <= 5
+""")
+def f10(t):
+    q, c = bit_rows(t)
+    p = F.least(F.greatest("p", F.lit(0.001)), F.lit(0.999))
+    s = c.join(F.broadcast(q), "bit").groupBy("q", "vec_id").agg(F.sum(F.ln(p / (1 - p))).alias("s"))
+    return R.top_k(s, ["q"], [F.round("s", 8).desc(), F.col("vec_id")], 5).select("q", "vec_id", F.round("s", 5).alias("score"), "rank")
+
+
+@query("f11_mixture_likelihood", f"""
+WITH {BITS}, b AS (SELECT bit, avg(p) AS bg FROM q GROUP BY 1) SELECT q, round(sum(sqrt(p) * ln(0.8 * p + 0.2 * bg + 1e-6)), 5) AS loglik FROM q JOIN b USING (bit) GROUP BY 1
+""")
+def f11(t):
+    """A query's likelihood under a mixture of its own and a background rate, weighted by square roots."""
+    q, _ = bit_rows(t)
+    bg = q.groupBy("bit").agg(F.avg("p").alias("bg"))
+    return q.join(bg, "bit").groupBy("q").agg(F.round(F.sum(F.sqrt("p") * F.ln(0.8 * F.col("p") + 0.2 * F.col("bg") + 1e-6)), 5).alias("loglik"))
+
+
+@query("f12_mass_prior", "SELECT p_partkey, round(-0.5 * pow((p_retailprice - 950) / 950 * 1e6 / 20000, 2) + CASE WHEN p_size > 25 THEN 0.1 ELSE 0 END, 6) AS prior FROM part")
+def f12(t):
+    ppm = (F.col("p_retailprice") - 950) / 950 * 1e6
+    return t("part").select("p_partkey", F.round(-0.5 * F.pow(ppm / 20000, F.lit(2.0)) + F.when(F.col("p_size") > 25, 0.1).otherwise(0.0), 6).alias("prior"))
+
+
+@query("f13_analog_propagation", f"""
+WITH s AS ({SETS}), n AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT x.item_id AS a, y.item_id AS b, count(*) AS c FROM s x JOIN s y ON x.w = y.w AND x.item_id <> y.item_id GROUP BY 1, 2)
+SELECT a, round(max((b % 10) * pow(c / (na.n + nb.n - c), 3)), 6) AS best FROM p JOIN n na ON a = na.item_id JOIN n nb ON b = nb.item_id GROUP BY 1
+""")
+def f13(t):
+    s = item_words(t).distinct()
+    n = s.groupBy("item_id").agg(F.count("*").alias("n"))
+    p = pairs_of(s).where("a <> b").join(n.withColumnsRenamed({"item_id": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"item_id": "b", "n": "nb"}), "b")
+    sim = F.col("score") / (F.col("na") + F.col("nb") - F.col("score"))
+    return p.groupBy("a").agg(F.round(F.max((F.col("b") % 10) * F.pow(sim, F.lit(3.0))), 6).alias("best"))
+
+
+@query("f14_softmax_attention", """
+WITH t AS (SELECT o_custkey, o_totalprice, o_orderkey % 2 AS bit, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders), m AS (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey) AS mx FROM t WHERE k <= 5), f AS (SELECT avg(o_orderkey % 2) AS f FROM orders)
+SELECT o_custkey, round(0.9 * sum(exp((o_totalprice - mx) / 50000) * bit) / sum(exp((o_totalprice - mx) / 50000)) + 0.1 * any_value(f), 6) AS p FROM m, f GROUP BY 1
+""")
+def f14(t):
+    top = R.top_k(t("orders").withColumn("bit", F.col("o_orderkey") % 2), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 5)
+    e = F.exp((F.col("o_totalprice") - F.max("o_totalprice").over(Window.partitionBy("o_custkey"))) / 50000)
+    f = t("orders").agg(F.avg(F.col("o_orderkey") % 2).alias("f"))  # one row
+    got = top.withColumn("e", e).groupBy("o_custkey").agg((F.sum(F.col("e") * F.col("bit")) / F.sum("e")).alias("s"))
+    return got.crossJoin(F.broadcast(f)).select("o_custkey", F.round(0.9 * F.col("s") + 0.1 * F.col("f"), 6).alias("p"))
+
+
+Z = "(({x} - avg({x}) OVER w) / (stddev_pop({x}) OVER w + 1e-6))"
+
+
+@query("f15_linear_fusion", f"""
+SELECT l_orderkey, l_partkey, l_quantity, round({Z.format(x='l_quantity')} + 0.25 * {Z.format(x='l_discount')} + {Z.format(x='l_tax')} + 8 * pow(l_discount * 10, 32) + 24 * l_tax, 4) AS fused FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)
+""")
+def f15(t):
+    z = lambda c: R.zscore(F.col(c), ["l_orderkey"])
+    fused = z("l_quantity") + 0.25 * z("l_discount") + z("l_tax") + 8 * F.pow(F.col("l_discount") * 10, F.lit(32.0)) + 24 * F.col("l_tax")
+    return t("lineitem").select("l_orderkey", "l_partkey", "l_quantity", F.round(fused, 4).alias("fused"))
+
+
+@query("f16_fusion_absent_terms", f"""
+WITH a AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN l_discount END AS d FROM lineitem) SELECT l_orderkey, l_partkey, l_quantity, round({Z.format(x='l_quantity')} + coalesce(0.5 * {Z.format(x='d')}, 0), 4) AS fused FROM a WINDOW w AS (PARTITION BY l_orderkey)
+""")
+def f16(t):
+    df = t("lineitem").withColumn("d", F.when(F.col("l_returnflag") == "R", F.col("l_discount")))
+    fused = R.zscore(F.col("l_quantity"), ["l_orderkey"]) + F.coalesce(0.5 * R.zscore(F.col("d"), ["l_orderkey"]), F.lit(0.0))
+    return df.select("l_orderkey", "l_partkey", "l_quantity", F.round(fused, 4).alias("fused"))
+
+
+@query("f17_gated_blend", "SELECT o_orderkey, round(CASE WHEN o_orderstatus = 'O' THEN 0.7 * o_totalprice + 0.3 * o_custkey ELSE o_totalprice END, 4) AS blend FROM orders")
+def f17(t):
+    return t("orders").select("o_orderkey", F.round(F.when(F.col("o_orderstatus") == "O", 0.7 * F.col("o_totalprice") + 0.3 * F.col("o_custkey")).otherwise(F.col("o_totalprice")), 4).alias("blend"))
+
+
+@query("f18_cascade", f"""
+WITH s AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS k FROM part), c AS (SELECT * FROM s WHERE k <= 30),
+z AS (SELECT p_brand, p_partkey, round(0.6 * {Z.format(x='p_size')} + 0.4 * {Z.format(x='p_retailprice')} + 0.05 * (p_partkey % 10), 6) AS s FROM c WINDOW w AS (PARTITION BY p_brand))
+SELECT p_brand, p_partkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY s DESC, p_partkey) AS rank FROM z) WHERE rank <= 10
+""")
+def f18(t):
+    """A cheap score cuts a shortlist; the fused score ranks that alone."""
+    short = R.top_k(t("part"), ["p_brand"], [F.col("p_retailprice").desc(), F.col("p_partkey")], 30, "k")
+    s = 0.6 * R.zscore(F.col("p_size"), ["p_brand"]) + 0.4 * R.zscore(F.col("p_retailprice"), ["p_brand"]) + 0.05 * (F.col("p_partkey") % 10)
+    return R.top_k(short.withColumn("s", F.round(s, 6)), ["p_brand"], [F.col("s").desc(), F.col("p_partkey")], 10).select("p_brand", "p_partkey", "rank")
+
+
+@query("f19_key_hash", """
+WITH k AS (SELECT o_custkey, md5(count(*) || '|' || string_agg(CAST(CAST(round(o_totalprice / 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY CAST(round(o_totalprice / 1000) AS BIGINT))) AS h FROM orders GROUP BY 1) SELECT o_custkey, h FROM k
+""")
+def f19(t):
+    """A hash of rounded, sorted content, by which equal records meet."""
+    l = F.array_sort(F.collect_list(F.round(F.col("o_totalprice") / 1000).cast("long")))  # noqa: E741
+    return t("orders").groupBy("o_custkey").agg(F.md5(F.concat_ws("|", F.count("*").cast("string"), F.array_join(l.cast("array<string>"), ","))).alias("h"))
+
+
+@query("f20_neighbourhood_hash", """
+WITH e AS (SELECT DISTINCT o_custkey AS a, 100000000 + l_partkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), d AS (SELECT a, count(*) AS h FROM u GROUP BY 1),
+n AS (SELECT u.a, md5(any_value(d0.h) || ':' || string_agg(CAST(d.h AS VARCHAR), ',' ORDER BY d.h)) AS h FROM u JOIN d ON u.b = d.a JOIN d d0 ON d0.a = u.a GROUP BY 1) SELECT a AS node, h FROM n
+""")
+def f20(t):
+    """One round of neighbourhood hashing on a graph: a node's own label with the sorted labels around it."""
+    e = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("a"), (F.lit(100000000).cast("long") + F.col("l_partkey")).alias("b")).distinct()
+    u = e.unionAll(e.select("b", "a"))
+    d = u.groupBy("a").agg(F.count("*").alias("h"))
+    around = u.join(d.select(F.col("a").alias("b"), F.col("h").alias("nh")), "b").groupBy("a").agg(F.array_sort(F.collect_list("nh")).alias("l"))
+    return around.join(d, "a").select(F.col("a").alias("node"), F.md5(F.concat_ws(":", F.col("h").cast("string"), F.array_join(F.col("l").cast("array<string>"), ","))).alias("h"))
+
+
+@query("f21_formula_mass", """
+SELECT p_partkey, p_size // 10 AS c, p_size % 10 AS h, round((p_size // 10) * 12.0 + (p_size % 10) * 1.00782503207, 6) AS mass, 'C' || (p_size // 10) || 'H' || (p_size % 10) AS key FROM part
+""")
+def f21(t):
+    c, h = F.floor(F.col("p_size") / 10).cast("int"), F.col("p_size") % 10
+    return t("part").select("p_partkey", c.alias("c"), h.alias("h"), F.round(c * 12.0 + h * 1.00782503207, 6).alias("mass"), F.concat(F.lit("C"), c.cast("string"), F.lit("H"), h.cast("string")).alias("key"))
+
+
+@query("f22_metric_identity", """
+WITH d AS (SELECT DISTINCT p_type FROM part), k AS (SELECT p_type, left(md5(upper(regexp_replace(p_type, '[^A-Za-z ]', '', 'g'))), 14) AS key FROM d) SELECT key, count(*) AS n FROM part JOIN k USING (p_type) GROUP BY 1
+""")
+def f22(t):
+    """An identity key worked out once per distinct string and joined back, as costly canonical forms are."""
+    names = t("part").select("p_type").distinct()
+    keys = names.withColumn("key", F.left(F.md5(F.upper(F.regexp_replace("p_type", "[^A-Za-z ]", ""))), F.lit(14)))
+    return t("part").join(keys, "p_type").groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query("f23_half_even_bucket", "SELECT event_id, 5 * round_even(coalesce(value, 20) / 5, 0) AS bucket FROM events")
+def f23(t):
+    return t("events").select("event_id", V.half_even_bucket(F.col("value"), 5.0, 20.0).alias("bucket"))
+
+
+@query("f24_merged_values", """
+WITH m AS (SELECT l_suppkey, round(l_extendedprice, -2) AS x, sum(l_quantity) AS y FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY y DESC, x) AS k FROM m) SELECT l_suppkey, x, y FROM r WHERE k <= 100
+""")
+def f24(t):
+    m = t("lineitem").groupBy("l_suppkey", F.round("l_extendedprice", -2).alias("x")).agg(F.sum("l_quantity").alias("y"))
+    return R.top_k(m, ["l_suppkey"], [F.col("y").desc(), F.col("x")], 100, "k").select("l_suppkey", "x", "y")
+
+
+@query("g1_fragment_enumeration")
+def g1(t):
+    """Pieces of small graphs after one or two cuts: each customer's first lines as a chain with weights."""
+    rows = t("orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("n <= 6")
+    lists = rows.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "o_totalprice"))), lambda x: x.o_totalprice / 1000).alias("weights"))
+    edges = F.expr("transform(sequence(0, size(weights) - 2), i -> named_struct('a', i, 'b', i + 1))")
+    lists = lists.where(F.size("weights") > 1).withColumn("edges", edges)
+    return G.fragments(lists, "o_custkey", "weights", "edges")
+
+
+@query("g2_shifted_fragments", """
+SELECT p_partkey, CAST(s AS INTEGER) AS shift, round(p_retailprice + s * 1.00783, 5) AS shifted FROM part, unnest([-2, -1, 0, 1, 2]) u(s)
+""")
+def g2(t):
+    return G.hydrogen_shifts(t("part").select("p_partkey", "p_retailprice"), "p_retailprice", 1.00783).select("p_partkey", "shift", F.round("shifted", 5).alias("shifted"))
+
+
+@query("g3_compositions", """
+WITH x AS (SELECT c_custkey, round(c_acctbal / 100, 2) AS m FROM customer WHERE c_acctbal > 0)
+SELECT c_custkey, CAST(a.range AS INTEGER) AS c, CAST(b.range AS INTEGER) AS o, CAST(h.range AS INTEGER) AS h FROM x, range(0, 9) a, range(0, 7) b, range(0, 21) h WHERE abs(m - a.range * 12.0 - b.range * 15.9949 - h.range * 1.00783) <= 0.02
+""")
+def g3(t):
+    x = t("customer").where("c_acctbal > 0").select("c_custkey", F.round(F.col("c_acctbal") / 100, 2).alias("m"))
+    return G.compositions(x, "c_custkey", "m", {"c": 12.0, "o": 15.9949, "h": 1.00783}, {"c": 8, "o": 6, "h": 20}, 0.02)
+
+
+@query("g4_log_posterior", """
+WITH w AS (SELECT o_custkey AS q, o_orderpriority AS c, sum(o_totalprice) AS w, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY 1, 2), x AS (SELECT *, ln(w) / 0.5 AS x, max(ln(w) / 0.5) OVER (PARTITION BY q) AS m FROM w)
+SELECT q, c, n AS n_sources, round(x - m - ln(sum(exp(x - m)) OVER (PARTITION BY q)), 5) AS log_p FROM x
+""")
+def g4(t):
+    rows = t("orders").select(F.col("o_custkey").alias("q"), F.col("o_orderpriority").alias("c"), "o_orderstatus", "o_totalprice")
+    return G.log_posterior(rows, "q", "o_orderstatus", "c", "o_totalprice", 0.5).withColumn("log_p", F.round("log_p", 5))
+
+
+@query("g6_operation_chains", """
+WITH ops AS (SELECT n_nationkey AS op, (n_nationkey - 12) * CAST(3.7 AS DOUBLE) AS s FROM nation), c AS (SELECT op AS a, NULL AS b, s FROM ops UNION ALL SELECT x.op, y.op, x.s + y.s FROM ops x JOIN ops y ON x.op <= y.op WHERE abs(x.s + y.s) > 1e-9)
+SELECT s_suppkey, a AS first, b AS second FROM supplier JOIN c ON abs(s_acctbal / 100 - c.s) <= 0.050303
+""")
+def g6(t):
+    ops = t("nation").select(F.col("n_nationkey").alias("op"), ((F.col("n_nationkey") - 12) * F.lit(3.7)).alias("s"))
+    q = t("supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("d"))
+    return G.chains(q, ops, "s_suppkey", "d", "op", "s", 0.0503).select("s_suppkey", "first", "second")
+
+
+@query("g7_generated_products", """
+WITH p AS (SELECT l_partkey AS analog, l_suppkey AS op, l_discount AS sim, l_linenumber AS rank FROM lineitem), k AS (SELECT (analog * 31 + op) % 1000 AS product, sim, rank, op FROM p)
+SELECT product, max(sim) AS best_sim, min(rank) AS best_rank, count(DISTINCT op) AS n_ops, count(*) AS support FROM k GROUP BY 1
+""")
+def g7(t):
+    """Products of operations on analogs, folded by their key."""
+    k = t("lineitem").select(((F.col("l_partkey") * 31 + F.col("l_suppkey")) % 1000).alias("product"), "l_discount", "l_linenumber", "l_suppkey")
+    return k.groupBy("product").agg(F.max("l_discount").alias("best_sim"), F.min("l_linenumber").alias("best_rank"), F.countDistinct("l_suppkey").alias("n_ops"), F.count("*").alias("support"))
+
+
+@query("g9_explained_share", """
+WITH p AS (SELECT o_custkey AS q, o_totalprice AS v, o_orderkey FROM orders), m AS (SELECT o_custkey AS q, o_totalprice + 1000 AS m FROM orders WHERE o_orderstatus = 'O'),
+h AS (SELECT q, v, EXISTS (SELECT 1 FROM m WHERE m.q = p.q AND abs(m.m - p.v) <= 2500) AS hit FROM p) SELECT q, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS share_peaks, round(sum(CASE WHEN hit THEN v ELSE 0 END) / sum(v), 6) AS share_intensity FROM h GROUP BY 1
+""")
+def g9(t):
+    p = t("orders").select(F.col("o_custkey").alias("q"), F.col("o_totalprice").alias("v"))
+    m = t("orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("q"), (F.col("o_totalprice") + 1000).alias("m"))
+    got = G.explained_share(p, m, "q", "v", "v", "m", 2500.0)
+    return got.select("q", F.round("share_peaks", 6).alias("share_peaks"), F.round("share_intensity", 6).alias("share_intensity"))

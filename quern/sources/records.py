@@ -105,23 +105,24 @@ def read_dumps(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 HEAD = np.dtype([("precursor", "<f4"), ("mol", "<i4"), ("off", "<i4"), ("n", "<i4"), ("tag", "<i4")])
 
 
-def read_heads(spark: SparkSession, path: str) -> DataFrame:
-    """Fixed-width 20-byte headers of binary files, with category and instrument decoded from the tag (null: unknown).
-
-    Files are read whole by one task each, as offsets count from their start.
-    """
+def decode_heads(files: DataFrame, column: str = "content") -> DataFrame:
+    """20-byte headers of a binary column, with category and instrument decoded from the tag (null: unknown)."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for data in pdf["content"]:
+            for data in pdf[column]:
                 a = np.frombuffer(data, HEAD, len(data) // HEAD.itemsize)
                 low, high = a["tag"] % 16, a["tag"] // 16
-                odd = low == 15
-                kind = np.where(odd, high + 1, high)
-                yield pd.DataFrame({"precursor": a["precursor"], "mol": a["mol"], "n": a["n"], "category": pd.array(np.where(kind < 0, 0, kind), "Int32").where(lambda x, k=kind: k >= 0), "instrument": pd.array(low, "Int32").where(lambda x, o=odd: ~o)})
+                odd = low == 15  # an unknown instrument has taken one from the category
+                kind = pd.Series(np.where(odd, high + 1, high), dtype="Int32")
+                yield pd.DataFrame({"precursor": a["precursor"], "mol": a["mol"], "n": a["n"], "category": kind.where(kind >= 0), "instrument": pd.Series(low, dtype="Int32").where(~odd)})
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(decode, "precursor float, mol int, n int, category int, instrument int")
+    return files.select(column).mapInPandas(decode, "precursor float, mol int, n int, category int, instrument int")
+
+
+def read_heads(spark: SparkSession, path: str) -> DataFrame:
+    """Headers of binary files; a file is read whole by one task, as offsets count from its start."""
+    return decode_heads(spark.read.format("binaryFile").load(path))
 
 
 def pack_heads(rows: list[tuple[float, int, int, int, int | None, int | None]]) -> bytes:
