@@ -2,6 +2,7 @@
 
 import math
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -226,7 +227,9 @@ def test_stream_and_batch_agree(spark, tmp_path, width):
 
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     batch = {(r.start, r.event_type): r.n for r in windowed(events, width).collect()}
-    stream = event_stream(spark, "/root/testdata/sf0.001/events.parquet", events.schema)
+    (tmp_path / "in").mkdir()
+    shutil.copy("/root/testdata/sf0.001/events.parquet", tmp_path / "in")
+    stream = event_stream(spark, str(tmp_path / "in"), events.schema)
     name = f"out_{width.replace(' ', '_')}"
     got = {(r.start, r.event_type): r.n for r in run_to_table(windowed(stream, width), name, "complete", str(tmp_path / "c")).collect()}
     assert got == batch
