@@ -146,33 +146,49 @@ class FMIndex:
 
 
 def repeated_windows(texts: list[np.ndarray], owner: np.ndarray, least: int) -> list[int]:
-    """For each text the bit set of its windows (bit: first word) that also stand in a text of a smaller owner."""
+    """For each text the bit set of its windows (bit: first word) that also stand in a text of a smaller owner.
+
+    A search that breaks off after s words tells that no window with those s + 1 words can match, so the next one tried
+    starts behind them. A window that matches is grown to the longest match from its first word on, by halving.
+    """
     index = FMIndex(texts, owner)
     lengths = np.array([len(t) for t in texts], np.int64)
     starts = np.cumsum(lengths) - lengths
     flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
     found = [0] * len(texts)
-    rows, end = np.arange(len(texts)), lengths.copy()  # the match to grow ends before `end`
-    alive = end >= least
-    while alive.any():
-        rows, end = rows[alive], end[alive]
+
+    def matched(rows: np.ndarray, end: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """How many words before `end`, at most `want`, stand in a smaller owner's text."""
         low, high = np.zeros(len(rows), np.int64), np.full(len(rows), index.size, np.int64)
         length = np.zeros(len(rows), np.int64)
-        going = np.arange(len(rows))
+        at, own, going = starts[rows] + end - 1, owner[rows], np.arange(len(rows))
         while len(going):
-            going = going[length[going] < end[going]]
-            c = flat[starts[rows[going]] + end[going] - length[going] - 1]
-            a, b = index.extend(c, low[going], high[going])
-            smaller = index.least_owner(a, b) < owner[rows[going]]
+            a, b = index.extend(flat[at[going] - length[going]], low[going], high[going])
+            smaller = index.least_owner(a, b) < own[going]
             going, a, b = going[smaller], a[smaller], b[smaller]
             low[going], high[going] = a, b
             length[going] += 1
-        for k in np.flatnonzero(length >= least).tolist():
-            a, b = int(end[k] - length[k]), int(end[k]) - least
-            found[int(rows[k])] |= (1 << (b + 1)) - (1 << a)
-        # the whole rest matched: nothing is left of it
-        alive = (length < end) & (end - 1 >= least)
-        end = end - 1
+            going = going[length[going] < want[going]]
+        return length
+
+    rows = np.flatnonzero(lengths >= least)
+    # the window tried starts at `low`; `good` is the end of its longest match known (0: none yet), `bad` of one that fails
+    low, good, bad = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), lengths[rows] + 1
+    while len(rows):
+        size = lengths[rows]
+        end = np.where(good == 0, low + least, np.where(bad > size, size, (good + bad) // 2))
+        s = matched(rows, end, end - low)
+        whole, fresh = s == end - low, good == 0
+        low = np.where(fresh & ~whole, end - s, low)
+        good = np.where(whole, end, good)
+        bad = np.where(~whole & ~fresh, end, bad)
+        done = (good > 0) & ((good == size) | (bad - good <= 1))
+        for k in np.flatnonzero(done).tolist():
+            found[int(rows[k])] |= (1 << (int(good[k]) - least + 1)) - (1 << int(low[k]))
+        low = np.where(done, good - least + 1, low)
+        good, bad = np.where(done, 0, good), np.where(done, size + 1, bad)
+        going = low + least <= size
+        rows, low, good, bad = rows[going], low[going], good[going], bad[going]
     return found
 
 
