@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from quern.storage import materialize, shared_dir  # noqa: F401  operators take them from here
 
 #: Bytes that an operator may broadcast. Beyond it each operator works in blocks or by a join.
 BROADCAST_BYTES = 32 << 20
@@ -54,27 +53,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which the driver and all executors see.
-
-    Where the session names none, a local session gets a temporary folder; a cluster without the setting is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="quern-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that are no longer used, which it does when their handles are collected."""
     gc.collect()
@@ -91,11 +69,6 @@ def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(f, schema)
 
 
-def long_id(df: DataFrame, name: str, alias: str):
-    """The id column as long."""
-    return F.col(name).cast("long").alias(alias)
-
-
 def utf8(column: pa.Array) -> list[bytes | None]:
     """A string column as bytes, without decoding."""
     return column.cast(pa.binary()).to_pylist()

@@ -75,7 +75,7 @@ def fit_model(texts: list[str], labels: np.ndarray, prior: float | None = None,
         counts[int(label)][features(t)] += 1
     p, q = (counts[1] + 0.5) / (n1 + 1), (counts[0] + 0.5) / (n0 + 1)
     ratio = np.log(p / q)
-    spread = np.sqrt(1 / (counts[1] + 0.5) + 1 / (counts[0] + 0.5))
+    spread = np.sqrt(1 / (counts[1] + 1) + 1 / (counts[0] + 1))
     keep = (counts.max(axis=0) >= least_docs) & (np.abs(ratio) >= least_z * spread)
     column = np.cumsum(keep) - 1
     rows = [column[features(t, keep)] for t in texts]
