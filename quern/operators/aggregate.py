@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.storage import materialize
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column], keep: list[str]) -> DataFrame:
     """One row per key, the first in a total order, without a window: a struct minimum combines before the shuffle."""
@@ -50,15 +52,16 @@ def smoothed_log_prior(df: DataFrame, category: str, hit: str, alpha: float) ->
 
 
 def surrogate_ids(df: DataFrame, key: str, name: str = "uid") -> DataFrame:
-    """A dense id from 0 for each distinct key in ascending order: counts per range of keys, then ids within each range."""
-    keys = df.select(key).distinct().repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    """A dense id from 0 for each distinct key in ascending order: counts per range of keys, then ids within each range.
+
+    Ranges come from a sample and would differ from run to run, so rows are written with theirs before they are counted.
+    """
+    keys = materialize(df.select(key).distinct().repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = {r._part: r["count"] for r in keys.groupBy("_part").count().collect()}  # as many rows as partitions
     start, held = 0, {}
     for part in sorted(sizes):
         held[part] = start
         start += sizes[part]
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
     offset = F.create_map(*[F.lit(x) for k, v in (held or {0: 0}).items() for x in (k, v)])
     return keys.withColumn(name, (n + offset[F.col("_part")]).cast("long")).select(key, name)

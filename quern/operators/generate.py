@@ -39,6 +39,23 @@ def compositions(targets: DataFrame, key: str, mass: str, units: dict[str, float
     return rows.select(key, *names)
 
 
+def sub_compositions(rows: DataFrame, key: str, counts: dict[str, str], units: dict[str, float], mass: str, tol: float) -> DataFrame:
+    """How many sub-multisets of a row's units weigh `mass` within tol: key, n. counts: unit -> column of its number.
+
+    The units before the last are exploded up to the row's own counts; for the last the fitting numbers follow by division.
+    """
+    names = list(units)
+    df = rows.select(key, F.col(mass).alias("_left"), *[F.col(c).alias(f"_n_{u}") for u, c in counts.items()])
+    for u in names[:-1]:
+        df = df.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col(f"_n_{u}").cast("int")))).withColumn("_left", F.col("_left") - F.col("_k") * F.lit(units[u]))
+        df = df.where(F.col("_left") >= -tol)
+    u = names[-1]
+    low = F.greatest(F.ceil((F.col("_left") - tol) / units[u]), F.lit(0).cast("long"))
+    high = F.least(F.floor((F.col("_left") + tol) / units[u]), F.col(f"_n_{u}").cast("long"))
+    found = df.groupBy(key).agg(F.sum(F.greatest(high - low + 1, F.lit(0).cast("long"))).alias("n"))
+    return rows.select(key).join(found, key, "left").select(key, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 def log_posterior(df: DataFrame, query: str, source: str, candidate: str, weight: str, temperature: float) -> DataFrame:
     """Candidates of several sources as one distribution per query: log-softmax of log(weight summed over sources) / T."""
     per = df.groupBy(query, candidate).agg(F.sum(weight).alias("_w"), F.countDistinct(source).alias("n_sources")).where("_w > 0")

@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.rank import log_sum_exp
+from quern.operators.rank import log_sum_exp, sorted_positions
 
 
 def hash_fold(key: Column, folds: int, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("long")
 
 
-def interleaved_fold(order: list[str], folds: int) -> Column:
-    """Position in a total order, modulo folds; for tables of queries, as one task sorts them."""
-    return ((F.row_number().over(Window.orderBy(*order)) - 1) % folds).cast("long")
+def interleaved_fold(df: DataFrame, key: str, folds: int) -> DataFrame:
+    """key and fold, its position in the sorted table modulo folds."""
+    return sorted_positions(df, [key], [key]).select(key, ((F.col("n") - 1) % folds).cast("long").alias("fold"))
 
 
 def conditional_logit(df: DataFrame, query: str, truth: str, features: list[str], steps: int = 60, rate: float = 0.1, l2: float = 1e-3) -> dict[str, float]:
@@ -54,6 +56,44 @@ def lambda_gradients(df: DataFrame, query: str, item: str, score: str, truth: st
     return pairs.select(query, item, F.when(F.col(truth), total).otherwise(-F.col("_rho")).alias("gradient"))
 
 
+def parse_trees(text: str) -> list[list[tuple[int, float, int, int, float]]]:
+    """Trees of a text model: a line "tree", then nodes "feature threshold left right value"; a leaf has feature -1."""
+    trees: list[list[tuple[int, float, int, int, float]]] = []
+    for line in text.splitlines():
+        if line.strip() == "tree":
+            trees.append([])
+        elif line.strip():
+            f, t, a, b, v = line.split()
+            trees[-1].append((int(f), float(t), int(a), int(b), float(v)))
+    return trees
+
+
+def tree_scores(df: DataFrame, features: list[str], model: str, name: str = "score") -> DataFrame:
+    """df with the sum of its trees' leaves; a feature up to the threshold goes left, a null counts as minus infinity.
+
+    Whole batches walk a tree level by level; the model is of the size of its text.
+    """
+    sent = df.sparkSession.sparkContext.broadcast([np.array(t, float) for t in parse_trees(model)])
+
+    @F.pandas_udf("double")
+    def score(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.astype(float).fillna(-np.inf).to_numpy() for c in columns])
+        total, rows = np.zeros(len(x)), np.arange(len(x))
+        for tree in sent.value:
+            at = np.zeros(len(x), int)
+            while True:
+                f = tree[at, 0].astype(int)
+                inner = f >= 0
+                if not inner.any():
+                    break
+                left = x[rows, np.maximum(f, 0)] <= tree[at, 1]
+                at = np.where(inner, np.where(left, tree[at, 2], tree[at, 3]).astype(int), at)
+            total += tree[at, 4]
+        return pd.Series(total)
+
+    return df.withColumn(name, score(*features))
+
+
 def coordinate_descent(start: dict[str, float], grids: dict[str, list[float]], score: Callable[[dict[str, float]], tuple[float, float]], rounds: int = 3) -> dict[str, float]:
     """One parameter at a time over its grid; a move counts only if it lifts both halves' scores."""
     best, held = dict(start), score(start)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.storage import materialize
+
 
 def zscore(x: Column, group: list[str], eps: float = 1e-6) -> Column:
     """(x - mean) / (population deviation + eps) within the group."""
@@ -33,6 +35,19 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: st
     return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
+def sorted_positions(df: DataFrame, keep: list[str], order: list[str], name: str = "n") -> DataFrame:
+    """Position from 1 in a full sort by `order`: a range partition, positions within its parts, and the parts' sizes.
+
+    Ranges come from a sample, so rows are written with their part before parts are counted.
+    """
+    columns = list(dict.fromkeys([*keep, *order]))
+    parts = materialize(df.select(*columns).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("_part").count()  # as many rows as partitions
+    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    n = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_n", n).join(F.broadcast(before), "_part").select(*keep, (F.col("_n") + F.col("_before")).alias(name))
+
+
 def slot_rerank(df: DataFrame, query: str, position: str, group: str, score: str) -> DataFrame:
     """Members of a group of a query trade places among the group's own positions, best score first; a null group stays.
 

@@ -275,7 +275,7 @@ def x9(t):
 
 @query("l2_interleaved_folds", "SELECT c_custkey, (row_number() OVER (ORDER BY c_custkey) - 1) % 5 AS fold FROM customer")
 def l2(t):
-    return t("customer").select("c_custkey", learn.interleaved_fold(["c_custkey"], 5).alias("fold"))
+    return learn.interleaved_fold(t("customer"), "c_custkey", 5)
 
 
 @query("l5_hash_folds")
@@ -305,6 +305,28 @@ def l1(t):
     return t("region").sparkSession.createDataFrame([(k, v) for k, v in fit.items()], "feature string, weight double")
 
 
+TREES = """tree
+0 25 1 2 0
+-1 0 0 0 0.5
+1 0.05 3 4 0
+-1 0 0 0 -1
+-1 0 0 0 2
+tree
+1 0.02 1 2 0
+-1 0 0 0 0.25
+-1 0 0 0 -0.125
+"""
+
+
+@query("l4_tree_scores", """
+SELECT l_returnflag, round(sum(CASE WHEN l_quantity <= 25 THEN 0.5 WHEN l_discount <= 0.05 THEN -1 ELSE 2 END + CASE WHEN l_discount <= 0.02 THEN 0.25 ELSE -0.125 END), 4) AS total FROM lineitem GROUP BY 1
+""".replace("0.05 THEN", "CAST(0.05 AS DOUBLE) THEN").replace("0.02 THEN", "CAST(0.02 AS DOUBLE) THEN").replace("sum(", "sum(CAST(").replace("-0.125 END)", "-0.125 END AS DOUBLE))"))
+def l4(t):
+    """Scores of a tree ensemble given as text."""
+    scored = learn.tree_scores(t("lineitem").select("l_returnflag", "l_quantity", "l_discount"), ["l_quantity", "l_discount"], TREES)
+    return scored.groupBy("l_returnflag").agg(F.round(F.sum("score"), 4).alias("total"))
+
+
 @query("l3_lambda_gradients", """
 WITH r AS (SELECT l_orderkey AS q, l_partkey * 1000 + l_linenumber AS c, l_discount AS s, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey, l_linenumber, l_extendedprice) = 1 AS truth, l_extendedprice FROM lineitem),
 d AS (SELECT q, c, max(s) AS s, bool_or(truth) AS truth FROM r GROUP BY 1, 2),

@@ -105,11 +105,8 @@ def w11(t):
 
 @query("t1_two_key_sort", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders")
 def t1(t):
-    """Positions in a full sort by two keys: a range partition, sorted parts, and the parts' counts."""
-    ordered = t("orders").select("o_orderkey", "o_orderdate").repartitionByRange("o_orderdate", "o_orderkey").withColumn("part", F.spark_partition_id())
-    sizes = ordered.groupBy("part").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = F.row_number().over(Window.partitionBy("part").orderBy("o_orderdate", "o_orderkey"))
-    return ordered.withColumn("k", n).join(F.broadcast(sizes), "part").select("o_orderkey", (F.col("k") + F.col("before")).alias("n"))
+    """Positions in a full sort by two keys."""
+    return R.sorted_positions(t("orders"), ["o_orderkey"], ["o_orderdate", "o_orderkey"])
 
 
 @query("t2_topk_skip_empty", """

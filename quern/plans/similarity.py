@@ -360,6 +360,16 @@ def g4(t):
     return G.log_posterior(rows, "q", "o_orderstatus", "c", "o_totalprice", 0.5).withColumn("log_p", F.round("log_p", 5))
 
 
+@query("g5_sub_compositions", """
+WITH x AS (SELECT p_partkey, p_size // 10 AS c, p_size % 10 AS h, p_size / 2 AS m FROM part)
+SELECT p_partkey, (SELECT count(*) FROM range(0, 7) a, range(0, 11) b WHERE a.range <= c AND b.range <= h AND abs(m - a.range * 12 - b.range * CAST(1.00783 AS DOUBLE)) <= CAST(0.8 AS DOUBLE)) AS n FROM x
+""")
+def g5(t):
+    """How many sub-formulas of a formula have a given mass."""
+    rows = t("part").select("p_partkey", F.floor(F.col("p_size") / 10).alias("c"), (F.col("p_size") % 10).alias("h"), (F.col("p_size") / 2).alias("m"))
+    return G.sub_compositions(rows, "p_partkey", {"c": "c", "h": "h"}, {"c": 12.0, "h": 1.00783}, "m", 0.8)
+
+
 @query("g6_operation_chains", """
 WITH ops AS (SELECT n_nationkey AS op, (n_nationkey - 12) * CAST(3.7 AS DOUBLE) AS s FROM nation), c AS (SELECT op AS a, NULL AS b, s FROM ops UNION ALL SELECT x.op, y.op, x.s + y.s FROM ops x JOIN ops y ON x.op <= y.op WHERE abs(x.s + y.s) > 1e-9)
 SELECT s_suppkey, a AS first, b AS second FROM supplier JOIN c ON abs(s_acctbal / 100 - c.s) <= 0.050303

@@ -134,6 +134,17 @@ def s17(t):
     return df.sparkSession.read.schema("event_id long, p string").json(path).select("event_id", F.from_json("p", "k long").k.alias("k"))
 
 
+@query("s18_file_discovery", "SELECT 3 AS n_files, CAST(sum(n) AS BIGINT) AS n_rows FROM (SELECT count(*) AS n FROM nation UNION ALL SELECT count(*) FROM region UNION ALL SELECT count(*) FROM region)")
+def s18(t):
+    """Files of one name at several depths, found by bounded patterns and read as one table."""
+    spark = t("region").sparkSession
+    root = shared_dir(spark)
+    for folder, table in (("a", "nation"), ("b/c", "region"), ("d/e/f", "region")):
+        t(table).select(F.lit(table).alias("name")).coalesce(1).write.csv(f"{root}/{folder}")
+    files = S.find_files(spark, root, "part-*.csv", 3)
+    return files.agg(F.count("*").cast("int").alias("n_files"), F.lit(spark.read.csv([r.path for r in files.select("path").collect()]).count()).cast("long").alias("n_rows"))
+
+
 @query("s19_folder_digest")
 def s19(t):
     """The digest of a folder does not depend on which task wrote or read what."""

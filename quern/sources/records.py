@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +28,23 @@ def write_parquet(df: DataFrame, path: str, like: T.StructType | None = None, so
     df.write.mode("overwrite").parquet(path)
 
 
+def bounded_globs(root: str, name: str, depth: int = 4) -> list[str]:
+    """Path patterns for files of a name at most `depth` folders below root; Spark's readers expand them, whatever the store."""
+    return [f"{root.rstrip('/')}/{'*/' * k}{name}" for k in range(depth + 1)]
+
+
+def find_files(spark: SparkSession, root: str, name: str, depth: int = 4) -> DataFrame:
+    """path and length of the files that bounded_globs finds, contents unread; none found: an empty table."""
+    out = None
+    for pattern in bounded_globs(root, name, depth):
+        try:
+            df = spark.read.format("binaryFile").load(pattern).select("path", "length")
+        except AnalysisException:  # no file at this depth
+            continue
+        out = df if out is None else out.unionAll(df)
+    return spark.createDataFrame([], "path string, length long") if out is None else out
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with number, their place from 0 over all files in the order of their paths.
 
