@@ -1 +1 @@
-"""Package of the engine."""
+"""Operators: functions from DataFrames to a DataFrame, with column names as parameters."""

@@ -64,17 +64,17 @@ def j16(t):
 
 
 @query("j17_best_posting_retrieval", """
-WITH v AS (SELECT vec_id, label, unnest(embedding[1:8]) AS y, generate_subscripts(embedding[1:8], 1) AS d FROM embeddings), b AS (SELECT *, CAST(floor(CAST(y AS DOUBLE) / 0.05) AS BIGINT) AS bin FROM v),
-p AS (SELECT q.vec_id AS q, l.label AS lib, q.d, max(1 - abs(CAST(q.y AS DOUBLE) - CAST(l.y AS DOUBLE)) / 0.05) AS s FROM b q JOIN b l ON q.d = l.d AND abs(q.bin - l.bin) <= 1 AND abs(CAST(q.y AS DOUBLE) - CAST(l.y AS DOUBLE)) <= 0.05 AND q.vec_id <> l.vec_id WHERE q.vec_id % 100 = 0 GROUP BY 1, 2, 3),
+WITH b AS (SELECT vec_id, label, y, d, CAST(floor(y / 0.02) AS BIGINT) AS bin FROM (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS y, generate_subscripts(embedding, 1) AS d FROM embeddings)),
+p AS (SELECT q.vec_id AS q, l.label AS lib, q.d, max(1 - abs(q.y - l.y) / 0.02) AS s FROM b q JOIN b l ON q.d = l.d AND abs(q.bin - l.bin) <= 1 AND abs(q.y - l.y) <= 0.02 AND q.vec_id <> l.vec_id GROUP BY 1, 2, 3),
 s AS (SELECT q, lib, round(sum(s), 6) AS score FROM p GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, lib) AS rank FROM s)
 SELECT q, lib, rank FROM r WHERE rank <= 3
-""")
+""".replace("0.02", "CAST(0.02 AS DOUBLE)"))
 def j17(t):
     """Retrieval over bins and their neighbours: each query component counts its best posting per library entry once."""
-    v = t("embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 8)).alias("d", "y")).withColumn("y", F.col("y").cast("double")).withColumn("bin", F.floor(F.col("y") / 0.05))
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), "d", F.col("y").alias("qy"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    near = q.join(v.select("vec_id", F.col("label").alias("lib"), "d", "y", "bin"), ["d", "bin"]).where((F.abs(F.col("qy") - F.col("y")) <= 0.05) & (F.col("q") != F.col("vec_id")))
-    best = near.groupBy("q", "lib", "d").agg(F.max(1 - F.abs(F.col("qy") - F.col("y")) / 0.05).alias("s"))
+    v = t("embeddings").select("vec_id", "label", F.posexplode("embedding").alias("d", "y")).withColumn("y", F.col("y").cast("double")).withColumn("bin", F.floor(F.col("y") / 0.02))
+    q = v.select(F.col("vec_id").alias("q"), "d", F.col("y").alias("qy"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    near = q.join(v.select("vec_id", F.col("label").alias("lib"), "d", "y", "bin"), ["d", "bin"]).where((F.abs(F.col("qy") - F.col("y")) <= 0.02) & (F.col("q") != F.col("vec_id")))
+    best = near.groupBy("q", "lib", "d").agg(F.max(1 - F.abs(F.col("qy") - F.col("y")) / 0.02).alias("s"))
     return R.top_k(best.groupBy("q", "lib").agg(F.round(F.sum("s"), 6).alias("score")), ["q"], [F.col("score").desc(), F.col("lib")], 3).select("q", "lib", "rank")
 
 
