@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def truth_standing(df: DataFrame, query: str, score: str, truth: str) -> DataFrame:
     """Per query: n, better (scores over the truth's), tied (others that equal it); null counts where no truth is among them.
 
-    One aggregation: scores of a query are counted by value, then compared with the truth's.
+    The truth's score is a window over the query, which the aggregation's partitioning then serves: one scan, one shuffle.
     """
-    own = df.where(F.col(truth)).groupBy(query).agg(F.max(score).alias("_t"))
-    sizes = df.groupBy(query).agg(F.count("*").alias("n"))
-    counted = df.join(own, query).groupBy(query).agg(F.count_if(F.col(score) > F.col("_t")).alias("better"), (F.count_if(F.col(score) == F.col("_t")) - 1).alias("tied"))
-    return sizes.join(counted, query, "left")
+    rows = df.withColumn("_t", F.max(F.when(F.col(truth), F.col(score))).over(Window.partitionBy(query)))
+    known = F.max("_t").isNotNull()
+    return rows.groupBy(query).agg(
+        F.count("*").alias("n"),
+        F.when(known, F.count_if(F.col(score) > F.col("_t"))).alias("better"),
+        F.when(known, F.count_if(F.col(score) == F.col("_t")) - 1).alias("tied"),
+    )
 
 
 def mean_reciprocal_rank(standing: DataFrame, k: int, ties: str) -> DataFrame:
