@@ -318,8 +318,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     held = materialize(map_batches(rows, _scan(least), "id long, key long, n_words long, sha256 string, anchors array<struct<g:long,c:long,at:long>>"), "anchors")
     places = held.select("id", "key", F.explode("anchors").alias("a")).select("id", "key", "a.*")
-    # the anchors that stand in two documents, and every place of theirs
-    twice = places.groupBy("g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("g")
+    # the anchors that stand in two documents, and every place of theirs; written first, so that Spark can split a common anchor in the join
+    twice = materialize(places.groupBy("g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("g"), "twice")
     again = materialize(places.join(twice, "g", "left_semi"), "places")
     ones = again.groupBy("g", "c").agg(F.min(F.struct("id", "key", "at")).alias("m")).select("g", "c", "m.*")
     ones = materialize(ones, "contexts")
@@ -341,7 +341,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialize(found.unionAll(hot), "found")
     release(spark)
     # a context's least document loses what smaller ones hold elsewhere, all others lose the whole context
-    known = ones.select("g", "c", F.col("id").alias("m")).join(found, ["g", "c"], "left")
+    known = materialize(ones.select("g", "c", F.col("id").alias("m")).join(found, ["g", "c"], "left"), "known")
     every = F.expr("shiftleft(1L, cast(pmod(at, 64) as int)) - 1L")
     bits = F.when(F.col("id") > F.col("m"), every).otherwise(F.coalesce("bits", F.lit(0).cast("long")))
     lost = again.join(known, ["g", "c"]).select("id", "key", "at", bits.alias("bits")).where("bits <> 0")
