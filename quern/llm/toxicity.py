@@ -77,20 +77,21 @@ def fit_model(texts: list[str], labels: np.ndarray, prior: float | None = None,
     ratio = np.log(p / q)
     spread = np.sqrt(1 / (counts[1] + 1) + 1 / (counts[0] + 1))
     keep = (counts.max(axis=0) >= least_docs) & (np.abs(ratio) >= least_z * spread)
-    column = np.cumsum(keep) - 1
+    column = (np.cumsum(keep) - 1).astype(np.int32)
     rows = [column[features(t, keep)] for t in texts]
-    at, cols = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows)
-    r = ratio[keep]
+    at, cols = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
+    n_rows, rows = len(rows), None
+    r = ratio[keep].astype(np.float32)
     weight = np.where(y == 1, prior / n1, (1 - prior) / n0) * len(y)
-    w, b, scale = np.zeros(len(r)), float(np.log(prior / (1 - prior))), r[cols]
+    w, b, scale = np.zeros(len(r), np.float32), float(np.log(prior / (1 - prior))), r[cols]
     # Nesterov's method on the log loss; the step follows the largest row, so it can't diverge.
-    norm = np.bincount(at, scale * scale, len(rows))
+    norm = np.bincount(at, scale * scale, n_rows)
     step = 1 / (0.25 * float((weight * (norm + 1)).max()) + l2) if len(cols) else 0.0
     step = max(step, 4.0 / (0.25 * float((weight * (norm + 1)).sum()) + l2))
     wv, bv = w.copy(), b
     loss_before = np.inf
     for k in range(steps):
-        z = np.bincount(at, scale * wv[cols], len(rows)) + bv
+        z = np.bincount(at, scale * wv[cols], n_rows) + bv
         g = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
         loss = float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * l2 * wv @ wv)
         if loss > loss_before * 1.0001:
@@ -98,10 +99,10 @@ def fit_model(texts: list[str], labels: np.ndarray, prior: float | None = None,
             loss_before = np.inf
             continue
         loss_before = loss
-        w_new = wv - step * (np.bincount(cols, scale * g[at], len(r)) + l2 * wv)
+        w_new = (wv - step * (np.bincount(cols, scale * g.astype(np.float32)[at], len(r)) + l2 * wv)).astype(np.float32)
         b_new = bv - step * float(g.sum())
         m = k / (k + 3)
-        wv, bv, w, b = w_new + m * (w_new - w), b_new + m * (b_new - b), w_new, b_new
+        wv, bv, w, b = (w_new + m * (w_new - w)).astype(np.float32), b_new + m * (b_new - b), w_new, b_new
     weights = np.zeros(size)
     weights[keep] = w * r
     return Model(weights, keep, b)
@@ -112,7 +113,7 @@ def is_held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 6000, folds: int = 5, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 4000, folds: int = 5, **options) -> Model:
     """Fit on at most max_rows labelled documents outside the held-out fold; rows with null id, label or text don't count."""
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     rows = rows.where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"), folds))
