@@ -343,18 +343,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked = linked.join(least, "label").select("fp", "label", "component_id")
     # nodes that no link touches answer for themselves
     known = nodes.join(linked, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "least").alias("component_id"))
-    return held.join(known, "fp").select("doc_id", "key", "fp", "label", "component_id")
+    # written first, so that Spark can split a fingerprint that very many documents share in the join
+    return held.join(materialize(known, "known"), "fp").select("doc_id", "key", "fp", "label", "component_id")
 
 
-#: Bits of 128 that fingerprints of five-word shingles may differ by at a similarity of 0.8: the mean is 18, the deviation 4.
-#: Unrelated texts differ by 64, with a deviation of 5.7.
-NEAR_RADIUS, NEAR_RATIO = 24, 0.8
+#: Words of a fingerprint and bits that near duplicates may differ by. Fingerprints of five-word shingles with a similarity of
+#: 0.8 differ by 39 of 256 bits, with a deviation of 6; of 0.7 by 49; those of unrelated texts by 128, with a deviation of 8.
+NEAR_WORDS, NEAR_RADIUS, NEAR_RATIO = 4, 45, 0.8
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = NEAR_RADIUS, words: int = 2, size_ratio: float | None = NEAR_RATIO) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = NEAR_RADIUS, words: int = NEAR_WORDS, size_ratio: float | None = NEAR_RATIO) -> DataFrame:
     """One document of each component, that with the least doc_id, with all its columns; a null id stays only where no other is.
 
-    By default documents are near duplicates from a similarity of about 0.8 of their five-word shingles on: 128-bit
+    By default documents are near duplicates from a similarity of about 0.8 of their five-word shingles on: 256-bit
     fingerprints at most NEAR_RADIUS bits apart, of sizes within NEAR_RATIO.
     """
     groups = simhash_groups(docs, id_col, text_col, width, radius, words, size_ratio)
