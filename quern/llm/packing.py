@@ -117,7 +117,10 @@ def _topped_up(windows: list[list[tuple[int, int, int]]], capacity: int, slack:
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class and lower case of each code point below PLAIN_END; class ODD where a character may act on its neighbours."""
+    """Class and lower case of each code point below PLAIN_END.
+
+    Class ODD: characters that may act on their neighbours, controls, and scripts whose tables still grow between versions.
+    """
     kind, lower = np.full(PLAIN_END + 1, ODD, np.uint8), np.zeros(PLAIN_END + 1, np.uint32)
     for cp in range(PLAIN_END):
         c = chr(cp)
@@ -125,7 +128,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         lower[cp] = ord(low[0])
         joins = group[0] == "M" or 0x1100 <= cp < 0x1200 or cp == 0x3A3 or len(low) > 1 or unicodedata.normalize("NFC", c) != c or unicodedata.normalize("NFC", low) != low
         blank = c in "\t\n\r \xa0"
-        if joins or group[0] in "CZ" and not blank:
+        if joins or group[0] in "CZ" and not blank or 0x250 <= cp < 0x2010 and not (0x391 <= cp <= 0x3C9 or 0x410 <= cp <= 0x44F):
             continue
         kind[cp] = BLANK if blank else LETTER if group[0] == "L" else NUMBER if group[0] == "N" else MARK
     return kind, lower
@@ -202,7 +205,10 @@ class WordEncoder:
         found = self._find(key)
         gone = np.flatnonzero(found < 0)
         if len(gone):
-            self._learn(low, key, first, last, gone)
+            if not self._learn(low, key, first, last, gone):  # never seen; the tokenizer itself decides then
+                for i, e in zip(rows, self.tokenizer.encode_batch_fast([texts[i] for i in rows], add_special_tokens=False), strict=True):
+                    out[i] = np.array(e.ids, "<u4").tobytes()
+                return
             found = self._find(key)
         count, begin = self.length[found], self.start[found]
         stop = np.cumsum(count)
@@ -234,7 +240,8 @@ class WordEncoder:
             wrong = wrong[(place[wrong] >= 0) & (self.keys[place[wrong]] != key[wrong])]
         return place
 
-    def _learn(self, low: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray, gone: np.ndarray) -> None:
+    def _learn(self, low: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray, gone: np.ndarray) -> bool:
+        """Put the new runs into the table; False if the tokenizer cuts them otherwise than expected."""
         new, where = np.unique(key[gone], return_index=True)
         if self.n + len(new) > MOST_RUNS:
             self._reset()
@@ -251,7 +258,7 @@ class WordEncoder:
         ids = np.concatenate(made)
         stop = np.flatnonzero(self.ends[ids]) + 1
         if len(stop) != len(rows):
-            raise RuntimeError("the tokenizer does not cut texts into runs as expected")
+            return False
         n, used = self.n + len(new), self.used + len(ids)
         while len(self.keys) < n:
             self.keys, self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.start, self.length))
@@ -269,6 +276,7 @@ class WordEncoder:
             self.slots[slot[free]] = place[free]
             lost = self.slots[slot] != place
             place, slot = place[lost], (slot[lost] + 1) & ((1 << SLOT_BITS) - 1)
+        return True
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
