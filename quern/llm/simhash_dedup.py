@@ -8,6 +8,9 @@ it, prunes branches by the triangle inequality, and emits a spanning forest of t
 A fingerprint may have several 64-bit words. For a radius far beyond the spread of distances between unrelated texts (4
 bits of 64, 5.7 of 128) no vantage point can prune; then `size_ratio` deals nodes by their number of shingles instead,
 as texts of a high similarity have like sizes: a node meets its own band of sizes and the one below.
+
+With `similarity` fingerprints only find candidates: nodes are then sets of distinct shingles, families are what a wide
+radius connects, and a link counts only if the exact Jaccard similarity of its two sets reaches the bound.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ SAMPLE, SHARD_NODES, LEAST_LEVELS = 4096, 1 << 18, 4
 LEAF, BAND_NODES = 24, 1 << 15
 #: Seeds of the words of a fingerprint.
 SEEDS = (42, 0x5EED, 0xC0DE, 0xFACE)
+#: Nodes and shingles of a block of a family; larger families are verified by pairs of blocks.
+FAMILY_NODES, FAMILY_SHINGLES = 1 << 12, 1 << 22
 #: Links that a shard holds before it reduces them to a spanning forest.
 PAIRS = 1 << 20
 
@@ -61,29 +66,38 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
     return simhash(shingle_hashes((text or b"").translate(LOWER_BYTES).split(), width))
 
 
-def long_fingerprint(text: bytes | None, width: int, words: int) -> tuple[bytes, int]:
-    """(a fingerprint of several 64-bit words, number of shingles); the words after the first mix the hashes with a seed."""
-    h = shingle_hashes((text or b"").translate(LOWER_BYTES).split(), width)
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """Sorted hashes of a text's distinct shingles."""
+    return np.unique(shingle_hashes((text or b"").translate(LOWER_BYTES).split(), width))
+
+
+def long_simhash(h: np.ndarray, words: int) -> bytes:
+    """A fingerprint of several 64-bit words; those after the first mix the hashes with a seed."""
     parts = [simhash(h if k == 0 else mixed(h ^ np.uint64(SEEDS[k]))) for k in range(words)]
-    return b"".join(p.to_bytes(8, "little") for p in parts), len(h)
+    return b"".join(p.to_bytes(8, "little") for p in parts)
 
 
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, words: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, words: int = 1, sets: bool = False) -> DataFrame:
     """doc_id, key (a hash of the text), fp (a signed long), code (all words of the fingerprint), size (shingles) of every row.
 
-    fp is the fingerprint where it has one word, else a hash of it. A null text counts as empty and gives 0 bits alone.
+    fp is the fingerprint where it has one word, else a hash of it. With `sets` repeated shingles count once, and fp is a
+    hash of the set, so that rows of one fp have the same shingles. A null text counts as empty and gives 0 bits alone.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [long_fingerprint(t, width, words) for t in utf8(b.column(2))]
-            ids = np.array([int.from_bytes(c, "little") if words == 1 else xxhash.xxh64_intdigest(c) for c, _ in made], np.uint64)
+            made, ids = [], np.zeros(b.num_rows, np.uint64)
+            for i, t in enumerate(utf8(b.column(2))):
+                h = shingle_set(t, width) if sets else shingle_hashes((t or b"").translate(LOWER_BYTES).split(), width)
+                c = long_simhash(h, words)
+                ids[i] = xxhash.xxh64_intdigest(h.tobytes()) if sets else int.from_bytes(c, "little") if words == 1 else xxhash.xxh64_intdigest(c)
+                made.append((c, len(h)))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(ids.view(np.int64)), pa.array([c for c, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64())], ["doc_id", "key", "fp", "code", "size"])
 
     return map_batches(rows, run, "doc_id long, key long, fp long, code binary, size long")
@@ -327,17 +341,117 @@ def link_nodes(nodes: DataFrame, radius: int = 4, words: int = 1, size_ratio: fl
     return map_batches(held, link, "u long, v long", 1 << 13)
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, words: int = 1, size_ratio: float | None = None) -> DataFrame:
+def similar_pairs(sets: list[np.ndarray], fps: np.ndarray, blocks: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets that connect what all pairs of at least the Jaccard similarity connect, within one block or between two.
+
+    Fingerprints further apart than the radius are passed over. A pair that others connect already is not compared.
+    """
+    sizes = np.array([len(x) for x in sets])
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found = []
+    low = np.flatnonzero(blocks == blocks.min())
+    high = np.flatnonzero(blocks != blocks.min())
+    one = not len(high)
+    if one:
+        high = low
+    step = max(1, (1 << 17) // len(high))
+    for a in range(0, len(low), step):
+        rows = low[a : a + step]
+        d = distance(fps[rows][:, None, :], fps[high][None, :, :])
+        total = sizes[rows][:, None] + sizes[high][None, :]
+        near = (d <= radius) & (np.minimum(sizes[rows][:, None], sizes[high][None, :]) * (1 + similarity) >= similarity * total - 1e-9)
+        if one:
+            near &= rows[:, None] < high[None, :]
+        i, j = np.nonzero(near)
+        labels = np.array([root(x) for x in range(len(sets))])
+        apart = labels[rows[i]] != labels[high[j]]
+        i, j = i[apart], j[apart]
+        for k in np.argsort(d[i, j], kind="stable").tolist():
+            x, y = int(rows[i[k]]), int(high[j[k]])
+            p, q = root(x), root(y)
+            if p == q:
+                continue
+            both = np.concatenate([sets[x], sets[y]])
+            both.sort()
+            shared = int((both[1:] == both[:-1]).sum())
+            if shared * (1 + similarity) >= similarity * len(both) - 1e-9:
+                parent[max(p, q)] = min(p, q)
+                found.append((x, y))
+    return found
+
+
+def verified_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int, radius: int, words: int, similarity: float) -> DataFrame:
+    """Links (u, v) of fp that connect the nodes as all pairs would whose shingle sets have at least the Jaccard similarity.
+
+    Nodes within the radius form families. A family's texts meet in one task, those of a large one in a task for each pair
+    of its blocks, and every link is verified there.
+    """
+    # two different sets, the larger of n shingles, share n - 1 of n at most
+    least = max(1, int(np.ceil(1 / (1 - similarity) - 1e-9)) - 1) if similarity < 1 else 1 << 62
+    # a little below the bound, so that rounding never puts two bands between sizes of this very ratio
+    wide = link_nodes(nodes.where(F.col("size") >= least), radius, words, similarity * (1 - 1e-9))
+    families = components(wide).select(F.col("node").alias("fp"), F.col("label").alias("family"))
+    families = materialize(families.join(nodes, "fp").select("fp", "code", "size", "family", F.col("rep.doc_id").alias("_id"), F.col("rep.key").alias("_key")), "families")
+    counted = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / FAMILY_NODES), F.ceil(F.sum("size") / FAMILY_SHINGLES)).cast("int").alias("parts"))
+    # at most a row for every FAMILY_NODES nodes or FAMILY_SHINGLES shingles
+    large = F.broadcast(counted.where("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    placed = families.join(large, "family", "left").withColumn("block", F.pmod(F.xxhash64("fp"), parts.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    placed = placed.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "code", "_id", "_key")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("_doc"), text_key(text).alias("_text_key"), text.alias("text"))
+    met = texts.join(placed, texts["_doc"].eqNullSafe(placed["_id"]) & (texts["_text_key"] == placed["_key"])).select("family", "low", "high", "block", "fp", "code", "text")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def out() -> pa.RecordBatch:
+            ids = np.array(list(held), np.int64)
+            blocks, fps, sets = zip(*held.values(), strict=True)
+            blocks = np.array(blocks)
+            pairs = []
+            if now[1] == now[2] or len(np.unique(blocks)) == 2:
+                pairs = similar_pairs(list(sets), np.frombuffer(b"".join(fps), "<u8").reshape(-1, words), blocks, radius, similarity)
+            return pa.record_batch([pa.array([ids[x] for x, _ in pairs], pa.int64()), pa.array([ids[y] for _, y in pairs], pa.int64())], ["u", "v"])
+
+        for b in batches:
+            columns = [b.column(k).to_pylist() for k in range(6)]
+            for *place, block, fp, code, t in zip(*columns, utf8(b.column(6)), strict=True):
+                if place != now:
+                    if held:
+                        yield out()
+                    now, held = place, {}
+                if fp not in held:  # rows that repeat an id and a text
+                    held[fp] = (block, code, shingle_set(t, width))
+        if held:
+            yield out()
+
+    keys = ["family", "low", "high"]
+    return map_batches(met.repartition(*keys).sortWithinPartitions(*keys), verify, "u long, v long")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, words: int = 1, similarity: float | None = None) -> DataFrame:
     """One row per document: doc_id, key, fp, label (one fingerprint of its component), component_id (the least doc_id that links reach).
 
-    A null text counts as empty; documents without words have fingerprint 0, which links like any other. A null doc_id
-    takes part but is never a component's id unless all of its ids are null. Repeated rows are all returned. Fingerprints
-    that thousands of rows share are one node. Further columns are not read; an empty table gives an empty one.
+    similarity: links are pairs of at least this Jaccard similarity of their distinct shingles, and fingerprints within the
+    radius only find them. A null text counts as empty; documents without words have fingerprint 0, which links like any
+    other. A null doc_id takes part but is never a component's id unless all of its ids are null. Repeated rows are all
+    returned. Fingerprints that thousands of rows share are one node. Further columns are not read; an empty table gives
+    an empty one.
     """
-    held = materialize(fingerprints(docs, id_col, text_col, width, words), "fingerprints")
+    held = materialize(fingerprints(docs, id_col, text_col, width, words, similarity is not None), "fingerprints")
     # texts of one fingerprint have one size but for rare chances; the larger then stands for both
-    nodes = materialize(held.groupBy("fp", "code").agg(F.min("doc_id").alias("least"), F.max("size").alias("size")), "nodes")
-    labels = materialize(components(link_nodes(nodes, radius, words, size_ratio)), "labels")
+    rep = [] if similarity is None else [F.min(F.struct("doc_id", "key")).alias("rep")]
+    nodes = materialize(held.groupBy("fp", "code").agg(F.min("doc_id").alias("least"), F.max("size").alias("size"), *rep), "nodes")
+    links = link_nodes(nodes, radius, words) if similarity is None else verified_links(docs, nodes, id_col, text_col, width, radius, words, similarity)
+    labels = materialize(components(links), "labels")
     linked = labels.join(nodes, labels.node == nodes.fp).select("fp", "label", "least")
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
     linked = linked.join(least, "label").select("fp", "label", "component_id")
@@ -347,18 +461,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return held.join(materialize(known, "known"), "fp").select("doc_id", "key", "fp", "label", "component_id")
 
 
-#: Words of a fingerprint and bits that near duplicates may differ by. Fingerprints of five-word shingles with a similarity of
-#: 0.8 differ by 39 of 256 bits, with a deviation of 6; of 0.7 by 49; those of unrelated texts by 128, with a deviation of 8.
-NEAR_WORDS, NEAR_RADIUS, NEAR_RATIO = 4, 45, 0.8
+#: Words of a fingerprint, bits that candidates may differ by, and the similarity that a link needs. Fingerprints of sets of
+#: similarity 0.8 differ by 39 of 256 bits, with a deviation of 6 (sets of 4 and 5 shingles: by 48, deviation 6), so 80 bits
+#: lose under one pair in a million; those of unrelated texts differ by 128, with a deviation of 8.
+NEAR_WORDS, NEAR_RADIUS, NEAR_SIMILARITY = 4, 80, 0.8
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = NEAR_RADIUS, words: int = NEAR_WORDS, size_ratio: float | None = NEAR_RATIO) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = NEAR_RADIUS, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """One document of each component, that with the least doc_id, with all its columns; a null id stays only where no other is.
 
-    By default documents are near duplicates from a similarity of about 0.8 of their five-word shingles on: 256-bit
-    fingerprints at most NEAR_RADIUS bits apart, of sizes within NEAR_RATIO.
+    Links join documents of at least the Jaccard similarity of their distinct five-word shingles, verified exactly;
+    256-bit fingerprints at most NEAR_RADIUS bits apart find them.
     """
-    groups = simhash_groups(docs, id_col, text_col, width, radius, words, size_ratio)
+    groups = simhash_groups(docs, id_col, text_col, width, radius, words, similarity)
     first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
     first = first.select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_key"))
     rows = docs.withColumn("_text_key", text_key(F.col(text_col)))

@@ -325,6 +325,56 @@ def test_simhash_edges(spark, docs, none):
     only = spark.createDataFrame([(None, "same text of some words"), (None, "same text of some words")], "doc_id long, text string")
     assert simhash_dedup.drop_near_duplicates(only).count() == 1
 
+def test_near_duplicates_are_those_of_similarity_at_least_0_8(spark):
+    """Pairs of exactly 0.8 and pairs just below, by replaced words and by cut ones; repeated shingles count once."""
+    rnd = random.Random(8)
+    word = lambda: "%x" % rnd.getrandbits(48)
+    rows, linked = [], {}
+
+    def pair(a, b, link):
+        linked[len(rows) + 1] = link
+        rows.extend([(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))])
+
+    for k in [*range(1, 13), 20, 40] * 6:
+        a = [word() for _ in range(9 * k + 4)]
+        pair(a, a[:-k] + [word() for _ in range(k)], True)
+        a = [word() for _ in range(9 * k + 5)]
+        pair(a, a[: -k - 1] + [word() for _ in range(k + 1)], False)
+        a = [word() for _ in range(5 * k + 4)]
+        pair(a, a[:-k], True)
+        a = [word() for _ in range(5 * k + 4)]
+        pair(a, a[: -k - 1], False)
+    a = [word() for _ in range(40)]
+    pair(a, a * 6, True)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for _, t in rows]
+    for b, link in linked.items():
+        exact = len(sets[b] & sets[b - 1]) / len(sets[b] | sets[b - 1])
+        assert (exact >= 0.8 - 1e-12) == link
+    kept = {r.doc_id for r in simhash_dedup.drop_near_duplicates(df).collect()}
+    assert set(range(len(rows))) - kept == {b for b, link in linked.items() if link}
+
+
+def test_large_families_are_verified_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "FAMILY_NODES", 3)
+    rnd = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for d in range(24):
+        words = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            words[rnd.randrange(60)] = f"x{d}_{rnd.randrange(99)}"
+        rows.append((d, " ".join(words)))
+    sets = {d: set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for d, t in rows}
+    label = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                    label[a] = label[b] = min(label[a], label[b])
+    groups = simhash_dedup.simhash_groups(spark.createDataFrame(rows, "doc_id long, text string"), width=5, radius=simhash_dedup.NEAR_RADIUS, words=4, similarity=0.8)
+    assert {r.doc_id: r.component_id for r in groups.collect()} == label and len(set(label.values())) > 2
+
 
 @pytest.mark.parametrize("ratio", [None, 0.8])
 def test_links_equal_all_pairs(spark, ratio):
