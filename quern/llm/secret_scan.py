@@ -1,14 +1,17 @@
 """Secrets in texts: three fixed patterns, then strings that compress badly where secrets are spoken of.
 
-A candidate of the second kind is a long token after a sensitive word. Its novelty is what it adds, in bytes a character,
-to a zstandard frame primed with a dictionary of common identifiers and the text around it. Words, paths and identifiers
-that the surroundings repeat cost little; keys cost nearly their length and are reported.
+A candidate of the second kind is a long token near a sensitive word, before or after it, or any line of a private key
+block. Its novelty is what it adds, in bytes a character, to a zstandard frame primed with a dictionary of common
+identifiers and the text around it. Words, paths and identifiers that the surroundings repeat cost little; keys cost
+nearly their length and are reported. A long word that the frame lacks costs as much as a key, so outside of key blocks
+tokens without digits count only if their letters change case as often as no words or camel humps do.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +31,9 @@ KINDS = ("assign", "access", "hex", "novel")
 
 SENSITIVE = re.compile(r"(?ai:secret|token|passw|pwd|api.?key|auth|bearer|credential|private.?key|access.?key|signature)")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A private key block, up to its end line or, without one, as far as lines of key characters follow.
+BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----|(?:\s*[A-Za-z0-9+/=]+[^\S\n]*(?=\n|\Z))*)")
+BLOCK_LINE = re.compile(r"^[^\S\n]*([A-Za-z0-9+/=]+)[^\S\n]*$", re.MULTILINE)
 
 #: Identifiers that code and prose around credentials use; the frame's dictionary starts with them.
 IDENTIFIERS = (
@@ -56,20 +62,60 @@ def novelty(candidate: str, before: str, after: str, level: int = 3) -> float:
     return max(0, len(c.compress(candidate.encode())) - len(c.compress(b""))) / len(candidate)
 
 
+def wordlike(token: str) -> bool:
+    """No digit, and letters that change case less often than at 3 of 10 places."""
+    letters = [c.isupper() for c in token if c.isalpha()]
+    return not any(map(str.isdigit, token)) and 10 * sum(x != y for x, y in zip(letters, letters[1:], strict=False)) < 3 * len(letters)
+
+
+def candidates(text: str, reach: int) -> Iterator[tuple[int, int, list[tuple[int, int]], bool]]:
+    """(start, end, parts, in a key block) of the long tokens at most `reach` characters from a sensitive word, and of a private key block's lines.
+
+    A token that holds sensitive words has the long pieces between them as parts.
+    """
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    if not words:
+        return
+    blocks = [m.span() for m in BLOCK.finditer(text)] if "-----BEGIN " in text else []
+    lows, highs = [], []
+    for a, b in sorted([(a - reach, b + reach) for a, b in words] + blocks):
+        if highs and a <= highs[-1]:
+            highs[-1] = max(highs[-1], b)
+        else:
+            lows.append(a)
+            highs.append(b)
+    starts = [a for a, _ in words]
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        k = bisect_right(lows, b) - 1
+        if k < 0 or highs[k] < a:
+            continue
+        parts, at = [], a
+        for w in range(max(0, bisect_right(starts, a) - 1), bisect_right(starts, b)):
+            x, y = words[w]
+            if y > a and x < b:
+                parts.append((at, x))
+                at = y
+        parts = [(x, y) for x, y in [*parts, (at, b)] if y - x >= 16] if parts else []
+        yield a, b, parts, any(x <= a and b <= y for x, y in blocks)
+    for a, b in blocks:
+        for m in BLOCK_LINE.finditer(text, a, b):
+            if m.end(1) - m.start(1) < 16:
+                yield m.start(1), m.end(1), [], True
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int, context: int, least: float) -> list[tuple[int, int, int]]:
-    """Tokens within `reach` characters after a sensitive word that mix letters and digits and add at least `least` bytes a character."""
-    found, last = [], 0
-    for word in SENSITIVE.finditer(text):
-        for m in CANDIDATE.finditer(text, max(last, word.end()), min(len(text), word.end() + reach)):
-            a, b = m.span()
-            if b == word.end() + reach:  # the token goes on beyond the reach
-                b = CANDIDATE.match(text, a).end()
-            last = max(last, b)
-            s = text[a:b]
-            if not any(map(str.isdigit, s)) or not any(map(str.isalpha, s)) or any(x < b and a < y for x, _, y in taken):
-                continue
-            if novelty(s, text[max(0, a - context) : a], text[b : b + context]) >= least:
-                found.append((a, 3, b))
+    """Candidates that add at least `least` bytes a character and don't lie in a taken span; else their parts that do."""
+    found = []
+
+    def novel(a: int, b: int, key: bool) -> bool:
+        if any(x <= a and b <= y for x, y in covered) or not key and wordlike(text[a:b]):
+            return False
+        return novelty(text[a:b], text[max(0, a - context) : a], text[b : b + context]) >= least
+
+    covered = [(x, y) for x, _, y in taken]
+    for a, b, parts, key in candidates(text, reach):
+        found += [(a, 3, b)] if novel(a, b, key) else [(x, 3, y) for x, y in parts if novel(x, y, key)]
     return found
 
 

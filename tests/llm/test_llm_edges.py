@@ -306,6 +306,29 @@ def test_novel_strings_and_plain_ones():
     assert secret_scan.masked(text, secret_scan.scan_text(text), "#") == "auth Bearer #, # end"
 
 
+def test_secrets_on_both_sides_and_in_key_blocks():
+    rnd = random.Random(7)
+    key = base64.b64encode(rnd.randbytes(24)).decode()
+    for blanks in (40, 47, 63, 64):
+        text = "the token" + " " * blanks + key
+        assert secret_scan.scan_text(text) == [(len(text) - len(key), 3, len(text))]
+    assert secret_scan.scan_text("the token" + " " * 65 + key) == []
+    assert secret_scan.scan_text(f"{key} is the password") == [(0, 3, len(key))]
+    assert secret_scan.scan_text(key + " " * 65 + "password") == []
+    # digits alone and letters alone, and a part behind a word that the token holds
+    assert secret_scan.scan_text("pwd 93170264851937026485") == [(4, 3, 24)]
+    assert secret_scan.scan_text("pwd kQvZpLxWtRbNcYmHdFgS") == [(4, 3, 24)]
+    assert secret_scan.scan_text("the client_secret of getAuthenticationManager, state-of-the-art-systems") == []
+    assert [s[1:] for s in secret_scan.scan_text(f"client_secret_{key}")] == [(3, 14 + len(key))]
+    # all lines of a key, the short last one included, with and without the end
+    body = base64.b64encode(rnd.randbytes(200)).decode()
+    lines = [body[k : k + 64] for k in range(0, len(body), 64)]
+    assert len(lines[-1]) < 16
+    for end in ("-----END RSA PRIVATE KEY-----\nafter", ""):
+        text = "see\n-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines) + "\n" + end
+        assert secret_scan.masked(text, secret_scan.scan_text(text), "#") == "see\n-----BEGIN RSA PRIVATE KEY-----\n" + "#\n" * len(lines) + end
+
+
 def test_redaction_keeps_columns(spark):
     df = spark.createDataFrame([(1, "password=hunter22", 17, "x"), (2, None, None, "y"), (3, "clean", 5, "z")], "doc_id long, text string, n_chars long, more string")
     got = secret_scan.redact_secrets(df)
