@@ -1,15 +1,17 @@
 """License notices in texts: fixed phrases, and an exact containment join of text blocks with notice templates.
 
-A block (a line) and a template are sets of words. The join finds every block that holds at least `threshold` of a
+A block (a line, or a run of words over several lines, little longer than the template) and a template are sets of words. The join finds every block that holds at least `threshold` of a
 template's words. Template words are ordered by how many documents hold them, rarest first; a block can only reach the
 threshold if it holds a word of the template's prefix in that order (prefix filter), has enough distinct words (length
 filter), and still has enough of the order left behind the first shared word (positional filter). The templates and their
-prefix index are of fixed size and broadcast; the documents are never shuffled.
+prefix index are of fixed size and broadcast; the documents are never shuffled. Where notices differ by a word or two, the
+template that explains more of the block's words wins.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,8 +32,20 @@ TEMPLATES = (
     ("apache-2", "Licensed under the Apache License, Version 2.0."),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("gpl", "Licensed under the GNU General Public License, version 2."),
+    ("gpl", "Licensed under the GNU General Public License, version 3."),
+    ("agpl", "Licensed under the GNU Affero General Public License, version 3."),
+    ("lgpl", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("lgpl", "Licensed under the GNU Lesser General Public License, version 3."),
     ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl-2", "Licensed under the Mozilla Public License, Version 2.0."),
+    ("cc-by", "Licensed under CC BY 4.0."),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0."),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0."),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc", "This content is licensed under CC BY-NC 4.0."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
@@ -67,7 +81,8 @@ class TemplateIndex:
             raise ValueError("threshold must be over 0 and at most 1")
         words = {w for _, t in templates for w in words_of(t.encode())}
         self.rank = {w: i for i, w in enumerate(sorted(words, key=lambda w: (frequency.get(w, 0), w)))}
-        self.templates = []  # (label, ordered word ranks, least overlap)
+        self.templates = []  # (label, words, least overlap)
+        self.spans = []  # words that a notice over several lines may take
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}  # word -> (template, position)
         names = {i: w for w, i in self.rank.items()}
         for label, t in templates:
@@ -78,6 +93,8 @@ class TemplateIndex:
             for position, r in enumerate(order[: len(order) - least + 1]):
                 self.prefix.setdefault(names[r], []).append((len(self.templates), position))
             self.templates.append((label, frozenset(names[r] for r in order), least))
+            self.spans.append(math.ceil(len(words_of(t.encode())) / threshold - 1e-9))
+        self.vocabulary = words
 
     def matches(self, block: set[bytes]) -> list[tuple[int, float]]:
         """(template, containment) of every template that the block holds far enough."""
@@ -96,6 +113,62 @@ class TemplateIndex:
         return found
 
 
+    def windows(self, words: list[bytes], starts: list[int]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, end, containment) of runs over several lines that hold a template far enough.
+
+        starts: the first word of every line. Of runs of one template that overlap, the fullest counts, the first of those.
+        """
+        found = []
+        present = self.vocabulary.intersection(words)
+        for t, (_, own, least) in enumerate(self.templates):
+            if len(own & present) < least:
+                continue
+            at = [i for i, w in enumerate(words) if w in own]
+            held: Counter = Counter()
+            low, best = 0, None
+            for i in at:
+                held[words[i]] += 1
+                while i - at[low] >= self.spans[t] or held[words[at[low]]] > 1 and at[low] < i:
+                    held[words[at[low]]] -= 1
+                    if not held[words[at[low]]]:
+                        del held[words[at[low]]]
+                    low += 1
+                a = at[low]
+                if len(held) >= least and bisect_right(starts, a) != bisect_right(starts, i):
+                    if best and a >= best[2]:
+                        found.append(best)
+                        best = None
+                    if not best or len(held) / len(own) > best[3]:
+                        best = (t, a, i + 1, len(held) / len(own))
+            if best:
+                found.append(best)
+        return found
+
+    def blocks(self, text: bytes, words: list[bytes]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, end, containment) of all lines and runs over lines, less those that a closer notice explains."""
+        found, starts, at = [], [], 0
+        for line in text.split(b"\n"):
+            own = words_of(line)
+            if own:
+                starts.append(at)
+                found += [(t, at, at + len(own), share) for t, share in self.matches(set(own))]
+                at += len(own)
+        if len(starts) > 1:
+            lines = list(found)
+            found += [w for w in self.windows(words, starts) if not any(w[0] == t and w[1] < b and a < w[2] for t, a, b, _ in lines)]
+        if len(found) < 2:
+            return found
+        shared = [self.templates[t][1].intersection(words[a:b]) for t, a, b, _ in found]
+
+        def closer(k: int, m: int) -> bool:
+            (t, a, b, x), (u, c, d, y) = found[k], found[m]
+            if self.templates[t][0] == self.templates[u][0] or a >= d or c >= b:
+                return False
+            return shared[k] < shared[m] or shared[k] == shared[m] and x < y
+
+        return [f for k, f in enumerate(found) if not any(closer(k, m) for m in range(len(found)))]
+
+
 def phrase_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str, int]]:
     """(start, label, number of words) of every place where a phrase's words stand consecutively."""
     found = []
@@ -122,7 +195,7 @@ SCHEMA = "doc_id long, n_words long, matches array<struct<kind:string,label:stri
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, n_words, matches.
 
-    A match is a phrase's place (kind phrase, containment 1) or a block that holds `threshold` of a template's words (kind
+    A match is a phrase's place (kind phrase, containment 1) or a line or run over lines that holds `threshold` of a template's words (kind
     block): its label, first word, number of words and containment. A null text counts as empty. Null or repeated ids are
     scanned row by row, texts of any length whole; further columns are not read; an empty table gives an empty one.
     """
@@ -139,12 +212,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 counts.append(len(words))
                 found = [{"kind": "phrase", "label": label, "start": s, "words": n, "containment": 1.0} for s, label, n in phrase_places(words, phrases)]
                 if text and not prefix.isdisjoint(words):
-                    at = 0
-                    for line in text.split(b"\n"):
-                        own = words_of(line)
-                        for t, share in held.matches(set(own)) if own else ():
-                            found.append({"kind": "block", "label": held.templates[t][0], "start": at, "words": len(own), "containment": share})
-                        at += len(own)
+                    found += [{"kind": "block", "label": held.templates[t][0], "start": a, "words": b - a, "containment": share} for t, a, b, share in held.blocks(text, words)]
                 out.append(found)
             yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(out, MATCH)], ["doc_id", "n_words", "matches"])
 

@@ -231,6 +231,33 @@ def test_set_similarity_join_is_exact():
             assert index.matches(block) == [(k, s) for k, s in want if s >= threshold - 1e-12]
 
 
+def test_license_notices_of_short_forms_and_over_lines(spark):
+    mit = "Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files (the Software)"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance\nwith the License.'
+    texts = {
+        "This work is licensed under the GNU General Public License, version 3.": {"gpl"},
+        "Licensed under the GNU Lesser General\nPublic License, version 3.": {"lgpl"},
+        "Licensed under CC BY-NC 4.0.": {"cc-by-nc"},
+        "Licensed under CC\nBY 4.0.": {"cc-by"},
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": {"cc-by"},
+        f"one two\n{mit}\nthree": {"mit"},
+        f"one two\n\n{bsd}\nthree": {"bsd"},
+        apache: {"apache-2"},
+        "Permission to copy\nthis software is granted to any person": set(),
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {m.label for m in r.matches if m.kind == "block"} for r in license_scan.license_scan(df).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
+def test_license_labels_beyond_the_phrases(spark):
+    from quern.llm import queries
+
+    rows = queries.op5_license_scan(spark, "/root/testdata/sf0.1").where("labels <> base_labels").collect()
+    assert rows and all(set(filter(None, r.base_labels.split(","))) < set(r.labels.split(",")) for r in rows)
+
+
 # -- 6
 
 
