@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,6 +107,30 @@ def fragments(graphs: DataFrame, key: str, weights: str, edges: str, cuts: int =
     return graphs.select(key, weights, edges).mapInPandas(cut, f"{key} {kind}, weight_milli long, n_pieces long")
 
 
+def chain_fragments(chains: DataFrame, key: str, weights: str) -> DataFrame:
+    """Connected pieces of a chain of any length after up to two cuts: key, weight in thousandths, n_pieces.
+
+    weights: array of node weights along the chain. The pieces are its intervals, so each start's running sums give them
+    without a search over cuts. Each is summed from its own start, as `fragments` does.
+    """
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, w in zip(pdf[key], pdf[weights], strict=True):
+                w, held, n = np.asarray(w, np.float64), [], 0
+                for start in range(len(w)):
+                    held.append(np.rint(np.cumsum(w[start:]) * 1000).astype(np.int64))
+                    n += len(held[-1])
+                    if n > 1 << 18 or start == len(w) - 1:
+                        milli, counts = np.unique(np.concatenate(held), return_counts=True)
+                        yield pd.DataFrame({key: [name] * len(milli), "weight_milli": milli, "n_pieces": counts})
+                        held, n = [], 0
+
+    kind = chains.schema[key].dataType.simpleString()
+    pieces = chains.select(key, weights).mapInPandas(cut, f"{key} {kind}, weight_milli long, n_pieces long")
+    return pieces.groupBy(key, "weight_milli").agg(F.sum("n_pieces").alias("n_pieces"))
+
+
 def hydrogen_shifts(pieces: DataFrame, mass: str, step: float, reach: int = 2) -> DataFrame:
     """Each piece's mass moved by -reach to reach steps: adds shift and shifted."""
     moved = pieces.withColumn("shift", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))

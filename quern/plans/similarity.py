@@ -327,12 +327,9 @@ def f24(t):
 
 @query("g1_fragment_enumeration")
 def g1(t):
-    """Pieces of small graphs after one or two cuts: each customer's first lines as a chain with weights."""
-    rows = t("orders").withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("n <= 6")
-    lists = rows.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "o_totalprice"))), lambda x: x.o_totalprice / 1000).alias("weights"))
-    edges = F.expr("transform(sequence(0, size(weights) - 2), i -> named_struct('a', i, 'b', i + 1))")
-    lists = lists.where(F.size("weights") > 1).withColumn("edges", edges)
-    return G.fragments(lists, "o_custkey", "weights", "edges")
+    """Pieces after one or two cuts of each customer's orders, all of them, as a chain with weights."""
+    lists = t("orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))), lambda x: x.o_totalprice / 1000).alias("weights"))
+    return G.chain_fragments(lists, "o_custkey", "weights")
 
 
 @query("g2_shifted_fragments", """
