@@ -9,13 +9,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.storage import materialize, shared_dir  # noqa: F401  operators take them from here
 
 #: Bytes that an operator may broadcast. Beyond it each operator works in blocks or by a join.
 BROADCAST_BYTES = 32 << 20
 
-#: Rows of one Arrow batch. Whole documents travel in these batches, so 256 bounds what a Python worker holds.
+#: Rows that an operator works on at once. Spark itself bounds the Arrow batches that bring them, by rows and by 64 MB.
 BATCH_ROWS = 256
 
 #: ASCII A-Z to a-z, everything else in the ASCII range that is no letter or digit to a blank. Bytes from 0x80 stay.
@@ -64,9 +65,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow in batches of few rows, as whole documents may be long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df.mapInArrow(f, schema)
+    """mapInArrow in batches of at most `rows` rows, as whole documents may be long; the session's settings stay as they are."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return f(part for b in batches for part in slices(b, rows))
+
+    return df.mapInArrow(sliced, schema)
+
+
+def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows, without copies; an empty one as it is."""
+    for a in range(0, max(1, batch.num_rows), rows):
+        yield batch.slice(a, rows)
+
+
+def rehashed(df: DataFrame, other: DataFrame, column: str) -> DataFrame:
+    """Inner join on a long or string column through another hash of it, so that both sides are shuffled for the join.
+
+    A side that was just grouped by the column would be joined where it lies, and Spark can't split a common value then.
+    """
+    key = {f.name: f.dataType.typeName() for f in df.schema}[column]
+    turned = (lambda c: F.bitwise_not(c)) if key == "long" else (lambda c: F.reverse(c))
+    right = other.withColumnRenamed(column, f"_{column}")
+    return df.join(right, turned(df[column]) == turned(right[f"_{column}"])).drop(f"_{column}")
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:
