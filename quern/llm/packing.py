@@ -25,8 +25,9 @@ BLOCK_PIECES, BLOCK_TOKENS = 16384, 4 << 20
 #: Code points that the array path knows, and the classes of characters.
 PLAIN_END = 0x2070
 BLANK, LETTER, NUMBER, MARK, ODD = range(5)
-#: Characters that one pass of the encoder takes, distinct runs that its table holds, and bits of its slots.
-CHARS_AT_ONCE, MOST_RUNS, SLOT_BITS = 1 << 19, 1 << 21, 22
+#: Characters that one pass of the encoder takes; distinct runs, their characters and tokens that its table holds before it
+#: starts anew; bits of its slots.
+CHARS_AT_ONCE, MOST_RUNS, MOST_CHARS, SLOT_BITS = 1 << 19, 1 << 21, 1 << 25, 22
 #: Sequence ids of a task start at its partition's place times this.
 IDS_PER_PARTITION = 1 << 40
 
@@ -139,8 +140,9 @@ class WordEncoder:
 
     Such a tokenizer encodes each run of letters, each digit, each run of other marks and each English contraction on its
     own, and ends it with a token of its own kind. Texts are cut the same way with arrays; runs are looked up by a 64-bit
-    hash in a table of those seen, and only new ones go through the tokenizer. Texts with characters outside PLAIN_END, or
-    that combine with neighbours, or with the tokenizer's own marks, are encoded by the tokenizer whole.
+    hash in a table of those seen, whose characters must then be the same, and only new ones go through the tokenizer.
+    Texts with characters outside PLAIN_END, or that combine with neighbours, or with the tokenizer's own marks, are encoded
+    by the tokenizer whole, and so are those with a run that shares its hash with a different one.
     """
 
     def __init__(self, path: str):
@@ -159,7 +161,10 @@ class WordEncoder:
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.pool = np.zeros(1 << 18, "<u4")
-        self.n = self.used = 0
+        self.chars = np.zeros(1 << 18, np.uint16)  # the runs themselves; PLAIN_END fits
+        self.char_start = np.zeros(1 << 16, np.int64)
+        self.char_length = np.zeros(1 << 16, np.int64)
+        self.n = self.used = self.char_used = 0
         self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -210,6 +215,10 @@ class WordEncoder:
                     out[i] = np.array(e.ids, "<u4").tobytes()
                 return
             found = self._find(key)
+        other = self._others(low, first, last, found)
+        if len(other):
+            for k in np.unique(np.searchsorted(stops, first[other], side="right")).tolist():
+                whole[k] = self.tokenizer.encode(texts[rows[k]], add_special_tokens=False)
         count, begin = self.length[found], self.start[found]
         stop = np.cumsum(count)
         ids = self.pool[np.repeat(begin - stop + count, count) + np.arange(stop[-1] if len(stop) else 0)]
@@ -240,16 +249,28 @@ class WordEncoder:
             wrong = wrong[(place[wrong] >= 0) & (self.keys[place[wrong]] != key[wrong])]
         return place
 
+    def _others(self, low: np.ndarray, first: np.ndarray, last: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The runs that are not, character by character, those that the table holds under their hashes."""
+        size, own = last - first, self.char_length[found]
+        wrong = size != own
+        size = np.where(wrong, 0, size)
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        step = np.arange(total)
+        differ = low[np.repeat(first - stop + size, size) + step] != self.chars[np.repeat(self.char_start[found] - stop + size, size) + step]
+        if differ.any():
+            wrong[np.searchsorted(stop, np.flatnonzero(differ), side="right")] = True
+        return np.flatnonzero(wrong)
+
     def _learn(self, low: np.ndarray, key: np.ndarray, first: np.ndarray, last: np.ndarray, gone: np.ndarray) -> bool:
-        """Put the new runs into the table; False if the tokenizer cuts them otherwise than expected."""
+        """Put the new runs into the table; False if they are too many, or the tokenizer cuts them otherwise than expected."""
         new, where = np.unique(key[gone], return_index=True)
-        if self.n + len(new) > MOST_RUNS:
+        rows = gone[where]
+        if self.n + len(new) > MOST_RUNS or self.char_used + int((last[rows] - first[rows]).sum()) > MOST_CHARS:
             self._reset()
-            new, where = np.unique(key, return_index=True)
-            where = where.astype(np.int64)
-            rows = where
-        else:
-            rows = gone[where]
+            new, rows = np.unique(key, return_index=True)
+            if len(new) > MOST_RUNS or int((last[rows] - first[rows]).sum()) > MOST_CHARS:
+                return False
         made = []
         for a in range(0, len(rows), 4096):
             part = rows[a : a + 4096]
@@ -260,11 +281,21 @@ class WordEncoder:
         if len(stop) != len(rows):
             return False
         n, used = self.n + len(new), self.used + len(ids)
+        size = last[rows] - first[rows]
+        ends = np.cumsum(size)
+        chars = self.char_used + (int(ends[-1]) if len(ends) else 0)
         while len(self.keys) < n:
             self.keys, self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.keys, self.start, self.length))
+            self.char_start, self.char_length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.char_start, self.char_length))
         while len(self.pool) < used:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while len(self.chars) < chars:
+            self.chars = np.concatenate([self.chars, np.zeros_like(self.chars)])
+        self.chars[self.char_used : chars] = low[np.repeat(first[rows] - ends + size, size) + np.arange(chars - self.char_used)]
         place = np.arange(self.n, n)
+        self.char_start[place] = self.char_used + ends - size
+        self.char_length[place] = size
+        self.char_used = chars
         self.keys[place] = new
         self.start[place] = self.used + np.concatenate([[0], stop[:-1]])
         self.length[place] = np.diff(stop, prepend=0)
