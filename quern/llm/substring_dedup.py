@@ -17,14 +17,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import Powers, map_batches, materialize, mixed, release, utf8
 
 GRAM = 16
-#: Stands for a null doc_id, so that it comes after all others.
-NULL_ID = (1 << 63) - 1
+#: The owner of an empty range; owners are places of ids in a shard, far below.
+NOBODY = (1 << 63) - 1
 #: Words that a shard's index holds, about, and contexts of one anchor beyond which they are compared window by window.
 SHARD_WORDS, CROWD = 1 << 18, 1 << 11
 
@@ -135,7 +135,7 @@ class FMIndex:
     def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The least owner in each range; the largest number for an empty one."""
         n = high - low
-        out = np.full(len(low), NULL_ID, np.int64)
+        out = np.full(len(low), NOBODY, np.int64)
         full = np.flatnonzero(n > 0)
         level = np.frexp(n[full].astype(np.float64))[1] - 1
         for k in np.unique(level):
@@ -248,10 +248,11 @@ def _cut(least: int):
 def _match(least: int):
     """A shard's contexts as rows (g, c, bits) of those with windows in smaller documents."""
 
-    def search(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    def search(rows: list[tuple[int, int, int | None, bytes]]) -> pa.RecordBatch:
         symbols: dict[bytes, int] = {}
         texts = [np.array([symbols.setdefault(w, len(symbols) + 1) for w in words.split(b" ")], np.int64) for *_, words in rows]
-        bits = repeated_windows(texts, np.array([doc for _, _, doc, _ in rows], np.int64), least)
+        place = {doc: i for i, doc in enumerate(sorted({doc for _, _, doc, _ in rows if doc is not None}))}
+        bits = repeated_windows(texts, np.array([place.get(doc, len(place)) for _, _, doc, _ in rows], np.int64), least)
         hit = [i for i, x in enumerate(bits) if x]
         return pa.record_batch([pa.array([f(i) for i in hit], pa.int64()) for f in (lambda i: rows[i][0], lambda i: rows[i][1], lambda i: bits[i])], ["g", "c", "bits"])
 
@@ -307,21 +308,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     An anchor with over `crowd` different contexts (a passage that very many documents surround with text of their own)
     would overfill a shard: its windows are compared by 128-bit hashes in an aggregation instead, with the same outcome.
+    For those windows the FM-index decides nothing; the choice between the two follows from the number of contexts alone.
     """
     if not 2 <= least <= 60:
         raise ValueError("least must be 2 to 60")
     spark = docs.sparkSession
     rows = docs.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
+        F.col(id_col).cast("long").alias("id"),
         F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"),
         F.col(text_col).cast("string").alias("text"),
     )
     held = materialize(map_batches(rows, _scan(least), "id long, key long, n_words long, sha256 string, anchors array<struct<g:long,c:long,at:long>>"), "anchors")
     places = held.select("id", "key", F.explode("anchors").alias("a")).select("id", "key", "a.*")
     # the anchors that stand in two documents, and every place of theirs; written first, so that Spark can split a common anchor in the join
-    twice = materialize(places.groupBy("g").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("g"), "twice")
+    apart = "low < high or (known > 0 and known < n)"
+    known = [F.min("id").alias("low"), F.max("id").alias("high"), F.count("id").alias("known"), F.count("*").alias("n")]
+    twice = materialize(places.groupBy("g").agg(*known).where(apart).select("g"), "twice")
     again = materialize(places.join(twice, "g", "left_semi"), "places")
-    ones = again.groupBy("g", "c").agg(F.min(F.struct("id", "key", "at")).alias("m")).select("g", "c", "m.*")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "at")).alias("m")
+    ones = again.groupBy("g", "c").agg(first).select("g", "c", "m.id", "m.key", "m.at")
     ones = materialize(ones, "contexts")
     release(spark)
     total = ones.agg(F.sum(F.pmod("at", F.lit(64)) + F.lit(least - 1))).first()[0] or 0
@@ -330,24 +335,33 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shard = F.when(F.col("many"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("g"), F.lit(shards))).cast("int")
     asked = ones.join(crowded, "g", "left").groupBy("id", "key").agg(F.collect_list(F.struct(shard.alias("shard"), "g", "c", "at")).alias("places"))
     # rows that repeat an id and a text would repeat their contexts, which changes nothing
-    cut = rows.join(asked, ["id", "key"]).select("id", "text", "places")
+    cut = rows.join(asked, _same(rows, asked)).select(rows["id"], "text", "places")
     cut = materialize(map_batches(cut, _cut(least), "shard int, g long, c long, id long, bit int, words binary"), "cut")
     release(spark)
     cold = cut.where("shard >= 0").select("shard", "g", "c", "id", "words").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard")
     found = map_batches(cold, _match(least), "g long, c long, bits long", 4096)
     windows = cut.where("shard < 0").select("g", "c", "id", "bit", "words")
-    firsts = windows.groupBy("words").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("words", "first")
-    hot = windows.join(firsts, "words").where("id > first").groupBy("g", "c").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    firsts = windows.groupBy("words").agg(*known).where(apart).select("words", F.col("low").alias("m"))
+    hot = windows.join(firsts, "words").where(_later("id", "m")).groupBy("g", "c").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
     found = materialize(found.unionAll(hot), "found")
     release(spark)
     # a context's least document loses what smaller ones hold elsewhere, all others lose the whole context
-    known = materialize(ones.select("g", "c", F.col("id").alias("m")).join(found, ["g", "c"], "left"), "known")
+    every_one = materialize(ones.select("g", "c", F.col("id").alias("m")).join(found, ["g", "c"], "left"), "known")
     every = F.expr("shiftleft(1L, cast(pmod(at, 64) as int)) - 1L")
-    bits = F.when(F.col("id") > F.col("m"), every).otherwise(F.coalesce("bits", F.lit(0).cast("long")))
-    lost = again.join(known, ["g", "c"]).select("id", "key", "at", bits.alias("bits")).where("bits <> 0")
+    bits = F.when(_later("id", "m"), every).otherwise(F.coalesce("bits", F.lit(0).cast("long")))
+    lost = again.join(every_one, ["g", "c"]).select("id", "key", "at", bits.alias("bits")).where("bits <> 0")
     lost = materialize(lost.groupBy("id", "key").agg(F.collect_set(F.struct("at", "bits")).alias("places")), "lost")
     release(spark)
-    own_id = F.when(F.col("id") < NULL_ID, F.col("id")).alias("doc_id")
-    whole = held.join(lost, ["id", "key"], "left_anti").select(own_id, "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
-    cut_down = map_batches(rows.join(lost, ["id", "key"]).select("id", "text", "places"), _rewrite(least), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return whole.unionAll(cut_down.select(own_id, "n_words", "n_removed", "kept_sha256", "kept"))
+    whole = held.join(lost, _same(held, lost), "left_anti").select(F.col("id").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha256").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
+    cut_down = map_batches(rows.join(lost, _same(rows, lost)).select(rows["id"], "text", "places"), _rewrite(least), "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return whole.unionAll(cut_down.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept"))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    """One id, a null being like a null, and one text."""
+    return a["id"].eqNullSafe(b["id"]) & (a["key"] == b["key"])
+
+
+def _later(a: str, b: str) -> Column:
+    """a comes after b in the order of ids, in which null is last."""
+    return F.coalesce(F.col(a) > F.col(b), F.col(a).isNull() & F.col(b).isNotNull())
