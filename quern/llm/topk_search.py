@@ -1,10 +1,11 @@
 """Exact top-k search by inner product without random access, on sorted lists.
 
-The rows come in blocks. A block holds one list per dimension, its rows sorted by that component. For a query, every list
-is read from the end that its weight favours, all lists to one depth at a time. What has been read gives each row a lower
-and an upper bound: a component not read yet lies between the list's far end and the value read last. A query's threshold
-is the best k-th lower bound so far. Once the rows whose upper bound reaches it are few, nothing outside can qualify: the
-final scores of these are resolved and reading stops. All queries of a block share the bounds' arithmetic, as matrices.
+The rows come in blocks. A block holds one list per dimension, its rows sorted by that component, and the rows' norms. A
+query reads lists in the order of its weights, a few at a time, each from the end that its weight favours and without the
+last part. What has been read gives every row a lower and an upper bound: a component in a list's unread part lies beyond
+the value read last, and lists not read at all are bounded by what the norm leaves (Cauchy and Schwarz). The query's
+threshold is the k-th best score so far, of this block's lower bounds or of earlier blocks. Once the rows whose upper bound
+reaches it are few, nothing outside can qualify: reading stops, and the final scores of these few are resolved.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import map_batches, materialize
 
-#: Rows of a block, queries that one pass over all rows answers, and the shares of a list that are read before each stop.
-BLOCK_ROWS, QUERY_BLOCK, DEPTHS = 2048, 2048, (0.35, 0.6, 0.8, 1.0)
+#: Rows of a block, queries that one pass over all rows answers, the share of a list that is read, and the shares of all
+#: lists after which the bounds are compared.
+BLOCK_ROWS, QUERY_BLOCK, DEPTH, STOPS = 2048, 2048, 0.75, (0.375, 0.5, 0.625, 0.75, 0.875)
 #: Up to this magnitude sums of products are exact in float64.
 EXACT = float(1 << 53)
 
@@ -30,10 +32,51 @@ def quantized(vector: Column, scale: int = 1024) -> Column:
 
 
 def usable(vector: Column) -> Column:
-    """Neither null nor empty, and every component a finite number."""
+    """Not null, and every component a finite number."""
     infinite = F.lit(float("inf"))
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == infinite))
-    return vector.isNotNull() & (F.size(vector) > 0) & ~F.coalesce(odd, F.lit(True))
+    return vector.isNotNull() & ~F.coalesce(odd, F.lit(True))
+
+
+def _most(x: np.ndarray) -> float:
+    """The largest magnitude, as a float, which the least long has too."""
+    return max(float(x.max(initial=0)), -float(x.min(initial=0)))
+
+
+class _Block:
+    """The sorted lists of a block of rows, cut at DEPTH from either end, as four tables for each end.
+
+    For a row in a list: the most that its component can be, the component if it was read (else 0), the least that its
+    square can be, and whether it lies beyond what was read.
+    """
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.squares = x, (x * x).sum(axis=1)
+        columns = np.ascontiguousarray(x.T)
+        ordered = np.sort(columns, axis=1)
+        self.depth = max(1, int(np.ceil(DEPTH * len(x))))
+        self.ends = [self._tables(columns, ordered[:, -self.depth, None]), self._tables(-columns, -ordered[:, self.depth - 1, None])]
+        self.both = [np.concatenate(t) for t in zip(*self.ends, strict=True)]
+
+    @staticmethod
+    def _tables(y: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, ...]:
+        beyond = y < edge
+        return np.maximum(y, edge), np.where(beyond, 0.0, y), np.where(beyond, np.minimum(edge, 0.0), y) ** 2, beyond.astype(np.float64)
+
+    def read(self, sign: np.ndarray, lists: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """The four tables of some rows in some lists, each read from the end that the sign favours."""
+        at = (lists + self.x.shape[1] * (sign < 0))[:, None]
+        return (t[at, rows] for t in self.both)
+
+    def bounds(self, queries: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each query and row, over the query's lists: the most and the least of what was read, its square, the squared weights beyond."""
+        mask = np.zeros(queries.shape)
+        np.put_along_axis(mask, lists, 1.0, axis=1)
+        low = queries < 0
+        weight = [np.where(low, 0.0, mask * queries), np.where(low, -mask * queries, 0.0)]
+        part = [np.where(low, 0.0, mask), np.where(low, mask, 0.0)]
+        one = lambda k, w: w[0] @ self.ends[0][k] + w[1] @ self.ends[1][k]
+        return one(0, weight), one(1, weight), one(2, part), one(3, [w * w for w in weight])
 
 
 class Search:
@@ -43,45 +86,50 @@ class Search:
         self.q, self.own, self.k = queries, own, k
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
         self.threshold = np.full(len(queries), -np.inf)
-        self.read = 0.0  # share of the lists read, over blocks and queries
+        self.weight = np.abs(queries).astype(np.float64)
+        self.lists = np.argsort(-self.weight, axis=1, kind="stable")
+        self.read = self.entries = 0  # of the lists, over blocks and queries: read, or resolved at the end; all
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         """Read a block of rows."""
         n, d = x.shape
-        if float(np.abs(x).max(initial=0)) * float(np.abs(self.q).max(initial=0)) * d >= EXACT:
+        if _most(x) * _most(self.q) * d >= EXACT:
             return self._plain(ids, x)
-        x = x.astype(np.float64)
-        order = np.argsort(x, axis=0, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
-        sorted_x = np.take_along_axis(x, order, axis=0)
-        active = np.arange(len(self.q))
-        for share in DEPTHS:
-            depth = max(1, min(n, int(np.ceil(share * n))))
-            self.read += share * len(active)
-            plus, minus = np.maximum(self.q[active], 0.0), np.minimum(self.q[active], 0.0)
-            seen_high, seen_low = rank >= n - depth, rank < depth
-            known = np.where(seen_high, x, 0.0) @ plus.T + np.where(seen_low, x, 0.0) @ minus.T
-            high, low = (~seen_high).astype(np.float64), (~seen_low).astype(np.float64)
-            upper = known + high @ (plus * sorted_x[n - depth]).T + low @ (minus * sorted_x[depth - 1]).T
-            lower = known + high @ (plus * sorted_x[0]).T + low @ (minus * sorted_x[n - 1]).T
-            mine = ids[:, None] == self.own[active][None, :]
-            lower[mine] = upper[mine] = -np.inf
-            if n >= self.k:
-                kth = np.partition(lower, n - self.k, axis=0)[n - self.k]
-                self.threshold[active] = np.maximum(self.threshold[active], kth)
-            can = (upper >= self.threshold[active][None, :]) & ~mine
-            few = can.sum(axis=0) <= max(4 * self.k, n // 32)
-            stop = np.flatnonzero(few | (depth == n))
-            for j in stop.tolist():
-                rows = np.flatnonzero(can[:, j])
+        block = _Block(x.astype(np.float64))
+        stops = [*dict.fromkeys(int(np.ceil(share * d)) for share in STOPS)]
+        for a in range(0, len(self.q), 256):
+            first = block.bounds(self.q[a : a + 256], self.lists[a : a + 256, : stops[0]])
+            for j, *held in zip(range(a, len(self.q)), *first, strict=False):
+                rows = np.flatnonzero(ids != self.own[j])
+                rows = self._candidates(j, block, stops, rows, *(h[rows] for h in held))
+                self.entries += n * d
+                self.read += len(rows) * d
                 if len(rows):
-                    self._keep(int(active[j]), ids[rows], (x[rows] @ self.q[active[j]]).astype(np.int64))
-            active = np.delete(active, stop)
-            if not len(active):
-                break
+                    self._keep(j, ids[rows], (block.x[rows] @ self.q[j]).astype(np.int64))
         return None
 
+    def _candidates(self, j: int, block: _Block, stops: list[int], rows: np.ndarray, upper: np.ndarray, lower: np.ndarray, found: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+        """The rows that can still be among query j's best once these are few or all lists are read."""
+        lists, few = self.lists[j], max(2 * self.k, len(block.x) // 64)
+        rest = np.append(np.cumsum((self.weight[j, lists] ** 2)[::-1])[::-1], 0.0)  # squared weights of the lists from each on
+        slack = 1 + 1e-9 * np.sqrt(rest[0] * block.squares.max(initial=0.0))
+        for before, at in zip([0, *stops], stops, strict=False):
+            if before:
+                now = lists[before:at]
+                up, low, square, beyond = block.read(np.sign(self.q[j, now]), now, rows)
+                weight = self.weight[j, now]
+                upper, lower, found, unseen = upper + weight @ up, lower + weight @ low, found + square.sum(axis=0), unseen + weight**2 @ beyond
+            self.read += block.depth * (at - before)
+            reach = np.sqrt(np.maximum(block.squares[rows] - found, 0.0))
+            if len(rows) >= self.k:
+                sure = lower - reach * np.sqrt(rest[at] + unseen) - slack
+                self.threshold[j] = max(self.threshold[j], float(np.partition(sure, len(rows) - self.k)[len(rows) - self.k]))
+            can = upper + reach * np.sqrt(rest[at]) + slack >= self.threshold[j]
+            rows, upper, lower, found, unseen = rows[can], upper[can], lower[can], found[can], unseen[can]
+            if len(rows) <= few:
+                break
+        return rows
+
     def _plain(self, ids: np.ndarray, x: np.ndarray) -> None:
         """Components so large that float64 would round: whole numbers of any size, row by row."""
         for j in range(len(self.q)):
@@ -93,7 +141,7 @@ class Search:
 
     def _keep(self, j: int, ids: np.ndarray, scores: np.ndarray) -> None:
         ids, scores = np.concatenate([self.best[j][0], ids]), np.concatenate([self.best[j][1], scores])
-        order = np.lexsort((ids, -scores))[: self.k]
+        order = np.lexsort((ids, ~scores))[: self.k]  # not -scores, which the least long has not
         self.best[j] = (ids[order], scores[order])
         if len(order) == self.k:
             self.threshold[j] = max(self.threshold[j], float(scores[order[-1]]))
@@ -102,8 +150,8 @@ class Search:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 1024) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k best other rows by integer inner product, ties to smaller ids.
 
-    Vectors that are null, empty, or hold a null or non-finite component, and rows without an id, take no part. Vectors of
-    another length than the query's are not compared. A query never finds rows of its own id; rows that repeat another id
+    Vectors that are null or hold a null or non-finite component, and rows without an id, take no part. Vectors of
+    another length than the query's are not compared; empty ones score 0 with each other. A query never finds rows of its own id; rows that repeat another id
     count each; a repeated query id is answered once, for its first vector in order. Fewer than k rows: all of them. Scores
     beyond a long are cut to its ends. Further columns are not read; empty tables give an empty result.
 
@@ -115,7 +163,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         found = _scan(rows, block, k)
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
         found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-        out = found if out is None else materialize(out, "found").unionAll(materialize(found, "found"))
+        # a query is answered in one block, so each block's answers are written once
+        found = materialize(found, "found")
+        out = found if out is None else out.unionAll(found)
     return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long") if out is None else out
 
 
