@@ -118,6 +118,57 @@ WITH rules(verdict, r_host, r_path) AS (
 SELECT page_id, host, path, hit.rule AS rule, coalesce(hit.verdict, CASE WHEN host = '' THEN 'block' ELSE 'allow' END) AS verdict FROM d
 """
 
+OP1_SQL = r"""
+WITH b AS (
+  SELECT row_number() OVER () AS item, item_id, words, len(words) AS n, least(5, len(words)) AS width FROM (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+    FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)) WHERE len(words) > 0
+), s AS (
+  SELECT item, width, shingle, count(*) AS weight
+  FROM (SELECT item, width, unnest(list_transform(range(1, n - width + 2), lambda i: array_to_string(words[i:i + width - 1], ' '))) AS shingle FROM b) GROUP BY ALL
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), p AS (
+  SELECT rid, width, i, array_to_string(words[i:i + width - 1], ' ') AS shingle
+  FROM (SELECT rid, words, width, unnest(range(1, len(words) - width + 2)) AS i FROM d JOIN (SELECT DISTINCT width FROM b) ON len(words) >= width)
+), h AS (
+  SELECT rid, item, i, shingle, weight FROM p JOIN s USING (width, shingle)
+), z AS (
+  SELECT DISTINCT rid, item, least(n, len(d.words)) AS size, width, n FROM h JOIN b USING (item) JOIN d USING (rid)
+), k AS (
+  SELECT DISTINCT rid, item, unnest(range(greatest(1, i - size + width), least(i, len(words) - size + 1) + 1)) AS start FROM h JOIN z USING (rid, item) JOIN d USING (rid)
+), o AS (
+  SELECT rid, item, start, size, width, n, shingle, least(count(*), any_value(weight)) AS shared
+  FROM k JOIN z USING (rid, item) JOIN h USING (rid, item) WHERE h.i BETWEEN start AND start + size - width GROUP BY ALL
+), m AS (
+  SELECT rid, item, start, size, CAST(sum(shared) AS DOUBLE) / (size - width + 1 + n - width + 1 - sum(shared)) AS similarity FROM o GROUP BY rid, item, start, size, width, n
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY rid, item ORDER BY similarity DESC, start) AS place FROM m WHERE similarity >= 0.8
+)
+SELECT doc_id, item_id, start - 1 AS start_word, size AS n_words, similarity FROM r JOIN d USING (rid) JOIN b USING (item) WHERE place = 1
+"""
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT rid, doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50)
+), f AS (
+  SELECT h, min(doc_id) AS least FROM w GROUP BY h
+), c AS (
+  SELECT DISTINCT rid, unnest(range(i, i + 50)) AS pos FROM w JOIN f USING (h) WHERE doc_id > least OR doc_id IS NULL AND least IS NOT NULL
+), g AS (
+  SELECT rid, count(*) AS n FROM c GROUP BY rid
+), k AS (
+  SELECT d.rid, string_agg(word, ' ' ORDER BY i) AS kept FROM (SELECT rid, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d JOIN g USING (rid)) d
+  LEFT JOIN c ON c.rid = d.rid AND c.pos = d.i WHERE c.pos IS NULL GROUP BY d.rid
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(words, ' ') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM d LEFT JOIN g USING (rid) LEFT JOIN k USING (rid)
+"""
+
 OP2_SQL = """
 WITH p AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
@@ -158,4 +209,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL, "op3_topk_search": OP3_SQL, "op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+    "op2_warc": OP2_SQL,
+    "op3_topk_search": OP3_SQL,
+    "op6_substring_dedup": OP6_SQL,
+    "op9_url_filter": OP9_SQL,
+}

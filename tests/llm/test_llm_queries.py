@@ -32,7 +32,7 @@ def lowered(text):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = Q.QUERIES[name](spark, SF)
     want = con.execute(Q.ORACLE_SQL[name])
