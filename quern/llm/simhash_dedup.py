@@ -5,12 +5,12 @@ Hamming distances to vantage points; a node also visits the shards whose region
 own, as a link needs to be seen once). Each shard holds its members in a vantage-point tree, streams its visitors through
 it, prunes branches by the triangle inequality, and emits a spanning forest of the links it has seen instead of all pairs.
 
-A fingerprint may have several 64-bit words. For a radius far beyond the spread of distances between unrelated texts (4
-bits of 64, 5.7 of 128) no vantage point can prune; then `size_ratio` deals nodes by their number of shingles instead,
-as texts of a high similarity have like sizes: a node meets its own band of sizes and the one below.
+At 4 of 64 bits a node visits about 84 % of each half of a tree, so work grows as about the power 1.75 of the nodes.
 
-With `similarity` fingerprints only find candidates: nodes are then sets of distinct shingles, families are what a wide
-radius connects, and a link counts only if the exact Jaccard similarity of its two sets reaches the bound.
+For a far wider radius, as a similarity of 0.8 needs it, bounds prune nothing between unrelated texts, whose distances are
+all nearly the same. With `similarity` shards are therefore dealt by min-hashes: nodes (sets of distinct shingles) that agree
+in a band of them meet in a family. Within a family, where distances do spread, a vantage-point tree over 256-bit
+fingerprints finds the pairs within the radius, and a link counts only if the exact Jaccard similarity reaches the bound.
 """
 
 from __future__ import annotations
@@ -23,17 +23,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER_BYTES, map_batches, materialize, mixed, utf8
+from quern.llm.common import LOWER_BYTES, map_batches, materialize, mixed, rehashed, utf8
 from quern.llm.components import components
 
 #: Fingerprints that the top tree is fit on, and nodes that a shard should hold at most.
 SAMPLE, SHARD_NODES, LEAST_LEVELS = 4096, 1 << 18, 4
-#: Nodes of a leaf, and members of a shard where sizes deal them.
-LEAF, BAND_NODES = 24, 1 << 15
+#: Nodes of a leaf.
+LEAF = 24
+#: Bands of min-hashes and rows of a band: sets of similarity 0.8 agree in none by a chance of 3 in a million.
+BANDS, ROWS = 24, 4
 #: Seeds of the words of a fingerprint.
 SEEDS = (42, 0x5EED, 0xC0DE, 0xFACE)
 #: Nodes and shingles of a block of a family; larger families are verified by pairs of blocks.
-FAMILY_NODES, FAMILY_SHINGLES = 1 << 12, 1 << 22
+FAMILY_NODES, FAMILY_SHINGLES = 1 << 11, 1 << 21
 #: Links that a shard holds before it reduces them to a spanning forest.
 PAIRS = 1 << 20
 
@@ -77,30 +79,51 @@ def long_simhash(h: np.ndarray, words: int) -> bytes:
     return b"".join(p.to_bytes(8, "little") for p in parts)
 
 
+#: Fixed numbers that make BANDS * ROWS orders of the hashes.
+TURNS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's min-hashes; sets that agree in a band have its key in common. None of an empty set."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(len(TURNS), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(h), 1 << 14):
+        part = h[a : a + (1 << 14)]
+        np.minimum(least, ((part[None, :] ^ TURNS[:, None]) * (TURNS | np.uint64(1))[:, None]).min(axis=1), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in range(ROWS):
+        key = mixed(key ^ least[row::ROWS]) + np.uint64(row)
+    return key.view(np.int64)
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, words: int = 1, sets: bool = False) -> DataFrame:
-    """doc_id, key (a hash of the text), fp (a signed long), code (all words of the fingerprint), size (shingles) of every row.
+    """doc_id, key (a hash of the text), fp (a signed long), code (all words of the fingerprint), size (shingles), bands of every row.
 
-    fp is the fingerprint where it has one word, else a hash of it. With `sets` repeated shingles count once, and fp is a
-    hash of the set, so that rows of one fp have the same shingles. A null text counts as empty and gives 0 bits alone.
+    fp is the fingerprint where it has one word, else a hash of it. With `sets` repeated shingles count once, fp is a hash of
+    the set, so that rows of one fp have the same shingles, and bands are its min-hash keys (else none). A null text counts
+    as empty and gives 0 bits alone.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made, ids = [], np.zeros(b.num_rows, np.uint64)
+            made, ids, bands = [], np.zeros(b.num_rows, np.uint64), []
             for i, t in enumerate(utf8(b.column(2))):
                 h = shingle_set(t, width) if sets else shingle_hashes((t or b"").translate(LOWER_BYTES).split(), width)
                 c = long_simhash(h, words)
                 ids[i] = xxhash.xxh64_intdigest(h.tobytes()) if sets else int.from_bytes(c, "little") if words == 1 else xxhash.xxh64_intdigest(c)
                 made.append((c, len(h)))
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(ids.view(np.int64)), pa.array([c for c, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64())], ["doc_id", "key", "fp", "code", "size"])
+                bands.append(band_keys(h) if sets else None)
+            columns = [pa.array(ids.view(np.int64)), pa.array([c for c, _ in made], pa.binary()), pa.array([n for _, n in made], pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.record_batch([b.column(0), b.column(1), *columns], ["doc_id", "key", "fp", "code", "size", "bands"])
 
-    return map_batches(rows, run, "doc_id long, key long, fp long, code binary, size long")
+    return map_batches(rows, run, "doc_id long, key long, fp long, code binary, size long, bands array<long>")
 
 
 def codes(column: pa.Array, words: int) -> np.ndarray:
@@ -161,7 +184,7 @@ class VantageTree:
 
     def __init__(self, ids: np.ndarray, members: np.ndarray, radius: int):
         self.ids, self.members, self.radius = ids, members, radius
-        # where the radius spans the distances nothing is pruned, and large leaves cost less
+        # where the radius spans most distances little is pruned, and large leaves cost less
         self.leaf = LEAF if radius <= 6 * members.shape[1] else 512
         self.root = self._build(np.arange(len(members)))
 
@@ -267,35 +290,9 @@ def _by_distance(nodes: DataFrame, radius: int, words: int) -> tuple[DataFrame,
     return map_batches(nodes.select("fp", "code"), deal, DEALT, 1 << 13), 1 << levels
 
 
-def _by_size(nodes: DataFrame, ratio: float) -> tuple[DataFrame, int]:
-    """Nodes dealt to shards by their sizes: bands between powers of 1/ratio, large ones in several shards by a hash."""
-    band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.lit(float(-np.log(ratio)))).cast("int")
-    banded = nodes.withColumn("band", band)
-    counts = {r.band: r["count"] for r in banded.groupBy("band").count().collect()}  # a few dozen
-    first, splits, n = {}, {}, 0
-    for k in sorted(counts):
-        first[k], splits[k] = n, -(-counts[k] // BAND_NODES)
-        n += splits[k]
-    look = lambda held: F.create_map(*[F.lit(x) for k, v in held.items() for x in (k, v)])
-    if not counts:
-        return nodes.select(F.lit(0).alias("shard"), F.lit(False).alias("visitor"), "fp", "code"), 1
-    start, parts = look(first), look(splits)
-    own = (start[F.col("band")] + F.pmod(F.xxhash64("fp"), parts[F.col("band")].cast("long"))).cast("int")
-    below = F.coalesce(start[F.col("band") - 1], own)
-    last = start[F.col("band")] + parts[F.col("band")] - 1
-    # its own shard, the later ones of its band, and all of the band below
-    later = F.when(own < last, F.sequence(own + 1, last)).otherwise(F.array().cast("array<int>"))
-    under = F.when(start[F.col("band") - 1].isNotNull(), F.sequence(below, below + parts[F.col("band") - 1] - 1)).otherwise(F.array().cast("array<int>"))
-    dealt = banded.select("fp", "code", own.alias("own"), F.explode(F.concat(F.array(own), later, under)).alias("shard"))
-    return dealt.select("shard", (F.col("shard") != F.col("own")).alias("visitor"), "fp", "code"), n
-
-
-def link_nodes(nodes: DataFrame, radius: int = 4, words: int = 1, size_ratio: float | None = None) -> DataFrame:
-    """Links (u, v) of fp that connect the nodes (fp, code, size) exactly as all pairs within the radius would.
-
-    size_ratio: nodes whose sizes are further apart need not be linked.
-    """
-    dealt, shards = _by_distance(nodes, radius, words) if size_ratio is None else _by_size(nodes, size_ratio)
+def link_nodes(nodes: DataFrame, radius: int = 4, words: int = 1) -> DataFrame:
+    """Links (u, v) of fp that connect the nodes (fp, code) exactly as all pairs within the radius would."""
+    dealt, shards = _by_distance(nodes, radius, words)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, members, tree, forest = None, [], None, Forest()
@@ -344,7 +341,8 @@ def link_nodes(nodes: DataFrame, radius: int = 4, words: int = 1, size_ratio: fl
 def similar_pairs(sets: list[np.ndarray], fps: np.ndarray, blocks: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
     """Pairs of sets that connect what all pairs of at least the Jaccard similarity connect, within one block or between two.
 
-    Fingerprints further apart than the radius are passed over. A pair that others connect already is not compared.
+    A vantage-point tree over the fingerprints of one block is asked for those of the other (or its own) within the radius.
+    A pair that others connect already is not compared.
     """
     sizes = np.array([len(x) for x in sets])
     parent = list(range(len(sets)))
@@ -361,20 +359,16 @@ def similar_pairs(sets: list[np.ndarray], fps: np.ndarray, blocks: np.ndarray, r
     one = not len(high)
     if one:
         high = low
-    step = max(1, (1 << 17) // len(high))
-    for a in range(0, len(low), step):
-        rows = low[a : a + step]
-        d = distance(fps[rows][:, None, :], fps[high][None, :, :])
-        total = sizes[rows][:, None] + sizes[high][None, :]
-        near = (d <= radius) & (np.minimum(sizes[rows][:, None], sizes[high][None, :]) * (1 + similarity) >= similarity * total - 1e-9)
+    for u, v in VantageTree(low, fps[low], radius).links(high, fps[high]):
+        near = np.minimum(sizes[u], sizes[v]) * (1 + similarity) >= similarity * (sizes[u] + sizes[v]) - 1e-9
         if one:
-            near &= rows[:, None] < high[None, :]
-        i, j = np.nonzero(near)
-        labels = np.array([root(x) for x in range(len(sets))])
-        apart = labels[rows[i]] != labels[high[j]]
-        i, j = i[apart], j[apart]
-        for k in np.argsort(d[i, j], kind="stable").tolist():
-            x, y = int(rows[i[k]]), int(high[j[k]])
+            near &= u < v
+        u, v = u[near], v[near]
+        label = {x: root(x) for x in np.union1d(u, v).tolist()}
+        apart = np.array([label[x] != label[y] for x, y in zip(u.tolist(), v.tolist(), strict=True)], bool)
+        u, v = u[apart], v[apart]
+        for k in np.argsort(distance(fps[u], fps[v]), kind="stable").tolist():
+            x, y = int(u[k]), int(v[k])
             p, q = root(x), root(y)
             if p == q:
                 continue
@@ -387,21 +381,25 @@ def similar_pairs(sets: list[np.ndarray], fps: np.ndarray, blocks: np.ndarray, r
     return found
 
 
+def family_links(nodes: DataFrame) -> DataFrame:
+    """Links (u, v) of fp that connect nodes (fp, bands) with a min-hash key in common: each with the least node of a key."""
+    keyed = nodes.select("fp", F.explode("bands").alias("band"))
+    least = keyed.groupBy("band").agg(F.min("fp").alias("u"), F.max("fp").alias("most")).where("u < most").select("band", "u")
+    return rehashed(keyed, least, "band").where("fp <> u").select("u", F.col("fp").alias("v"))
+
+
 def verified_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int, radius: int, words: int, similarity: float) -> DataFrame:
     """Links (u, v) of fp that connect the nodes as all pairs would whose shingle sets have at least the Jaccard similarity.
 
-    Nodes within the radius form families. A family's texts meet in one task, those of a large one in a task for each pair
-    of its blocks, and every link is verified there.
+    Nodes that min-hash keys connect form families. A family's texts meet in one task, those of a large one in a task for
+    each pair of its blocks, and every link is verified there.
     """
     # two different sets, the larger of n shingles, share n - 1 of n at most
     least = max(1, int(np.ceil(1 / (1 - similarity) - 1e-9)) - 1) if similarity < 1 else 1 << 62
-    # a little below the bound, so that rounding never puts two bands between sizes of this very ratio
-    wide = link_nodes(nodes.where(F.col("size") >= least), radius, words, similarity * (1 - 1e-9))
-    families = components(wide).select(F.col("node").alias("fp"), F.col("label").alias("family"))
+    families = components(family_links(nodes.where(F.col("size") >= least))).select(F.col("node").alias("fp"), F.col("label").alias("family"))
     families = materialize(families.join(nodes, "fp").select("fp", "code", "size", "family", F.col("rep.doc_id").alias("_id"), F.col("rep.key").alias("_key")), "families")
     counted = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / FAMILY_NODES), F.ceil(F.sum("size") / FAMILY_SHINGLES)).cast("int").alias("parts"))
-    # at most a row for every FAMILY_NODES nodes or FAMILY_SHINGLES shingles
-    large = F.broadcast(counted.where("parts > 1"))
+    large = counted.where("parts > 1")
     parts = F.coalesce("parts", F.lit(1))
     placed = families.join(large, "family", "left").withColumn("block", F.pmod(F.xxhash64("fp"), parts.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     placed = placed.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "fp", "code", "_id", "_key")
@@ -440,21 +438,21 @@ def verified_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, words: int = 1, similarity: float | None = None) -> DataFrame:
     """One row per document: doc_id, key, fp, label (one fingerprint of its component), component_id (the least doc_id that links reach).
 
-    similarity: links are pairs of at least this Jaccard similarity of their distinct shingles, and fingerprints within the
-    radius only find them. A null text counts as empty; documents without words have fingerprint 0, which links like any
+    similarity: links are pairs of at least this Jaccard similarity of their distinct shingles; min-hashes and fingerprints
+    within the radius only find them. A null text counts as empty; documents without words have fingerprint 0, which links like any
     other. A null doc_id takes part but is never a component's id unless all of its ids are null. Repeated rows are all
     returned. Fingerprints that thousands of rows share are one node. Further columns are not read; an empty table gives
     an empty one.
     """
     held = materialize(fingerprints(docs, id_col, text_col, width, words, similarity is not None), "fingerprints")
     # texts of one fingerprint have one size but for rare chances; the larger then stands for both
-    rep = [] if similarity is None else [F.min(F.struct("doc_id", "key")).alias("rep")]
+    rep = [] if similarity is None else [F.min(F.struct("doc_id", "key")).alias("rep"), F.any_value("bands").alias("bands")]
     nodes = materialize(held.groupBy("fp", "code").agg(F.min("doc_id").alias("least"), F.max("size").alias("size"), *rep), "nodes")
     links = link_nodes(nodes, radius, words) if similarity is None else verified_links(docs, nodes, id_col, text_col, width, radius, words, similarity)
     labels = materialize(components(links), "labels")
     linked = labels.join(nodes, labels.node == nodes.fp).select("fp", "label", "least")
     least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = linked.join(least, "label").select("fp", "label", "component_id")
+    linked = rehashed(linked, least, "label").select("fp", "label", "component_id")
     # nodes that no link touches answer for themselves
     known = nodes.join(linked, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), F.coalesce("component_id", "least").alias("component_id"))
     # written first, so that Spark can split a fingerprint that very many documents share in the join
@@ -471,13 +469,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One document of each component, that with the least doc_id, with all its columns; a null id stays only where no other is.
 
     Links join documents of at least the Jaccard similarity of their distinct five-word shingles, verified exactly;
-    256-bit fingerprints at most NEAR_RADIUS bits apart find them.
+    min-hashes and 256-bit fingerprints at most NEAR_RADIUS bits apart find them.
     """
     groups = simhash_groups(docs, id_col, text_col, width, radius, words, similarity)
     first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
-    first = first.select(F.col("m.doc_id").alias("_id"), F.col("m.key").alias("_key"))
-    rows = docs.withColumn("_text_key", text_key(F.col(text_col)))
-    kept = rows.join(first, rows[id_col].cast("long").eqNullSafe(first["_id"]) & (rows["_text_key"] == first["_key"]))
+    first = first.select(F.col("m.doc_id").alias("first_id"), F.col("m.key").alias("first_key"))
+    # the documents' own columns travel in a struct, where no name can clash
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), text_key(docs[text_col].cast("string")).alias("key"))
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
     # rows that repeat an id and a text
-    once = Window.partitionBy("_id", "_key").orderBy("_key")
-    return kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").select(*[docs[c] for c in docs.columns])
+    once = Window.partitionBy("id", "key").orderBy("key")
+    return kept.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
