@@ -1,11 +1,12 @@
 """License notices in texts: fixed phrases, and an exact containment join of text blocks with notice templates.
 
-A block (a line, or a run of words over several lines, little longer than the template) and a template are sets of words. The join finds every block that holds at least `threshold` of a
-template's words. Template words are ordered by how many documents hold them, rarest first; a block can only reach the
-threshold if it holds a word of the template's prefix in that order (prefix filter), has enough distinct words (length
-filter), and still has enough of the order left behind the first shared word (positional filter). The templates and their
-prefix index are of fixed size and broadcast; the documents are never shuffled. Where notices differ by a word or two, the
-template that explains more of the block's words wins.
+A block (a line, or a run of words over several lines, little longer than the template) and a template are sets of words.
+The join finds every block that holds at least `threshold` of a template's words. Template words are ordered by how many
+documents hold them, rarest first; a block can only reach the threshold if it holds a word of the template's prefix in that
+order (prefix filter), has enough distinct words (length filter), and if behind the first shared word both the template and
+the block have enough words left (positional filter). The templates and their prefix index are of fixed size and broadcast;
+the documents are never shuffled. Where notices differ by a word or two, the template that explains more of the block's
+words wins.
 """
 
 from __future__ import annotations
@@ -49,6 +50,17 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc-by-nc", "This content is licensed under CC BY-NC 4.0."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0."),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("agpl", "under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("gfdl", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License"),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted without prior written permission"),
 )
 
@@ -84,7 +96,7 @@ class TemplateIndex:
         self.templates = []  # (label, words, least overlap)
         self.spans = []  # words that a notice over several lines may take
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}  # word -> (template, position)
-        names = {i: w for w, i in self.rank.items()}
+        self.names = names = {i: w for w, i in self.rank.items()}
         for label, t in templates:
             order = sorted({self.rank[w] for w in words_of(t.encode())})
             if not order:
@@ -96,23 +108,32 @@ class TemplateIndex:
             self.spans.append(math.ceil(len(words_of(t.encode())) / threshold - 1e-9))
         self.vocabulary = words
 
+    def candidates(self, block: set[bytes]) -> list[int]:
+        """The templates that pass the prefix, length and positional filters, in their order."""
+        order = sorted(self.rank[w] for w in block if w in self.rank)
+        passed: set[int] = set()
+        seen: set[int] = set()
+        for at, r in enumerate(order):
+            for t, position in self.prefix.get(self.names[r], ()):
+                if t in seen:
+                    continue
+                seen.add(t)
+                _, words, least = self.templates[t]
+                # the first word that both hold: what they share stands behind it in both
+                if len(block) >= least and min(len(words) - position, len(order) - at) >= least:
+                    passed.add(t)
+        return sorted(passed)
+
     def matches(self, block: set[bytes]) -> list[tuple[int, float]]:
         """(template, containment) of every template that the block holds far enough."""
-        first: dict[int, int] = {}
-        for w in self.prefix.keys() & block:
-            for t, position in self.prefix[w]:
-                first[t] = min(position, first.get(t, position))
         found = []
-        for t, position in sorted(first.items()):
+        for t in self.candidates(block):
             _, words, least = self.templates[t]
-            if len(block) < least or len(words) - position < least:
-                continue
             shared = len(words & block)
             if shared >= least:
                 found.append((t, shared / len(words)))
         return found
 
-
     def windows(self, words: list[bytes], starts: list[int]) -> list[tuple[int, int, int, float]]:
         """(template, first word, end, containment) of runs over several lines that hold a template far enough.
 

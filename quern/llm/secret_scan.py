@@ -13,6 +13,7 @@ import hashlib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -84,7 +85,7 @@ def candidates(text: str, reach: int) -> Iterator[tuple[int, int, list[tuple[int
         else:
             lows.append(a)
             highs.append(b)
-    starts = [a for a, _ in words]
+    starts, block_starts = [a for a, _ in words], [a for a, _ in blocks]
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         k = bisect_right(lows, b) - 1
@@ -97,7 +98,8 @@ def candidates(text: str, reach: int) -> Iterator[tuple[int, int, list[tuple[int
                 parts.append((at, x))
                 at = y
         parts = [(x, y) for x, y in [*parts, (at, b)] if y - x >= 16] if parts else []
-        yield a, b, parts, any(x <= a and b <= y for x, y in blocks)
+        k = bisect_right(block_starts, a) - 1
+        yield a, b, parts, k >= 0 and b <= blocks[k][1]
     for a, b in blocks:
         for m in BLOCK_LINE.finditer(text, a, b):
             if m.end(1) - m.start(1) < 16:
@@ -105,15 +107,20 @@ def candidates(text: str, reach: int) -> Iterator[tuple[int, int, list[tuple[int
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int, context: int, least: float) -> list[tuple[int, int, int]]:
-    """Candidates that add at least `least` bytes a character and don't lie in a taken span; else their parts that do."""
+    """Candidates that add at least `least` bytes a character and don't lie in a taken span; else their parts that do.
+
+    taken: sorted.
+    """
     found = []
 
     def novel(a: int, b: int, key: bool) -> bool:
-        if any(x <= a and b <= y for x, y in covered) or not key and wordlike(text[a:b]):
+        k = bisect_right(starts, a)
+        if k and reach_of[k - 1] >= b or not key and wordlike(text[a:b]):
             return False
         return novelty(text[a:b], text[max(0, a - context) : a], text[b : b + context]) >= least
 
-    covered = [(x, y) for x, _, y in taken]
+    # the furthest end of all spans up to each start
+    starts, reach_of = [x for x, _, _ in taken], list(accumulate((y for _, _, y in taken), max))
     for a, b, parts, key in candidates(text, reach):
         found += [(a, 3, b)] if novel(a, b, key) else [(x, 3, y) for x, y in parts if novel(x, y, key)]
     return found

@@ -301,6 +301,26 @@ def test_set_similarity_join_is_exact():
             assert index.matches(block) == [(k, s) for k, s in want if s >= threshold - 1e-12]
 
 
+def test_positional_filter_prunes():
+    """It passes over blocks that the prefix and length filters let through, by places in the template and in the block."""
+    words = [b"w%02d" % i for i in range(10)]
+    index = license_scan.TemplateIndex([("t", " ".join(w.decode() for w in words))], {w: i for i, w in enumerate(words)}, 0.8)
+    filler = {b"x%d" % i for i in range(20)}
+    assert set(index.prefix) == set(words[:3])
+    # the third word is in the prefix, but with it and what follows in the block too few are left
+    assert index.candidates({words[2], words[4], words[5]} | filler) == []
+    assert index.candidates(set(words[2:9]) | filler) == [] and index.candidates(set(words[2:]) | filler) == [0]
+    rnd = random.Random(5)
+    passed = prefix = 0
+    for _ in range(500):
+        block = set(rnd.sample(words, rnd.randint(1, 9))) | filler
+        prefix += bool(block & set(index.prefix))
+        got = index.candidates(block)
+        passed += len(got)
+        assert bool(index.matches(block)) == (len(block & set(words)) >= 8) and (got or len(block & set(words)) < 8)
+    assert passed < prefix / 2
+
+
 def test_license_notices_of_short_forms_and_over_lines(spark):
     mit = "Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files (the Software)"
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
@@ -452,6 +472,45 @@ def test_secrets_on_both_sides_and_in_key_blocks():
         assert secret_scan.masked(text, secret_scan.scan_text(text), "#") == "see\n-----BEGIN RSA PRIVATE KEY-----\n" + "#\n" * len(lines) + end
 
 
+def test_novel_spans_by_brute_force():
+    """Candidates, covered ones and novelty worked out anew, token by token."""
+    import re
+
+    import zstandard
+
+    rnd = random.Random(12)
+    sensitive = re.compile(r"secret|token|passw|pwd|api.?key|auth|bearer|credential|private.?key|access.?key|signature", re.IGNORECASE | re.ASCII)
+
+    def novel(text, a, b):
+        level = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(f"{secret_scan.IDENTIFIERS} {text[b : b + 256]} {text[max(0, a - 256) : a]}".encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+        return len(level.compress(text[a:b].encode())) - len(level.compress(b"")) >= 0.6 * (b - a)
+
+    found = 0
+    for _ in range(150):
+        parts = []
+        for _ in range(rnd.randint(1, 14)):
+            kind = rnd.randrange(6)
+            key = base64.b64encode(rnd.randbytes(rnd.randint(9, 30))).decode()
+            parts.append([key, f"password={key}", "the token", "plain words of a text that go on for a while, " * rnd.randint(0, 3), "abcdefghijklmnopqrstuvwxyz0123456789", f"{rnd.getrandbits(110):028x}"][kind])
+        text = " ".join(parts)
+        base = secret_scan.base_spans(text)
+        want = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text):
+            a, b = m.span()
+            if sensitive.search(m[0]) or not any(x.start() - 64 <= b and a <= x.end() + 64 for x in sensitive.finditer(text)):
+                continue
+            letters = [c.isupper() for c in m[0] if c.isalpha()]
+            words = not any(c.isdigit() for c in m[0]) and sum(x != y for x, y in zip(letters, letters[1:], strict=False)) < 0.3 * len(letters)
+            if not words and not any(x <= a and b <= y for x, _, y in base) and novel(text, a, b):
+                want.append((a, 3, b))
+        got = [x for x in secret_scan.scan_text(text) if x[1] == 3 and not sensitive.search(text[x[0] : x[2]])]
+        own = {m.span() for m in re.finditer("[A-Za-z0-9+/_=-]{16,}", text) if sensitive.search(m[0])}
+        got = [x for x in got if not any(a <= x[0] and x[2] <= b for a, b in own)]
+        assert got == want
+        found += len(want)
+    assert found > 50
+
+
 def test_redaction_keeps_columns(spark):
     df = spark.createDataFrame([(1, "password=hunter22", 17, "x"), (2, None, None, "y"), (3, "clean", 5, "z")], "doc_id long, text string, n_chars long, more string")
     got = secret_scan.redact_secrets(df)
