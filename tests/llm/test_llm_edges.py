@@ -3,7 +3,9 @@
 import base64
 import collections
 import hashlib
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -703,11 +705,54 @@ def test_toxicity_edges(spark, docs, none):
 def test_training_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")
     texts = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
-    seen = {}
-    original = toxicity.fit_model
-    try:
-        toxicity.fit_model = lambda t, y, **k: seen.update(n=len(t), ones=int(y.sum())) or original(t, y, **k)
-        toxicity.fit(texts, labels, max_rows=50)
-    finally:
-        toxicity.fit_model = original
-    assert seen["n"] == 50 and 20 <= seen["ones"] <= 25 or seen["ones"] <= 40
+    inside = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    positive = sum(i % 10 == 0 for i in inside)
+    for most, ones in ((50, 25), (60, 30), (200, positive), (10**6, positive)):
+        sample, prior = toxicity.training_sample(texts, labels, "toxic", most, 5)
+        got = sample.collect()
+        assert len(got) == min(most, len(inside)) and sum(r.y for r in got) == ones and {r.doc_id for r in got} <= set(inside)
+        assert prior == (positive + 0.5) / (len(inside) + 1)
+
+
+def test_training_rows_that_repeat(spark):
+    """Of labels the largest counts, of documents the least text; the bound holds with many repeated rows."""
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:20]
+    labels = spark.createDataFrame([(i, y) for i in ids for y in ((0, 1, 0) if i == ids[0] else (0, 0, None))], "doc_id long, toxic int")
+    texts = spark.createDataFrame([(i, t) for i in ids for t in ("b", "a", None, "c") * 5], "doc_id long, text string")
+    sample, prior = toxicity.training_sample(texts, labels, "toxic", 10, 5)
+    got = sample.collect()
+    assert len(got) == 10 and {r.text for r in got} == {"a"} and [r.doc_id for r in got if r.y] == [ids[0]] and prior == 1.5 / 21
+
+
+def test_scores_by_brute_force(spark):
+    """The fit over executors equals that in one process, features and scores equal plain loops over characters."""
+    rnd = random.Random(10)
+    words = ["calm", "quiet", "Grumblefink", "horrid", "note", "élan", "morning", "snarl"]
+    rows = [(i, " ".join(rnd.choices(words[:5] if i % 3 else words[2:], k=rnd.randint(0, 30))), int(i % 3 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    inside = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    plain = toxicity.fit_model([t for _, t, _ in inside], np.array([y for *_, y in inside]))
+    assert (model.keep == plain.keep).all() and np.allclose(model.weights, plain.weights) and np.isclose(model.bias, plain.bias) and model.keep.sum() > 50
+
+    def hashes(text):
+        x, out = [ord(c) for c in f" {text.lower()} ".replace("\n", " ")], set()
+        for n in (4, 5, 6, 7):
+            for a in range(len(x) - n + 1):
+                h = 0
+                for c in x[a : a + n]:
+                    h = (h * 0x01000193 + c) % 2**32
+                out.add(((h ^ n * 0x85EBCA6B % 2**32) * 0x9E3779B1 % 2**32) >> 12)
+        return out
+
+    held = [hashes(t) for _, t, _ in inside]
+    ones = collections.Counter(h for s, (*_, y) in zip(held, inside, strict=True) if y for h in s)
+    zeros = collections.Counter(h for s, (*_, y) in zip(held, inside, strict=True) if not y for h in s)
+    n1 = sum(y for *_, y in inside)
+    for h in list(ones | zeros)[:2000]:
+        ratio = math.log((ones[h] + 0.5) / (n1 + 1) / ((zeros[h] + 0.5) / (len(inside) - n1 + 1)))
+        z = abs(ratio) / math.sqrt(1 / (ones[h] + 1) + 1 / (zeros[h] + 1))
+        assert abs(z - 3) < 1e-9 or model.keep[h] == (z >= 3 and max(ones[h], zeros[h]) >= 3)
+    for r in toxicity.toxicity_scores(docs, model).collect():
+        z = model.bias + sum(float(np.float32(model.weights[h])) for h in hashes(rows[r.doc_id][1]) if model.keep[h])
+        assert math.isclose(r.score, 1 / (1 + math.exp(-z)), abs_tol=1e-6) and r.predicted == (r.score >= 0.5)
