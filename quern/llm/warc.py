@@ -1,7 +1,8 @@
 """Deterministic sharded WARC archives: writer and reader.
 
-Records are range-sorted by id. The ranges come from exact counts, so the same table gives the same shards wherever and
-however often it runs. A task streams one shard, rolls files by their compressed size, and builds every header and digest
+Records are range-sorted by id, then by the payload's digest. The ranges hold about equal bytes; their bounds come from a
+sample that a hash of the keys draws, so the same table gives the same shards wherever and however often it runs. A task
+streams one shard, rolls files by their compressed size, and builds every header and digest
 anew. Files are written under temporary names that hold the attempt; what the successful attempts report is committed as
 a table by Spark; files then get their final names; a manifest table, written last, is the commit. Readers open what the
 manifest lists, check each file's size, and each record's digests.
@@ -20,13 +21,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import filesystem, map_batches
+from quern.llm.common import filesystem, map_batches, rehashed
 
-#: Ranges that one pass of counting cuts each crowded range into, and crowded ranges that one pass takes.
-CUTS, CROWDED = 1024, 512
+#: Keys that the sample for the bounds holds at most, about, and shards at most: both reach the driver.
+SAMPLE_KEYS, MOST_SHARDS = 1 << 19, 1 << 15
+#: Bytes of a record besides its payload, about.
+RECORD_BYTES = 600
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -34,35 +37,31 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def range_starts(ids: DataFrame, rows_per_shard: int) -> list[int]:
-    """Least ids of the shards after the first: consecutive ranges of about rows_per_shard rows. ids: one long column, id.
+def range_key(page_id: Column, sha1: Column) -> Column:
+    """Text whose order is that of (id, nulls first; digest)."""
+    turned = F.hex(F.bitwise_not(page_id).bitwiseXOR(F.lit((1 << 63) - 1)))  # the sign bit flipped
+    return F.concat(F.coalesce(F.concat(F.lit("1"), F.lpad(turned, 16, "0")), F.lit("0" * 17)), sha1)
 
-    Counts per range reach the driver, never rows. A range is cut again until it is small enough or is a single id.
+
+def range_starts(rows: DataFrame, shard_bytes: int, sample_keys: int = SAMPLE_KEYS, most_shards: int = MOST_SHARDS) -> list[str]:
+    """Least keys of the shards after the first: ranges of about shard_bytes, more where shards would be too many. rows: key, bytes.
+
+    One pass sums the bytes, a second adds up those of every key that its hash puts into the sample. A shard stands for 16
+    sampled keys at least where there are so many. The rows of one key stay together.
     """
-    low, high, n = ids.agg(F.min("id"), F.max("id"), F.count("id")).first()
-    if not n or n <= rows_per_shard:
+    total, n = rows.agg(F.sum("bytes"), F.count("*")).first()
+    shards = min(most_shards, -(-(total or 0) // shard_bytes))
+    if shards <= 1:
         return []
-    todo, done = [(low, high)], []
-    while todo:
-        now, todo = todo[:CROWDED], todo[CROWDED:]
-        width = [max(1, -(-(b - a + 1) // CUTS)) for a, b in now]
-        array = lambda xs: F.array(*[F.lit(x).cast("decimal(20,0)") for x in xs])
-        at = F.size(F.filter(array([a for a, _ in now]), lambda x: x <= F.col("id")))
-        rows = ids.where("id is not null").withColumn("r", at).where("r > 0")
-        rows = rows.withColumn("start", F.element_at(array([a for a, _ in now]), F.col("r"))).withColumn("w", F.element_at(array(width), F.col("r")))
-        rows = rows.where(F.col("id") <= F.element_at(array([b for _, b in now]), F.col("r")))
-        counted = rows.groupBy("r", F.floor((F.col("id") - F.col("start")) / F.col("w")).cast("long").alias("k")).count().collect()
-        for r in counted:
-            (a, b), w = now[r.r - 1], width[r.r - 1]
-            x, y = a + r.k * w, min(b, a + (r.k + 1) * w - 1)
-            (todo if r["count"] > rows_per_shard and x < y else done).append((x, y) if r["count"] > rows_per_shard and x < y else (x, r["count"]))
-        todo.sort()
+    rate = min(1.0, sample_keys / n)
+    drawn = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(np.ceil(rate * (1 << 20)))).groupBy("key").agg(F.sum("bytes").alias("bytes"))
+    sample = sorted(map(tuple, drawn.collect()))
+    share = sum(x for _, x in sample) / shards
     starts, held = [], 0
-    for x, count in sorted(done):
-        if held and held + count > rows_per_shard:
-            starts.append(x)
-            held = 0
-        held += count
+    for key, size in sample:
+        if held and held + size / 2 >= share * (len(starts) + 1):
+            starts.append(key)
+        held += size
     return starts
 
 
@@ -141,7 +140,7 @@ def write_warc(
     id_col: str = "page_id",
     url_col: str = "url",
     html_col: str = "html",
-    rows_per_shard: int = 4096,
+    shard_bytes: int = 16 << 20,
     roll_bytes: int = 64 << 20,
     least_revisit_bytes: int = 0,
     level: int = 4,
@@ -152,28 +151,29 @@ def write_warc(
     The payload is the html in UTF-8 (null: empty). Of records with equal payloads of at least least_revisit_bytes, the
     one with the largest id is a response and the others revisit it. A null id sorts below all ids. Rows that repeat an id
     and a payload: the first is the response if their id is the largest, the rest revisit it. Further columns are not
-    read; an empty table gives an empty manifest. Records of one id range go to one shard, a shard's files follow each
-    other.
+    read; an empty table gives an empty manifest. Records of one range go to one shard, a shard's files follow each other;
+    rows of one id, or without any, are dealt to several shards by their payloads' digests. Rows that repeat both an id and
+    a payload stay in one shard, which streams them. At most MOST_SHARDS bounds are broadcast.
     """
     spark, header = pages.sparkSession, header or Header()
     fs_folder = folder.rstrip("/")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
-    narrow = rows.select("page_id", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n")).where(F.col("n") >= least_revisit_bytes)
-    several = narrow.groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("rows")).where("rows > 1").select("sha1", "response")
-    marks = narrow.join(several, "sha1").where("response is not null and (page_id is null or page_id < response)").select("page_id", "sha1", "response").distinct()
-    starts = range_starts(rows.select(F.col("page_id").alias("id")), rows_per_shard)
-    held = spark.sparkContext.broadcast(np.array(starts, np.int64))
+    narrow = rows.select("page_id", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("n"))
+    asked = narrow.where(F.col("n") >= least_revisit_bytes).select("page_id", "sha1")
+    several = asked.groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("rows")).where("rows > 1").select("sha1", "response")
+    marks = rehashed(asked, several, "sha1").where("response is not null and (page_id is null or page_id < response)").select("page_id", "sha1", "response").distinct()
+    starts = range_starts(narrow.select(range_key(F.col("page_id"), F.col("sha1")).alias("key"), (F.col("n") + RECORD_BYTES).alias("bytes")), shard_bytes)
+    held = spark.sparkContext.broadcast(np.array(starts, "S57"))
 
     @F.pandas_udf("int")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        out = np.zeros(len(ids), np.int32)
-        out[known] = np.searchsorted(held.value, ids[known].astype("int64").to_numpy(), side="right")
-        return pd.Series(out)
+    def shard_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held.value, keys.to_numpy().astype("S57"), side="right").astype(np.int32))
 
     both = rows.select("page_id", F.sha1("payload").alias("sha1"), F.lit(1).alias("place"), "url", "payload", F.lit(None).cast("long").alias("response"))
     both = both.unionAll(marks.select("page_id", "sha1", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("binary"), "response"))
-    dealt = both.withColumn("shard", shard_of("page_id")).repartitionById(len(starts) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "place")
+    both = both.withColumn("shard", shard_of(range_key(F.col("page_id"), F.col("sha1"))))
+    # of rows that repeat an id and a payload the first by URL comes first, however they were dealt
+    dealt = both.repartitionById(len(starts) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha1", "place", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = filesystem(fs_folder)

@@ -114,7 +114,7 @@ def test_warc_round_trip(spark):
     rows = [(i, f"http://a.org/{i}\r\nX: y", f"<p>{i % 7} é</p>" * (i % 5)) for i in range(300)]
     rows += [(None, None, None), (None, "u", "<p>only</p>"), (299, "http://again", rows[299][2]), (500, "http://long", "z" * 300_000), (501, "u", "z" * 300_000)]
     folder = f"{shared_dir(spark)}/w"
-    manifest = warc.write_warc(pages(spark, rows), folder, rows_per_shard=64, roll_bytes=3000)
+    manifest = warc.write_warc(pages(spark, rows), folder, shard_bytes=64 * 700, roll_bytes=3000)
     assert manifest.count() > 5
     got = warc.read_warc(spark, folder).collect()
     assert len(got) == len(rows)
@@ -140,7 +140,7 @@ def test_warc_is_deterministic_and_checked(spark):
     held = []
     for n in (1, 5):
         folder = f"{shared_dir(spark)}/w"
-        warc.write_warc(pages(spark, rows).repartition(n), folder, rows_per_shard=50, roll_bytes=2000)
+        warc.write_warc(pages(spark, rows).repartition(n), folder, shard_bytes=50 * 1000, roll_bytes=2000)
         fs, path = warc.filesystem(folder)
         names = sorted(r.name for r in spark.read.parquet(f"{folder}/manifest").collect())
         held.append([(x, open(f"{path}/{x}", "rb").read()) for x in names])
@@ -154,11 +154,26 @@ def test_warc_is_deterministic_and_checked(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
-def test_range_starts_split_crowded_ranges(spark):
-    ids = spark.createDataFrame([(10**15 + i,) for i in range(500)] + [(i * 10**6,) for i in range(20)] + [(7,)] * 30 + [(None,)], "id long")
-    starts = warc.range_starts(ids, 100)
-    counts = collections.Counter(sum(s <= r.id for s in starts) for r in ids.where("id is not null").collect())
-    assert starts == sorted(set(starts)) and max(counts.values()) <= 100 and len(counts) >= 5
+def test_ranges_hold_about_equal_bytes(spark):
+    """Clustered ids, a third of all rows without an id, a third of one id: shards stay near their size, in the order of keys."""
+    rnd = random.Random(11)
+    ids = [None] * 1000 + [7] * 1000 + [10**15 + i for i in range(500)] + [-(10**12) * i for i in range(500)]
+    made = [(i, hashlib.sha1(str(k).encode()).hexdigest(), rnd.randint(100, 3000)) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(made, "id long, sha1 string, bytes long")
+    rows = df.select("id", "sha1", warc.range_key(F.col("id"), F.col("sha1")).alias("key"), "bytes").collect()
+    by_key = sorted(rows, key=lambda r: r.key)
+    assert [(r.id, r.sha1) for r in by_key] == [(i, h) for i, h, _ in sorted(made, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))]
+    keyed = spark.createDataFrame([(r.key, r.bytes) for r in rows], "key string, bytes long")
+    total = sum(r.bytes for r in rows)
+    for most, sample, spread in ((1 << 15, 1 << 19, 1.2), (12, 1 << 19, 1.2), (1 << 15, 1500, 2.0)):
+        starts = warc.range_starts(keyed, total // 20, sample, most)
+        assert starts == warc.range_starts(keyed.repartition(7), total // 20, sample, most) == sorted(set(starts))
+        held = collections.Counter()
+        for r in rows:
+            held[sum(s <= r.key for s in starts)] += r.bytes
+        shards = min(most, 21)
+        assert shards - 2 <= len(held) <= shards and max(held.values()) < spread * total / shards
+    assert warc.range_starts(keyed.where("false"), 100) == []
 
 
 # -- 3
