@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -12,11 +15,27 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir; a local session without the setting gets a temporary one, a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quern-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+    made = f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+    _MADE.append(made)
+    return made
+
+
+#: Folders that this process has handed out.
+_MADE: list[str] = []
+
+
+def discard(spark: SparkSession) -> int:
+    """Delete the folders handed out so far and return their number; for a session that is done with their tables' readers."""
+    n = len(_MADE)
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
