@@ -46,8 +46,8 @@ def _most(x: np.ndarray) -> float:
 class _Block:
     """The sorted lists of a block of rows, cut at DEPTH from either end, as four tables for each end.
 
-    For a row in a list: the most that its component can be, the component if it was read (else 0), the least that its
-    square can be, and whether it lies beyond what was read.
+    For a row in a list: the most that its component can be, the least that its square can be, the component if it was read
+    (else 0), and whether it lies beyond what was read.
     """
 
     def __init__(self, x: np.ndarray):
@@ -61,22 +61,25 @@ class _Block:
     @staticmethod
     def _tables(y: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, ...]:
         beyond = y < edge
-        return np.maximum(y, edge), np.where(beyond, 0.0, y), np.where(beyond, np.minimum(edge, 0.0), y) ** 2, beyond.astype(np.float64)
+        return np.maximum(y, edge), np.where(beyond, np.minimum(edge, 0.0), y) ** 2, np.where(beyond, 0.0, y), beyond.astype(np.float64)
 
-    def read(self, sign: np.ndarray, lists: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
-        """The four tables of some rows in some lists, each read from the end that the sign favours."""
+    def read(self, sign: np.ndarray, lists: np.ndarray, rows: np.ndarray, all_four: bool) -> Iterator[np.ndarray]:
+        """The tables (else the first two) of some rows in some lists, each read from the end that the sign favours."""
         at = (lists + self.x.shape[1] * (sign < 0))[:, None]
-        return (t[at, rows] for t in self.both)
+        return (t[at, rows] for t in (self.both if all_four else self.both[:2]))
 
-    def bounds(self, queries: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, ...]:
-        """For each query and row, over the query's lists: the most and the least of what was read, its square, the squared weights beyond."""
+    def bounds(self, queries: np.ndarray, lists: np.ndarray, all_four: bool) -> tuple[np.ndarray, ...]:
+        """For each query and row, over the query's lists: the most, the square, then (else zeros) the sum read and the squared weights beyond."""
         mask = np.zeros(queries.shape)
         np.put_along_axis(mask, lists, 1.0, axis=1)
         low = queries < 0
         weight = [np.where(low, 0.0, mask * queries), np.where(low, -mask * queries, 0.0)]
         part = [np.where(low, 0.0, mask), np.where(low, mask, 0.0)]
         one = lambda k, w: w[0] @ self.ends[0][k] + w[1] @ self.ends[1][k]
-        return one(0, weight), one(1, weight), one(2, part), one(3, [w * w for w in weight])
+        most, square = one(0, weight), one(1, part)
+        if not all_four:
+            return most, square, np.broadcast_to(0.0, most.shape), np.broadcast_to(0.0, most.shape)
+        return most, square, one(2, weight), one(3, [w * w for w in weight])
 
 
 class Search:
@@ -98,7 +101,7 @@ class Search:
         block = _Block(x.astype(np.float64))
         stops = [*dict.fromkeys(int(np.ceil(share * d)) for share in STOPS)]
         for a in range(0, len(self.q), 256):
-            first = block.bounds(self.q[a : a + 256], self.lists[a : a + 256, : stops[0]])
+            first = block.bounds(self.q[a : a + 256], self.lists[a : a + 256, : stops[0]], bool(np.isinf(self.threshold[a : a + 256]).any()))
             for j, *held in zip(range(a, len(self.q)), *first, strict=False):
                 rows = np.flatnonzero(ids != self.own[j])
                 rows = self._candidates(j, block, stops, rows, *(h[rows] for h in held))
@@ -108,24 +111,29 @@ class Search:
                     self._keep(j, ids[rows], (block.x[rows] @ self.q[j]).astype(np.int64))
         return None
 
-    def _candidates(self, j: int, block: _Block, stops: list[int], rows: np.ndarray, upper: np.ndarray, lower: np.ndarray, found: np.ndarray, unseen: np.ndarray) -> np.ndarray:
+    def _candidates(self, j: int, block: _Block, stops: list[int], rows: np.ndarray, upper: np.ndarray, found: np.ndarray, lower: np.ndarray, unseen: np.ndarray) -> np.ndarray:
         """The rows that can still be among query j's best once these are few or all lists are read."""
         lists, few = self.lists[j], max(2 * self.k, len(block.x) // 64)
         rest = np.append(np.cumsum((self.weight[j, lists] ** 2)[::-1])[::-1], 0.0)  # squared weights of the lists from each on
         slack = 1 + 1e-9 * np.sqrt(rest[0] * block.squares.max(initial=0.0))
+        fresh = np.isinf(self.threshold[j])  # lower bounds make a query's first threshold, then scores do
         for before, at in zip([0, *stops], stops, strict=False):
             if before:
                 now = lists[before:at]
-                up, low, square, beyond = block.read(np.sign(self.q[j, now]), now, rows)
+                up, square, *rest_of = block.read(np.sign(self.q[j, now]), now, rows, fresh)
                 weight = self.weight[j, now]
-                upper, lower, found, unseen = upper + weight @ up, lower + weight @ low, found + square.sum(axis=0), unseen + weight**2 @ beyond
+                upper, found = upper + weight @ up, found + square.sum(axis=0)
+                if fresh:
+                    lower, unseen = lower + weight @ rest_of[0], unseen + weight**2 @ rest_of[1]
             self.read += block.depth * (at - before)
             reach = np.sqrt(np.maximum(block.squares[rows] - found, 0.0))
-            if len(rows) >= self.k:
+            if fresh and len(rows) >= self.k:
                 sure = lower - reach * np.sqrt(rest[at] + unseen) - slack
                 self.threshold[j] = max(self.threshold[j], float(np.partition(sure, len(rows) - self.k)[len(rows) - self.k]))
             can = upper + reach * np.sqrt(rest[at]) + slack >= self.threshold[j]
-            rows, upper, lower, found, unseen = rows[can], upper[can], lower[can], found[can], unseen[can]
+            rows, upper, found = rows[can], upper[can], found[can]
+            if fresh:
+                lower, unseen = lower[can], unseen[can]
             if len(rows) <= few:
                 break
         return rows
