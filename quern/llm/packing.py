@@ -215,7 +215,7 @@ class WordEncoder:
                     out[i] = np.array(e.ids, "<u4").tobytes()
                 return
             found = self._find(key)
-        other = self._others(low, first, last, found)
+        other = self._others(low[kind != BLANK], last - first, found)
         if len(other):
             for k in np.unique(np.searchsorted(stops, first[other], side="right")).tolist():
                 whole[k] = self.tokenizer.encode(texts[rows[k]], add_special_tokens=False)
@@ -249,15 +249,14 @@ class WordEncoder:
             wrong = wrong[(place[wrong] >= 0) & (self.keys[place[wrong]] != key[wrong])]
         return place
 
-    def _others(self, low: np.ndarray, first: np.ndarray, last: np.ndarray, found: np.ndarray) -> np.ndarray:
-        """The runs that are not, character by character, those that the table holds under their hashes."""
-        size, own = last - first, self.char_length[found]
-        wrong = size != own
-        size = np.where(wrong, 0, size)
+    def _others(self, chars: np.ndarray, size: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """The runs that are not, character by character, those that the table holds under their hashes. chars: of all runs, in order."""
+        wrong = size != self.char_length[found]
         stop = np.cumsum(size)
-        total = int(stop[-1]) if len(stop) else 0
-        step = np.arange(total)
-        differ = low[np.repeat(first - stop + size, size) + step] != self.chars[np.repeat(self.char_start[found] - stop + size, size) + step]
+        # a wrong size reads some other characters, within the table
+        held = np.repeat((np.where(wrong, 0, self.char_start[found]) - stop + size).astype(np.int32), size)
+        held += np.arange(len(chars), dtype=np.int32)
+        differ = chars != self.chars[np.minimum(held, len(self.chars) - 1, out=held)]
         if differ.any():
             wrong[np.searchsorted(stop, np.flatnonzero(differ), side="right")] = True
         return np.flatnonzero(wrong)
