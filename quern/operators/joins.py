@@ -7,11 +7,16 @@ skewed buckets; a plain range condition would make it compare every pair.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.rank import top_k
 from quern.storage import materialize
 
 
@@ -88,9 +93,17 @@ def adaptive_band_join(left: DataFrame, right: DataFrame, left_key: str, right_k
 
 
 def _wide(left: DataFrame, right: DataFrame, left_value: str, right_value: str, w: float, inside: Column) -> DataFrame:
-    """Windows from 0 on: few rows are left by then, and each takes nearly the whole other side."""
-    low = F.col(left_value) * F.lit(1 - w)
-    return left.join(right, inside & (F.col(right_value) >= low))
+    """Windows that reach down to 0 and below: an equi-join on the powers of two that the window covers, -2000 for 0 and less.
+
+    Such a window takes nearly all of the other side below its end, so the result itself is of that size.
+    """
+    low, high = F.col(left_value) * F.lit(1 - w), F.col(left_value) * F.lit(1 + w)
+    power = lambda x: F.when(x > 0, F.greatest(F.floor(F.log2(x)), F.lit(-1999))).otherwise(F.lit(-2000)).cast("int")
+    held = right.where(F.col(right_value).isNotNull()).withColumn("_bucket", power(F.col(right_value)))
+    used = held.agg(F.collect_set("_bucket").alias("_used"))  # one row of at most 3,024 numbers
+    covered = F.filter("_used", lambda b: b <= power(high))
+    windows = left.where(F.col(left_value).isNotNull()).crossJoin(F.broadcast(used)).withColumn("_window", F.explode(covered)).drop("_used")
+    return windows.join(held, (F.col("_window") == F.col("_bucket")) & inside & (F.col(right_value) >= low)).drop("_window", "_bucket")
 
 
 def merged_intervals(df: DataFrame, group: list[str], low: str, high: str) -> DataFrame:
@@ -110,30 +123,111 @@ def bag_anti_join(left: DataFrame, right: DataFrame, keys: list[str], order: lis
     return kept.select(*[numbered[c] for c in left.columns])
 
 
-def nearest_join(left: DataFrame, right: DataFrame, left_key: str, left_value: str, right_value: str, span: float) -> DataFrame:
-    """left_key, left_value and distance to the nearest right value.
+#: Distinct values of a range, about, and ranges at most: their bounds reach the driver and are broadcast.
+RANGE_VALUES, MOST_RANGES = 1 << 16, 1 << 13
+
+
+def _bounds(values: DataFrame, name: str) -> np.ndarray:
+    """Least values of all ranges but the first, which cut the values about evenly."""
+    parts = min(MOST_RANGES, -(-values.count() // RANGE_VALUES))
+    if parts <= 1:
+        return np.zeros(0)
+    at = values.agg(F.percentile_approx(name, [k / parts for k in range(1, parts)], 20 * parts)).first()[0]
+    return np.unique(np.array(at, float))
+
+
+def _in_ranges(asked: DataFrame, values: DataFrame, ranges: int, answer, schema: str) -> DataFrame:
+    """answer(sorted values of a range, batch of rows asked there) of all ranges. asked: range, x, reach; values: range, x."""
+    both = values.select("range", F.lit(False).alias("asks"), "x", F.lit(0.0).alias("reach")).unionAll(asked.select("range", F.lit(True), "x", "reach"))
+    dealt = both.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "asks", "x")
 
-    Values fall into bins of `span`. A left row looks for its neighbours in its own bin; a per-bin table of least and
-    greatest right values, carried over empty bins, gives the neighbours beyond it. So no task sorts the whole line.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            where, asks, x, reach = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            for r in np.unique(where):  # sorted, as the rows are
+                if r != now:
+                    now, held = r, []
+                mine = where == r
+                held.append(x[mine & ~asks])
+                mine &= asks
+                if mine.any():
+                    held = [np.concatenate(held)]
+                    yield answer(held[0], x[mine], reach[mine])
+
+    return dealt.mapInArrow(run, schema)
+
+
+def nearest_values(left: DataFrame, right: DataFrame, left_value: str, right_value: str, k: int, rel: float | None = None, tie: float = 0.0) -> DataFrame:
+    """(m, v): each distinct left value with its k nearest distinct right values and those that are as far to within tie * m.
+
+    rel: only right values from m * (1 - rel) to m * (1 + rel). Nulls and NaN take no part. The right values are cut into
+    ranges of a bounded size. A left value first asks its own range how far its k-th neighbour is, then all ranges that this
+    distance touches, so tasks and pairs follow the two tables' sizes and never the product of a range's rows.
+    """
+    numbers = lambda df, c: df.select(F.col(c).cast("double").alias("x")).where("x is not null and not isnan(x)").distinct()
+    values = materialize(numbers(right, right_value), "values")
+    cuts = _bounds(values, "x")
+    ranges = len(cuts) + 1
+
+    def windows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (m * (1 - rel), m * (1 + rel)) if rel is not None else (np.full(len(m), -np.inf), np.full(len(m), np.inf))
+
+    @F.pandas_udf("int")
+    def range_of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, x.to_numpy(), side="right").astype(np.int32))
+
+    @F.pandas_udf("array<int>")
+    def ranges_of(x: pd.Series, reach: pd.Series) -> pd.Series:
+        m, r = x.to_numpy(), reach.to_numpy()
+        low, high = windows(m)
+        a, b = np.searchsorted(cuts, np.maximum(m - r, low), side="right"), np.searchsorted(cuts, np.minimum(m + r, high), side="right")
+        return pd.Series([np.arange(i, j + 1, dtype=np.int32) for i, j in zip(a, b, strict=True)])
+
+    def reach(held: np.ndarray, m: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
+        """The distance of the k-th neighbour in the own range, and a little more for ties; infinity where there are fewer."""
+        at = np.searchsorted(held, m)
+        near = np.arange(-k, k) + at[:, None]
+        low, high = windows(m)
+        there = (near >= 0) & (near < len(held))
+        v = held[np.clip(near, 0, max(0, len(held) - 1))] if len(held) else np.zeros(near.shape)
+        far = np.where(there & (v >= low[:, None]) & (v <= high[:, None]), np.abs(v - m[:, None]), np.inf)
+        d = np.partition(far, k - 1, axis=1)[:, k - 1]
+        d = np.sqrt(d * d + (tie * m) ** 2) * (1 + 1e-12)
+        return pa.record_batch([pa.array(m), pa.array(d)], ["x", "reach"])
+
+    def pairs(held: np.ndarray, m: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        low, high = windows(m)
+        a, b = np.searchsorted(held, np.maximum(m - d, low), side="left"), np.searchsorted(held, np.minimum(m + d, high), side="right")
+        size = np.maximum(b - a, 0)
+        stop = np.cumsum(size)
+        at = np.repeat(a - stop + size, size) + np.arange(int(stop[-1]))
+        return pa.record_batch([pa.array(np.repeat(m, size)), pa.array(held[at])], ["m", "v"])
+
+    own = values.select(range_of("x").alias("range"), "x")
+    asked = numbers(left, left_value).select(range_of("x").alias("range"), "x", F.lit(0.0).alias("reach"))
+    known = materialize(_in_ranges(asked, own, ranges, reach, "x double, reach double"), "reach")
+    again = known.select(F.explode(ranges_of("x", "reach")).alias("range"), "x", "reach")
+    return _in_ranges(again, own, ranges, pairs, "m double, v double")
+
+
+def band_top_k(left: DataFrame, right: DataFrame, left_key: str, left_value: str, right_value: str, rel: float, k: int, score: Column, order: str, tie: float) -> DataFrame:
+    """The k right rows of highest score for each left row, of those in its relative window, with score and rank; ties to lesser `order`.
+
+    score must not rise with the distance of the values; scores may be equal where distances agree to within tie * value.
     """
-    right_bins = right.where(F.col(right_value).isNotNull()).select(F.floor(F.col(right_value) / span).alias("bin"), F.col(right_value).cast("double").alias("v"))
-    edge = right_bins.groupBy("bin").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    rows = left.select(left_key, F.col(left_value).cast("double").alias("v"), F.floor(F.col(left_value) / span).alias("bin"))
-    asked = rows.select("bin").distinct()
-    # one row per bin, however many rows a bin has
-    bins = edge.join(asked, "bin", "full")
-    line = Window.orderBy("bin")
-    bins = bins.withColumn("below", F.last("high", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1)))
-    bins = bins.withColumn("above", F.first("low", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)))
-    own = rows.select(left_key, "v", "bin", F.lit(1).alias("asks")).unionAll(right_bins.select(F.lit(None).alias(left_key), "v", "bin", F.lit(0)))
-    near = Window.partitionBy("bin").orderBy("v", "asks")
-    far = Window.partitionBy("bin").orderBy(F.col("v").desc(), "asks")
-    value = F.when(F.col("asks") == 0, F.col("v"))
-    own = own.withColumn("before", F.last(value, ignorenulls=True).over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    own = own.withColumn("after", F.last(value, ignorenulls=True).over(far.rowsBetween(Window.unboundedPreceding, 0))).where("asks = 1")
-    own = own.join(bins.select("bin", "below", "above"), "bin")
-    gap = F.least(F.abs(F.col("v") - F.coalesce("before", "below")), F.abs(F.coalesce("after", "above") - F.col("v")))
-    return own.select(left_key, F.col("v").alias(left_value), gap.alias("distance"))
+    few = top_k(right.where(F.col(right_value).isNotNull()), [right_value], [F.col(order)], k).drop("rank")
+    near = materialize(nearest_values(left, right, left_value, right_value, k, rel, tie), "near").withColumnsRenamed({"m": "_m", "v": "_v"})
+    pairs = left.join(near, F.col(left_value).cast("double") == F.col("_m")).join(few, F.col("_v") == F.col(right_value).cast("double")).drop("_m", "_v")
+    return top_k(pairs.withColumn("score", score), [left_key], [F.col("score").desc(), F.col(order)], k)
+
+
+def nearest_join(left: DataFrame, right: DataFrame, left_key: str, left_value: str, right_value: str) -> DataFrame:
+    """left_key, left_value and distance to the nearest right value; null where there is none."""
+    near = nearest_values(left, right, left_value, right_value, 1)
+    found = materialize(near.groupBy(F.col("m").alias("_m")).agg(F.min(F.abs(F.col("v") - F.col("m"))).alias("_distance")), "nearest")
+    rows = left.select(left_key, F.col(left_value).cast("double").alias(left_value))
+    return rows.join(found, F.col(left_value) == F.col("_m"), "left").select(left_key, left_value, F.col("_distance").alias("distance"))
 
 
 def any_shift_semi_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, shifts: list[float], rel: float, slack: float) -> DataFrame:

@@ -52,12 +52,42 @@ def test_optional_equality_with_nulls(spark):
     assert [r.k for r in rows.select(joins.optional_equal(F.col("a"), F.col("b")).alias("k")).collect()] == [True, True, True, False]
 
 
-def test_nearest_join(spark):
+@pytest.mark.parametrize("size", [3, 1 << 16])
+def test_nearest_join(spark, monkeypatch, size):
+    monkeypatch.setattr(joins, "RANGE_VALUES", size)
     rnd = random.Random(2)
-    left, right = [(i, rnd.uniform(0, 1000)) for i in range(80)], [rnd.uniform(0, 1000) ** 1.0 for _ in range(40)]
-    got = joins.nearest_join(spark.createDataFrame(left, "a long, x double"), spark.createDataFrame([(y,) for y in right], "y double"), "a", "x", "y", 7.0)
-    for r in got.collect():
-        assert math.isclose(r.distance, min(abs(r.x - y) for y in right), abs_tol=1e-9)
+    left, right = [(i, rnd.uniform(-50, 1050)) for i in range(80)] + [(90, None)], [rnd.uniform(0, 1000) for _ in range(40)] + [None, 5.0, 5.0]
+    got = joins.nearest_join(spark.createDataFrame(left, "a long, x double"), spark.createDataFrame([(y,) for y in right], "y double"), "a", "x", "y").collect()
+    assert len(got) == 81
+    for r in got:
+        want = r.x is not None and min(abs(r.x - y) for y in right if y is not None)
+        assert r.distance is None if r.x is None else r.distance == want
+    assert [r.distance for r in joins.nearest_join(spark.createDataFrame([(1, 2.0)], "a long, x double"), spark.createDataFrame([], "y double"), "a", "x", "y").collect()] == [None]
+
+
+@pytest.mark.parametrize("size", [4, 1 << 16])
+def test_band_top_k_equals_sorting_all_pairs(spark, monkeypatch, size):
+    """Dense and sparse places, repeated values, ties by rounding, windows over many ranges or none."""
+    monkeypatch.setattr(joins, "RANGE_VALUES", size)
+    rnd = random.Random(7)
+    left = [(i, round(rnd.uniform(50, 1000), 1)) for i in range(60)] + [(70, 500.0), (71, 500.0), (72, 1e9), (73, None)]
+    right = [(i, round(rnd.choice([rnd.uniform(0, 1100), rnd.gauss(500, 0.5), 500.0]), 2)) for i in range(400)] + [(999, None)]
+    score = F.round(-F.pow((F.col("y") - F.col("x")) / F.col("x") * 10, F.lit(2.0)), 3)
+    # halves of 0.001 in squares of ten times the share: 1e-5 of its square
+    got = joins.band_top_k(spark.createDataFrame(left, "a long, x double"), spark.createDataFrame(right, "b long, y double"), "a", "x", "y", 0.02, 5, score, "b", 0.0033)
+    want = []
+    for a, x in left:
+        inside = [(round(-(((y - x) / x * 10) ** 2) + 0.0, 3), b) for b, y in right if x is not None and y is not None and x * (1 - 0.02) <= y <= x * (1 + 0.02)]
+        want += [(a, b, n + 1) for n, (_, b) in enumerate(sorted(inside, key=lambda p: (-p[0], p[1]))[:5])]
+    assert sorted((r.a, r.b, r["rank"]) for r in got.collect()) == sorted(want) and want
+
+
+def test_adaptive_windows_down_to_zero(spark):
+    left, right = [("a", 3.0), ("b", 1e6)], [(1, -5.0), (2, 0.0), (3, 1e-9), (4, 5.9), (5, 6.1), (6, 1e5), (7, None)]
+    got = joins.adaptive_band_join(spark.createDataFrame(left, "a string, x double"), spark.createDataFrame(right, "b long, y double"), "a", "b", "x", "y", 0.01, 50, passes=6)
+    w = joins.widths(0.01, 6)[-1]
+    want = {(a, b) for a, x in left for b, y in right if y is not None and x * (1 - w) <= y <= x * (1 + w)}
+    assert {(r.a, r.b) for r in got.collect()} == want and w > 1
 
 
 def test_chain_merge_is_anchored_at_the_first_value(spark):
