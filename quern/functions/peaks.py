@@ -1,115 +1,89 @@
-"""Similarities of peak lists within a tolerance, for pairs of arrays of (x, y). Arrow-batched, as matching is sequential."""
+"""Similarities of peak lists within a tolerance, for pairs of arrays of (x, y). All are expressions that stay in the JVM."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quern.functions.vectors import entropy_weighted, let, total
+
+
+def _roots(peaks: Column) -> Column:
+    return F.transform(peaks, lambda p: F.sqrt(p.y))
+
+
+def _norm(a: Column, b: Column) -> Column:
+    """The product of both lists' lengths as vectors of square roots."""
+    return F.sqrt(total(F.transform(a, lambda p: p.y)) * total(F.transform(b, lambda p: p.y)))
+
+
+def best_peak_cosine(a: Column, b: Column, tol: float) -> Column:
+    """Square-root cosine where each peak of a takes its best peak of b within tol; not one-to-one, so it may exceed 1. 0 of an empty list."""
+    near = lambda p: F.array_max(_roots(F.filter(b, lambda q: F.abs(p.x - q.x) <= tol)))
+    shared = total(F.transform(a, lambda p: F.sqrt(p.y) * F.coalesce(near(p), F.lit(0.0))))
+    return F.when(_norm(a, b) > 0, shared / _norm(a, b)).otherwise(F.lit(0.0))
+
+
+def _candidates(a: Column, b: Column, pairs: Callable[[Column], Column], cost: Callable[[Column, Column, Column], Column]) -> Column:
+    """Structs (cost, i, j) of the pairs of peaks whose difference in x counts, in their order."""
+    placed = F.transform(b, lambda q, j: F.struct(q.x.alias("x"), q.y.alias("y"), j.alias("j")))
+    of = lambda p, i, qs: F.transform(F.filter(qs, lambda q: pairs(p.x - q.x)), lambda q: F.struct(cost(p, q, p.x - q.x).alias("cost"), i.alias("i"), q.j.alias("j")))
+    return F.array_sort(let(placed, lambda qs: F.flatten(F.transform(a, lambda p, i: of(p, i, qs)))))
+
+
+def _one_to_one(candidates: Column) -> Column:
+    """(chosen pairs, sum of their costs): in their order, each peak at most once."""
+    none = F.array().cast("array<int>")
+    start = F.struct(none.alias("i"), none.alias("j"), F.lit(0.0).alias("cost"))
+
+    def take(state: Column, c: Column) -> Column:
+        taken = F.array_contains(state.i, c.i) | F.array_contains(state.j, c.j)
+        more = F.struct(F.array_append(state.i, c.i).alias("i"), F.array_append(state.j, c.j).alias("j"), (state.cost + c.cost).alias("cost"))
+        return F.when(taken, state).otherwise(more)
+
+    return F.aggregate(candidates, start, take)
 
-def _arrays(peaks) -> tuple[np.ndarray, np.ndarray]:
-    if peaks is None or len(peaks) == 0:
-        return np.zeros(0), np.zeros(0)
-    x = np.array([p["x"] for p in peaks], float)
-    y = np.array([p["y"] for p in peaks], float)
-    order = np.lexsort((y, x))
-    return x[order], y[order]
-
-
-def _entropy(p: np.ndarray) -> float:
-    p = p[p > 0]
-    return float(-(p * np.log(p)).sum())
-
-
-def _weighted(y: np.ndarray) -> np.ndarray:
-    p = y / y.sum() if y.sum() > 0 else y
-    s = _entropy(p)
-    if s < 3 and p.sum() > 0:
-        p = p ** (0.25 + 0.25 * s)
-        p = p / p.sum()
-    return p
-
-
-def merge_matched(ax: np.ndarray, bx: np.ndarray, tol: float) -> list[tuple[int, int]]:
-    """Pairs (i, j) of two sorted lists, walked together: the heads pair if within tol, else the smaller is passed."""
-    out, i, j = [], 0, 0
-    while i < len(ax) and j < len(bx):
-        d = ax[i] - bx[j]
-        if abs(d) <= tol:
-            out.append((i, j))
-            i, j = i + 1, j + 1
-        elif d < 0:
-            i += 1
-        else:
-            j += 1
-    return out
-
-
-def entropy_similarity_of(a, b, tol: float) -> float:
-    """1 - (2 S(mix) - S(a) - S(b)) / ln 4 of entropy-weighted lists, within 0 and 1; 0 where one is empty."""
-    (ax, ay), (bx, by) = _arrays(a), _arrays(b)
-    if not len(ax) or not len(bx):
-        return 0.0
-    p, q = _weighted(ay), _weighted(by)
-    pairs = merge_matched(ax, bx, tol)
-    in_a, in_b = {i for i, _ in pairs}, {j for _, j in pairs}
-    mix = [(p[i] + q[j]) / 2 for i, j in pairs] + [p[i] / 2 for i in range(len(p)) if i not in in_a] + [q[j] / 2 for j in range(len(q)) if j not in in_b]
-    value = 1 - (2 * _entropy(np.array(mix)) - _entropy(p) - _entropy(q)) / np.log(4)
-    return float(min(1.0, max(0.0, value)))
-
-
-def greedy_matched(weights: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
-    """One-to-one pairs, taken by falling weight; ties by places."""
-    used_a, used_b, out = set(), set(), []
-    for _, i, j in sorted(weights, key=lambda t: (-t[0], t[1], t[2])):
-        if i not in used_a and j not in used_b:
-            used_a.add(i)
-            used_b.add(j)
-            out.append((i, j))
-    return out
-
-
-def modified_cosine_of(a, b, shift: float, tol: float) -> float:
-    """Cosine of square-rooted intensities over one-to-one pairs, either direct or moved by the shift, largest products first."""
-    (ax, ay), (bx, by) = _arrays(a), _arrays(b)
-    u, v = np.sqrt(ay), np.sqrt(by)
-    norm = float(np.sqrt((u * u).sum() * (v * v).sum()))
-    if norm == 0:
-        return 0.0
-    near = {(i, j) for move in (0.0, shift) for i, j in zip(*np.nonzero(np.abs(ax[:, None] - bx[None, :] - move) <= tol), strict=True)}
-    pairs = greedy_matched([(float(u[i] * v[j]), int(i), int(j)) for i, j in near])
-    return float(sum(u[i] * v[j] for i, j in pairs) / norm)
-
-
-def closest_matched_of(a, b, tol: float) -> int:
+
+def modified_cosine(a: Column, b: Column, shift: float, tol: float) -> Column:
+    """Cosine of square-rooted heights over one-to-one pairs, direct or moved by the shift, largest products first. 0 of an empty list."""
+    near = lambda d: (F.abs(d) <= tol) | (F.abs(d - F.lit(shift)) <= tol)
+    chosen = _one_to_one(_candidates(F.array_sort(a), F.array_sort(b), near, lambda p, q, d: -(F.sqrt(p.y) * F.sqrt(q.y))))
+    return F.when(_norm(a, b) > 0, -chosen.cost / _norm(a, b)).otherwise(F.lit(0.0))
+
+
+def closest_matches(a: Column, b: Column, tol: float) -> Column:
     """How many one-to-one pairs within tol there are, the closest taken first."""
-    (ax, _), (bx, _) = _arrays(a), _arrays(b)
-    d = np.abs(ax[:, None] - bx[None, :])
-    return len(greedy_matched([(-float(d[i, j]), int(i), int(j)) for i, j in zip(*np.nonzero(d <= tol), strict=True)]))
-
-
-def best_peak_cosine_of(a, b, tol: float) -> float:
-    """Square-root cosine where each peak of a takes its best peak of b within tol; not one-to-one, so it may exceed 1."""
-    (ax, ay), (bx, by) = _arrays(a), _arrays(b)
-    u, v = np.sqrt(ay), np.sqrt(by)
-    norm = float(np.sqrt((u * u).sum() * (v * v).sum()))
-    if norm == 0:
-        return 0.0
-    near = np.where(np.abs(ax[:, None] - bx[None, :]) <= tol, v[None, :], 0.0).max(axis=1)
-    return float((u * near).sum() / norm)
-
-
-def pair_similarity(kind: str, tol: float):
-    """A pandas UDF (a, b, shift) -> double; kind: entropy, modified, closest, best."""
-    of = {
-        "entropy": lambda a, b, s: entropy_similarity_of(a, b, tol),
-        "modified": lambda a, b, s: modified_cosine_of(a, b, s, tol),
-        "closest": lambda a, b, s: float(closest_matched_of(a, b, tol)),
-        "best": lambda a, b, s: best_peak_cosine_of(a, b, tol),
-    }[kind]
-
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series, shift: pd.Series) -> pd.Series:
-        return pd.Series([of(x, y, s) for x, y, s in zip(a, b, shift, strict=True)], dtype=float)
-
-    return similarity
+    chosen = _one_to_one(_candidates(F.array_sort(a), F.array_sort(b), lambda d: F.abs(d) <= tol, lambda p, q, d: F.abs(d)))
+    return F.size(chosen.i)
+
+
+def _xlnx(v: Column) -> Column:
+    return F.when(v > 0, v * F.ln(v)).otherwise(F.lit(0.0))
+
+
+def tolerance_entropy_similarity(a: Column, b: Column, tol: float) -> Column:
+    """Entropy similarity of two weighted lists, walked together: the first peaks left pair if within tol, else the smaller is passed.
+
+    Peaks without a partner cancel in 1 - (2 S(mix) - S(a) - S(b)) / ln 4, so pairs alone add to it. Within 0 and 1.
+    """
+
+    def weighted(peaks: Column) -> Column:
+        shares = lambda ps: entropy_weighted(F.transform(ps, lambda p: p.y))
+        return let(peaks, lambda ps: F.zip_with(ps, shares(ps), lambda p, w: F.struct(p.x.alias("x"), w.alias("w"))))
+
+    at = lambda i, j, s: F.struct(i.alias("i"), j.alias("j"), s.alias("s"))
+
+    def step(z: Column, state: Column) -> Column:
+        p, q = F.get(z.left, state.i), F.get(z.right, state.j)
+        d = p.x - q.x
+        gain = _xlnx(p.w + q.w) - _xlnx(p.w) - _xlnx(q.w)
+        paired = at(state.i + 1, state.j + 1, state.s + gain)
+        passed = F.when(d < 0, at(state.i + 1, state.j, state.s)).otherwise(at(state.i, state.j + 1, state.s))
+        return F.when(p.isNull() | q.isNull(), state).otherwise(F.when(F.abs(d) <= tol, paired).otherwise(passed))
+
+    every = F.sequence(F.lit(0), F.size(a) + F.size(b))
+    walk = lambda z: F.aggregate(every, at(F.lit(0), F.lit(0), F.lit(0.0)), lambda state, _: step(z, state), lambda state: state.s)
+    lists = F.struct(weighted(F.array_sort(a)).alias("left"), weighted(F.array_sort(b)).alias("right"))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), let(lists, walk) / F.ln(F.lit(4.0))))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once a row; within functions of arrays an expression is worked out for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(xs: Column) -> Column:
     """Sum of an array of numbers as a double; 0 of an empty one."""
     return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x.cast("double"))
@@ -46,16 +53,13 @@ def entropy(ps: Column) -> Column:
 
 def normalized(xs: Column) -> Column:
     """The array divided by its sum; as it is where the sum is 0."""
-    s = total(xs)
-    return F.transform(xs, lambda x: F.when(s > 0, x.cast("double") / s).otherwise(x.cast("double")))
+    return let(total(xs), lambda s: F.transform(xs, lambda x: F.when(s > 0, x.cast("double") / s).otherwise(x.cast("double"))))
 
 
 def entropy_weighted(xs: Column) -> Column:
     """Shares of the array; where their entropy S is under 3, raised to 0.25 + 0.25 S and normalized again."""
-    p = normalized(xs)
-    s = entropy(p)
-    raised = normalized(F.transform(p, lambda x: F.when(x > 0, F.pow(x, 0.25 + 0.25 * s)).otherwise(F.lit(0.0))))
-    return F.when(s < 3, raised).otherwise(p)
+    raised = lambda p, s: let(F.transform(p, lambda x: F.when(x > 0, F.pow(x, 0.25 + 0.25 * s)).otherwise(F.lit(0.0))), normalized)
+    return let(normalized(xs), lambda p: let(entropy(p), lambda s: F.when(s < 3, raised(p, s)).otherwise(p)))
 
 
 def stride_sample(xs: Column, n: int) -> Column:

@@ -112,24 +112,74 @@ def _peak_pairs(t):
     return t("embeddings").withColumn("a", peaks).select("vec_id", "a", F.lead("a").over(w).alias("b")).where("b is not null")
 
 
-@query("f2_tolerance_entropy")
+#: The same in SQL: vec_id with two lists, and their peaks by place.
+PEAKS = """e AS (
+  SELECT vec_id, label, list_filter(list_transform(embedding, lambda v, i: {'x': CAST(i - 1 AS DOUBLE) * CAST(0.01 AS DOUBLE) + CAST(v AS DOUBLE) * CAST(0.01 AS DOUBLE), 'y': CAST(v AS DOUBLE)}), lambda p: p.y > 0) AS a FROM embeddings
+), l AS (
+  SELECT * FROM (SELECT vec_id, list_sort(a) AS a, list_sort(lead(a) OVER (PARTITION BY label ORDER BY vec_id)) AS b FROM e) WHERE b IS NOT NULL
+), pa AS (
+  SELECT vec_id, generate_subscripts(a, 1) AS i, unnest(a, recursive := true) FROM l
+), pb AS (
+  SELECT vec_id, generate_subscripts(b, 1) AS j, unnest(b, recursive := true) FROM l
+), norm AS (
+  SELECT vec_id, sqrt(coalesce(list_sum(list_transform(a, lambda p: p.y)), 0) * coalesce(list_sum(list_transform(b, lambda p: p.y)), 0)) AS z FROM l
+)"""
+
+GREEDY = """g AS (
+  SELECT vec_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS ui, CAST([] AS BIGINT[]) AS uj, CAST(0 AS DOUBLE) AS cost FROM l
+  UNION ALL
+  SELECT g.vec_id, c.k, CASE WHEN free THEN list_append(ui, i) ELSE ui END, CASE WHEN free THEN list_append(uj, j) ELSE uj END, g.cost + CASE WHEN free THEN c.cost ELSE 0 END
+  FROM g JOIN c ON c.vec_id = g.vec_id AND c.k = g.k + 1, LATERAL (SELECT NOT list_contains(ui, i) AND NOT list_contains(uj, j) AS free) f
+), done AS (
+  SELECT vec_id, arg_max(ui, k) AS ui, arg_max(cost, k) AS cost FROM g GROUP BY 1
+)"""
+
+
+@query("f2_tolerance_entropy", f"""
+WITH RECURSIVE {PEAKS}, sa AS (SELECT vec_id, i, x, y / sum(y) OVER (PARTITION BY vec_id) AS p FROM pa), sb AS (SELECT vec_id, j, x, y / sum(y) OVER (PARTITION BY vec_id) AS p FROM pb),
+ha AS (SELECT vec_id, -sum(p * ln(p)) AS h FROM sa GROUP BY 1), hb AS (SELECT vec_id, -sum(p * ln(p)) AS h FROM sb GROUP BY 1),
+ra AS (SELECT vec_id, i, x, CASE WHEN h < 3 THEN pow(p, 0.25 + 0.25 * h) ELSE p END AS v FROM sa JOIN ha USING (vec_id)), rb AS (SELECT vec_id, j, x, CASE WHEN h < 3 THEN pow(p, 0.25 + 0.25 * h) ELSE p END AS v FROM sb JOIN hb USING (vec_id)),
+wa AS (SELECT vec_id, i, x, v / sum(v) OVER (PARTITION BY vec_id) AS w FROM ra), wb AS (SELECT vec_id, j, x, v / sum(v) OVER (PARTITION BY vec_id) AS w FROM rb),
+walk AS (
+  SELECT vec_id, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(0 AS DOUBLE) AS s FROM l
+  UNION ALL
+  SELECT k.vec_id, CASE WHEN near OR a.x < b.x THEN k.i + 1 ELSE k.i END, CASE WHEN near OR a.x >= b.x THEN k.j + 1 ELSE k.j END,
+         s + CASE WHEN near THEN (a.w + b.w) * ln(a.w + b.w) - a.w * ln(a.w) - b.w * ln(b.w) ELSE 0 END
+  FROM walk k JOIN wa a ON a.vec_id = k.vec_id AND a.i = k.i JOIN wb b ON b.vec_id = k.vec_id AND b.j = k.j, LATERAL (SELECT abs(a.x - b.x) <= CAST(0.01 AS DOUBLE) AS near) n
+)
+SELECT vec_id, round(least(1, greatest(0, arg_max(s, i + j) / ln(4))), 6) AS similarity FROM walk GROUP BY 1
+""")
 def f2t(t):
-    return _peak_pairs(t).select("vec_id", P.pair_similarity("entropy", 0.01)("a", "b", F.lit(0.0)).alias("similarity"))
+    return _peak_pairs(t).select("vec_id", F.round(P.tolerance_entropy_similarity(F.col("a"), F.col("b"), 0.01), 6).alias("similarity"))
 
 
-@query("f3_best_peak_cosine")
+@query("f3_best_peak_cosine", f"""
+WITH {PEAKS}, m AS (SELECT pa.vec_id, i, sqrt(any_value(pa.y)) * sqrt(max(pb.y)) AS s FROM pa JOIN pb ON pb.vec_id = pa.vec_id AND abs(pa.x - pb.x) <= CAST(0.01 AS DOUBLE) GROUP BY 1, 2)
+SELECT vec_id, round(CASE WHEN z > 0 THEN coalesce(s, 0) / z ELSE 0 END, 6) AS similarity FROM norm LEFT JOIN (SELECT vec_id, sum(s) AS s FROM m GROUP BY 1) USING (vec_id)
+""")
 def f3(t):
-    return _peak_pairs(t).select("vec_id", P.pair_similarity("best", 0.01)("a", "b", F.lit(0.0)).alias("similarity"))
+    return _peak_pairs(t).select("vec_id", F.round(P.best_peak_cosine(F.col("a"), F.col("b"), 0.01), 6).alias("similarity"))
 
 
-@query("f4_modified_cosine")
+@query("f4_modified_cosine", f"""
+WITH RECURSIVE {PEAKS}, c AS (
+  SELECT pa.vec_id, i, j, sqrt(pa.y) * sqrt(pb.y) AS cost, row_number() OVER (PARTITION BY pa.vec_id ORDER BY sqrt(pa.y) * sqrt(pb.y) DESC, i, j) AS k
+  FROM pa JOIN pb ON pb.vec_id = pa.vec_id AND (abs(pa.x - pb.x) <= CAST(0.004 AS DOUBLE) OR abs(pa.x - pb.x - CAST(0.02 AS DOUBLE)) <= CAST(0.004 AS DOUBLE))
+), {GREEDY}
+SELECT vec_id, round(CASE WHEN z > 0 THEN cost / z ELSE 0 END, 6) AS similarity FROM done JOIN norm USING (vec_id)
+""")
 def f4(t):
-    return _peak_pairs(t).select("vec_id", P.pair_similarity("modified", 0.004)("a", "b", F.lit(0.02)).alias("similarity"))
+    return _peak_pairs(t).select("vec_id", F.round(P.modified_cosine(F.col("a"), F.col("b"), 0.02, 0.004), 6).alias("similarity"))
 
 
-@query("f5_closest_matches")
+@query("f5_closest_matches", f"""
+WITH RECURSIVE {PEAKS}, c AS (
+  SELECT pa.vec_id, i, j, abs(pa.x - pb.x) AS cost, row_number() OVER (PARTITION BY pa.vec_id ORDER BY abs(pa.x - pb.x), i, j) AS k FROM pa JOIN pb ON pb.vec_id = pa.vec_id AND abs(pa.x - pb.x) <= CAST(0.004 AS DOUBLE)
+), {GREEDY}
+SELECT vec_id, len(ui) AS matches FROM done
+""")
 def f5(t):
-    return _peak_pairs(t).select("vec_id", P.pair_similarity("closest", 0.004)("a", "b", F.lit(0.0)).alias("matches"))
+    return _peak_pairs(t).select("vec_id", P.closest_matches(F.col("a"), F.col("b"), 0.004).cast("long").alias("matches"))
 
 
 @query("f6_chain_merge", """

@@ -143,15 +143,58 @@ def test_truth_absent_and_tied(spark):
     assert math.isclose(E.mean_reciprocal_rank(standing, 25, "averaged").first().mrr, (0 + 1 / 1.5 + 1) / 3)
 
 
-def test_similarities_are_symmetric_and_bounded():
+def greedy(weights):
+    left, right, out = set(), set(), []
+    for w, i, j in sorted(weights):
+        if i not in left and j not in right:
+            left.add(i)
+            right.add(j)
+            out.append(w)
+    return out
+
+
+def test_peak_similarities_by_brute_force(spark):
     rnd = random.Random(3)
-    for _ in range(30):
-        a, b = ([{"x": rnd.uniform(0, 10), "y": rnd.uniform(0, 1)} for _ in range(rnd.randint(0, 8))] for _ in range(2))
-        s = P.entropy_similarity_of(a, b, 0.2)
-        assert 0 <= s <= 1 and math.isclose(s, P.entropy_similarity_of(b, a, 0.2), abs_tol=1e-9)
-        assert P.modified_cosine_of(a, b, 0.0, 0.2) <= 1 + 1e-9
-        if a:
-            assert math.isclose(P.entropy_similarity_of(a, a, 1e-6), 1.0, abs_tol=1e-9)
+    rows = [(k, *[sorted((round(rnd.uniform(0, 4), 2), rnd.uniform(0.01, 1)) for _ in range(rnd.randint(0, 9))) for _ in range(2)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, a array<struct<x:double,y:double>>, b array<struct<x:double,y:double>>")
+    a, b = F.col("a"), F.col("b")
+    got = df.select("k", P.best_peak_cosine(a, b, 0.3).alias("best"), P.modified_cosine(a, b, 1.0, 0.2).alias("modified"), P.closest_matches(a, b, 0.3).alias("closest"), P.tolerance_entropy_similarity(a, b, 0.2).alias("entropy"), P.tolerance_entropy_similarity(a, a, 1e-6).alias("own")).collect()
+    assert len(got) == len(rows)
+
+    def weights(p):
+        y = np.array([y for _, y in p])
+        y = y / y.sum()
+        h = -(y * np.log(y)).sum()
+        y = y ** (0.25 + 0.25 * h) if h < 3 else y
+        return y / y.sum()
+
+    for r in got:
+        _, p, q = rows[r.k]
+        norm = math.sqrt(sum(y for _, y in p) * sum(y for _, y in q))
+        best = sum(math.sqrt(y) * max((math.sqrt(v) for u, v in q if abs(x - u) <= 0.3), default=0) for x, y in p)
+        assert math.isclose(r.best, best / norm if norm else 0, abs_tol=1e-9)
+        near = [(i, j, x - u, math.sqrt(y) * math.sqrt(v)) for i, (x, y) in enumerate(p) for j, (u, v) in enumerate(q)]
+        modified = -sum(greedy([(-w, i, j) for i, j, d, w in near if abs(d) <= 0.2 or abs(d - 1.0) <= 0.2]))
+        assert math.isclose(r.modified, modified / norm if norm else 0, abs_tol=1e-9)
+        assert r.closest == len(greedy([(abs(d), i, j) for i, j, d, _ in near if abs(d) <= 0.3]))
+        entropy = 0.0
+        if p and q:
+            assert math.isclose(r.own, 1, abs_tol=1e-9)
+            w, v, i, j, mix = weights(p), weights(q), 0, 0, []
+            while i < len(p) and j < len(q):
+                if abs(p[i][0] - q[j][0]) <= 0.2:
+                    mix.append((w[i] + v[j]) / 2)
+                    i, j = i + 1, j + 1
+                elif p[i][0] < q[j][0]:
+                    mix.append(w[i] / 2)
+                    i += 1
+                else:
+                    mix.append(v[j] / 2)
+                    j += 1
+            mix = np.array([*mix, *(w[i:] / 2), *(v[j:] / 2)])
+            h = lambda z: -(z * np.log(z)).sum()
+            entropy = 1 - (2 * h(mix) - h(w) - h(v)) / math.log(4)
+        assert math.isclose(r.entropy, entropy, abs_tol=1e-9)
 
 
 def test_bootstrap_brackets_the_mean(spark):
