@@ -14,11 +14,12 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column], keep: list[str
     return df.groupBy(*keys).agg(F.min(F.struct(*parts, *[F.col(c) for c in keep])).alias("_m")).select(*keys, *[F.col(f"_m.{c}") for c in keep])
 
 
-def profile(df: DataFrame, key: str, category: str, value: str) -> DataFrame:
-    """Rows, mean of value and the counts of each category as text ("a:3;b:1", by category), per key."""
+def profile(df: DataFrame, key: str, category: str, value: str, exact: bool = False) -> DataFrame:
+    """Rows, mean of value (exact: the total instead) and the counts of each category as text ("a:3;b:1", by category), per key."""
     per = df.groupBy(key, category).agg(F.count("*").alias("n"), F.sum(value).alias("s"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(category, "n"))), lambda x: F.concat_ws(":", x[category], x["n"].cast("string"))), ";")
-    return per.groupBy(key).agg(F.sum("n").alias("n_rows"), (F.sum("s") / F.sum("n")).alias("mean_value"), text.alias("categories"))
+    measure = F.sum("s").alias("total") if exact else (F.sum("s") / F.sum("n")).alias("mean_value")
+    return per.groupBy(key).agg(F.sum("n").alias("n_rows"), measure, text.alias("categories"))
 
 
 def clamped_histogram(df: DataFrame, value: str, most: int) -> DataFrame:

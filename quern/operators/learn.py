@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.rank import log_sum_exp, sorted_positions
+from quern.operators.sampling import mark
 
 
 def hash_fold(key: Column, folds: int, seed: int = 0) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(folds)).cast("long")
+    return mark(key, seed) % folds
 
 
 def interleaved_fold(df: DataFrame, key: str, folds: int) -> DataFrame:

@@ -6,19 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def mark(key: Column, seed: int) -> Column:
+    """A number from 0 below 2**52 from a key and a seed: 13 hexadecimal digits of an MD5, which other engines can follow."""
+    text = F.concat_ws("|", key.cast("string"), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
 def hash_share(df: DataFrame, key: str, share_of: int, keep: int, seed: int = 0) -> DataFrame:
     """Rows whose hashed key falls into `keep` of `share_of` classes."""
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(share_of)) < keep)
+    return df.where(mark(F.col(key), seed) % share_of < keep)
 
 
 def uniform(key: Column, seed: int) -> Column:
     """A number in (0, 1) from a key and a seed."""
-    return (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return (mark(key, seed).cast("double") + 0.5) / float(1 << 52)
 
 
 def draw(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement, by the order of a hash; ties by the key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(mark(F.col(key), seed), key).limit(n)
 
 
 def matched_sample(source: DataFrame, target: DataFrame, stratum: str, key: str, n: int, seed: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quern.functions import vectors as V
 from quern.operators import aggregate as A
 from quern.operators import grid, learn, sampling
-from quern.plans.registry import query
+from quern.plans.registry import mark_sql, query, uniform_sql
 from quern.streaming.windows import windowed
 
 WORDS = "regexp_extract_all(lower(text), '[a-z]+')"
@@ -68,11 +68,14 @@ def a7(t):
 
 
 @query("a8_profile", """
-WITH p AS (SELECT user_id, event_type, count(*) AS n, sum(value) AS s FROM events GROUP BY 1, 2)
-SELECT user_id, CAST(sum(n) AS BIGINT) AS n_rows, round(sum(s) / sum(n) + 1e-7, 4) AS mean_value, string_agg(event_type || ':' || n, ';' ORDER BY event_type) AS categories FROM p GROUP BY 1
+WITH p AS (SELECT user_id, event_type, count(*) AS n, sum(CAST(round(value * 100) AS BIGINT)) AS s FROM events GROUP BY 1, 2)
+SELECT user_id, CAST(sum(n) AS BIGINT) AS n_rows, CAST((100 * sum(s)) // sum(n) AS BIGINT) AS mean_hundredths_of_cents, string_agg(event_type || ':' || n, ';' ORDER BY event_type) AS categories FROM p GROUP BY 1
 """)
 def a8(t):
-    return A.profile(t("events"), "user_id", "event_type", "value").withColumn("mean_value", F.round(F.col("mean_value") + 1e-7, 4))  # means of cents often lie on a rounding boundary
+    """The mean in whole hundredths of cents, from an exact sum of cents."""
+    events = t("events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    profile = A.profile(events, "user_id", "event_type", "cents", exact=True)
+    return profile.select("user_id", "n_rows", F.expr("100 * total div n_rows").alias("mean_hundredths_of_cents"), "categories")
 
 
 @query("a9_clamped_histogram", "SELECT CAST(least(n, 10) AS BIGINT) AS bucket, count(*) AS n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) GROUP BY 1")
@@ -141,17 +144,20 @@ def a18(t):
     return t("embeddings").select("vec_id", F.transform(V.stride_sample(F.col("embedding"), 8), lambda x: F.round(x.cast("double"), 6)).alias("picked"))
 
 
-@query("a19_hash_sample")
+@query("a19_hash_sample", f"SELECT o_orderkey, o_custkey FROM orders WHERE {mark_sql('o_orderkey', 7)} % 10 < 3")
 def a19(t):
     return sampling.hash_share(t("orders").select("o_orderkey", "o_custkey"), "o_orderkey", 10, 3, seed=7)
 
 
-@query("a20_draw")
+@query("a20_draw", f"SELECT c_custkey, c_mktsegment FROM customer ORDER BY {mark_sql('c_custkey', 11)}, c_custkey LIMIT 100")
 def a20(t):
     return sampling.draw(t("customer").select("c_custkey", "c_mktsegment"), "c_custkey", 100, seed=11)
 
 
-@query("a21_matched_sample")
+@query("a21_matched_sample", f"""
+WITH a AS (SELECT c_mktsegment, count(*) AS a FROM customer GROUP BY 1), b AS (SELECT c_mktsegment, count(*) AS b FROM customer WHERE c_acctbal > 5000 GROUP BY 1)
+SELECT c_custkey, c_mktsegment FROM customer JOIN a USING (c_mktsegment) JOIN b USING (c_mktsegment) ORDER BY ln({uniform_sql('c_custkey', 5)}) / (b / a) DESC, c_custkey LIMIT 120
+""")
 def a21(t):
     source = t("customer").select("c_custkey", "c_mktsegment")
     target = t("customer").where("c_acctbal > 5000").select("c_mktsegment")
@@ -278,7 +284,7 @@ def l2(t):
     return learn.interleaved_fold(t("customer"), "c_custkey", 5)
 
 
-@query("l5_hash_folds")
+@query("l5_hash_folds", f"SELECT c_custkey, {mark_sql('c_custkey', 0)} % 5 AS fold FROM customer")
 def l5(t):
     return t("customer").select("c_custkey", learn.hash_fold(F.col("c_custkey"), 5).alias("fold"))
 

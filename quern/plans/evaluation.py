@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quern.operators import evaluate as E
 from quern.operators import sampling
 from quern.operators import joins as J
-from quern.plans.registry import query
+from quern.plans.registry import mark_sql, query, uniform_sql
 
 CANDIDATES = "SELECT l_orderkey AS q, l_discount AS s, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey, l_discount, l_extendedprice) = 1 AND l_orderkey % 9 <> 0 AS truth FROM lineitem"
 STANDING = f"WITH c AS ({CANDIDATES}), t AS (SELECT q, max(s) FILTER (WHERE truth) AS ts, count(*) AS n FROM c GROUP BY 1), d AS (SELECT c.q, any_value(n) AS n, CASE WHEN any_value(ts) IS NULL THEN NULL ELSE count(CASE WHEN s > ts THEN 1 END) END AS better, CASE WHEN any_value(ts) IS NULL THEN NULL ELSE count(CASE WHEN s = ts THEN 1 END) - 1 END AS tied FROM c JOIN t USING (q) GROUP BY 1)"
@@ -61,10 +61,16 @@ def e5(t):
     return p.groupBy("q").agg(F.max("v").alias("most"), F.max(F.when(F.col("k") == 1, F.col("v"))).alias("first"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.sum(F.col("v") / F.col("k")) / F.sum(1 / F.col("k")), 6).alias("weighted"), F.count_if(F.col("v") >= 0.05).alias("n_over"), F.max(F.when(F.col("k") <= 3, F.col("v"))).alias("most3"))
 
 
-@query("e6_bootstrap")
+@query("e6_bootstrap", f"""
+{STANDING}, r AS (SELECT q, coalesce(1 / (better + 1), 0) AS rr FROM d),
+u AS (SELECT rr, k, {uniform_sql("q, '|', k", 3)} AS u FROM r, (SELECT unnest(range(1, 201)) AS k)),
+w AS (SELECT k, rr, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183], lambda p: u > CAST(p AS DOUBLE))) AS w FROM u),
+m AS (SELECT k, sum(w * rr) / sum(w) AS m FROM w GROUP BY 1)
+SELECT round((SELECT avg(rr) FROM r), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m
+""")
 def e6(t):
     rows = standing(t).select("q", F.coalesce(1 / (F.col("better") + 1), F.lit(0.0)).alias("rr"))
-    return sampling.bootstrap_mean(rows, "q", "rr", 200, seed=3)
+    return sampling.bootstrap_mean(rows, "q", "rr", 200, seed=3).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("e7_paired_error", "SELECT count(*) AS n, round(avg(o_totalprice - 1000 * (o_custkey % 300)), 4) AS mean_delta, round(stddev_samp(o_totalprice - 1000 * (o_custkey % 300)) / sqrt(count(*)), 4) AS standard_error FROM orders")
@@ -127,7 +133,15 @@ def e12(t):
     return numbered.select("o_orderkey", "i").join(other, "i").select("o_orderkey", "control")
 
 
-@query("e13_holdout_sibling")
+HOLDOUT = f"""
+WITH k AS (SELECT o_custkey, count(*) AS m FROM orders WHERE o_orderstatus = 'O' GROUP BY 1 HAVING count(*) >= 2), d AS (SELECT * FROM k ORDER BY {mark_sql('o_custkey', 1)}, o_custkey LIMIT 50),
+n AS (SELECT o_custkey, o_orderkey, m, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders JOIN d USING (o_custkey) WHERE o_orderstatus = 'O')
+"""
+
+
+@query("e13_holdout_sibling", f"""{HOLDOUT}, q AS (SELECT * FROM n WHERE n <= least(3, m - 1))
+SELECT o_custkey, (SELECT count(*) FROM q WHERE q.o_custkey = d.o_custkey) AS n_query, (SELECT count(*) FROM orders o WHERE o.o_custkey = d.o_custkey AND o_orderkey NOT IN (SELECT o_orderkey FROM q)) AS n_library FROM d
+""")
 def e13(t):
     """Holdout keys with a sibling left in the library: per drawn key the sizes of both sides."""
     rows = t("orders").select("o_custkey", "o_orderkey", "o_orderstatus")
@@ -136,14 +150,19 @@ def e13(t):
     return q.join(library.groupBy("o_custkey").agg(F.count("*").alias("n_library")), "o_custkey")
 
 
-@query("e13_holdout_other_kind")
+@query("e13_holdout_other_kind", f"""{HOLDOUT}, q AS (SELECT * FROM n WHERE n <= 3)
+SELECT o_custkey, o_orderkey, 'query' AS side FROM q UNION ALL
+SELECT o_custkey, o_orderkey, 'library' FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM q) AND (o_custkey NOT IN (SELECT o_custkey FROM d) OR o_orderstatus <> 'O')
+""")
 def e13b(t):
     rows = t("orders").select("o_custkey", "o_orderkey", "o_orderstatus")
     queries, library = sampling.holdout(rows, "o_custkey", "o_orderkey", F.col("o_orderstatus") == "O", 2, 50, 3, "other_kind", seed=1)
     return queries.select("o_custkey", "o_orderkey", F.lit("query").alias("side")).unionAll(library.select("o_custkey", "o_orderkey", F.lit("library")))
 
 
-@query("e13_holdout_denovo")
+@query("e13_holdout_denovo", f"""{HOLDOUT}, q AS (SELECT * FROM n WHERE n <= 3)
+SELECT o_custkey, o_orderkey, 'query' AS side FROM q UNION ALL SELECT o_custkey, o_orderkey, 'library' FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM d)
+""")
 def e13c(t):
     rows = t("orders").select("o_custkey", "o_orderkey", "o_orderstatus")
     queries, library = sampling.holdout(rows, "o_custkey", "o_orderkey", F.col("o_orderstatus") == "O", 2, 50, 3, "denovo", seed=1)

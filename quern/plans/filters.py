@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quern.functions import vectors as V
 from quern.operators import sampling
 from quern.operators.joins import optional_equal
-from quern.plans.registry import query
+from quern.plans.registry import query, uniform_sql
 
 
 @query("p1_pair_truncation", """
@@ -98,12 +98,14 @@ def p11(t):
     return t("lineitem").groupBy("l_returnflag").agg(F.round(F.avg(whole.cast("double")), 6).alias("share"))
 
 
-@query("p12_seeded_noise")
+@query("p12_seeded_noise", f"""
+SELECT o_orderkey, round(o_totalprice * (1 + sqrt(-2 * ln({uniform_sql('o_orderkey', 1)})) * cos(2 * 3.141592653589793 * {uniform_sql('o_orderkey', 2)}) * 3e-6), 3) AS jittered FROM orders
+""")
 def p12(t):
     """Values jittered by up to a few millionths; noise comes from the key, so reruns agree."""
     u, v = sampling.uniform(F.col("o_orderkey"), 1), sampling.uniform(F.col("o_orderkey"), 2)
     gauss = F.sqrt(-2 * F.ln(u)) * F.cos(2 * 3.141592653589793 * v)
-    return t("orders").select("o_orderkey", (F.col("o_totalprice") * (1 + gauss * 3e-6)).alias("jittered"))
+    return t("orders").select("o_orderkey", F.round(F.col("o_totalprice") * (1 + gauss * 3e-6), 3).alias("jittered"))
 
 
 @query("p13_two_bins", """
