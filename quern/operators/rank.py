@@ -35,6 +35,11 @@ def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: st
     return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
 
 
+def best_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each group in a total order, in no order of their own."""
+    return top_k(df, group, order, k, "_place").drop("_place")
+
+
 def sorted_positions(df: DataFrame, keep: list[str], order: list[str], name: str = "n") -> DataFrame:
     """Position from 1 in a full sort by `order`: a range partition, positions within its parts, and the parts' sizes.
 
@@ -154,7 +159,9 @@ def threshold_merge(a: DataFrame, b: DataFrame, query: str, item: str, score: st
                 out.append(name)
         return pd.DataFrame({query: pdf[query].iloc[0], item: out, "place": range(1, len(out) + 1)})
 
-    both = a.select(query, item, score, F.lit(0).alias("_list")).unionAll(b.select(query, item, score, F.lit(1)))
+    # n places take 2 * n of a list at most, as only items of the other list are passed over
+    head = lambda df: top_k(df.select(query, item, score), [query], [F.col(score).desc(), F.col(item)], 2 * n).drop("rank")
+    both = head(a).withColumn("_list", F.lit(0)).unionAll(head(b).withColumn("_list", F.lit(1)))
     kinds = {f.name: f.dataType.simpleString() for f in a.schema.fields}
     return both.groupBy(query).applyInPandas(merge, f"{query} {kinds[query]}, {item} {kinds[item]}, place long")
 

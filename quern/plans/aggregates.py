@@ -289,6 +289,39 @@ def l5(t):
     return t("customer").select("c_custkey", learn.hash_fold(F.col("c_custkey"), 5).alias("fold"))
 
 
+def _moments(t):
+    """Sums for the searches below, of both halves of the lines: mean squared errors of l_tax by a * l_discount and of l_quantity / 50 by b."""
+    x, y, z = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50
+    half = (F.col("l_orderkey") % 2).alias("half")
+    return t("lineitem").groupBy(half).agg(F.avg(x * x).alias("xx"), F.avg(x * y).alias("xy"), F.avg(y * y).alias("yy"), F.avg(z).alias("z"), F.avg(z * z).alias("zz")).orderBy("half").collect()
+
+
+@query("l6_coordinate_descent", """
+WITH h AS (SELECT l_orderkey % 2 AS half, l_discount AS x, l_tax AS y, l_quantity / 50 AS z FROM lineitem), g AS (SELECT unnest(range(0, 11)) / 10 AS v),
+a AS (SELECT half, v, avg(pow(y - v * x, 2)) AS e FROM h, g GROUP BY 1, 2), b AS (SELECT half, v, avg(pow(z - v, 2)) AS e FROM h, g GROUP BY 1, 2)
+SELECT 'a' AS parameter, (SELECT arg_min(v, e) FROM a WHERE half = 0) AS best UNION ALL SELECT 'b', (SELECT arg_min(v, e) FROM b WHERE half = 0)
+""")
+def l6(t):
+    """Two parameters over grids, one at a time; a move counts only where both halves of the lines gain."""
+    halves = _moments(t)
+    loss = lambda m, p: m.yy - 2 * p["a"] * m.xy + p["a"] ** 2 * m.xx + m.zz - 2 * p["b"] * m.z + p["b"] ** 2
+    grid = [k / 10 for k in range(11)]
+    best = learn.coordinate_descent({"a": 0.0, "b": 0.0}, {"a": grid, "b": grid}, lambda p: tuple(-loss(m, p) for m in halves))
+    return t("region").sparkSession.createDataFrame(sorted(best.items()), "parameter string, best double")
+
+
+@query("l7_step_halving", """
+WITH s AS (SELECT avg(l_discount * l_tax) / avg(l_discount * l_discount) AS a, avg(l_quantity / 50) AS b FROM (SELECT *, l_orderkey % 2 AS half FROM lineitem) WHERE half = 0)
+SELECT 'a' AS parameter, round(a / 0.0625) * 0.0625 AS best FROM s UNION ALL SELECT 'b', round(b / 0.0625) * 0.0625 FROM s
+""")
+def l7(t):
+    """The same errors by steps of a half that are halved three times: the nearest sixteenth."""
+    m = _moments(t)[0]
+    score = lambda p: -(m.yy - 2 * p["a"] * m.xy + p["a"] ** 2 * m.xx + m.zz - 2 * p["b"] * m.z + p["b"] ** 2)
+    best = learn.step_halving({"a": 0.0, "b": 0.0}, {"a": 0.5, "b": 0.5}, score)
+    return t("region").sparkSession.createDataFrame(sorted(best.items()), "parameter string, best double")
+
+
 @query("l8_mixture_weights", """
 WITH g AS (SELECT a.range AS a, b.range AS b, 20 - a.range - b.range AS c FROM range(21) a, range(21) b WHERE a.range + b.range <= 20),
 x AS (SELECT l_discount AS x, l_tax AS y, l_quantity / 500 AS z, 0.5 * l_discount + 0.3 * l_tax + 0.2 * l_quantity / 500 AS t FROM lineitem),

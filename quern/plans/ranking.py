@@ -117,6 +117,14 @@ def t2(t):
     return R.top_k(filled, ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3).select("o_custkey", "o_orderkey", "rank")
 
 
+@query("t3_unsorted_best", """
+SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) AS n FROM lineitem) WHERE n <= 5
+""")
+def t3(t):
+    order = [F.col("l_extendedprice").desc(), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")]
+    return R.best_k(t("lineitem"), ["l_suppkey"], order, 5).select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+
+
 @query("t4_bounded_top", "SELECT o_custkey, list_slice(list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey), 1, 3) AS top FROM orders GROUP BY 1")
 def t4(t):
     best = R.top_k(t("orders"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 3)
@@ -133,7 +141,20 @@ def t5(t):
     return both.select("p_brand", "p_partkey", F.row_number().over(Window.partitionBy("p_brand").orderBy(fused, "pos")).cast("long").alias("place"))
 
 
-@query("t6_mmr")
+@query("t6_mmr", """
+WITH RECURSIVE v AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+c AS (SELECT a.label, a.i, list(list_cosine_similarity(a.x, b.x) ORDER BY b.i) AS row FROM v a JOIN v b ON a.label = b.label GROUP BY 1, 2),
+l AS (SELECT label, count(*) AS n, list(row ORDER BY i) AS near_to FROM c GROUP BY 1),
+m AS (
+  SELECT label, CAST(1 AS BIGINT) AS place, CAST(1 AS BIGINT) AS best, [CAST(1 AS BIGINT)] AS taken, near_to[1] AS near FROM l
+  UNION ALL
+  SELECT label, place + 1, pick, list_append(taken, pick), list_transform(near, lambda x, i: greatest(x, near_to[pick][i]))
+  FROM (SELECT m.label, place, taken, near, near_to, list_position(value, list_max(value)) AS pick FROM (
+    SELECT m.label, place, taken, near, near_to, list_transform(near, lambda x, i: CASE WHEN list_contains(taken, i) THEN -9 ELSE CAST(0.6 AS DOUBLE) * (1 - (i - 1) / (n - 1)) - CAST(0.4 AS DOUBLE) * x END) AS value
+    FROM m JOIN l ON l.label = m.label WHERE place < least(10, n)) m)
+)
+SELECT m.label, vec_id, place FROM m JOIN v ON v.label = m.label AND v.i = m.best
+""")
 def t6(t):
     pos = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("long")
     df = t("embeddings").withColumn("pos", pos)
@@ -197,7 +218,18 @@ def m5(t):
     return R.slot_interleave(*both, "p_brand", "p_partkey", "pos", [4, 8, 12, 16, 20], 25).withColumn("place", F.col("place").cast("long"))
 
 
-@query("m6_threshold_merge")
+@query("m6_threshold_merge", """
+WITH RECURSIVE a AS (SELECT p_brand, p_partkey, p_retailprice - 900 AS s, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice - 900 DESC, p_partkey) AS i FROM part),
+b AS (SELECT p_brand, p_partkey, CAST(p_size AS DOUBLE) * 2 AS s, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS j FROM part),
+m AS (
+  SELECT DISTINCT p_brand, CAST(1 AS BIGINT) AS i, CAST(1 AS BIGINT) AS j, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS item FROM part
+  UNION ALL
+  SELECT m.p_brand, CASE WHEN two THEN m.i ELSE m.i + 1 END, CASE WHEN two THEN m.j + 1 ELSE m.j END, step + 1, CASE WHEN two THEN b.p_partkey ELSE a.p_partkey END
+  FROM m LEFT JOIN a ON a.p_brand = m.p_brand AND a.i = m.i LEFT JOIN b ON b.p_brand = m.p_brand AND b.j = m.j, LATERAL (SELECT b.s IS NOT NULL AND (a.s IS NULL OR b.s > a.s + CAST(0.5 AS DOUBLE)) AS two) w
+  WHERE step < 50 AND (a.s IS NOT NULL OR b.s IS NOT NULL)
+), f AS (SELECT p_brand, item, min(step) AS step FROM m WHERE step > 0 GROUP BY 1, 2)
+SELECT p_brand, item AS p_partkey, place FROM (SELECT p_brand, item, row_number() OVER (PARTITION BY p_brand ORDER BY step) AS place FROM f) WHERE place <= 25
+""")
 def m6(t):
     a, b = (t("part").select("p_brand", "p_partkey", x.alias("s")) for x in (F.col("p_retailprice") - 900, F.col("p_size") * 2.0))
     return R.threshold_merge(a, b, "p_brand", "p_partkey", "s", 25, margin=0.5)

@@ -12,6 +12,31 @@ def s1(t):
     return t("lineitem").where("l_discount >= 0.05").groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
+@query("s2_whole_table", "SELECT n_name, n_regionkey FROM nation")
+def s2(t):
+    """A small table in pandas, and back."""
+    held = S.to_pandas(t("nation"), ["n_name", "n_regionkey"])
+    return t("nation").sparkSession.createDataFrame(held, "n_name string, n_regionkey int")
+
+
+@query("s4_typed_rows", "SELECT CAST(k AS INTEGER) AS r_regionkey, n AS r_name FROM (VALUES (90, 'NORTH'), (91, NULL), (NULL, '')) v(k, n)")
+def s4(t):
+    """Rows of the driver written with a table's schema."""
+    spark = t("region").sparkSession
+    path = f"{shared_dir(spark)}/rows"
+    S.write_rows(spark, [(90, "NORTH"), (91, None), (None, "")], t("region").schema, path)
+    return S.read_parquet(spark, path, ["r_regionkey", "r_name"])
+
+
+@query("s14_range_strings", "SELECT p_partkey, p_name FROM part WHERE p_retailprice BETWEEN 905 AND 907 OR p_retailprice BETWEEN 950 AND 951")
+def s14(t):
+    """Strings by merged ranges of a sorted table, each a contiguous read."""
+    spark = t("region").sparkSession
+    path = f"{shared_dir(spark)}/sorted"
+    S.write_parquet(t("part").select("p_partkey", "p_name", "p_retailprice"), path, sort=["p_retailprice"])
+    return S.read_ranges(spark, path, "p_retailprice", [(950.0, 951.0), (905.0, 906.0), (905.5, 907.0)], ["p_partkey", "p_name"])
+
+
 @query("s3_parquet_round_trip", "SELECT o_orderkey, CAST(o_totalprice AS FLOAT) AS o_totalprice FROM orders WHERE o_orderstatus <> 'P'")
 def s3(t):
     """A sorted, filtered copy with a borrowed schema; later range filters prune its row groups."""
@@ -27,16 +52,25 @@ def s5(t):
     """Fixed-width headers, written by tasks and decoded again; unknown instruments survive."""
     spark = t("region").sparkSession
     path = f"{shared_dir(spark)}/heads"
-    rows = t("part").select(F.col("p_partkey").cast("int").alias("p"), F.col("p_size").cast("int").alias("z"))
+    S.encode_heads(heads(t)).write.parquet(path)
+    return S.decode_heads(spark.read.parquet(path)).select("mol", "n", "category", "instrument")
+
+
+def heads(t):
+    size = F.col("p_size").cast("int")
+    key = F.col("p_partkey").cast("int")
+    known = F.when(F.col("p_size") % 3 != 0, size % 5)
+    return t("part").select((key / 2).alias("precursor"), key.alias("mol"), F.lit(0).alias("off"), size.alias("n"), (size % 10).alias("category"), known.alias("instrument"))
 
-    @F.udf("binary")
-    def pack(p: int, z: int) -> bytes:
-        return S.pack_heads([(p / 2, p, 0, z, z % 10, None if z % 3 == 0 else z % 5)])
 
-    heads = rows.select(pack("p", "z").alias("content"))
-    heads.write.parquet(path)
-    decoded = S.decode_heads(spark.read.parquet(path))
-    return decoded.select("mol", "n", "category", "instrument")
+@query("s6_binary_sink", "SELECT CAST(20 * count(*) AS BIGINT) AS n_bytes, CAST(count(*) AS BIGINT) AS n_heads FROM part")
+def s6(t):
+    """Headers of a fixed width as bytes, encoded batch by batch."""
+    spark = t("region").sparkSession
+    path = f"{shared_dir(spark)}/heads"
+    S.encode_heads(heads(t)).write.parquet(path)
+    made = spark.read.parquet(path)
+    return made.agg(F.sum(F.octet_length("content")).cast("long").alias("n_bytes")).crossJoin(S.decode_heads(made).agg(F.count("*").alias("n_heads")))  # one row each
 
 
 @query("s7_named_lines", "SELECT n_nationkey AS number, 'N' || n_nationkey AS name, n_name AS rest FROM nation")
@@ -145,13 +179,19 @@ def s18(t):
     return files.agg(F.count("*").cast("int").alias("n_files"), F.lit(spark.read.csv([r.path for r in files.select("path").collect()]).count()).cast("long").alias("n_rows"))
 
 
-@query("s19_folder_digest")
+@query("s19_folder_digest", """
+WITH c AS (SELECT string_agg(n_name || chr(10), '' ORDER BY n_nationkey) AS content FROM nation)
+SELECT CAST(1 AS BIGINT) AS files, sha256(substr(sha256('names.txt'), 1, 2) || ':' || sha256('9:names.txt:' || strlen(content) || ':' || sha256(content))) AS digest FROM c
+""")
 def s19(t):
     """The digest of a folder does not depend on which task wrote or read what."""
     spark = t("region").sparkSession
     path = f"{shared_dir(spark)}/folder"
     t("nation").orderBy("n_nationkey").coalesce(1).select("n_name").write.text(path)
-    return S.folder_digest(spark, path).select("files")
+    (part,) = S.find_files(spark, path, "part-*.txt", 0).collect()
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    at(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(at(part.path), at(f"{path}/names.txt"))
+    return S.folder_digest(spark, path)
 
 
 @query("s20_value_counts", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20")

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.storage import materialize
+
 
 def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """A Parquet table, pruned to the columns named."""
@@ -19,6 +21,37 @@ def read_parquet(spark: SparkSession, path: str, columns: list[str] | None = Non
     return df.select(*columns) if columns else df
 
 
+def to_pandas(df: DataFrame, columns: list[str], most_rows: int = 1 << 20) -> pd.DataFrame:
+    """A whole small table on the driver, by Arrow; an error beyond most_rows."""
+    held = df.select(*columns).limit(most_rows + 1).toPandas()
+    if len(held) > most_rows:
+        raise ValueError(f"over {most_rows} rows are no small table")
+    return held
+
+
+def write_rows(spark: SparkSession, rows: list[tuple], like: T.StructType, path: str) -> None:
+    """Write rows of the driver as a table with another's schema."""
+    spark.createDataFrame(rows, like).coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_ranges(spark: SparkSession, path: str, value: str, ranges: list[tuple[float, float]], columns: list[str]) -> DataFrame:
+    """Rows whose value lies in one of the ranges, ends included. Overlapping ranges are merged first.
+
+    On a table that write_parquet has sorted by the value, each merged range is a contiguous read: the filter reaches the
+    scan, which skips all other row groups.
+    """
+    merged: list[list[float]] = []
+    for low, high in sorted(ranges):
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = max(high, merged[-1][1])
+        else:
+            merged.append([low, high])
+    inside = F.lit(False)
+    for low, high in merged:
+        inside = inside | F.col(value).between(low, high)
+    return spark.read.parquet(path).where(inside).select(*columns)
+
+
 def write_parquet(df: DataFrame, path: str, like: T.StructType | None = None, sort: list[str] | None = None) -> None:
     """Write a table, cast to a borrowed schema, in the order of `sort` within files so that ranges of it prune row groups."""
     if like is not None:
@@ -48,17 +81,17 @@ def find_files(spark: SparkSession, root: str, name: str, depth: int = 4) -> Dat
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with number, their place from 0 over all files in the order of their paths.
 
-    Lines are counted per file block; only those counts reach the driver.
+    Lines are counted per file block. The offsets of a file's blocks are sums within the file, those of files are sums over
+    one row for each file.
     """
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     lines = lines.withColumn("place", F.monotonically_increasing_id())
-    counts = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first")).orderBy("file", "block").collect()
-    start, rows = 0, []
-    for r in counts:
-        rows.append((r.file, r.block, start - r.first))
-        start += r.n
-    offsets = spark.createDataFrame(rows, "file string, block long, shift long")
-    return lines.join(F.broadcast(offsets), ["file", "block"]).select((F.col("place") + F.col("shift")).alias("number"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
+    blocks = materialize(lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("place").alias("first")), "blocks")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = blocks.groupBy("file").agg(F.sum("n").alias("n")).select("file", before(Window.orderBy("file")).alias("start"))
+    within = blocks.select("file", "block", (before(Window.partitionBy("file").orderBy("block")) - F.col("first")).alias("shift"))
+    offsets = within.join(files, "file").select("file", "block", (F.col("start") + F.col("shift")).alias("shift"))
+    return lines.join(offsets, ["file", "block"]).select((F.col("place") + F.col("shift")).alias("number"), F.rtrim(F.col("value"), F.lit("\r")).alias("value"))
 
 
 def read_named_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -148,6 +181,20 @@ def pack_heads(rows: list[tuple[float, int, int, int, int | None, int | None]])
     return b"".join(struct.pack("<fiiii", p, mol, off, n, (-1 if c is None else c) * 16 + (-1 if i is None else i)) for p, mol, off, n, c, i in rows)
 
 
+def encode_heads(df: DataFrame) -> DataFrame:
+    """Rows (precursor, mol, off, n, category, instrument) as headers: one binary value, content, for each Arrow batch."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            a = np.zeros(len(pdf), HEAD)
+            for name in ("precursor", "mol", "off", "n"):
+                a[name] = pdf[name]
+            a["tag"] = pdf["category"].fillna(-1) * 16 + pdf["instrument"].fillna(-1)
+            yield pd.DataFrame({"content": [a.tobytes()]})
+
+    return df.select("precursor", "mol", "off", "n", "category", "instrument").mapInPandas(encode, "content binary")
+
+
 def read_bit_rows(spark: SparkSession, path: str) -> DataFrame:
     """Sparse bit sets of binary files: a count and a width as 32-bit numbers, then per row a 16-bit count and 16-bit places."""
 
@@ -171,9 +218,14 @@ def value_counts(df: DataFrame, column: str, n: int = 20) -> DataFrame:
 
 
 def folder_digest(spark: SparkSession, path: str) -> DataFrame:
-    """files, digest: a SHA-256 over the sorted relative paths, lengths and contents' own SHA-256 of a folder's files."""
+    """files, digest: a SHA-256 over the relative paths, lengths and contents' own SHA-256 of a folder's files.
+
+    A file's line goes to one of 256 parts by the SHA-256 of its path; the digest is over the parts' digests, so no task
+    holds the lines of all files.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", F.lit("/" + path.rstrip("/").split("/")[-1] + "/")), -1)
-    each = files.select(name.alias("name"), F.col("length").alias("length"), F.sha2("content", 256).alias("sha"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "length", "sha"))), lambda x: F.concat_ws("\u0000", x["name"], x["length"].cast("string"), x["sha"])), "\n")
-    return each.agg(F.count("*").alias("files"), F.sha2(lines, 256).alias("digest"))
+    each = files.select(name.alias("name"), F.concat_ws(":", F.length(name), name, F.col("length").cast("string"), F.sha2("content", 256)).alias("line"))
+    joined = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\n")
+    parts = each.groupBy(F.substring(F.sha2(F.col("name").cast("binary"), 256), 1, 2).alias("part")).agg(F.count("*").alias("n"), F.sha2(joined("line"), 256).alias("sha"))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.sha2(joined(F.concat_ws(":", "part", "sha")), 256).alias("digest"))
