@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.rank import sorted_positions
 from quern.storage import materialize
 
 
@@ -22,6 +23,23 @@ def profile(df: DataFrame, key: str, category: str, value: str, exact: bool = Fa
     return per.groupBy(key).agg(F.sum("n").alias("n_rows"), measure, text.alias("categories"))
 
 
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """groups, n and a column for each share: exact quantiles with linear interpolation, of groups of any size.
+
+    All values are sorted once over all tasks; a quantile is read at its one or two places in its group's part of that
+    order, so no task holds the values of a group. Nulls don't count.
+    """
+    order = [*groups, value]
+    placed = materialize(sorted_positions(df.where(F.col(value).isNotNull()), order, order, "_at"), "placed")
+    counted = placed.groupBy(*groups).agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    places = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(p) * (F.col("n") - 1)).alias("x")) for name, p in shares.items()])
+    asked = counted.withColumn("_q", F.explode(places)).select(*groups, "n", "_first", "_q.name", F.col("_q.x").alias("_x"), F.floor("_q.x").alias("_low"))
+    weight = F.when(F.col("_step") == 0, 1 - (F.col("_x") - F.col("_low"))).otherwise(F.col("_x") - F.col("_low"))
+    asked = asked.withColumn("_step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_weight", weight).withColumn("_at", F.col("_first") + F.col("_low") + F.col("_step")).where("_weight > 0")
+    read = asked.select(*groups, "n", "name", "_weight", "_at").join(placed.select("_at", value), "_at")
+    return read.groupBy(*groups, "n").agg(*[F.sum(F.when(F.col("name") == name, F.col("_weight") * F.col(value))).alias(name) for name in shares])
+
+
 def clamped_histogram(df: DataFrame, value: str, most: int) -> DataFrame:
     return df.groupBy(F.least(F.col(value), F.lit(most)).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
 

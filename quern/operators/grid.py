@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.rank import top_k
+
 
 def grid_components(cells: DataFrame, frame: str, y: str, x: str, colour: str) -> DataFrame:
     """cells with label, the least (y, x) of its 4-connected component of one colour in its frame, as a struct.
@@ -62,9 +64,13 @@ def shortest_per_state(df: DataFrame, state: list[str], length: str, payload: st
 
 def shape_pairs(pieces: DataFrame, regions: DataFrame, shape: str, piece: str, region: str, area: str, place: str, most: int = 12) -> DataFrame:
     """Each piece of area 2 or more with the first region of its shape at another place, at most `most` pairs, by piece."""
-    r = regions.select(F.col(shape), F.col(region), F.col(place).alias("_place"))
-    found = pieces.where(F.col(area) >= 2).join(r, shape).where(F.col(place) != F.col("_place"))
-    return found.groupBy(piece).agg(F.min(region).alias(region)).orderBy(piece).limit(most)
+    # the least region of each place, then a shape's two least: if the first is at the piece's own place, the second is not
+    least = regions.where(F.col(place).isNotNull()).groupBy(shape, place).agg(F.min(region).alias("_region"))
+    two = top_k(least, [shape], [F.col("_region"), F.col(place)], 2, "_n").groupBy(shape)
+    two = two.agg(F.min(F.struct("_n", "_region", F.col(place).alias("_place"))).alias("_first"), F.max(F.struct("_n", "_region")).alias("_second"))
+    other = F.when(F.col(place) != F.col("_first._place"), F.col("_first._region")).when((F.col(place) == F.col("_first._place")) & (F.col("_second._n") == 2), F.col("_second._region"))
+    found = pieces.where(F.col(area) >= 2).join(two, shape).withColumn("_found", other).where("_found is not null")
+    return found.groupBy(piece).agg(F.min("_found").alias(region)).orderBy(piece).limit(most)
 
 
 def prefix_difference(df: DataFrame, group: list[str], order: list[str], value: str, name: str = "step") -> DataFrame:

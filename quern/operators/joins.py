@@ -230,6 +230,28 @@ def nearest_join(left: DataFrame, right: DataFrame, left_key: str, left_value: s
     return rows.join(found, F.col(left_value) == F.col("_m"), "left").select(left_key, left_value, F.col("_distance").alias("distance"))
 
 
+def closest_pairs(left: DataFrame, right: DataFrame, key: str, left_value: str, right_value: str) -> DataFrame:
+    """key and distance: the least distance of a left and a right value of a key that has both, from one sort of each key's values."""
+    rows = left.select(key, F.col(left_value).alias("_x"), F.lit(0).alias("_side")).unionAll(right.select(key, F.col(right_value), F.lit(1))).where("_x is not null")
+    before = Window.partitionBy(key).orderBy("_x", "_side").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda side: F.last(F.when(F.col("_side") == side, F.col("_x")), ignorenulls=True).over(before)
+    gap = F.col("_x") - F.when(F.col("_side") == 0, last(1)).otherwise(last(0))
+    return rows.withColumn("_gap", gap).groupBy(key).agg(F.min("_gap").alias("distance")).where("distance is not null")
+
+
+def interval_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, seconds: int) -> DataFrame:
+    """Pairs of a key with left_time < right_time <= left_time + seconds.
+
+    Time is cut into buckets of that length, and a left row meets its own and the next one's rows: a key's rows are joined
+    within two buckets, not all with all.
+    """
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1_000_000 * seconds))
+    a = left.withColumn("_bucket", F.explode(F.array(bucket(left_time), bucket(left_time) + 1)))
+    b = right.withColumn("_bucket", bucket(right_time))
+    inside = (F.col(right_time) > F.col(left_time)) & (F.col(right_time) <= F.col(left_time) + F.make_dt_interval(secs=F.lit(seconds)))
+    return a.join(b, [key, "_bucket"]).where(inside).drop("_bucket")
+
+
 def any_shift_semi_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, shifts: list[float], rel: float, slack: float) -> DataFrame:
     """left rows for which some shift s has a right value within left * rel + slack of left + s. Existence alone counts."""
     moved = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_s", F.explode(F.array(*[F.lit(s) for s in shifts])))
@@ -242,7 +264,11 @@ def any_shift_semi_join(left: DataFrame, right: DataFrame, left_value: str, righ
 
 
 def index_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, feature: str, left_weight: str | None = None, right_weight: str | None = None) -> DataFrame:
-    """Sum over shared features for every pair that shares one: left_key, right_key, score (the count without weights)."""
+    """Sum over shared features for every pair that shares one: left_key, right_key, score (the count without weights).
+
+    A feature that m rows on the left and n on the right share adds m * n rows before they are summed, so features that very
+    many share should be left out before, as a search by rare features does.
+    """
     a = left.select(F.col(left_key), F.col(feature), (F.col(left_weight) if left_weight else F.lit(1)).alias("_a"))
     b = right.select(F.col(right_key), F.col(feature), (F.col(right_weight) if right_weight else F.lit(1)).alias("_b"))
     return a.join(b, feature).groupBy(left_key, right_key).agg(F.sum(F.col("_a") * F.col("_b")).alias("score"))

@@ -89,7 +89,9 @@ SELECT round(quantile_cont(d, 0.5), 2) AS p50, round(quantile_cont(d, 0.9), 2) A
 """)
 def a10(t):
     d = (F.max("l_extendedprice") - F.min("l_extendedprice")) / F.avg("l_extendedprice") * 1e6
-    return t("lineitem").groupBy("l_partkey").agg(d.alias("d")).agg(F.round(F.percentile("d", F.lit(0.5)), 2).alias("p50"), F.round(F.percentile("d", F.lit(0.9)), 2).alias("p90"), F.round(F.avg((F.col("d") == 0).cast("double")), 6).alias("zero_share"))
+    spread = t("lineitem").groupBy("l_partkey").agg(d.alias("d"))
+    q = A.exact_quantiles(spread, [], "d", {"p50": 0.5, "p90": 0.9}).select(F.round("p50", 2).alias("p50"), F.round("p90", 2).alias("p90"))
+    return q.crossJoin(spread.agg(F.round(F.avg((F.col("d") == 0).cast("double")), 6).alias("zero_share")))  # one row each
 
 
 @query("a11_group_quantiles", """
@@ -97,8 +99,9 @@ SELECT l_returnflag, l_linestatus, count(*) AS n, round(quantile_cont(abs(l_exte
 """)
 def a11(t):
     off = F.abs(F.col("l_extendedprice") - 50000)
-    q = [F.round(F.percentile(off, F.lit(p)), 4).alias(n) for p, n in ((0.5, "q50"), (0.9, "q90"), (0.99, "q99"))]
-    return t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), *q).where("n >= 10")
+    rows = t("lineitem").select("l_returnflag", "l_linestatus", off.alias("off"))
+    q = A.exact_quantiles(rows, ["l_returnflag", "l_linestatus"], "off", {"q50": 0.5, "q90": 0.9, "q99": 0.99}).where("n >= 10")
+    return q.select("l_returnflag", "l_linestatus", "n", *[F.round(c, 4).alias(c) for c in ("q50", "q90", "q99")])
 
 
 @query("a12_count_distinct", "SELECT l_returnflag, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1")

@@ -181,7 +181,7 @@ def j19(t):
     """The best score over all pairs of a key's rows in two sets."""
     a = t("orders").where("o_orderstatus = 'O'").select("o_custkey", F.col("o_totalprice").alias("x"))
     b = t("orders").where("o_orderstatus = 'F'").select("o_custkey", F.col("o_totalprice").alias("y"))
-    return a.join(b, "o_custkey").groupBy("o_custkey").agg(F.round(F.max(-F.abs(F.col("x") - F.col("y"))), 4).alias("best"))
+    return J.closest_pairs(a, b, "o_custkey", "x", "y").select("o_custkey", F.round(-F.col("distance"), 4).alias("best"))
 
 
 @query("j20_reidentification", """
@@ -210,7 +210,7 @@ def j21(t):
     e = t("events").select("user_id", "ts", "event_type")
     a = e.where("event_type = 'click'").select("user_id", F.col("ts").alias("t0"))
     b = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("t1"))
-    return a.join(b, "user_id").where("t1 > t0 AND t1 <= t0 + INTERVAL 1 DAY").groupBy("user_id").agg(F.count("*").alias("n"))
+    return J.interval_join(a, b, "user_id", "t0", "t1", 86_400).groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("s13_row_fetch", "SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09)")

@@ -23,7 +23,7 @@ def counts(t):
 
 
 def pairs_of(rows, key="item_id"):
-    """Shared counts of all pairs through an inverted index, with both sides' sizes; frequent words are salted by Spark."""
+    """Shared counts of all pairs through an inverted index: a word that n items hold makes n * n rows."""
     left, right = rows.withColumnRenamed(key, "a"), rows.withColumnRenamed(key, "b")
     return J.index_join(left, right, "a", "b", "w")
 
@@ -228,7 +228,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, vec
 """)
 def f9(t):
     q, c = bit_rows(t)
-    s = c.join(F.broadcast(q), "bit").groupBy("q", "vec_id").agg(F.sum("p").alias("sp"), F.count("*").alias("n"))  # q: 64 bits of each label
+    s = c.join(q, "bit").groupBy("q", "vec_id").agg(F.sum("p").alias("sp"), F.count("*").alias("n"))
     s = s.join(q.groupBy("q").agg(F.sum("p").alias("total")), "q").withColumn("s", F.col("sp") / (F.col("n") + F.col("total") - F.col("sp")))
     return R.top_k(s, ["q"], [F.round("s", 9).desc(), F.col("vec_id")], 5).select("q", "vec_id", F.round("s", 6).alias("score"), "rank")
 
@@ -240,7 +240,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 8) DESC, vec
 def f10(t):
     q, c = bit_rows(t)
     p = F.least(F.greatest("p", F.lit(0.001)), F.lit(0.999))
-    s = c.join(F.broadcast(q), "bit").groupBy("q", "vec_id").agg(F.sum(F.ln(p / (1 - p))).alias("s"))
+    s = c.join(q, "bit").groupBy("q", "vec_id").agg(F.sum(F.ln(p / (1 - p))).alias("s"))
     return R.top_k(s, ["q"], [F.round("s", 8).desc(), F.col("vec_id")], 5).select("q", "vec_id", F.round("s", 5).alias("score"), "rank")
 
 

@@ -90,6 +90,49 @@ def test_adaptive_windows_down_to_zero(spark):
     assert {(r.a, r.b) for r in got.collect()} == want and w > 1
 
 
+def test_closest_pairs_and_intervals_equal_all_pairs(spark):
+    import datetime
+
+    rnd = random.Random(9)
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [[(rnd.randrange(6), rnd.choice([float(rnd.randrange(40)), None]), t0 + datetime.timedelta(seconds=rnd.randrange(400))) for _ in range(60)] for _ in range(2)]
+    rows[0].append((77, 1.0, t0))
+    a, b = (spark.createDataFrame(r, f"k long, {c} double, {t} timestamp") for r, c, t in zip(rows, "xy", ("s", "t"), strict=True))
+    want = {}
+    for k, x, _ in rows[0]:
+        for m, y, _ in rows[1]:
+            if k == m and x is not None and y is not None:
+                want[k] = min(want.get(k, 1e9), abs(x - y))
+    assert {r.k: r.distance for r in joins.closest_pairs(a, b, "k", "x", "y").collect()} == want
+    got = sorted((r.k, r.s, r.t) for r in joins.interval_join(a.drop("x"), b.drop("y"), "k", "s", "t", 30).collect())
+    assert got == sorted((k, s, u) for k, _, s in rows[0] for m, _, u in rows[1] if k == m and s < u <= s + datetime.timedelta(seconds=30)) and got
+
+
+def test_exact_quantiles(spark):
+    from quern.operators import aggregate
+
+    rnd = random.Random(13)
+    rows = [(k, g, rnd.choice([rnd.uniform(0, 9), 3.0, None])) for k in ("a", "b", None) for g in (1, 2) for _ in range(rnd.randint(1, 40))] + [("z", 1, 5.0)]
+    got = aggregate.exact_quantiles(spark.createDataFrame(rows, "k string, g long, v double"), ["k", "g"], "v", {"low": 0.0, "mid": 0.5, "most": 0.93}).collect()
+    held = {}
+    for k, g, v in rows:
+        if v is not None:
+            held.setdefault((k, g), []).append(v)
+    assert len(got) == len(held)
+    for r in got:
+        v = held[r.k, r.g]
+        assert r.n == len(v) and np.allclose([r.low, r.mid, r.most], np.quantile(v, [0, 0.5, 0.93]))
+
+
+def test_shape_pairs_by_brute_force(spark):
+    rnd = random.Random(14)
+    pieces = [(i, rnd.choice("xyz"), rnd.randint(1, 3), rnd.choice("pq")) for i in range(30)]
+    regions = [(i, rnd.choice("xyw"), rnd.choice("pqr")) for i in range(9)] + [(20, "z", "p")]
+    got = grid.shape_pairs(spark.createDataFrame(pieces, "a long, s string, n long, w string"), spark.createDataFrame(regions, "b long, s string, w string"), "s", "a", "b", "n", "w", 100)
+    want = {a: min(b for b, t, v in regions if t == s and v != w) for a, s, n, w in pieces if n >= 2 and any(t == s and v != w for _, t, v in regions)}
+    assert {r.a: r.b for r in got.collect()} == want and want
+
+
 def test_chain_merge_is_anchored_at_the_first_value(spark):
     rows = spark.createDataFrame([([(0.0, 1.0), (0.9, 1.0), (1.8, 1.0)],), ([],)], "p array<struct<x:double,y:double>>")
     got = [r.m for r in rows.select(V.chain_merged(F.col("p"), 1.0).alias("m")).collect()]
