@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.joins import absolute_band_join
+from quern.storage import materialize
 
 
 def chains(queries: DataFrame, ops: DataFrame, query: str, delta: str, op: str, shift: str, tol: float) -> DataFrame:
@@ -145,3 +146,22 @@ def explained_share(peaks: DataFrame, candidates: DataFrame, query: str, value:
     hit = windows.join(masses, [query, "_w"], "left").groupBy(query, "_row").agg(F.max(intensity).alias("_i"), F.max(F.coalesce(F.abs(F.col("_m") - F.col(value)) <= tol, F.lit(False))).alias("_hit"))
     flag: Column = F.col("_hit").cast("double")
     return hit.groupBy(query).agg(F.avg(flag).alias("share_peaks"), (F.sum(flag * F.col("_i")) / F.sum("_i")).alias("share_intensity"))
+
+
+def absorbing_chain(edges: DataFrame, starts: DataFrame, graph: str, source: str, target: str, share: str, node: str, depth: int, keep_last: bool = False) -> DataFrame:
+    """graph, node, observed: how much of a unit of mass at each start is seen at a node after `depth` steps at most.
+
+    A step moves a node's mass along its edges by their shares; what the shares leave is observed there. Mass that is still
+    moving after the last step is lost, or with keep_last observed where it is. Every step is a join and a sum over nodes,
+    so paths are never listed.
+    """
+    out = edges.groupBy(graph, F.col(source).alias(node)).agg(F.sum(share).alias("_out"))
+    moving, seen = starts.groupBy(graph, node).agg(F.count("*").cast("double").alias("_mass")), None
+    for step in range(depth + 1):
+        moving = materialize(moving, "moving")
+        stays = F.lit(1.0) if keep_last and step == depth else 1 - F.coalesce("_out", F.lit(0.0))
+        now = moving.join(out, [graph, node], "left").select(graph, node, (F.col("_mass") * stays).alias("_seen"))
+        seen = now if seen is None else seen.unionAll(now)
+        moved = moving.withColumnRenamed(node, source).join(edges, [graph, source])
+        moving = moved.groupBy(graph, F.col(target).alias(node)).agg(F.sum(F.col("_mass") * F.col(share)).alias("_mass"))
+    return seen.groupBy(graph, node).agg(F.sum("_seen").alias("observed")).where("observed > 0")

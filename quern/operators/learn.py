@@ -95,6 +95,23 @@ def tree_scores(df: DataFrame, features: list[str], model: str, name: str = "sco
     return df.withColumn(name, score(*features))
 
 
+def mlp_scores(df: DataFrame, features: list[str], layers: list[tuple[list[list[float]], list[float]]], name: str = "score") -> DataFrame:
+    """df with the one output of a saved network of dense layers (weights by input, biases), rectified between layers.
+
+    Whole batches are multiplied; a null feature counts as 0. The network is of the size of its layers.
+    """
+    sent = df.sparkSession.sparkContext.broadcast([(np.array(w, float), np.array(b, float)) for w, b in layers])
+
+    @F.pandas_udf("double")
+    def score(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.astype(float).fillna(0.0).to_numpy() for c in columns])
+        for k, (w, b) in enumerate(sent.value):
+            x = (np.maximum(x, 0.0) if k else x) @ w + b
+        return pd.Series(x[:, 0])
+
+    return df.withColumn(name, score(*features))
+
+
 def coordinate_descent(start: dict[str, float], grids: dict[str, list[float]], score: Callable[[dict[str, float]], tuple[float, float]], rounds: int = 3) -> dict[str, float]:
     """One parameter at a time over its grid; a move counts only if it lifts both halves' scores."""
     best, held = dict(start), score(start)

@@ -369,6 +369,19 @@ def l4(t):
     return scored.groupBy("l_returnflag").agg(F.round(F.sum("score"), 4).alias("total"))
 
 
+NETWORK = [([[0.02, -0.04, 0.01], [10.0, 5.0, -20.0]], [0.1, 1.0, 0.25]), ([[1.5], [-0.5], [2.0]], [-0.25])]
+
+
+@query("l9_network_scores", """
+SELECT l_returnflag, round(sum(CAST(1.5 AS DOUBLE) * greatest(0, l_quantity * CAST(0.02 AS DOUBLE) + l_discount * 10 + CAST(0.1 AS DOUBLE)) - CAST(0.5 AS DOUBLE) * greatest(0, l_quantity * CAST(-0.04 AS DOUBLE) + l_discount * 5 + 1)
+  + 2 * greatest(0, l_quantity * CAST(0.01 AS DOUBLE) - l_discount * 20 + CAST(0.25 AS DOUBLE)) - CAST(0.25 AS DOUBLE)), 3) AS total FROM lineitem GROUP BY 1
+""")
+def l9(t):
+    """The forward pass of a saved network."""
+    rows = t("lineitem").select("l_returnflag", "l_quantity", "l_discount")
+    return learn.mlp_scores(rows, ["l_quantity", "l_discount"], NETWORK).groupBy("l_returnflag").agg(F.round(F.sum("score"), 3).alias("total"))
+
+
 @query("l3_lambda_gradients", """
 WITH r AS (SELECT l_orderkey AS q, l_partkey * 1000 + l_linenumber AS c, l_discount AS s, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_partkey, l_linenumber, l_extendedprice) = 1 AS truth, l_extendedprice FROM lineitem),
 d AS (SELECT q, c, max(s) AS s, bool_or(truth) AS truth FROM r GROUP BY 1, 2),

@@ -437,6 +437,24 @@ def g7(t):
     return k.groupBy("product").agg(F.max("l_discount").alias("best_sim"), F.min("l_linenumber").alias("best_rank"), F.countDistinct("l_suppkey").alias("n_ops"), F.count("*").alias("support"))
 
 
+@query("g8_absorbing_chain", """
+WITH RECURSIVE n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+e AS (SELECT a.o_custkey, a.i AS i, b.i AS j, CASE WHEN b.i = a.i + 1 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.25 AS DOUBLE) END AS p FROM n a JOIN n b ON a.o_custkey = b.o_custkey AND b.i IN (a.i + 1, a.i + 2)),
+o AS (SELECT o_custkey, i, sum(p) AS gone FROM e GROUP BY 1, 2),
+m AS (SELECT o_custkey, i, CAST(1 AS DOUBLE) AS m, 0 AS k FROM n WHERE i = 1 UNION ALL SELECT m.o_custkey, j, m * p, k + 1 FROM m JOIN e ON e.o_custkey = m.o_custkey AND e.i = m.i WHERE k < 4)
+SELECT m.o_custkey, m.i AS node, round(sum(m * (1 - coalesce(gone, 0))), 6) AS observed FROM m LEFT JOIN o ON o.o_custkey = m.o_custkey AND o.i = m.i GROUP BY 1, 2
+""")
+def g8(t):
+    """Mass that starts at a customer's first order, steps to the next or the one after, and stays with what is left."""
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    nodes = t("orders").select("o_custkey", place.alias("node"))
+    sizes = nodes.groupBy("o_custkey").agg(F.max("node").alias("n"))
+    step = F.explode(F.array(F.struct(F.lit(1).alias("d"), F.lit(0.5).alias("share")), F.struct(F.lit(2).alias("d"), F.lit(0.25).alias("share"))))
+    edges = nodes.join(sizes, "o_custkey").withColumn("s", step).select("o_custkey", F.col("node").alias("a"), (F.col("node") + F.col("s.d")).alias("b"), "s.share", "n").where("b <= n").drop("n")
+    chain = G.absorbing_chain(edges, nodes.where("node = 1"), "o_custkey", "a", "b", "share", "node", 4)
+    return chain.select("o_custkey", "node", F.round("observed", 6).alias("observed"))
+
+
 @query("g9_explained_share", """
 WITH p AS (SELECT o_custkey AS q, o_totalprice AS v, o_orderkey FROM orders), m AS (SELECT o_custkey AS q, o_totalprice + 1000 AS m FROM orders WHERE o_orderstatus = 'O'),
 h AS (SELECT q, v, EXISTS (SELECT 1 FROM m WHERE m.q = p.q AND abs(m.m - p.v) <= 2500) AS hit FROM p) SELECT q, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS share_peaks, round(sum(CASE WHEN hit THEN v ELSE 0 END) / sum(v), 6) AS share_intensity FROM h GROUP BY 1

@@ -275,6 +275,15 @@ def test_fragments_of_a_chain(spark):
     assert got == {7000: 1, 1000: 1, 6000: 1, 3000: 1, 4000: 1, 2000: 1}
 
 
+def test_absorbing_chain_by_hand(spark):
+    edges = spark.createDataFrame([("g", "a", "b", 0.5), ("g", "a", "c", 0.25), ("g", "b", "c", 1.0), ("g", "c", "d", 0.5), ("h", "a", "b", 1.0)], "g string, u string, v string, p double")
+    starts = spark.createDataFrame([("g", "a"), ("h", "a"), ("lone", "x")], "g string, n string")
+    got = lambda depth, last: {(r.g, r.n): r.observed for r in generate.absorbing_chain(edges, starts, "g", "u", "v", "p", "n", depth, last).collect()}
+    assert got(3, False) == {("g", "a"): 0.25, ("g", "c"): 0.375, ("g", "d"): 0.375, ("h", "b"): 1.0, ("lone", "x"): 1.0}
+    assert got(1, False) == {("g", "a"): 0.25, ("g", "c"): 0.125, ("h", "b"): 1.0, ("lone", "x"): 1.0}
+    assert got(1, True) == {("g", "a"): 0.25, ("g", "b"): 0.5, ("g", "c"): 0.25, ("h", "b"): 1.0, ("lone", "x"): 1.0}
+
+
 def test_chain_fragments_match_a_search_over_cuts(spark):
     rng = np.random.default_rng(6)
     rows = [(k, [round(float(x), 5) for x in rng.uniform(0, 300, n)]) for k, n in enumerate([1, 2, 3, 7, 12, 19])]
