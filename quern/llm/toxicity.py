@@ -153,7 +153,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows
     return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")), (n1 + 0.5) / (n1 + n0 + 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 4000, folds: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 6000, folds: int = 5) -> Model:
     """Fit on at most max_rows labelled documents, as training_sample draws them. The driver gets their features that count, no text."""
     drawn, prior = training_sample(docs, labels, label_col, max_rows, folds)
     sample = materialize(drawn.repartition(PARTS, "doc_id"), "sample")
