@@ -263,6 +263,39 @@ def any_shift_semi_join(left: DataFrame, right: DataFrame, left_value: str, righ
     return moved.join(targets, inside, "left_semi").dropDuplicates(["_row"]).select(*left.columns)
 
 
+def _rare_first(sets: DataFrame, key: str, feature: str) -> DataFrame:
+    """key, feature, size of its set, place of the feature in it from 1, rarest first."""
+    spread = sets.groupBy(feature).agg(F.count("*").alias("_df"))
+    own = Window.partitionBy(key)
+    ranked = sets.join(spread, feature).withColumn("_size", F.count("*").over(own)).withColumn("_place", F.row_number().over(own.orderBy("_df", feature)))
+    return ranked.select(key, feature, "_size", "_place")
+
+
+def top_similar_sets(sets: DataFrame, key: str, feature: str, k: int, probe: int = 8) -> DataFrame:
+    """key, other, similarity, rank: each set's k others of the highest Tanimoto similarity that share a feature; ties to lesser keys.
+
+    sets: distinct (key, feature). A set first asks those that share one of its `probe` rarest features; its k-th best of
+    them is a bound b. Whatever reaches b shares one of the size - ceil(b * size) + 1 rarest, so the most frequent features
+    are joined only by sets that have found no good neighbour otherwise.
+    """
+    placed = materialize(_rare_first(sets, key, feature), "placed")
+    whole = materialize(sets.groupBy(key).agg(F.collect_list(feature).alias("_set")), "sets")
+    right = placed.select(F.col(key).alias("_other"), feature)
+
+    def compared(asked: DataFrame) -> DataFrame:
+        pairs = asked.join(right, feature).where(F.col(key) != F.col("_other")).select(key, "_other").distinct()
+        both = pairs.join(whole, key).join(whole.select(F.col(key).alias("_other"), F.col("_set").alias("_theirs")), "_other")
+        shared = F.size(F.array_intersect("_set", "_theirs"))
+        return both.select(key, "_other", (shared / (F.size("_set") + F.size("_theirs") - shared)).alias("similarity"))
+
+    order = [F.col("similarity").desc(), F.col("_other")]
+    first = top_k(compared(placed.where(F.col("_place") <= probe)), [key], order, k)
+    bound = materialize(first.where(F.col("rank") == k).select(key, F.col("similarity").alias("_bound")), "bounds")
+    needed = F.col("_size") - F.ceil(F.coalesce("_bound", F.lit(0.0)) * F.col("_size") - 1e-9) + 1
+    asked = placed.join(bound, key, "left").where(F.col("_place") <= needed)
+    return top_k(compared(asked), [key], order, k).withColumnRenamed("_other", "other")
+
+
 def index_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, feature: str, left_weight: str | None = None, right_weight: str | None = None) -> DataFrame:
     """Sum over shared features for every pair that shares one: left_key, right_key, score (the count without weights).
 

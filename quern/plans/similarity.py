@@ -1,5 +1,7 @@
 """Similarity joins and scoring functions. Documents' words and vectors' components stand for peaks and bits."""
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from quern.operators import generate as G
 from quern.operators import joins as J
 from quern.operators import rank as R
 from quern.plans.registry import query
+from quern.storage import materialize
 
 SETS = "SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark"
 WEIGHTS = "SELECT item_id, w, count(*) AS n FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) GROUP BY 1, 2"
@@ -35,11 +38,8 @@ SELECT a, b, round(sim, 6) AS sim, rank FROM k WHERE rank <= 5
 """)
 def j15(t):
     """For each item the five most similar others by the Tanimoto index of their word sets."""
-    s = item_words(t).distinct()
-    n = s.groupBy("item_id").agg(F.count("*").alias("n"))
-    p = pairs_of(s).where("a <> b").join(n.withColumnsRenamed({"item_id": "a", "n": "na"}), "a").join(n.withColumnsRenamed({"item_id": "b", "n": "nb"}), "b")
-    p = p.withColumn("sim", F.col("score") / (F.col("na") + F.col("nb") - F.col("score")))
-    return R.top_k(p, ["a"], [F.col("sim").desc(), F.col("b")], 5).select("a", "b", F.round("sim", 6).alias("sim"), "rank")
+    best = J.top_similar_sets(item_words(t).distinct(), "item_id", "w", 5)
+    return best.select(F.col("item_id").alias("a"), F.col("other").alias("b"), F.round("similarity", 6).alias("sim"), "rank")
 
 
 @query("j16_two_stage_search", f"""
@@ -97,12 +97,22 @@ WITH c AS ({WEIGHTS}), {ENTROPY}, m AS (SELECT x.item_id AS a, y.item_id AS b, s
 SELECT a, b, round(least(1, greatest(0, s)), 5) AS similarity FROM m WHERE s >= 0.15
 """)
 def f2(t):
-    """Unmatched peaks cancel in the entropy similarity, so only shared ones are joined."""
-    e = shares(t)
-    pair = e.select(F.col("item_id").alias("a"), "w", F.col("p").alias("x")).join(e.select(F.col("item_id").alias("b"), "w", F.col("p").alias("y")), "w").where("a < b")
+    """Unmatched peaks cancel in the entropy similarity, so only shared ones are joined.
+
+    A word adds most where the other side's share of it is the largest that any item has. The most frequent words whose
+    bounds together stay under the threshold can't make a pair alone, so pairs are found by the others and then scored whole.
+    """
+    e = materialize(shares(t), "shares")
     x, y = F.col("x"), F.col("y")
-    s = F.sum((x + y) * F.ln(x + y) - x * F.ln(x) - y * F.ln(y)) / F.ln(F.lit(4.0))
-    return pair.groupBy("a", "b").agg(s.alias("s")).where("s >= 0.15").select("a", "b", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")), 5).alias("similarity"))
+    gain = (x + y) * F.ln(x + y) - x * F.ln(x) - y * F.ln(y)
+    words = e.groupBy("w").agg(F.count("*").alias("df"), F.max("p").alias("y"))
+    frequent = Window.partitionBy("item_id").orderBy(F.col("df").desc(), "w").rowsBetween(Window.unboundedPreceding, 0)
+    bounded = e.withColumnRenamed("p", "x").join(words, "w").withColumn("most", F.sum(gain).over(frequent))
+    asks = bounded.where(F.col("most") >= 0.15 * math.log(4) - 1e-9).select(F.col("item_id").alias("a"), "w")
+    pairs = asks.join(e.select(F.col("item_id").alias("b"), "w"), "w").where("a < b").select("a", "b").distinct()
+    whole = pairs.join(e.select(F.col("item_id").alias("a"), "w", F.col("p").alias("x")), "a").join(e.select(F.col("item_id").alias("b"), "w", F.col("p").alias("y")), ["b", "w"])
+    s = F.sum(gain) / F.ln(F.lit(4.0))
+    return whole.groupBy("a", "b").agg(s.alias("s")).where("s >= 0.15").select("a", "b", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "s")), 5).alias("similarity"))
 
 
 def _peak_pairs(t):

@@ -133,6 +133,20 @@ def test_shape_pairs_by_brute_force(spark):
     assert {r.a: r.b for r in got.collect()} == want and want
 
 
+def test_top_similar_sets_by_brute_force(spark):
+    rnd = random.Random(15)
+    sets = {i: {rnd.choice("abc") if rnd.random() < 0.4 else f"w{rnd.randrange(60)}" for _ in range(rnd.randint(1, 12))} for i in range(50)}
+    sets |= {60: {"only"}, 61: sets[3], 62: sets[3]}
+    df = spark.createDataFrame([(i, w) for i, s in sets.items() for w in s], "k long, w string")
+    for probe in (1, 8):
+        got = [(r.k, r.other, round(r.similarity, 9), r["rank"]) for r in joins.top_similar_sets(df, "k", "w", 4, probe).collect()]
+        want = []
+        for i, s in sets.items():
+            scored = sorted((-len(s & t) / len(s | t), j) for j, t in sets.items() if j != i and s & t)
+            want += [(i, j, round(-x, 9), n + 1) for n, (x, j) in enumerate(scored[:4])]
+        assert sorted(got) == sorted(want)
+
+
 def test_chain_merge_is_anchored_at_the_first_value(spark):
     rows = spark.createDataFrame([([(0.0, 1.0), (0.9, 1.0), (1.8, 1.0)],), ([],)], "p array<struct<x:double,y:double>>")
     got = [r.m for r in rows.select(V.chain_merged(F.col("p"), 1.0).alias("m")).collect()]
