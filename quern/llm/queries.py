@@ -13,6 +13,7 @@ from quern.llm.license_scan import license_scan
 from quern.llm.packing import pack_documents
 from quern.llm.secret_scan import secret_scan
 from quern.llm.simhash_dedup import simhash_groups
+from quern.llm.simhash_sql import OP8_SQL
 from quern.llm.substring_dedup import substring_dedup
 from quern.llm.topk_search import top_k
 from quern.llm.toxicity import fit, toxicity_scores
@@ -214,5 +215,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_warc": OP2_SQL,
     "op3_topk_search": OP3_SQL,
     "op6_substring_dedup": OP6_SQL,
+    "op8_simhash_dedup": OP8_SQL,
     "op9_url_filter": OP9_SQL,
 }

@@ -189,6 +189,28 @@ def test_topk_edges(spark):
     assert [tuple(r) for r in topk_search.top_k(empty, empty.where("vec_id = 0")).orderBy("rank").collect()] == [(0, 1, 1, 0), (0, 2, 2, 0)]
 
 
+def test_queries_in_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.normal(size=3 + i % 2).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, topk_search.top_k(df, df.where("vec_id % 5 = 0"), 4).collect()))
+    monkeypatch.setattr(topk_search, "QUERY_COMPONENTS", 11)
+    assert sorted(map(tuple, topk_search.top_k(df, df.where("vec_id % 5 = 0"), 4).collect())) == want and len(want) == 48
+
+
+def test_xxh64_in_sql():
+    import duckdb
+    import xxhash
+
+    from quern.llm.simhash_sql import xxh64_sql
+
+    rnd = random.Random(16)
+    texts = ["".join(rnd.choices("abc é\u2603xyz", k=n)) for n in range(1, 90)]
+    con = duckdb.connect()
+    con.execute("create table s as select unnest($1) as shingle", [texts])
+    got = dict(con.execute(f"WITH {xxh64_sql('s')} SELECT shingle, h FROM x").fetchall())
+    assert got == {t: xxhash.xxh64_intdigest(t.encode(), 42) for t in texts}
+
+
 def test_search_of_the_least_long():
     """Components whose magnitude is no long, and scores beyond one, which are cut to its ends."""
     least = -(1 << 63)
