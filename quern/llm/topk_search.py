@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import map_batches, materialize
 
-#: Rows of a block, queries that one pass over all rows answers, the share of a list that is read, and the shares of all
-#: lists after which the bounds are compared.
-BLOCK_ROWS, QUERY_BLOCK, DEPTH, STOPS = 2048, 2048, 0.75, (0.375, 0.5, 0.625, 0.75, 0.875)
+#: Rows of a block, components of the queries that one pass over all rows answers (16 MB, broadcast), the share of a list that
+#: is read, and the shares of all lists after which the bounds are compared.
+BLOCK_ROWS, QUERY_COMPONENTS, DEPTH, STOPS = 2048, 1 << 21, 0.75, (0.375, 0.5, 0.625, 0.75, 0.875)
 #: Up to this magnitude sums of products are exact in float64.
 EXACT = float(1 << 53)
 
@@ -178,13 +178,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
 
 def _blocks(queries: DataFrame) -> Iterator[dict[int, list[tuple[int, list[int]]]]]:
-    """Queries by their number of dimensions, at most QUERY_BLOCK at a time."""
+    """Queries by their number of dimensions, with QUERY_COMPONENTS at a time."""
     block: dict[int, list[tuple[int, list[int]]]] = {}
     n = 0
     for r in queries.toLocalIterator():
         block.setdefault(len(r.v), []).append((r.id, r.v))
-        n += 1
-        if n == QUERY_BLOCK:
+        n += len(r.v) + 1
+        if n >= QUERY_COMPONENTS:
             yield block
             block, n = {}, 0
     if n:
