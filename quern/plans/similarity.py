@@ -71,11 +71,9 @@ SELECT q, lib, rank FROM r WHERE rank <= 3
 """.replace("0.02", "CAST(0.02 AS DOUBLE)"))
 def j17(t):
     """Retrieval over bins and their neighbours: each query component counts its best posting per library entry once."""
-    v = t("embeddings").select("vec_id", "label", F.posexplode("embedding").alias("d", "y")).withColumn("y", F.col("y").cast("double")).withColumn("bin", F.floor(F.col("y") / 0.02))
-    q = v.select(F.col("vec_id").alias("q"), "d", F.col("y").alias("qy"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    near = q.join(v.select("vec_id", F.col("label").alias("lib"), "d", "y", "bin"), ["d", "bin"]).where((F.abs(F.col("qy") - F.col("y")) <= 0.02) & (F.col("q") != F.col("vec_id")))
-    best = near.groupBy("q", "lib", "d").agg(F.max(1 - F.abs(F.col("qy") - F.col("y")) / 0.02).alias("s"))
-    return R.top_k(best.groupBy("q", "lib").agg(F.round(F.sum("s"), 6).alias("score")), ["q"], [F.col("score").desc(), F.col("lib")], 3).select("q", "lib", "rank")
+    v = t("embeddings").select(F.col("vec_id").alias("q"), F.col("label").alias("lib"), F.posexplode("embedding").alias("d", "y")).withColumn("y", F.col("y").cast("double"))
+    best = J.best_postings(v, "q", "lib", "d", "y", 0.02).groupBy("q", "lib").agg(F.round(F.sum("best"), 6).alias("score"))
+    return R.top_k(best, ["q"], [F.col("score").desc(), F.col("lib")], 3).select("q", "lib", "rank")
 
 
 ENTROPY = "p AS (SELECT item_id, w, n / sum(n) OVER (PARTITION BY item_id) AS p FROM c), h AS (SELECT item_id, -sum(p * ln(p)) AS s FROM p GROUP BY 1), r AS (SELECT item_id, w, CASE WHEN s < 3 THEN pow(p, 0.25 + 0.25 * s) ELSE p END AS v FROM p JOIN h USING (item_id)), e AS (SELECT item_id, w, v / sum(v) OVER (PARTITION BY item_id) AS p FROM r)"

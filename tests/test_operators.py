@@ -133,6 +133,20 @@ def test_shape_pairs_by_brute_force(spark):
     assert {r.a: r.b for r in got.collect()} == want and want
 
 
+def test_best_postings_by_brute_force(spark):
+    rnd = random.Random(17)
+    rows = [(i, rnd.choice("abc"), d, float(rnd.randrange(40))) for i in range(30) for d in range(3)]
+    entry = {i: rnd.choice("abc") for i in range(30)}
+    rows = [(i, entry[i], d, y) for i, _, d, y in rows]
+    got = {(r.k, r.e, r.d): r.best for r in joins.best_postings(spark.createDataFrame(rows, "k long, e string, d long, y double"), "k", "e", "d", "y", 3.0).collect()}
+    want = {}
+    for i, _, d, y in rows:
+        for j, e, f, z in rows:
+            if i != j and d == f and abs(y - z) <= 3.0:
+                want[i, e, d] = max(want.get((i, e, d), 0.0), 1 - abs(y - z) / 3.0)
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in want)
+
+
 def test_top_similar_sets_by_brute_force(spark):
     rnd = random.Random(15)
     sets = {i: {rnd.choice("abc") if rnd.random() < 0.4 else f"w{rnd.randrange(60)}" for _ in range(rnd.randint(1, 12))} for i in range(50)}
