@@ -79,15 +79,15 @@ def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, rows)
 
 
-def rehashed(df: DataFrame, other: DataFrame, column: str) -> DataFrame:
-    """Inner join on a long or string column through another hash of it, so that both sides are shuffled for the join.
+def rehashed(df: DataFrame, other: DataFrame, column: str, how: str = "inner") -> DataFrame:
+    """Join (inner or left) on a long or string column through another hash of it, so that both sides are shuffled for the join.
 
     A side that was just grouped by the column would be joined where it lies, and Spark can't split a common value then.
     """
     key = {f.name: f.dataType.typeName() for f in df.schema}[column]
     turned = (lambda c: F.bitwise_not(c)) if key == "long" else (lambda c: F.reverse(c))
     right = other.withColumnRenamed(column, f"_{column}")
-    return df.join(right, turned(df[column]) == turned(right[f"_{column}"])).drop(f"_{column}")
+    return df.join(right, turned(df[column]) == turned(right[f"_{column}"]), how).drop(f"_{column}")
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

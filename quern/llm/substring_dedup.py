@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import Powers, map_batches, materialize, mixed, release, utf8
+from quern.llm.common import Powers, map_batches, materialize, mixed, rehashed, release, utf8
 
 GRAM = 16
 #: The owner of an empty range; owners are places of ids in a shard, far below.
@@ -333,7 +333,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shards = max(1, -(-total // shard_words))
     crowded = ones.groupBy("g").count().where(F.col("count") > crowd).select("g", F.lit(True).alias("many"))
     shard = F.when(F.col("many"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("g"), F.lit(shards))).cast("int")
-    asked = ones.join(crowded, "g", "left").groupBy("id", "key").agg(F.collect_list(F.struct(shard.alias("shard"), "g", "c", "at")).alias("places"))
+    asked = rehashed(ones, crowded, "g", "left").groupBy("id", "key").agg(F.collect_list(F.struct(shard.alias("shard"), "g", "c", "at")).alias("places"))
     # rows that repeat an id and a text would repeat their contexts, which changes nothing
     cut = rows.join(asked, _same(rows, asked)).select(rows["id"], "text", "places")
     cut = materialize(map_batches(cut, _cut(least), "shard int, g long, c long, id long, bit int, words binary"), "cut")
