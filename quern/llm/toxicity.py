@@ -86,20 +86,31 @@ def solve(rows: list[np.ndarray], labels: np.ndarray, keep: np.ndarray, ratio: n
     y = np.asarray(labels, np.float64)
     n1, n0 = int(y.sum()), len(y) - int(y.sum())
     column = (np.cumsum(keep) - 1).astype(np.int32)
-    rows = [column[x] for x in rows]
-    at, cols = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows]), np.concatenate(rows)
-    n_rows, rows = len(rows), None
-    r = ratio[keep].astype(np.float32)
+    # chunks of rows: where they lie, each feature's row among them, and the features
+    chunks = []
+    for k in range(0, len(rows), 512):
+        part = [column[x] for x in rows[k : k + 512]]
+        chunks.append((slice(k, k + len(part)), np.repeat(np.arange(len(part), dtype=np.int16), [len(x) for x in part]), np.concatenate(part)))
+    r = ratio[keep]
     weight = np.where(y == 1, prior / n1, (1 - prior) / n0) * len(y)
-    w, b, scale = np.zeros(len(r), np.float32), float(np.log(prior / (1 - prior))), r[cols]
+
+    def by_row(values: np.ndarray) -> np.ndarray:
+        """The sum of a value for each feature over every row's features."""
+        return np.concatenate([np.bincount(at, values[cols], place.stop - place.start) for place, at, cols in chunks])
+
+    def by_feature(values: np.ndarray) -> np.ndarray:
+        """The sum of a value for each row over every feature's rows."""
+        return sum(np.bincount(cols, values[place][at], len(r)) for place, at, cols in chunks)
+
+    w, b = np.zeros(len(r)), float(np.log(prior / (1 - prior)))
     # Nesterov's method on the log loss; the step follows the largest row, so it can't diverge.
-    norm = np.bincount(at, scale * scale, n_rows)
-    step = 1 / (0.25 * float((weight * (norm + 1)).max()) + l2) if len(cols) else 0.0
+    norm = by_row(r * r)
+    step = 1 / (0.25 * float((weight * (norm + 1)).max()) + l2) if len(r) else 0.0
     step = max(step, 4.0 / (0.25 * float((weight * (norm + 1)).sum()) + l2))
     wv, bv = w.copy(), b
     loss_before = np.inf
     for k in range(steps):
-        z = np.bincount(at, scale * wv[cols], n_rows) + bv
+        z = by_row(r * wv) + bv
         g = weight * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
         loss = float((weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * l2 * wv @ wv)
         if loss > loss_before * 1.0001:
@@ -107,10 +118,10 @@ def solve(rows: list[np.ndarray], labels: np.ndarray, keep: np.ndarray, ratio: n
             loss_before = np.inf
             continue
         loss_before = loss
-        w_new = (wv - step * (np.bincount(cols, scale * g.astype(np.float32)[at], len(r)) + l2 * wv)).astype(np.float32)
+        w_new = wv - step * (r * by_feature(g) + l2 * wv)
         b_new = bv - step * float(g.sum())
         m = k / (k + 3)
-        wv, bv, w, b = (w_new + m * (w_new - w)).astype(np.float32), b_new + m * (b_new - b), w_new, b_new
+        wv, bv, w, b = w_new + m * (w_new - w), b_new + m * (b_new - b), w_new, b_new
     weights = np.zeros(1 << BITS)
     weights[keep] = w * r
     return Model(weights, keep, b)
@@ -191,7 +202,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
             yield pa.record_batch([b.column(0), b.column(1), pa.array(held, pa.binary())], ["doc_id", "y", "features"])
 
     rows = sorted(map(tuple, map_batches(sample.select("doc_id", "y", "text"), pick, "doc_id long, y int, features binary").collect()))
-    return solve([np.frombuffer(x, "<u4") for _, _, x in rows], np.array([y for _, y, _ in rows], np.int64), keep, significant(ones, zeros, n1, n0)[1], prior)
+    y = np.array([y for _, y, _ in rows], np.int64)
+    rows = [np.frombuffer(x, "<u4") for _, _, x in rows]
+    return solve(rows, y, keep, significant(ones, zeros, n1, n0)[1], prior)
 
 
 def _sent(docs: DataFrame, model: Model):
