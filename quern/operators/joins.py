@@ -7,7 +7,7 @@ skewed buckets; a plain range condition would make it compare every pair.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -296,29 +296,32 @@ def _rare_first(sets: DataFrame, key: str, feature: str) -> DataFrame:
     return ranked.select(key, feature, "_size", "_place")
 
 
-def top_similar_sets(sets: DataFrame, key: str, feature: str, k: int, probe: int = 8) -> DataFrame:
-    """key, other, similarity, rank: each set's k others of the highest Tanimoto similarity that share a feature; ties to lesser keys.
+def top_similar_sets(sets: DataFrame, key: str, feature: str, k: int, probe: int = 8, score: Callable[[Column, Column], Column] | None = None, least: Callable[[Column], Column] | None = None) -> DataFrame:
+    """key, other, similarity, score, rank: each set's k best others of those that share a feature; ties to lesser keys.
 
-    sets: distinct (key, feature). A set first asks those that share one of its `probe` rarest features; its k-th best of
-    them is a bound b. Whatever reaches b shares one of the size - ceil(b * size) + 1 rarest, so the most frequent features
-    are joined only by sets that have found no good neighbour otherwise.
+    sets: distinct (key, feature); similarity: Tanimoto's. score(similarity, other) is what counts (by default the similarity),
+    and least(score) the similarity that a pair of such a score has at least. A set first asks those that share one of its
+    `probe` rarest features; its k-th best score of them is a bound, with a least similarity b. Whatever reaches b shares one
+    of the size - ceil(b * size) + 1 rarest, so the most frequent features are joined only by sets that have found no good
+    neighbour otherwise.
     """
+    score, least = score or (lambda similarity, _: similarity), least or (lambda bound: bound)
     placed = materialize(_rare_first(sets, key, feature), "placed")
     whole = materialize(sets.groupBy(key).agg(F.collect_list(feature).alias("_set")), "sets")
     right = placed.select(F.col(key).alias("_other"), feature)
 
-    def compared(asked: DataFrame) -> DataFrame:
+    def best(asked: DataFrame) -> DataFrame:
         pairs = asked.join(right, feature).where(F.col(key) != F.col("_other")).select(key, "_other").distinct()
         both = pairs.join(whole, key).join(whole.select(F.col(key).alias("_other"), F.col("_set").alias("_theirs")), "_other")
         shared = F.size(F.array_intersect("_set", "_theirs"))
-        return both.select(key, "_other", (shared / (F.size("_set") + F.size("_theirs") - shared)).alias("similarity"))
+        scored = both.select(key, "_other", (shared / (F.size("_set") + F.size("_theirs") - shared)).alias("similarity"))
+        scored = scored.withColumn("score", score(F.col("similarity"), F.col("_other")).cast("double"))
+        return top_k(scored, [key], [F.col("score").desc(), F.col("_other")], k)
 
-    order = [F.col("similarity").desc(), F.col("_other")]
-    first = top_k(compared(placed.where(F.col("_place") <= probe)), [key], order, k)
-    bound = materialize(first.where(F.col("rank") == k).select(key, F.col("similarity").alias("_bound")), "bounds")
+    first = best(placed.where(F.col("_place") <= probe)).where(F.col("rank") == k)
+    bound = materialize(first.select(key, least(F.col("score")).alias("_bound")), "bounds")
     needed = F.col("_size") - F.ceil(F.coalesce("_bound", F.lit(0.0)) * F.col("_size") - 1e-9) + 1
-    asked = placed.join(bound, key, "left").where(F.col("_place") <= needed)
-    return top_k(compared(asked), [key], order, k).withColumnRenamed("_other", "other")
+    return best(placed.join(bound, key, "left").where(F.col("_place") <= needed)).withColumnRenamed("_other", "other")
 
 
 def index_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, feature: str, left_weight: str | None = None, right_weight: str | None = None) -> DataFrame:
