@@ -137,7 +137,7 @@ def _bounds(values: DataFrame, name: str) -> np.ndarray:
 
 
 def _in_ranges(asked: DataFrame, values: DataFrame, ranges: int, answer, schema: str) -> DataFrame:
-    """answer(sorted values of a range, batch of rows asked there) of all ranges. asked: range, x, reach; values: range, x."""
+    """answer(range, its sorted values, x and reach of a batch of rows asked there) of all ranges. asked: range, x, reach; values: range, x."""
     both = values.select("range", F.lit(False).alias("asks"), "x", F.lit(0.0).alias("reach")).unionAll(asked.select("range", F.lit(True), "x", "reach"))
     dealt = both.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "asks", "x")
 
@@ -153,7 +153,7 @@ def _in_ranges(asked: DataFrame, values: DataFrame, ranges: int, answer, schema:
                 mine &= asks
                 if mine.any():
                     held = [np.concatenate(held)]
-                    yield answer(held[0], x[mine], reach[mine])
+                    yield from answer(int(r), held[0], x[mine], reach[mine])
 
     return dealt.mapInArrow(run, schema)
 
@@ -162,8 +162,9 @@ def nearest_values(left: DataFrame, right: DataFrame, left_value: str, right_val
     """(m, v): each distinct left value with its k nearest distinct right values and those that are as far to within tie * m.
 
     rel: only right values from m * (1 - rel) to m * (1 + rel). Nulls and NaN take no part. The right values are cut into
-    ranges of a bounded size. A left value first asks its own range how far its k-th neighbour is, then all ranges that this
-    distance touches, so tasks and pairs follow the two tables' sizes and never the product of a range's rows.
+    ranges of a bounded size. A left value asks its own range for its neighbours; where they may lie beyond it, how far the
+    k-th is, and then all ranges that this distance touches. So tasks and pairs follow the two tables' sizes and never the
+    product of a range's rows.
     """
     numbers = lambda df, c: df.select(F.col(c).cast("double").alias("x")).where("x is not null and not isnan(x)").distinct()
     values = materialize(numbers(right, right_value), "values")
@@ -184,8 +185,19 @@ def nearest_values(left: DataFrame, right: DataFrame, left_value: str, right_val
         a, b = np.searchsorted(cuts, np.maximum(m - r, low), side="right"), np.searchsorted(cuts, np.minimum(m + r, high), side="right")
         return pd.Series([np.arange(i, j + 1, dtype=np.int32) for i, j in zip(a, b, strict=True)])
 
-    def reach(held: np.ndarray, m: np.ndarray, _: np.ndarray) -> pa.RecordBatch:
-        """The distance of the k-th neighbour in the own range, and a little more for ties; infinity where there are fewer."""
+    def pairs(held: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low, high = windows(m)
+        a, b = np.searchsorted(held, np.maximum(m - d, low), side="left"), np.searchsorted(held, np.minimum(m + d, high), side="right")
+        size = np.maximum(b - a, 0)
+        stop = np.cumsum(size)
+        return np.repeat(m, size), held[np.repeat(a - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)]
+
+    def batch(m: np.ndarray, v: np.ndarray | None, d: np.ndarray | None) -> pa.RecordBatch:
+        none = pa.nulls(len(m), pa.float64())
+        return pa.record_batch([pa.array(m), none if v is None else pa.array(v), none if d is None else pa.array(d)], ["m", "v", "reach"])
+
+    def own(r: int, held: np.ndarray, m: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The pairs of what its own range settles; else the distance of the k-th neighbour there, infinity where there are fewer."""
         at = np.searchsorted(held, m)
         near = np.arange(-k, k) + at[:, None]
         low, high = windows(m)
@@ -194,21 +206,27 @@ def nearest_values(left: DataFrame, right: DataFrame, left_value: str, right_val
         far = np.where(there & (v >= low[:, None]) & (v <= high[:, None]), np.abs(v - m[:, None]), np.inf)
         d = np.partition(far, k - 1, axis=1)[:, k - 1]
         d = np.sqrt(d * d + (tie * m) ** 2) * (1 + 1e-12)
-        return pa.record_batch([pa.array(m), pa.array(d)], ["x", "reach"])
-
-    def pairs(held: np.ndarray, m: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
-        low, high = windows(m)
-        a, b = np.searchsorted(held, np.maximum(m - d, low), side="left"), np.searchsorted(held, np.minimum(m + d, high), side="right")
-        size = np.maximum(b - a, 0)
-        stop = np.cumsum(size)
-        at = np.repeat(a - stop + size, size) + np.arange(int(stop[-1]))
-        return pa.record_batch([pa.array(np.repeat(m, size)), pa.array(held[at])], ["m", "v"])
-
-    own = values.select(range_of("x").alias("range"), "x")
+        inside = np.ones(len(m), bool)
+        if r > 0:
+            inside &= np.maximum(m - d, low) >= cuts[r - 1]
+        if r < len(cuts):
+            inside &= np.minimum(m + d, high) < cuts[r]
+        yield batch(*pairs(held, m[inside], d[inside]), None)
+        yield batch(m[~inside], None, d[~inside])
+
+    def asked_again(r: int, held: np.ndarray, m: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield batch(*pairs(held, m, d), None)
+
+    schema = "m double, v double, reach double"
+    dealt = values.select(range_of("x").alias("range"), "x")
     asked = numbers(left, left_value).select(range_of("x").alias("range"), "x", F.lit(0.0).alias("reach"))
-    known = materialize(_in_ranges(asked, own, ranges, reach, "x double, reach double"), "reach")
-    again = known.select(F.explode(ranges_of("x", "reach")).alias("range"), "x", "reach")
-    return _in_ranges(again, own, ranges, pairs, "m double, v double")
+    first = materialize(_in_ranges(asked, dealt, ranges, own, schema), "near")
+    found = first.where("v is not null").select("m", "v")
+    rest = first.where("reach is not null")
+    if ranges == 1 or rest.isEmpty():
+        return found
+    again = rest.select(F.explode(ranges_of("m", "reach")).alias("range"), F.col("m").alias("x"), "reach")
+    return found.unionAll(_in_ranges(again, dealt, ranges, asked_again, schema).select("m", "v"))
 
 
 def band_top_k(left: DataFrame, right: DataFrame, left_key: str, left_value: str, right_value: str, rel: float, k: int, score: Column, order: str, tie: float) -> DataFrame:
