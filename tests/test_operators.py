@@ -16,6 +16,34 @@ from quern.operators import evaluate as E
 from quern.sources import records as S
 
 
+def test_intermediate_tables_can_be_discarded(spark):
+    import os
+
+    from quern import storage
+
+    path = storage.shared_dir(spark)
+    spark.range(5).write.parquet(f"{path}/table")
+    assert os.path.isdir(path.removeprefix("file:")) and storage.discard(spark) >= 1 and not os.path.exists(path.removeprefix("file:")) and storage.discard(spark) == 0
+
+
+def test_whole_tables_are_bounded(spark):
+    assert len(S.to_pandas(spark.range(5), ["id"], 5)) == 5
+    with pytest.raises(ValueError, match="rows"):
+        S.to_pandas(spark.range(6), ["id"], 5)
+
+
+def test_line_numbers_over_files_and_blocks(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        for k in range(3):
+            (tmp_path / f"{k}.txt").write_text("".join(f"line {k} {i}\n" for i in range(20 * k + 5)))
+        got = [r.value for r in S.read_lines(spark, str(tmp_path)).orderBy("number").collect()]
+        numbers = sorted(r.number for r in S.read_lines(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"line {k} {i}" for k in range(3) for i in range(20 * k + 5)] and numbers == list(range(75))
+
+
 def test_band_join_equals_the_plain_condition(spark):
     rnd = random.Random(1)
     left = [(i, rnd.uniform(1, 1000)) for i in range(60)]
