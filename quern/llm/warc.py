@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import filesystem, map_batches, rehashed
 
-#: Keys that the sample for the bounds holds at most, about, and shards at most: both reach the driver.
-SAMPLE_KEYS, MOST_SHARDS = 1 << 19, 1 << 15
+#: Keys that the sample for the bounds holds for each shard and in all, about, and shards at most: they reach the driver.
+KEYS_PER_SHARD, SAMPLE_KEYS, MOST_SHARDS = 64, 1 << 19, 1 << 15
 #: Bytes of a record besides its payload, about.
 RECORD_BYTES = 600
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -38,22 +38,22 @@ def base32_sha1(data: bytes) -> str:
 
 
 def range_key(page_id: Column, sha1: Column) -> Column:
-    """Text whose order is that of (id, nulls first; digest)."""
+    """33 characters whose order is that of (id, nulls first; the digest's first 64 bits)."""
     turned = F.hex(F.bitwise_not(page_id).bitwiseXOR(F.lit((1 << 63) - 1)))  # the sign bit flipped
-    return F.concat(F.coalesce(F.concat(F.lit("1"), F.lpad(turned, 16, "0")), F.lit("0" * 17)), sha1)
+    return F.concat(F.coalesce(F.concat(F.lit("1"), F.lpad(turned, 16, "0")), F.lit("0" * 17)), F.substring(sha1, 1, 16))
 
 
 def range_starts(rows: DataFrame, shard_bytes: int, sample_keys: int = SAMPLE_KEYS, most_shards: int = MOST_SHARDS) -> list[str]:
     """Least keys of the shards after the first: ranges of about shard_bytes, more where shards would be too many. rows: key, bytes.
 
-    One pass sums the bytes, a second adds up those of every key that its hash puts into the sample. A shard stands for 16
-    sampled keys at least where there are so many. The rows of one key stay together.
+    One pass sums the bytes, a second adds up those of every key that its hash puts into the sample: 64 for a shard, or 16
+    where there are very many shards. The rows of one key stay together.
     """
     total, n = rows.agg(F.sum("bytes"), F.count("*")).first()
     shards = min(most_shards, -(-(total or 0) // shard_bytes))
     if shards <= 1:
         return []
-    rate = min(1.0, sample_keys / n)
+    rate = min(1.0, min(sample_keys, KEYS_PER_SHARD * shards) / n)
     drawn = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(np.ceil(rate * (1 << 20)))).groupBy("key").agg(F.sum("bytes").alias("bytes"))
     sample = sorted(map(tuple, drawn.collect()))
     share = sum(x for _, x in sample) / shards
@@ -163,11 +163,11 @@ def write_warc(
     several = asked.groupBy("sha1").agg(F.max("page_id").alias("response"), F.count("*").alias("rows")).where("rows > 1").select("sha1", "response")
     marks = rehashed(asked, several, "sha1").where("response is not null and (page_id is null or page_id < response)").select("page_id", "sha1", "response").distinct()
     starts = range_starts(narrow.select(range_key(F.col("page_id"), F.col("sha1")).alias("key"), (F.col("n") + RECORD_BYTES).alias("bytes")), shard_bytes)
-    held = spark.sparkContext.broadcast(np.array(starts, "S57"))
+    held = spark.sparkContext.broadcast(np.array(starts, "S33"))
 
     @F.pandas_udf("int")
     def shard_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(held.value, keys.to_numpy().astype("S57"), side="right").astype(np.int32))
+        return pd.Series(np.searchsorted(held.value, keys.to_numpy().astype("S33"), side="right").astype(np.int32))
 
     both = rows.select("page_id", F.sha1("payload").alias("sha1"), F.lit(1).alias("place"), "url", "payload", F.lit(None).cast("long").alias("response"))
     both = both.unionAll(marks.select("page_id", "sha1", F.lit(0), F.lit(None).cast("string"), F.lit(None).cast("binary"), "response"))

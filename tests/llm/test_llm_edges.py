@@ -154,7 +154,7 @@ def test_warc_is_deterministic_and_checked(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
-def test_ranges_hold_about_equal_bytes(spark):
+def test_ranges_hold_about_equal_bytes(spark, monkeypatch):
     """Clustered ids, a third of all rows without an id, a third of one id: shards stay near their size, in the order of keys."""
     rnd = random.Random(11)
     ids = [None] * 1000 + [7] * 1000 + [10**15 + i for i in range(500)] + [-(10**12) * i for i in range(500)]
@@ -165,7 +165,8 @@ def test_ranges_hold_about_equal_bytes(spark):
     assert [(r.id, r.sha1) for r in by_key] == [(i, h) for i, h, _ in sorted(made, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))]
     keyed = spark.createDataFrame([(r.key, r.bytes) for r in rows], "key string, bytes long")
     total = sum(r.bytes for r in rows)
-    for most, sample, spread in ((1 << 15, 1 << 19, 1.2), (12, 1 << 19, 1.2), (1 << 15, 1500, 2.0)):
+    for most, per, sample, spread in ((1 << 15, 10**6, 1 << 19, 1.2), (12, 10**6, 1 << 19, 1.2), (1 << 15, 64, 1 << 19, 1.6), (1 << 15, 10**6, 800, 2.0)):
+        monkeypatch.setattr(warc, "KEYS_PER_SHARD", per)
         starts = warc.range_starts(keyed, total // 20, sample, most)
         assert starts == warc.range_starts(keyed.repartition(7), total // 20, sample, most) == sorted(set(starts))
         held = collections.Counter()
@@ -380,6 +381,37 @@ def test_license_notices_of_short_forms_and_over_lines(spark):
     assert got == dict(enumerate(texts.values()))
 
 
+def test_license_lines_by_brute_force(spark):
+    """Every line against every template as plain sets: a match is reported, or one that is closer overlaps it."""
+    rnd = random.Random(18)
+    held = [(label, t) for label, t in license_scan.TEMPLATES]
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 2 = 0").select("doc_id", "text").collect()]
+    for k in range(300):
+        lines = []
+        for _ in range(rnd.randint(1, 3)):
+            words = rnd.choice(held)[1].split()
+            for _ in range(rnd.randint(0, max(1, len(words) // 4))):
+                words[rnd.randrange(len(words))] = rnd.choice(["Some", "other", "word", "version", "3.0"])
+            lines.append(" ".join(words))
+        rows.append((10**6 + k, "\n".join(lines)))
+    got = {r.doc_id: [m for m in r.matches if m.kind == "block"] for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [(label, set(license_scan.words_of(t.encode()))) for label, t in held]
+    tried = 0
+    for doc, text in rows:
+        at = 0
+        for line in text.split("\n"):
+            words = license_scan.words_of(line.encode())
+            mine = {(label, len(set(words) & own) / len(own)) for label, own in sets if len(set(words) & own) >= 0.8 * len(own) - 1e-9}
+            reported = {(m.label, m.containment) for m in got[doc] if (m.start, m.words) == (at, len(words))}
+            assert reported <= mine
+            for label, share in mine - reported:
+                over = [m for m in got[doc] if m.start < at + len(words) and at < m.start + m.words]
+                assert any(m.label != label or m.containment >= share for m in over), (doc, label, share)
+            tried += len(mine)
+            at += len(words)
+    assert tried > 200
+
+
 def test_license_labels_beyond_the_phrases(spark):
     from quern.llm import queries
 
