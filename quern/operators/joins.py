@@ -235,7 +235,7 @@ def band_top_k(left: DataFrame, right: DataFrame, left_key: str, left_value: str
     score must not rise with the distance of the values; scores may be equal where distances agree to within tie * value.
     """
     few = top_k(right.where(F.col(right_value).isNotNull()), [right_value], [F.col(order)], k).drop("rank")
-    near = materialize(nearest_values(left, right, left_value, right_value, k, rel, tie), "near").withColumnsRenamed({"m": "_m", "v": "_v"})
+    near = nearest_values(left, right, left_value, right_value, k, rel, tie).withColumnsRenamed({"m": "_m", "v": "_v"})
     pairs = left.join(near, F.col(left_value).cast("double") == F.col("_m")).join(few, F.col("_v") == F.col(right_value).cast("double")).drop("_m", "_v")
     return top_k(pairs.withColumn("score", score), [left_key], [F.col("score").desc(), F.col(order)], k)
 
@@ -243,9 +243,10 @@ def band_top_k(left: DataFrame, right: DataFrame, left_key: str, left_value: str
 def nearest_join(left: DataFrame, right: DataFrame, left_key: str, left_value: str, right_value: str) -> DataFrame:
     """left_key, left_value and distance to the nearest right value; null where there is none."""
     near = nearest_values(left, right, left_value, right_value, 1)
-    found = materialize(near.groupBy(F.col("m").alias("_m")).agg(F.min(F.abs(F.col("v") - F.col("m"))).alias("_distance")), "nearest")
+    found = near.groupBy(F.col("m").alias("_m")).agg(F.min(F.abs(F.col("v") - F.col("m"))).alias("_distance"))
     rows = left.select(left_key, F.col(left_value).cast("double").alias(left_value))
-    return rows.join(found, F.col(left_value) == F.col("_m"), "left").select(left_key, left_value, F.col("_distance").alias("distance"))
+    # by the negative, so that both sides are shuffled for the join and Spark can split a value that very many rows have
+    return rows.join(found, F.negative(F.col(left_value)) == F.negative(F.col("_m")), "left").select(left_key, left_value, F.col("_distance").alias("distance"))
 
 
 def closest_pairs(left: DataFrame, right: DataFrame, key: str, left_value: str, right_value: str) -> DataFrame:
@@ -325,7 +326,7 @@ def top_similar_sets(sets: DataFrame, key: str, feature: str, k: int, probe: int
     """
     score, least = score or (lambda similarity, _: similarity), least or (lambda bound: bound)
     placed = materialize(_rare_first(sets, key, feature), "placed")
-    whole = materialize(sets.groupBy(key).agg(F.collect_list(feature).alias("_set")), "sets")
+    whole = placed.groupBy(key).agg(F.collect_list(feature).alias("_set"))
     right = placed.select(F.col(key).alias("_other"), feature)
 
     def best(asked: DataFrame) -> DataFrame:
@@ -337,7 +338,7 @@ def top_similar_sets(sets: DataFrame, key: str, feature: str, k: int, probe: int
         return top_k(scored, [key], [F.col("score").desc(), F.col("_other")], k)
 
     first = best(placed.where(F.col("_place") <= probe)).where(F.col("rank") == k)
-    bound = materialize(first.select(key, least(F.col("score")).alias("_bound")), "bounds")
+    bound = first.select(key, least(F.col("score")).alias("_bound"))
     needed = F.col("_size") - F.ceil(F.coalesce("_bound", F.lit(0.0)) * F.col("_size") - 1e-9) + 1
     return best(placed.join(bound, key, "left").where(F.col("_place") <= needed)).withColumnRenamed("_other", "other")
 
