@@ -110,6 +110,8 @@ class TemplateIndex:
 
     def candidates(self, block: set[bytes]) -> list[int]:
         """The templates that pass the prefix, length and positional filters, in their order."""
+        if self.prefix.keys().isdisjoint(block):
+            return []
         order = sorted(self.rank[w] for w in block if w in self.rank)
         passed: set[int] = set()
         seen: set[int] = set()
@@ -141,7 +143,9 @@ class TemplateIndex:
         """
         found = []
         present = self.vocabulary.intersection(words)
-        for t, (_, own, least) in enumerate(self.templates):
+        # the prefix filter, on the whole text
+        for t in sorted({t for w in self.prefix.keys() & present for t, _ in self.prefix[w]}):
+            _, own, least = self.templates[t]
             if len(own & present) < least:
                 continue
             at = [i for i, w in enumerate(words) if w in own]
