@@ -16,9 +16,12 @@ from quern.storage import materialize, shared_dir  # noqa: F401  operators take
 #: Bytes that an operator may broadcast. Beyond it each operator works in blocks or by a join.
 BROADCAST_BYTES = 32 << 20
 
-#: Rows that an operator works on at once. Spark itself bounds the Arrow batches that bring them, by rows and by 64 MB.
+#: Rows that an operator works on at once. Spark bounds the Arrow batches that bring them by 64 MB.
 BATCH_ROWS = 256
 
+#: Bytes of such a batch, unless a single row has more.
+BATCH_BYTES = 16 << 20
+
 #: ASCII A-Z to a-z, everything else in the ASCII range that is no letter or digit to a blank. Bytes from 0x80 stay.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -64,19 +67,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow in batches of at most `rows` rows, as whole documents may be long; the session's settings stay as they are."""
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, rows: int = BATCH_ROWS, most_bytes: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow in batches of at most `rows` rows and `most_bytes` bytes (or one row), as whole documents may be long; the session's settings stay as they are."""
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return f(part for b in batches for part in slices(b, rows))
+        return f(part for b in batches for part in slices(b, rows, most_bytes))
 
     return df.mapInArrow(sliced, schema)
 
 
-def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    """The batch in parts of at most `rows` rows, without copies; an empty one as it is."""
+def slices(batch: pa.RecordBatch, rows: int, most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most `rows` rows and `most_bytes` bytes, or of one row, without copies; an empty one as it is."""
     for a in range(0, max(1, batch.num_rows), rows):
-        yield batch.slice(a, rows)
+        part = batch.slice(a, rows)
+        if part.num_rows > 1 and part.nbytes > most_bytes:
+            yield from slices(part, (part.num_rows + 1) // 2, most_bytes)
+        else:
+            yield part
 
 
 def rehashed(df: DataFrame, other: DataFrame, column: str, how: str = "inner") -> DataFrame:

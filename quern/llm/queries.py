@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.byte_bpe import decode_documents, encode_documents
 from quern.llm.common import shared_dir, table
+from quern.llm.conversation_repair import damaged, repair_report
+from quern.llm.conversation_sql import OP11_SQL
 from quern.llm.decontamination import contaminated
+from quern.llm.interval_join import overlap_join
+from quern.llm.interval_sql import OP12_SQL
 from quern.llm.license_scan import license_scan
 from quern.llm.packing import pack_documents
 from quern.llm.secret_scan import secret_scan
@@ -99,6 +104,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair_report(damaged(rows), rows)
+
+
+def op12_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap_join(*(table(spark, sf_dir, name) for name in ("sales", "sale_lines", "clicks")))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = decode_documents(encode_documents(table(spark, sf_dir, "documents")))
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
 OP9_SQL = """
 WITH rules(verdict, r_host, r_path) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
@@ -208,6 +228,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_dedup": op8_simhash_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_interval_join": op12_interval_join,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -217,4 +240,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_substring_dedup": OP6_SQL,
     "op8_simhash_dedup": OP8_SQL,
     "op9_url_filter": OP9_SQL,
+    "op11_conversation_repair": OP11_SQL,
+    "op12_interval_join": OP12_SQL,
 }
