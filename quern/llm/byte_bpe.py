@@ -11,7 +11,9 @@ import base64
 import itertools
 import re
 import struct
-from collections.abc import Iterator, Sequence
+import sys
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,11 +115,11 @@ class Codec:
 
         tokens = read_ranks(path)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(tokens))
-        self.whole = {t: rank for rank, t in enumerate(tokens)}
+        self.whole = {t: rank.to_bytes(4, sys.byteorder) for rank, t in enumerate(tokens)}
         self.data = [unmapped(self.model.id_to_piece(k)) for k in range(len(tokens))]
         self.longest = max(map(len, tokens))
         self.split = Splitter(pattern)
-        self.seen: dict[str, Sequence[int]] = {}
+        self.seen: dict[str, bytes] = {}  # a pre-token's ids, four bytes each
 
     def _merge(self, data: bytes) -> list[int]:
         return self.model.encode(mapped(data))
@@ -153,20 +155,20 @@ class Codec:
             long, short = {}, []
             for w in fresh:
                 data = w.encode()
-                if (rank := self.whole.get(data)) is not None:
-                    self.seen[w] = (rank,)
+                if (own := self.whole.get(data)) is not None:
+                    self.seen[w] = own
                 elif len(data) > WINDOW:
-                    long[w] = self._long(data)
+                    long[w] = array("i", self._long(data)).tobytes()
                 else:
                     short.append((w, data))
             for a in range(0, len(short), 1024):
                 part = short[a : a + 1024]
                 at, whole = list(itertools.accumulate((len(d) for _, d in part), initial=0)), mapped(b"".join([d for _, d in part]))
                 ids = self.model.encode([whole[x:y] for x, y in itertools.pairwise(at)], num_threads=1)
-                self.seen.update(zip((w for w, _ in part), ids, strict=True))
+                self.seen.update((w, array("i", x).tobytes()) for (w, _), x in zip(part, ids, strict=True))
             known = self.seen | long if long else self.seen
-            out.append(np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, chunk)), np.int32))
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
+            out.append(b"".join(map(known.__getitem__, chunk)))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of ids; an id beyond the vocabulary is an error."""

@@ -120,11 +120,30 @@ def tokenizer_path(name: str) -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
+def place_of(df: DataFrame, column: str) -> int:
+    """Where the column stands, by Spark's rules for names: case counts only under spark.sql.caseSensitive; none or several is an error."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive", "false").lower() == "true"
+    found = [k for k, name in enumerate(df.columns) if name == column or not exact and name.lower() == column.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns are named {column}")
+    return found[0]
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """The same columns under names that can't clash; toDF(*df.columns) gives them their own back."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
 def keep_rows(df: DataFrame, column: str, keep: Callable[[list], list[bool]]) -> DataFrame:
-    """Rows of df, all columns as they are, for which keep says so; keep gets the values of one column, batch by batch."""
+    """Rows of df, all columns as they are, for which keep says so; keep gets the values of one column, batch by batch.
+
+    The column is found as Spark finds it, whatever its case; other columns may share a name, the wanted one may not.
+    """
+    at = place_of(df, column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(keep(b.column(b.schema.get_field_index(column)).to_pylist()), pa.bool_()))
+            yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_()))
 
-    return map_batches(df, run, df.schema)
+    plain = by_place(df)
+    return map_batches(plain, run, plain.schema).toDF(*df.columns)

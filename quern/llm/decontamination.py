@@ -28,6 +28,8 @@ from quern.llm.license_scan import words_of
 WIDTH, BLOCKS, BLOCK_BITS, FLIPS = 5, 16, 16, 3
 #: What the blocks guarantee. Fingerprints of similarity 0.8 differ by 39 bits, with a deviation of 6: one in 100,000 is beyond.
 RADIUS = BLOCKS * (FLIPS + 1) - 1
+#: Windows that are hashed at once (or an item's shingles, if these are more): 1 KB each.
+PIECE = 4096
 
 
 def shingles(words: list[bytes], width: int = WIDTH) -> list[tuple[bytes, ...]]:
@@ -62,42 +64,46 @@ def similarity(a: Counter, b: Counter) -> float:
     return shared / total if total else 0.0
 
 
-#: All changes of up to FLIPS bits of a block.
-CHANGES = np.array([sum(1 << b for b in bits) for k in range(FLIPS + 1) for bits in combinations(range(BLOCK_BITS), k)], np.uint16)
+def changes(flips: int) -> np.ndarray:
+    """All changes of up to `flips` bits of a block."""
+    return np.array([sum(1 << b for b in bits) for k in range(flips + 1) for bits in combinations(range(BLOCK_BITS), k)], np.uint16)
+
+
+#: Of the FLIPS bits, up to OWN are changed in the table, which holds each item under all values that this gives, the others in
+#: the lookup: 17 entries an item and 137 lookups a window for each block, where looking all changes up would take 697.
+OWN = 1
+TABLED, ASKED = changes(OWN), changes(FLIPS - OWN)
 
 
 class MultiIndex:
-    """Items by the values of each of their blocks; a lookup asks for all values up to FLIPS bits from a window's."""
+    """Items by the values of each of their blocks and those up to OWN bits from them; a lookup asks for all values up to the other bits away."""
 
     def __init__(self, fingerprints: np.ndarray):
         self.fingerprints = fingerprints  # a row of blocks each
-        self.order = np.argsort(fingerprints, axis=0, kind="stable")
-        self.values = np.take_along_axis(fingerprints, self.order, axis=0)
+        self.tables = []  # by block: distinct values, the first entry of each, items by value
+        for block in range(BLOCKS):
+            values = (fingerprints[:, block, None] ^ TABLED[None, :]).ravel()
+            order = np.argsort(values, kind="stable")
+            distinct, first = np.unique(values[order], return_index=True)
+            self.tables.append((distinct, np.append(first, len(order)), (order // len(TABLED)).astype(np.int32)))
 
     def candidates(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (row of fps, item) that are at most FLIPS bits apart in one block or more.
-
-        Few items are compared block by block, as that costs less than looking up each of the changed values; the
-        candidates are the same.
-        """
+        """Distinct (row of fps, item) that are at most FLIPS bits apart in one block or more."""
         n = len(self.fingerprints)
-        found = [np.zeros(0, np.int64)]
-        if n <= len(CHANGES):
-            step = max(1, (1 << 18) // n)
-            for a in range(0, len(fps), step):
-                near = (np.bitwise_count(fps[a : a + step, None, :] ^ self.fingerprints[None, :, :]) <= FLIPS).any(axis=2)
-                found.append(np.flatnonzero(near) + a * n)
-        else:
-            for block in range(BLOCKS):
-                column, order = self.values[:, block], self.order[:, block]
-                for a in range(0, len(fps), 256):
-                    asked = (fps[a : a + 256, block, None] ^ CHANGES[None, :]).ravel()
-                    low, high = np.searchsorted(column, asked, "left"), np.searchsorted(column, asked, "right")
-                    size = high - low
-                    stop = np.cumsum(size)
-                    place = np.repeat(low - stop + size, size) + np.arange(int(stop[-1]))
-                    found.append((np.repeat(np.arange(len(asked)) // len(CHANGES), size) + a) * n + order[place])
-        pairs = np.unique(np.concatenate(found))
+        pairs = []
+        for a in range(0, len(fps), 256):
+            found = [np.zeros(0, np.int64)]
+            for block, (distinct, first, items) in enumerate(self.tables):
+                asked = (fps[a : a + 256, block, None] ^ ASKED[None, :]).ravel()
+                place = np.minimum(np.searchsorted(distinct, asked), len(distinct) - 1)
+                hit = np.flatnonzero(distinct[place] == asked)
+                low, high = first[place[hit]], first[place[hit] + 1]
+                size = high - low
+                stop = np.cumsum(size)
+                entry = np.repeat(low - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)
+                found.append((np.repeat(hit // len(ASKED), size) + a) * n + items[entry])
+            pairs.append(np.unique(np.concatenate(found)))
+        pairs = np.concatenate(pairs) if pairs else np.zeros(0, np.int64)
         return pairs // n, pairs % n
 
     def within(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,15 +158,8 @@ class BenchmarkIndex:
         width = min(WIDTH, size)
         per = size - width + 1  # shingles of a window
         last = len(words) - size
-        a = 0
-        while a < len(places):  # runs of places whose windows touch
-            b = a
-            while b + 1 < len(places) and places[b + 1] - places[b] <= 2 * size:
-                b += 1
-            low, high = max(0, places[a] - per + 1), min(last, places[b])
-            a = b + 1
-            if low > high:
-                continue
+        piece = max(PIECE, per)
+        for low, high in _pieces(places, size, per, last, piece):
             own = [tuple(words[i : i + width]) for i in range(low, high + per)]
             shared = np.cumsum([0] + [s in self.owners for s in own])
             asked = np.flatnonzero(shared[per:] > shared[:-per])
@@ -177,16 +176,33 @@ class BenchmarkIndex:
                     yield i, low + k, size, share
 
 
+def _pieces(places: list[int], size: int, per: int, last: int, piece: int) -> Iterator[tuple[int, int]]:
+    """(first, last) windows of runs of places whose windows touch, a bounded number at a time."""
+    a = 0
+    while a < len(places):
+        b = a
+        while b + 1 < len(places) and places[b + 1] - places[b] <= 2 * size:
+            b += 1
+        low, high = max(0, places[a] - per + 1), min(last, places[b])
+        a = b + 1
+        for start in range(low, high + 1, piece):
+            yield start, min(high, start + piece - 1)
+
+
 SCHEMA = "doc_id long, item_id long, start_word long, n_words long, similarity double"
 
 
+#: What an item's fingerprint and its entries in the tables take.
+ITEM_BYTES = 300 + BLOCKS * len(TABLED) * 10
+
+
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int | None, str]]]:
     """The distinct items in blocks of a bounded size, read one partition at a time."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     block, size = [], 0
     for r in items.toLocalIterator():
         block.append((r.item_id, r.text))
-        size += 24 * len(r.text) + 300
+        size += 24 * len(r.text) + ITEM_BYTES
         if size > most:
             yield block
             block, size = [], 0

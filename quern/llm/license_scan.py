@@ -1,7 +1,8 @@
 """License notices in texts: fixed phrases, and an exact containment join of text blocks with notice templates.
 
-A block (a line, or a run of words over several lines, little longer than the template) and a template are sets of words.
-The join finds every block that holds at least `threshold` of a template's words. Template words are ordered by how many
+A block (a line, or a run of words within a longer line or over several lines) is at most as long as the template's words by the
+threshold; block and template are sets of words. The join finds every block that holds at least `threshold` of a template's
+words, and all of those that name a licence. Template words are ordered by how many
 documents hold them, rarest first; a block can only reach the threshold if it holds a word of the template's prefix in that
 order (prefix filter), has enough distinct words (length filter), and if behind the first shared word both the template and
 the block have enough words left (positional filter). The templates and their prefix index are of fixed size and broadcast;
@@ -64,6 +65,9 @@ TEMPLATES = (
     ("proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted without prior written permission"),
 )
 
+# Words that name a licence: what of them stands in a template must stand in a block.
+NAMES = "mit apache bsd gnu affero lesser mozilla cc nc sa nd creative commons noncommercial sharealike noderivatives eclipse boost unencumbered reserved".split()
+
 
 def words_of(text: bytes | None) -> list[bytes]:
     """Words of a UTF-8 text after lower-casing A-Z: runs of a-z, 0-9 and everything beyond ASCII."""
@@ -85,6 +89,9 @@ def template_frequencies(docs: DataFrame, templates=TEMPLATES, text_col: str = "
     return {bytes(r.word): r.n for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
+NAMED = frozenset(w.encode() for w in NAMES)
+
+
 class TemplateIndex:
     """Prefix index of the templates under a global order of their words, rarest first."""
 
@@ -94,7 +101,8 @@ class TemplateIndex:
         words = {w for _, t in templates for w in words_of(t.encode())}
         self.rank = {w: i for i, w in enumerate(sorted(words, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates = []  # (label, words, least overlap)
-        self.spans = []  # words that a notice over several lines may take
+        self.spans = []  # words that a block may take
+        self.named = []  # words that name the licence
         self.prefix: dict[bytes, list[tuple[int, int]]] = {}  # word -> (template, position)
         self.names = names = {i: w for w, i in self.rank.items()}
         for label, t in templates:
@@ -106,6 +114,7 @@ class TemplateIndex:
                 self.prefix.setdefault(names[r], []).append((len(self.templates), position))
             self.templates.append((label, frozenset(names[r] for r in order), least))
             self.spans.append(math.ceil(len(words_of(t.encode())) / threshold - 1e-9))
+            self.named.append(frozenset(names[r] for r in order) & NAMED)
         self.vocabulary = words
 
     def candidates(self, block: set[bytes]) -> list[int]:
@@ -122,7 +131,7 @@ class TemplateIndex:
                 seen.add(t)
                 _, words, least = self.templates[t]
                 # the first word that both hold: what they share stands behind it in both
-                if len(block) >= least and min(len(words) - position, len(order) - at) >= least:
+                if self.named[t] <= block and len(block) >= least and min(len(words) - position, len(order) - at) >= least:
                     passed.add(t)
         return sorted(passed)
 
@@ -137,7 +146,7 @@ class TemplateIndex:
         return found
 
     def windows(self, words: list[bytes], starts: list[int]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end, containment) of runs over several lines that hold a template far enough.
+        """(template, first word, end, containment) of runs over several lines, or within a line that is too long, that hold a template far enough.
 
         starts: the first word of every line. Of runs of one template that overlap, the fullest counts, the first of those.
         """
@@ -146,7 +155,7 @@ class TemplateIndex:
         # the prefix filter, on the whole text
         for t in sorted({t for w in self.prefix.keys() & present for t, _ in self.prefix[w]}):
             _, own, least = self.templates[t]
-            if len(own & present) < least:
+            if len(own & present) < least or not self.named[t] <= present:
                 continue
             at = [i for i, w in enumerate(words) if w in own]
             held: Counter = Counter()
@@ -159,7 +168,7 @@ class TemplateIndex:
                         del held[words[at[low]]]
                     low += 1
                 a = at[low]
-                if len(held) >= least and bisect_right(starts, a) != bisect_right(starts, i):
+                if len(held) >= least and self.named[t] <= held.keys() and self._own_block(t, a, i, starts, len(words)):
                     if best and a >= best[2]:
                         found.append(best)
                         best = None
@@ -169,16 +178,23 @@ class TemplateIndex:
                 found.append(best)
         return found
 
+    def _own_block(self, t: int, a: int, b: int, starts: list[int], end: int) -> bool:
+        """Whether words a to b lie in several lines, or in one that is longer than a block of the template."""
+        k = bisect_right(starts, a)
+        after = starts[k] if k < len(starts) else end
+        return b >= after or after - starts[k - 1] > self.spans[t]
+
     def blocks(self, text: bytes, words: list[bytes]) -> list[tuple[int, int, int, float]]:
-        """(template, first word, end, containment) of all lines and runs over lines, less those that a closer notice explains."""
+        """(template, first word, end, containment) of all lines and runs, less those that a closer notice explains."""
         found, starts, at = [], [], 0
         for line in text.split(b"\n"):
             own = words_of(line)
             if own:
                 starts.append(at)
-                found += [(t, at, at + len(own), share) for t, share in self.matches(set(own))]
+                if len(own) <= max(self.spans):
+                    found += [(t, at, at + len(own), share) for t, share in self.matches(set(own)) if len(own) <= self.spans[t]]
                 at += len(own)
-        if len(starts) > 1:
+        if len(starts) > 1 or at > min(self.spans):
             lines = list(found)
             found += [w for w in self.windows(words, starts) if not any(w[0] == t and w[1] < b and a < w[2] for t, a, b, _ in lines)]
         if len(found) < 2:
@@ -220,7 +236,7 @@ SCHEMA = "doc_id long, n_words long, matches array<struct<kind:string,label:stri
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, n_words, matches.
 
-    A match is a phrase's place (kind phrase, containment 1) or a line or run over lines that holds `threshold` of a template's words (kind
+    A match is a phrase's place (kind phrase, containment 1) or a line or run that holds `threshold` of a template's words (kind
     block): its label, first word, number of words and containment. A null text counts as empty. Null or repeated ids are
     scanned row by row, texts of any length whole; further columns are not read; an empty table gives an empty one.
     """

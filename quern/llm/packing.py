@@ -168,7 +168,14 @@ class WordEncoder:
         self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; a null text counts as empty."""
+        """Little-endian 32-bit ids of each text; a null text counts as empty. Long texts are encoded piece by piece, cut before blanks."""
+        out = self._encode_at_once([t if t and len(t) <= CHARS_AT_ONCE else None for t in texts])
+        for i, t in enumerate(texts):
+            if t and len(t) > CHARS_AT_ONCE:
+                out[i] = b"".join([self._encode_at_once([part])[0] for part in cut_at_blanks(t, CHARS_AT_ONCE)])
+        return out
+
+    def _encode_at_once(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
         some, size = [], 0
         for i, t in enumerate(texts):
@@ -309,6 +316,22 @@ class WordEncoder:
         return True
 
 
+def cut_at_blanks(text: str, most: int) -> Iterator[str]:
+    """The text in parts of at most `most` characters that start with a blank, but for the first; a part without blanks stays whole.
+
+    Blanks open no run and end every one, and neither composition nor case looks past them, so parts encode as the whole does.
+    """
+    a = 0
+    while len(text) - a > most:
+        b = max(text.rfind(" ", a + 1, a + most), text.rfind("\n", a + 1, a + most))
+        if b < 0:
+            b = min((x for x in (text.find(" ", a + most), text.find("\n", a + most)) if x >= 0), default=len(text))
+        yield text[a:b]
+        a = b
+    if a < len(text):
+        yield text[a:]
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 

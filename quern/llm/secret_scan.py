@@ -2,9 +2,9 @@
 
 A candidate of the second kind is a long token near a sensitive word, before or after it, or any line of a private key
 block. Its novelty is what it adds, in bytes a character, to a zstandard frame primed with a dictionary of common
-identifiers and the text around it. Words, paths and identifiers that the surroundings repeat cost little; keys cost
-nearly their length and are reported. A long word that the frame lacks costs as much as a key, so outside of key blocks
-tokens without digits count only if their letters change case as often as no words or camel humps do.
+identifiers and the text around it, in which the candidate's own copies are blanked. Words, paths and parts of identifiers that
+the surroundings share cost little; keys cost nearly their length and are reported, at every place where the text holds them. A long word that the frame lacks costs as much as a key, so outside of key blocks
+tokens without digits, but for two at the end, count only if their letters change case as often as no words or camel humps do.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_batches
+from quern.llm.common import by_place, map_batches, place_of
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -64,9 +64,10 @@ def novelty(candidate: str, before: str, after: str, level: int = 3) -> float:
 
 
 def wordlike(token: str) -> bool:
-    """No digit, and letters that change case less often than at 3 of 10 places."""
+    """No digit but up to two at the end, as versions have, and letters that change case less often than at 3 of 10 places."""
     letters = [c.isupper() for c in token if c.isalpha()]
-    return not any(map(str.isdigit, token)) and 10 * sum(x != y for x, y in zip(letters, letters[1:], strict=False)) < 3 * len(letters)
+    stem = token.rstrip("0123456789")
+    return len(token) - len(stem) <= 2 and not any(map(str.isdigit, stem)) and 10 * sum(x != y for x, y in zip(letters, letters[1:], strict=False)) < 3 * len(letters)
 
 
 def candidates(text: str, reach: int) -> Iterator[tuple[int, int, list[tuple[int, int]], bool]]:
@@ -107,23 +108,54 @@ def candidates(text: str, reach: int) -> Iterator[tuple[int, int, list[tuple[int
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], reach: int, context: int, least: float) -> list[tuple[int, int, int]]:
-    """Candidates that add at least `least` bytes a character and don't lie in a taken span; else their parts that do.
+    """Candidates that add at least `least` bytes a character and don't lie in a taken span, else their parts that do; and what the text holds of them elsewhere.
 
     taken: sorted.
     """
     found = []
 
-    def novel(a: int, b: int, key: bool) -> bool:
+    def covered(a: int, b: int) -> bool:
         k = bisect_right(starts, a)
-        if k and reach_of[k - 1] >= b or not key and wordlike(text[a:b]):
+        return k > 0 and reach_of[k - 1] >= b
+
+    def novel(a: int, b: int, key: bool) -> bool:
+        if covered(a, b) or not key and wordlike(text[a:b]):
             return False
-        return novelty(text[a:b], text[max(0, a - context) : a], text[b : b + context]) >= least
+        own, n = text[a:b], b - a
+        before = text[max(0, a - context - n) : a].replace(own, " " * n)[-context:] if context else ""
+        after = text[b : b + context + n].replace(own, " " * n)[:context]
+        return novelty(own, before, after) >= least
 
     # the furthest end of all spans up to each start
     starts, reach_of = [x for x, _, _ in taken], list(accumulate((y for _, _, y in taken), max))
     for a, b, parts, key in candidates(text, reach):
         found += [(a, 3, b)] if novel(a, b, key) else [(x, 3, y) for x, y in parts if novel(x, y, key)]
-    return found
+    if not found:
+        return found
+    held = sorted({(a, b) for a, _, b in found})
+    more, opens, reached = [], [a for a, _ in held], list(accumulate((b for _, b in held), max))
+    for a, b in copies(text, {text[a:b] for a, b in held if b - a >= COPIED_LEAST}):
+        k = bisect_right(opens, a)
+        if not (k and reached[k - 1] >= b or covered(a, b)):
+            more.append((a, 3, b))
+    return found + more
+
+
+#: Characters of a reported string whose other places in the text are reported too; short last lines of a key block are not.
+COPIED_LEAST = 16
+
+
+def copies(text: str, strings: set[str]) -> Iterator[tuple[int, int]]:
+    """(start, end) of every place of the strings, in one pass over the text."""
+    if strings:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for x in strings:
+            automaton.add_word(x, len(x))
+        automaton.make_automaton()
+        for last, n in automaton.iter(text):
+            yield last - n + 1, last + 1
 
 
 def scan_text(text: str, reach: int = 64, context: int = 256, least: float = 0.6) -> list[tuple[int, int, int]]:
@@ -157,17 +189,20 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", mask: str = "[SECRET]", reach: int = 64, context: int = 256, least_novelty: float = 0.6) -> DataFrame:
-    """The documents with every reported span masked, all their columns kept; chars_col, where there is one, is counted anew."""
-    kind = docs.schema[text_col].dataType
+    """The documents with every reported span masked, all their columns kept; chars_col, where there is one, is counted anew.
+
+    Columns are found as Spark finds them, whatever their case; others may share a name, these two may not.
+    """
+    at = place_of(docs, text_col)
+    n = place_of(docs, chars_col) if chars_col.lower() in map(str.lower, docs.columns) else -1
+    kind = docs.schema[at].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index(text_col)
             texts = b.column(at).to_pylist()
             new = [masked(t, scan_text(t, reach, context, least_novelty), mask) if t else t for t in texts]
             columns = list(b.columns)
             columns[at] = pa.array(new, b.schema.field(at).type)
-            n = b.schema.get_field_index(chars_col)
             if n >= 0:
                 counts = [old if x == y else len(y) for old, x, y in zip(b.column(n).to_pylist(), texts, new, strict=True)]
                 columns[n] = pa.array(counts, b.schema.field(n).type)
@@ -175,7 +210,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_
 
     if kind.typeName() != "string":
         raise TypeError(f"{text_col} is no string column")
-    return map_batches(docs, run, docs.schema)
+    plain = by_place(docs)
+    return map_batches(plain, run, plain.schema).toDF(*docs.columns)
 
 
 def masked(text: str | None, spans: list[tuple[int, int, int]], mask: str) -> str | None:

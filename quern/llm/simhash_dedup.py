@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER_BYTES, map_batches, materialize, mixed, rehashed, utf8
+from quern.llm.common import LOWER_BYTES, by_place, map_batches, materialize, mixed, place_of, rehashed, utf8
 from quern.llm.components import components
 
 #: Fingerprints that the top tree is fit on, and nodes that a shard should hold at most.
@@ -477,9 +477,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = simhash_groups(docs, id_col, text_col, width, radius, words, similarity)
     first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
     first = first.select(F.col("m.doc_id").alias("first_id"), F.col("m.key").alias("first_key"))
-    # the documents' own columns travel in a struct, where no name can clash
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"), text_key(docs[text_col].cast("string")).alias("key"))
+    # the documents' own columns travel in a struct under other names, so that no names can clash
+    plain = by_place(docs)
+    doc_id, text = (F.col(plain.columns[place_of(docs, c)]) for c in (id_col, text_col))
+    rows = plain.select(F.struct(*plain.columns).alias("row"), doc_id.cast("long").alias("id"), text_key(text.cast("string")).alias("key"))
     kept = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")))
     # rows that repeat an id and a text
     once = Window.partitionBy("id", "key").orderBy("key")
-    return kept.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*")
+    return kept.withColumn("n", F.row_number().over(once)).where("n = 1").select("row.*").toDF(*docs.columns)

@@ -32,7 +32,7 @@ def lowered(text):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings", "documents", "benchmark"):
+    for t in ("pages", "embeddings", "documents", "benchmark", "conversations", "sales", "sale_lines", "clicks"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = Q.QUERIES[name](spark, SF)
     want = con.execute(Q.ORACLE_SQL[name])
@@ -175,6 +175,22 @@ def test_op10_held_out_accuracy(spark):
     assert hit > 0.97 and recall > 0.75 and wrong < 0.01
 
 
+def test_op13_ids_are_those_of_tiktoken(spark, documents):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in Q.op13_byte_bpe(spark, SF).collect()}
+    for doc, text in documents:
+        ids = plain.encode_ordinary(text)
+        assert got.pop(doc) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert not got
+
+
 def test_pipeline_against_plain_steps(spark, documents):
     import corpus_pipeline
 
@@ -238,3 +254,17 @@ def test_pipeline_against_plain_steps(spark, documents):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).select("doc_id").collect()} == set(tokens)
 
 
+
+
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    """No documents at all, and null and empty texts and ids among a few."""
+    import corpus_pipeline
+
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    odd = [(None, None, None, None, None), (None, "", "en", "web", 0), (1, None, "en", "web", None), (2, " \n", "en", "web", 2), (3, "some words of a text", "en", "web", 20), (3, "some words of a text", "en", "web", 20)]
+    for rows in ([], odd):
+        spark.createDataFrame(rows, names).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert {r.doc_id for r in got} <= {r[0] for r in rows} and (3 in {r.doc_id for r in got}) == bool(rows)
