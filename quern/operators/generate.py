@@ -1,11 +1,9 @@
-"""Enumeration: chains of operations that hit a difference, bounded compositions, fragments of a graph."""
+"""Enumeration: chains of operations that hit a difference, bounded compositions and their counts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,78 +56,73 @@ def sub_compositions(rows: DataFrame, key: str, counts: dict[str, str], units: d
     return rows.select(key).join(found, key, "left").select(key, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def log_posterior(df: DataFrame, query: str, source: str, candidate: str, weight: str, temperature: float) -> DataFrame:
-    """Candidates of several sources as one distribution per query: log-softmax of log(weight summed over sources) / T."""
-    per = df.groupBy(query, candidate).agg(F.sum(weight).alias("_w"), F.countDistinct(source).alias("n_sources")).where("_w > 0")
-    x = F.ln("_w") / temperature
-    w = Window.partitionBy(query)
-    most = F.max("_x").over(w)
-    return per.withColumn("_x", x).withColumn("log_p", F.col("_x") - most - F.ln(F.sum(F.exp(F.col("_x") - most)).over(w))).select(query, candidate, "n_sources", "log_p")
+def composition_counts(rows: DataFrame, key: str, counts: dict[str, str], units: dict[str, int], mass: str, tol: int = 0) -> DataFrame:
+    """key, n: how many sub-multisets of a row's units have a whole mass from mass - tol to mass + tol; counts: unit -> column of its number.
+
+    A table of counts by mass is folded unit by unit: with m and k of a unit, entry x becomes the sum of the entries x - j * m,
+    j from 0 to k. The table is as long as the wanted mass, whatever the count. Rows with the same numbers are worked out once;
+    null or negative numbers count 0, a null mass or one below -tol gives 0. Counts beyond a long are an error under ANSI rules.
+    """
+    names = list(units)
+    number = [F.greatest(F.coalesce(F.col(counts[u]).cast("long"), F.lit(0)), F.lit(0)).alias(f"_n_{u}") for u in names]
+    asked = rows.select(key, *number, F.coalesce(F.col(mass).cast("long"), F.lit(-tol - 1)).alias("_m"))
+    same = [*(f"_n_{u}" for u in names), "_m"]
+    top = F.col("_m") + tol
+    table = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(top, F.lit(0))), lambda x: F.when(x == 0, 1).otherwise(0).cast("long"))
+    own = F.array(*[F.struct(F.lit(units[u]).cast("long").alias("m"), F.col(f"_n_{u}").alias("n")) for u in names])
+
+    def folded(held: Column, unit: Column) -> Column:
+        none, step = F.lit(0).cast("long"), lambda i: F.sequence(F.lit(0).cast("long"), F.least(unit.n, F.floor(i / unit.m)))
+        return F.transform(held, lambda _, i: F.aggregate(step(i), none, lambda total, j: total + F.get(held, (i - j * unit.m).cast("int"))))
 
+    distinct = asked.select(*same).distinct().withColumn("_t", F.aggregate(own, table, folded))
+    first = F.greatest(F.col("_m") - tol, F.lit(0))
+    found = F.aggregate(F.slice("_t", (first + 1).cast("int"), (top - first + 1).cast("int")), F.lit(0).cast("long"), lambda total, x: total + x)
+    solved = distinct.select(*same, F.when(top >= 0, found).otherwise(0).alias("n"))
+    return asked.join(solved, same).select(key, "n")
 
-def fragments(graphs: DataFrame, key: str, weights: str, edges: str, cuts: int = 2) -> DataFrame:
-    """Connected pieces of a small graph after up to `cuts` (1 or 2) edges are cut: key, weight in thousandths, n_pieces.
 
-    weights: array of node weights; edges: array of structs (a, b) of node numbers from 0. Each graph is one row, so the
-    enumeration stays in a task; pieces that arise from different cuts count once.
+def multisets(units: dict[str, float], most: dict[str, int], heaviest: float, keep: Callable[[], Column] | None, spark) -> DataFrame:
+    """All numbers of the units up to their maxima that weigh at most `heaviest` and pass keep: a column each, and mass.
+
+    Its size depends on the units alone. Numbers are added unit by unit, and what is too heavy goes at once.
     """
+    rows = spark.range(1).select(F.lit(0.0).alias("mass"))
+    for u, m in units.items():
+        rows = rows.withColumn(u, F.explode(F.sequence(F.lit(0), F.lit(min(most[u], int(heaviest // m)))))).withColumn("mass", F.col("mass") + F.col(u) * F.lit(m)).where(F.col("mass") <= heaviest)
+    return rows.where(keep()) if keep else rows
+
+
+def ruled_compositions(targets: DataFrame, key: str, mass: str, halves: tuple[dict[str, float], dict[str, float]], most: dict[str, int], tol: float, rules: tuple[Callable[[], Column], Callable[[], Column], Callable[[], Column]]) -> DataFrame:
+    """key and numbers of units whose masses sum to the target within tol and that pass the rules, one row per solution.
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for name, w, es in zip(pdf[key], pdf[weights], pdf[edges], strict=True):
-                w, es = list(w), [(e["a"], e["b"]) for e in es]
-                found = set()
-                choices = [(i,) for i in range(len(es))] + ([(i, j) for i in range(len(es)) for j in range(i)] if cuts > 1 else [])
-                for gone in [(), *choices]:
-                    parent = list(range(len(w)))
-
-                    def root(x: int, parent=parent) -> int:
-                        while parent[x] != x:
-                            parent[x] = parent[parent[x]]
-                            x = parent[x]
-                        return x
-
-                    for i, (a, b) in enumerate(es):
-                        if i not in gone:
-                            parent[root(a)] = root(b)
-                    pieces: dict[int, list[int]] = {}
-                    for x in range(len(w)):
-                        pieces.setdefault(root(x), []).append(x)
-                    found.update(map(tuple, pieces.values()))
-                counts: dict[int, int] = {}
-                for piece in found:
-                    m = round(sum(w[x] for x in piece) * 1000)
-                    counts[m] = counts.get(m, 0) + 1
-                out += [(name, m, n) for m, n in counts.items()]
-            yield pd.DataFrame(out, columns=[key, "weight_milli", "n_pieces"])
-
-    kind = graphs.schema[key].dataType.simpleString()
-    return graphs.select(key, weights, edges).mapInPandas(cut, f"{key} {kind}, weight_milli long, n_pieces long")
-
-
-def chain_fragments(chains: DataFrame, key: str, weights: str) -> DataFrame:
-    """Connected pieces of a chain of any length after up to two cuts: key, weight in thousandths, n_pieces.
-
-    weights: array of node weights along the chain. The pieces are its intervals, so each start's running sums give them
-    without a search over cuts. Each is summed from its own start, as `fragments` does.
+    The units are cut into halves, whose tables meet in the middle: each distinct target takes the first half's rows up to its
+    mass, and what is left meets the second half's rows in a band join. rules: those of the first half, of the second, and those
+    over both. Tables depend on the units alone; targets that are null, or not positive, have no solution.
     """
+    spark = targets.sparkSession
+    wanted = targets.select(F.col(mass).cast("double").alias("_m")).where("_m > 0").distinct()
+    top = wanted.agg(F.max("_m")).first()[0]
+    names = [*halves[0], *halves[1]]
+    if top is None:
+        return targets.select(key, *[F.lit(0).alias(n) for n in names]).where("false")
+    first, second = (materialize(multisets(h, most, top + tol, r, spark).withColumnRenamed("mass", f"_mass{k}"), "half") for k, (h, r) in enumerate(zip(halves, rules[:2], strict=True)))
+    # a target takes the rows of the first half up to its mass, by buckets of mass
+    step = max(tol, top / 64)
+    bucket = F.floor(F.col("_mass0") / step)
+    started = wanted.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") + tol) / step)))).join(first.withColumn("_b", bucket), "_b").where(F.col("_mass0") <= F.col("_m") + tol)
+    left = started.withColumn("_left", F.col("_m") - F.col("_mass0"))
+    met = absolute_band_join(left, second, "_left", "_mass1", tol).where(F.abs(F.col("_m") - (F.col("_mass0") + F.col("_mass1"))) <= tol).where(rules[2]())
+    return targets.join(met.select(F.col("_m"), *names), F.col(mass).cast("double") == F.col("_m")).select(key, *names)
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, w in zip(pdf[key], pdf[weights], strict=True):
-                w, held, n = np.asarray(w, np.float64), [], 0
-                for start in range(len(w)):
-                    held.append(np.rint(np.cumsum(w[start:]) * 1000).astype(np.int64))
-                    n += len(held[-1])
-                    if n > 1 << 18 or start == len(w) - 1:
-                        milli, counts = np.unique(np.concatenate(held), return_counts=True)
-                        yield pd.DataFrame({key: [name] * len(milli), "weight_milli": milli, "n_pieces": counts})
-                        held, n = [], 0
-
-    kind = chains.schema[key].dataType.simpleString()
-    pieces = chains.select(key, weights).mapInPandas(cut, f"{key} {kind}, weight_milli long, n_pieces long")
-    return pieces.groupBy(key, "weight_milli").agg(F.sum("n_pieces").alias("n_pieces"))
+
+def log_posterior(df: DataFrame, query: str, source: str, candidate: str, weight: str, temperature: float) -> DataFrame:
+    """Candidates of several sources as one distribution per query: log-softmax of log(weight summed over sources) / T."""
+    per = df.groupBy(query, candidate).agg(F.sum(weight).alias("_w"), F.countDistinct(source).alias("n_sources")).where("_w > 0")
+    x = F.ln("_w") / temperature
+    w = Window.partitionBy(query)
+    most = F.max("_x").over(w)
+    return per.withColumn("_x", x).withColumn("log_p", F.col("_x") - most - F.ln(F.sum(F.exp(F.col("_x") - most)).over(w))).select(query, candidate, "n_sources", "log_p")
 
 
 def hydrogen_shifts(pieces: DataFrame, mass: str, step: float, reach: int = 2) -> DataFrame:

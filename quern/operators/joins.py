@@ -67,29 +67,36 @@ def adaptive_band_join(left: DataFrame, right: DataFrame, left_key: str, right_k
     """Relative band join whose window widens for the left rows that have fewer than at_least distinct right keys.
 
     A row stops at the first pass with enough, or at the last; its matches are those of that pass. Returns the pairs with
-    pass (from 0) and tight_count, the distinct right keys of pass 0. Each pass joins only the rows that go on.
+    pass (from 0) and tight_count, the distinct right keys of pass 0. A pass counts distinct keys without listing pairs (see
+    distinct_in_windows), for the values that go on; only the windows in which rows stop are joined. left_key is not needed:
+    rows of one value share their windows.
     """
-    out, going, tight = [], left, None
-    for k, w in enumerate(widths(first, passes, factor)):
-        if w >= 1:  # the window then reaches down to 0 and below
-            inside = F.col(right_value) <= F.col(left_value) * F.lit(1 + w)
-            pairs = _wide(going, right, left_value, right_value, w, inside)
-        else:
-            pairs = relative_band_join(going, right, left_value, right_value, w)
-        pairs = materialize(pairs, "pass")
-        counts = pairs.groupBy(left_key).agg(F.countDistinct(right_key).alias("_n"))
+    steps = widths(first, passes, factor)
+    held = _distinct_ranges(right, right_key, right_value)
+    going = left.select(F.col(left_value).cast("double").alias("m")).where("m IS NOT NULL AND NOT isnan(m)").distinct()
+    stops, tight = [], None
+    for k, w in enumerate(steps):
+        counts = materialize(distinct_in_windows(going, held, w), "counts")
         if tight is None:
-            tight = counts.select(left_key, F.col("_n").alias("tight_count"))
-        enough = counts.where(F.col("_n") >= at_least).select(left_key)
+            tight = counts.select("m", F.col("n").alias("tight_count"))
         last = k == passes - 1
-        out.append((pairs if last else pairs.join(enough, left_key, "left_semi")).withColumn("pass", F.lit(k)))
-        if last:
-            break
-        going = materialize(going.join(enough, left_key, "left_anti"), "going")
-        if going.isEmpty():
+        stops.append((counts if last else counts.where(F.col("n") >= at_least)).select("m", F.lit(k).alias("pass")))
+        going = counts.where(F.col("n") < at_least).select("m")
+        if last or going.isEmpty():
             break
-    found = reduce(DataFrame.unionByName, out)
-    return found.join(tight, left_key, "left").withColumn("tight_count", F.coalesce("tight_count", F.lit(0).cast("long")))
+    stopped = reduce(DataFrame.unionAll, stops).join(tight, "m").withColumnRenamed("m", "_m")
+    # by the negative, so that both sides are shuffled for the join and Spark can split a value that very many rows have
+    rows = left.join(stopped, F.negative(F.col(left_value).cast("double")) == F.negative(F.col("_m"))).drop("_m")
+    rows = materialize(rows, "stops")
+    pairs = []
+    for k in range(len(stops)):
+        mine = rows.where(F.col("pass") == k)
+        if steps[k] >= 1:  # the window then reaches down to 0 and below
+            pairs.append(_wide(mine, right, left_value, right_value, steps[k], F.col(right_value) <= F.col(left_value) * F.lit(1 + steps[k])))
+        else:
+            pairs.append(relative_band_join(mine, right, left_value, right_value, steps[k]))
+    columns = [*left.columns, *right.columns, "pass", "tight_count"]
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in pairs])
 
 
 def _wide(left: DataFrame, right: DataFrame, left_value: str, right_value: str, w: float, inside: Column) -> DataFrame:
@@ -137,8 +144,14 @@ def _bounds(values: DataFrame, name: str) -> np.ndarray:
 
 
 def _in_ranges(asked: DataFrame, values: DataFrame, ranges: int, answer, schema: str) -> DataFrame:
-    """answer(range, its sorted values, x and reach of a batch of rows asked there) of all ranges. asked: range, x, reach; values: range, x."""
-    both = values.select("range", F.lit(False).alias("asks"), "x", F.lit(0.0).alias("reach")).unionAll(asked.select("range", F.lit(True), "x", "reach"))
+    """answer(range, its sorted values, x and reach of a batch of rows asked there) of all ranges. asked: range, x, reach; values: range, x.
+
+    Values may have a reach of their own; the answer then gets two rows, the values and their reaches. A range's values are
+    held by one task: RANGE_VALUES about, more only beyond MOST_RANGES ranges of these.
+    """
+    paired = "reach" in values.columns
+    own = F.col("reach") if paired else F.lit(0.0)
+    both = values.select("range", F.lit(False).alias("asks"), "x", own.alias("reach")).unionAll(asked.select("range", F.lit(True), "x", "reach"))
     dealt = both.repartitionById(ranges, F.col("range")).sortWithinPartitions("range", "asks", "x")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,15 +162,134 @@ def _in_ranges(asked: DataFrame, values: DataFrame, ranges: int, answer, schema:
                 if r != now:
                     now, held = r, []
                 mine = where == r
-                held.append(x[mine & ~asks])
+                held.append(np.stack([x, reach])[:, mine & ~asks] if paired else x[mine & ~asks])
                 mine &= asks
                 if mine.any():
-                    held = [np.concatenate(held)]
+                    held = [np.concatenate(held, axis=-1)]
                     yield from answer(int(r), held[0], x[mine], reach[mine])
 
     return dealt.mapInArrow(run, schema)
 
 
+def _range_of(cuts: np.ndarray):
+    @F.pandas_udf("int")
+    def range_of(x: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, x.to_numpy(), side="right").astype(np.int32))
+
+    return range_of
+
+
+def previous_values(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """key, value, name of distinct rows: the key's next lesser value, null for its least.
+
+    All rows are sorted by key and value over all tasks, so no task holds a key's rows; each task's first row takes its
+    predecessor from the ends of the others, one row a task.
+    """
+    parts = materialize(rows.select(key, value).distinct().repartitionByRange(key, value).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = F.lag(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))).over(Window.partitionBy("_part").orderBy(key, value))
+    ends = parts.groupBy("_part").agg(F.max(F.struct(F.col(key).alias("k"), F.col(value).alias("v"))).alias("_end"))
+    carried = ends.select("_part", F.lag("_end").over(Window.orderBy("_part")).alias("_carried"))
+    last = F.coalesce(F.col("_last"), F.col("_carried"))
+    return parts.withColumn("_last", before).join(carried, "_part").select(key, value, F.when(last["k"].eqNullSafe(F.col(key)), last["v"]).alias(name))
+
+
+class DistinctRanges:
+    """Distinct (key, value) rows as (range, x, reach), reach being the key's next lesser value, and the ranges' bounds."""
+
+    def __init__(self, rows: DataFrame, cuts: np.ndarray):
+        self.rows, self.cuts = rows, cuts
+
+
+def _distinct_ranges(rows: DataFrame, key: str, value: str) -> DistinctRanges:
+    numbers = rows.select(F.col(key).alias("key"), F.col(value).cast("double").alias("x")).where("key IS NOT NULL AND x IS NOT NULL AND NOT isnan(x)")
+    placed = previous_values(numbers, "key", "x", "reach").withColumn("reach", F.coalesce("reach", F.lit(float("-inf"))))
+    placed = materialize(placed.select("x", "reach"), "values")
+    cuts = _bounds(placed, "x")
+    return DistinctRanges(placed.select(_range_of(cuts)("x").alias("range"), "x", "reach"), cuts)
+
+
+def dominated(low: np.ndarray, high: np.ndarray, least: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """For each i the number of places from low[i] to high[i] - 1 whose reach is less than least[i], by sorted halves of halves."""
+    n = len(reach)
+    order = np.sort(reach)
+    rank, asked = np.searchsorted(order, reach), np.searchsorted(order, least)
+    found = np.zeros(len(low), np.int64)
+    a, b = low.copy(), np.maximum(high, low)
+    size, node = 1, np.arange(n)
+    while (a < b).any():
+        table = np.sort((node // size) * (n + 1) + rank)  # each node's ranks in order
+        for edge, step in ((a, 1), (b, -1)):
+            odd = (a < b) & (edge & 1 == 1)
+            at = np.where(step == 1, edge, edge - 1)[odd]
+            found[odd] += np.searchsorted(table, at * (n + 1) + asked[odd]) - np.searchsorted(table, at * (n + 1))
+            edge[odd] += step
+        a, b = a >> 1, b >> 1
+        size *= 2
+    return found
+
+
+def distinct_in_windows(asked: DataFrame, held: DistinctRanges, rel: float) -> DataFrame:
+    """(m, n): for each distinct value m the number of distinct keys with a value from m * (1 - rel) to m * (1 + rel).
+
+    A key counts at its least value in the window, which is where its next lesser value lies below the window. A window asks
+    every range that it touches, and the ranges' counts are added: rows grow with values and ranges, not with pairs. As in
+    relative_band_join, windows of less than 1 have positive centres only.
+    """
+    cuts = held.cuts
+
+    @F.pandas_udf("array<int>")
+    def ranges_of(x: pd.Series) -> pd.Series:
+        m = x.to_numpy()
+        a, b = np.searchsorted(cuts, m * (1 - rel), side="right"), np.searchsorted(cuts, m * (1 + rel), side="right")
+        return pd.Series([np.arange(i, j + 1, dtype=np.int32) for i, j in zip(a, b, strict=True)])
+
+    def count(_: int, values: np.ndarray, m: np.ndarray, __: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x, reach = values
+        low, high = m * (1 - rel), m * (1 + rel)
+        a, b = np.searchsorted(x, low, side="left"), np.searchsorted(x, high, side="right")
+        yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(dominated(a, b, low, reach))], names=["m", "n"])
+
+    windows = asked.where("m > 0") if rel < 1 else asked
+    dealt = windows.select(F.explode(ranges_of("m")).alias("range"), F.col("m").alias("x"), F.lit(0.0).alias("reach"))
+    counted = _in_ranges(dealt, held.rows, len(cuts) + 1, count, "m double, n long")
+    return counted.unionAll(asked.select("m", F.lit(0).cast("long"))).groupBy("m").agg(F.sum("n").alias("n"))
+
+
+def value_ranks(values: DataFrame, value: str, bounds: DataFrame, bound: str) -> DataFrame:
+    """(x, below, upto) of each distinct bound: how many values are less, and how many are not more. Nulls and NaN take no part.
+
+    Equal values are counted first, values and bounds are sorted together over all tasks, and each task's counts are added to
+    what the tasks before it hold, one row a task: no pair of a value and a bound is made.
+    """
+    number = lambda df, c, n: df.select(F.col(c).cast("double").alias("x"), n).where("x IS NOT NULL AND NOT isnan(x)")
+    both = number(values, value, F.lit(1).cast("long").alias("n")).unionAll(number(bounds, bound, F.lit(0).cast("long").alias("n")))
+    asked = F.max(F.col("n") == 0).alias("asked")
+    counted = both.groupBy("x").agg(F.sum("n").alias("n"), asked).repartitionByRange("x").withColumn("_part", F.spark_partition_id())
+    counted = materialize(counted, "ranges")
+    sizes = counted.groupBy("_part").agg(F.sum("n").alias("_size"))  # as many rows as partitions
+    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    upto = F.sum("n").over(Window.partitionBy("_part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("_upto", upto).where("asked").join(before, "_part")
+    return placed.select("x", (F.col("_before") + F.col("_upto") - F.col("n")).alias("below"), (F.col("_before") + F.col("_upto")).alias("upto"))
+
+
+def window_counts(left: DataFrame, left_value: str, right: DataFrame, right_value: str, widths: dict[str, float], half_open: bool = False) -> DataFrame:
+    """left with a column for each width: how many right values lie within it of the row's value (half_open: without its upper end).
+
+    Counts are differences of the ranks of the windows' ends in one distributed sort. A null or NaN value counts 0.
+    """
+    centre = F.col(left_value).cast("double")
+    values = left.select(centre.alias("m")).where("m IS NOT NULL AND NOT isnan(m)").distinct()
+    ends = [F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (F.col("m") + side * F.lit(float(w))).alias("x")) for name, w in widths.items() for side in (-1, 1)]
+    asked = materialize(values.select("m", F.explode(F.array(*ends)).alias("e")).select("m", "e.*"), "windows")
+    ranks = value_ranks(right, right_value, asked.select("x").distinct(), "x")
+    rank = F.when(F.col("side") < 0, -F.col("below")).otherwise(F.col("below") if half_open else F.col("upto"))
+    counts = asked.join(ranks, "x").groupBy(F.col("m").alias("_m")).agg(*[F.sum(F.when(F.col("name") == name, rank)).alias(name) for name in widths])
+    # by the negative, so that both sides are shuffled for the join and Spark can split a value that very many rows have
+    joined = left.join(counts, F.negative(centre) == F.negative(F.col("_m")), "left").drop("_m")
+    return joined.withColumns({name: F.coalesce(name, F.lit(0).cast("long")) for name in widths})
+
+
 def nearest_values(left: DataFrame, right: DataFrame, left_value: str, right_value: str, k: int, rel: float | None = None, tie: float = 0.0) -> DataFrame:
     """(m, v): each distinct left value with its k nearest distinct right values and those that are as far to within tie * m.
 
@@ -174,9 +306,7 @@ def nearest_values(left: DataFrame, right: DataFrame, left_value: str, right_val
     def windows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (m * (1 - rel), m * (1 + rel)) if rel is not None else (np.full(len(m), -np.inf), np.full(len(m), np.inf))
 
-    @F.pandas_udf("int")
-    def range_of(x: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, x.to_numpy(), side="right").astype(np.int32))
+    range_of = _range_of(cuts)
 
     @F.pandas_udf("array<int>")
     def ranges_of(x: pd.Series, reach: pd.Series) -> pd.Series:

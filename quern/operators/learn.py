@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.operators.rank import log_sum_exp, sorted_positions
+from quern.operators.rank import sorted_positions
 from quern.operators.sampling import mark
+from quern.storage import materialize
 
 
 def hash_fold(key: Column, folds: int, seed: int = 0) -> Column:
@@ -22,25 +24,93 @@ def interleaved_fold(df: DataFrame, key: str, folds: int) -> DataFrame:
     return sorted_positions(df, [key], [key]).select(key, ((F.col("n") - 1) % folds).cast("long").alias("fold"))
 
 
-def conditional_logit(df: DataFrame, query: str, truth: str, features: list[str], steps: int = 60, rate: float = 0.1, l2: float = 1e-3) -> dict[str, float]:
-    """Weights that maximize the mean log-probability of each query's true candidate, by Adam.
+#: Rows of a block of conditional_logit.
+LOGIT_ROWS = 1 << 16
 
-    Every step is one aggregation over the cached rows; queries without a true candidate don't count.
+
+def conditional_logit(df: DataFrame, query: str, truth: str, features: list[str], steps: int = 600, rate: float = 0.1, l2: float = 1e-3, weight: str | None = None) -> dict[str, float]:
+    """Weights that maximize the weighted mean log-probability of each query's true candidate, by Adam.
+
+    weight: a number per query (the largest of its rows; null: 0). Queries without a true candidate, and several rows of one
+    query that are true, count as their mean or not at all. Rows are packed once into written blocks of numbers, sorted by
+    query over all tasks; a step is one pass over the blocks, which return their share of the gradient, and apart from it the
+    sums of the first and last query of a block, as a query may reach over blocks: three rows a block reach the driver.
     """
-    held = df.join(df.where(F.col(truth)).select(query).distinct(), query).select(query, truth, *features).persist()
-    n = max(1, held.select(query).distinct().count())
-    w = {f: 0.0 for f in features}
-    m, v = dict(w), dict(w)
+    known = df.where(F.col(truth)).groupBy(query).agg(F.count("*").alias("_true"))
+    own = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
+    rows = df.join(known, query).select(F.col(query).alias("q"), own.alias("w"), (F.coalesce(F.col(truth), F.lit(False)).cast("double") / F.col("_true")).alias("t"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)])
+    if weight:
+        rows = rows.withColumn("w", F.max("w").over(Window.partitionBy("q")))
+    columns = [f"x{i}" for i in range(len(features))]
+    dealt = rows.repartitionByRange("q", *columns).sortWithinPartitions("q")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def block() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            q = table.column(0).combine_chunks()
+            keys = q.dictionary_encode()
+            numbers = np.column_stack([c.to_numpy() for c in table.columns[1:]])
+            starts = np.flatnonzero(np.diff(keys.indices.to_numpy(), prepend=-1)).astype(np.int64)
+            ends = [str(q[0].as_py()), str(q[len(q) - 1].as_py())]
+            return pa.RecordBatch.from_arrays([pa.array([ends[0]]), pa.array([ends[1]]), pa.array([starts.tobytes()], pa.binary()), pa.array([numbers.tobytes()], pa.binary())], names=["first", "last", "starts", "numbers"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= LOGIT_ROWS:
+                yield block()
+                held, n = [], 0
+        if held:
+            yield block()
+
+    blocks = materialize(dealt.mapInArrow(pack, "first string, last string, starts binary, numbers binary"), "blocks")
+    blocks = blocks.coalesce(max(1, min(blocks.rdd.getNumPartitions(), blocks.sparkSession.sparkContext.defaultParallelism))).persist()
+    total = rows.groupBy("q").agg(F.max("w").alias("w")).agg(F.sum("w")).first()[0] or 1.0
+    w, m, v = (np.zeros(len(features)) for _ in range(3))
     for t in range(1, steps + 1):
-        score = sum((F.col(f) * F.lit(w[f]) for f in features), F.lit(0.0))
-        p = F.exp(F.col("_s") - log_sum_exp(F.col("_s"), [query]))
-        grads = held.withColumn("_s", score).withColumn("_p", p).agg(*[F.sum((F.col(truth).cast("double") - F.col("_p")) * F.col(f)).alias(f) for f in features]).first()
-        for f in features:
-            g = -(grads[f] or 0.0) / n + l2 * w[f]
-            m[f], v[f] = 0.9 * m[f] + 0.1 * g, 0.999 * v[f] + 0.001 * g * g
-            w[f] -= rate * (m[f] / (1 - 0.9**t)) / ((v[f] / (1 - 0.999**t)) ** 0.5 + 1e-8)
-    held.unpersist()
-    return w
+        g = _logit_gradient(blocks, w) / total + l2 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    blocks.unpersist()
+    return dict(zip(features, w.tolist(), strict=True))
+
+
+def _logit_gradient(blocks: DataFrame, w: np.ndarray) -> np.ndarray:
+    """The gradient of the summed negative log-probabilities."""
+    f = len(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, edges = np.zeros(f), []
+        for b in batches:
+            for first, last, starts, numbers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                starts, x = np.frombuffer(starts, np.int64), np.frombuffer(numbers).reshape(-1, f + 2)
+                own, t, x = x[:, 0], x[:, 1], x[:, 2:]
+                s = x @ w
+                most = np.maximum.reduceat(s, starts)
+                e = np.exp(s - np.repeat(most, np.diff(starts, append=len(s))))
+                z, ex, tx = np.add.reduceat(e, starts), np.add.reduceat(e[:, None] * x, starts), np.add.reduceat(t[:, None] * x, starts)
+                weight = own[starts]
+                whole += (weight[1:-1, None] * (ex[1:-1] / z[1:-1, None] - tx[1:-1])).sum(axis=0)
+                edges += [(name, [weight[k], most[k], z[k], *ex[k], *tx[k]]) for name, k in dict(((0, (first, 0)), (len(starts) - 1, (last, -1)))).values()]
+        edges.append((None, whole.tolist()))
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in edges], pa.string()), pa.array([[float(y) for y in x] for _, x in edges], pa.list_(pa.float64()))], names=["q", "sums"])
+
+    total, open_ones = np.zeros(f), {}
+    for name, sums in blocks.mapInArrow(run, "q string, sums array<double>").collect():
+        if name is None:
+            total += sums
+        else:
+            open_ones.setdefault(name, []).append(np.array(sums))
+    for parts in open_ones.values():
+        most = max(p[1] for p in parts)
+        scale = [np.exp(p[1] - most) for p in parts]
+        z, ex = sum(c * p[2] for c, p in zip(scale, parts, strict=True)), sum(c * p[3 : 3 + f] for c, p in zip(scale, parts, strict=True))
+        total += parts[0][0] * (ex / z - sum(p[3 + f :] for p in parts))
+    return total
 
 
 def lambda_gradients(df: DataFrame, query: str, item: str, score: str, truth: str, k: int = 25) -> DataFrame:

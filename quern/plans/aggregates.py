@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import vectors as V
 from quern.operators import aggregate as A
-from quern.operators import grid, learn, sampling
+from quern.operators import boosting, grid, learn, sampling
 from quern.plans.registry import mark_sql, query, uniform_sql
 from quern.streaming.windows import windowed
 
@@ -252,20 +252,6 @@ def x6(t):
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-@query("x7_table_model_error", """
-WITH x AS (SELECT range AS i, (range + 0.5) / 65536 AS x FROM range(65536)), s AS (SELECT *, i // 1024 AS k FROM x),
-e AS (SELECT i, abs(1 / (1 + x) - (1 / (1 + (k + 0.5) / 64) - (x - (k + 0.5) / 64) / pow(1 + (k + 0.5) / 64, 2) + pow(x - (k + 0.5) / 64, 2) / pow(1 + (k + 0.5) / 64, 3))) AS err FROM s)
-SELECT round(max(err) * 1e9, 3) AS max_error_e9, count(*) AS n FROM e
-""")
-def x7(t):
-    """Greatest error of a piecewise quadratic table for 1 / (1 + x), over its whole domain."""
-    spark = t("region").sparkSession
-    x = (F.col("id") + 0.5) / 65536
-    c = (F.floor(F.col("id") / 1024) + 0.5) / 64
-    model = 1 / (1 + c) - (x - c) / F.pow(1 + c, F.lit(2.0)) + F.pow(x - c, F.lit(2.0)) / F.pow(1 + c, F.lit(3.0))
-    return spark.range(65536).agg(F.round(F.max(F.abs(1 / (1 + x) - model)) * 1e9, 3).alias("max_error_e9"), F.count("*").alias("n"))
-
-
 @query("x8_prefix_difference", """
 WITH r AS (SELECT o_custkey, o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS v FROM orders)
 SELECT o_orderkey, round(v - coalesce(lag(v) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 0), 4) AS step FROM r
@@ -292,17 +278,23 @@ def l5(t):
     return t("customer").select("c_custkey", learn.hash_fold(F.col("c_custkey"), 5).alias("fold"))
 
 
-def _moments(t):
-    """Sums for the searches below, of both halves of the lines: mean squared errors of l_tax by a * l_discount and of l_quantity / 50 by b."""
+def _moments(t, half=None):
+    """Sums for the searches below, of both halves of the lines, or by another split: mean squared errors of l_tax by a * l_discount and of l_quantity / 50 by b."""
     x, y, z = F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") / 50
-    half = (F.col("l_orderkey") % 2).alias("half")
+    half = (F.col("l_orderkey") % 2 if half is None else half).alias("half")
     return t("lineitem").groupBy(half).agg(F.avg(x * x).alias("xx"), F.avg(x * y).alias("xy"), F.avg(y * y).alias("yy"), F.avg(z).alias("z"), F.avg(z * z).alias("zz")).orderBy("half").collect()
 
 
 @query("l6_coordinate_descent", """
-WITH h AS (SELECT l_orderkey % 2 AS half, l_discount AS x, l_tax AS y, l_quantity / 50 AS z FROM lineitem), g AS (SELECT unnest(range(0, 11)) / 10 AS v),
-a AS (SELECT half, v, avg(pow(y - v * x, 2)) AS e FROM h, g GROUP BY 1, 2), b AS (SELECT half, v, avg(pow(z - v, 2)) AS e FROM h, g GROUP BY 1, 2)
-SELECT 'a' AS parameter, (SELECT arg_min(v, e) FROM a WHERE half = 0) AS best UNION ALL SELECT 'b', (SELECT arg_min(v, e) FROM b WHERE half = 0)
+WITH RECURSIVE h AS (SELECT l_orderkey % 2 AS half, avg(l_discount * l_discount) AS xx, avg(l_discount * l_tax) AS xy, avg(l_tax * l_tax) AS yy, avg(l_quantity / 50) AS z, avg(l_quantity / 50 * l_quantity / 50) AS zz FROM lineitem GROUP BY 1),
+g AS (SELECT a.range / 10 AS a, b.range / 10 AS b, max(CASE WHEN half = 0 THEN yy - 2 * a.range / 10 * xy + pow(a.range / 10, 2) * xx + zz - 2 * b.range / 10 * z + pow(b.range / 10, 2) END) AS e0,
+  max(CASE WHEN half = 1 THEN yy - 2 * a.range / 10 * xy + pow(a.range / 10, 2) * xx + zz - 2 * b.range / 10 * z + pow(b.range / 10, 2) END) AS e1 FROM range(0, 11) a, range(0, 11) b, h GROUP BY 1, 2),
+s AS (SELECT 0 AS step, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b UNION ALL
+  SELECT step + 1, CASE WHEN t.e0 < o.e0 AND t.e1 < o.e1 THEN t.a ELSE s.a END, CASE WHEN t.e0 < o.e0 AND t.e1 < o.e1 THEN t.b ELSE s.b END FROM s
+  JOIN g o ON abs(o.a - s.a) < 0.01 AND abs(o.b - s.b) < 0.01
+  JOIN g t ON CASE WHEN step % 22 < 11 THEN abs(t.a - step % 11 / 10) < 0.01 AND abs(t.b - s.b) < 0.01 ELSE abs(t.b - step % 11 / 10) < 0.01 AND abs(t.a - s.a) < 0.01 END
+  WHERE step < 66)
+SELECT 'a' AS parameter, a AS best FROM s WHERE step = 66 UNION ALL SELECT 'b', b FROM s WHERE step = 66
 """)
 def l6(t):
     """Two parameters over grids, one at a time; a move counts only where both halves of the lines gain."""
@@ -314,12 +306,12 @@ def l6(t):
 
 
 @query("l7_step_halving", """
-WITH s AS (SELECT avg(l_discount * l_tax) / avg(l_discount * l_discount) AS a, avg(l_quantity / 50) AS b FROM (SELECT *, l_orderkey % 2 AS half FROM lineitem) WHERE half = 0)
+WITH s AS (SELECT avg(l_discount * l_tax) / avg(l_discount * l_discount) AS a, avg(l_quantity / 50) AS b FROM lineitem)
 SELECT 'a' AS parameter, round(a / 0.0625) * 0.0625 AS best FROM s UNION ALL SELECT 'b', round(b / 0.0625) * 0.0625 FROM s
 """)
 def l7(t):
-    """The same errors by steps of a half that are halved three times: the nearest sixteenth."""
-    m = _moments(t)[0]
+    """The errors of all lines by steps of a half that are halved three times: the nearest sixteenth."""
+    m = _moments(t, F.lit(0)).pop()
     score = lambda p: -(m.yy - 2 * p["a"] * m.xy + p["a"] ** 2 * m.xx + m.zz - 2 * p["b"] * m.z + p["b"] ** 2)
     best = learn.step_halving({"a": 0.0, "b": 0.0}, {"a": 0.5, "b": 0.5}, score)
     return t("region").sparkSession.createDataFrame(sorted(best.items()), "parameter string, best double")
@@ -340,10 +332,11 @@ def l8(t):
 
 @query("l1_conditional_logit")
 def l1(t):
-    """Weights of a conditional logit over lineitem candidates of orders; the truth is the line of the largest quantity."""
+    """Weights of a conditional logit over lineitem candidates of orders, 600 steps; the truth is the line of the largest quantity, orders weigh 1 to 3."""
     rows = t("lineitem").select(F.col("l_orderkey").alias("q"), (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") * 10).alias("b"))
     rows = rows.withColumn("truth", F.row_number().over(Window.partitionBy("q").orderBy(F.col("a").desc(), "b")) == 1)
-    fit = learn.conditional_logit(rows, "q", "truth", ["a", "b"], steps=8)
+    rows = rows.withColumn("w", 1 + F.col("q") % 3)
+    fit = learn.conditional_logit(rows, "q", "truth", ["a", "b"], weight="w")
     return t("region").sparkSession.createDataFrame([(k, v) for k, v in fit.items()], "feature string, weight double")
 
 
@@ -396,6 +389,42 @@ def l3(t):
     return learn.lambda_gradients(rows, "q", "c", "s", "truth").withColumn("gradient", F.round("gradient", 6))
 
 
+def ranking_rows(t):
+    """Lines of orders as candidates: the truth is the line of the largest price less its discount; a fifth of the orders is held out."""
+    first = Window.partitionBy("l_orderkey").orderBy((F.col("l_extendedprice") * (1 - F.col("l_discount"))).desc(), "l_partkey", "l_linenumber", "l_extendedprice")
+    rows = t("lineitem").withColumn("truth", F.row_number().over(first) == 1)
+    same = ["l_extendedprice", "l_discount", "l_tax"]
+    rows = rows.groupBy(F.col("l_orderkey").alias("q"), (F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("c")).agg(F.bool_or("truth").alias("truth"), *[F.max(c).alias(c) for c in same])
+    return rows.withColumn("held", learn.hash_fold(F.col("q"), 5) == 0)
+
+
+@query("l3_lambda_mart")
+def l3_fit(t):
+    """Held-out candidates' scores by trees fit on the other orders, beside the base score that the fit starts at."""
+    rows = ranking_rows(t)
+    model = boosting.lambda_mart(rows, "q", "c", "truth", ["l_extendedprice", "l_discount", "l_tax"], trees=8, rate=0.3, how=boosting.Growth(leaves=8, depth=4), bins=64, held_out="held", base=("l_discount", 1.0))
+    return model.score(rows.where("held")).select("q", "c", "truth", F.col("l_discount").alias("base"), F.round("score", 6).alias("score"))
+
+
+@query("l5_permuted_truth", f"""
+WITH r AS (SELECT DISTINCT l_orderkey AS q, l_partkey * 1000 + l_linenumber AS c FROM lineitem), m AS (SELECT *, {mark_sql("q || '/' || c", 3)} AS m FROM r)
+SELECT q, arg_min(c, m) AS c FROM m GROUP BY 1
+""")
+def l5_permuted(t):
+    """The control of a ranker: of each order a candidate drawn by a hash in place of the truth."""
+    return boosting.permuted_truth(ranking_rows(t), "q", "c", "truth", 3).where("truth").select("q", "c")
+
+
+@query("l5_class_mix", """
+WITH n AS (SELECT o_orderstatus AS s, count(*) AS n, sum(count(*)) OVER () AS all_n FROM orders GROUP BY 1), p AS (SELECT *, CASE s WHEN 'O' THEN 0.5 WHEN 'F' THEN 0.42 WHEN 'P' THEN 0.08 ELSE 0 END AS p FROM n)
+SELECT o_orderkey, round(CAST(p AS DOUBLE) * all_n / n, 6) AS weight FROM orders JOIN p ON o_orderstatus = s
+""")
+def l5_mix(t):
+    """Weights that bring groups of queries into given proportions."""
+    weighted = boosting.class_mix_weights(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", {"O": 0.5, "F": 0.42, "P": 0.08})
+    return weighted.select("o_orderkey", F.round("weight", 6).alias("weight"))
+
+
 @query("ext_windowed_events", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windows(t):
     """Extension beyond the operators above: tumbling windows, which run on streams as well."""

@@ -207,14 +207,19 @@ def e17(t):
 
 
 @query("e18_density", """
-WITH p AS (SELECT range AS k, 20000.0 * range + 25000 AS x FROM range(20)), n AS (SELECT k, count(o_orderkey) AS n FROM p LEFT JOIN orders ON abs(o_totalprice - CAST(x AS DOUBLE)) <= 200 GROUP BY 1)
-SELECT round(avg(n), 6) AS mean, quantile_cont(n, 0.5) AS median, max(n) AS most FROM n
+WITH n AS (SELECT unnest([50, 100, 200]) AS width, unnest([
+    count(*) OVER (ORDER BY o_totalprice RANGE BETWEEN 50 PRECEDING AND 50 FOLLOWING), count(*) OVER (ORDER BY o_totalprice RANGE BETWEEN 100 PRECEDING AND 100 FOLLOWING),
+    count(*) OVER (ORDER BY o_totalprice RANGE BETWEEN 200 PRECEDING AND 200 FOLLOWING)]) AS n FROM orders)
+SELECT width, round(avg(n), 6) AS mean, quantile_cont(n, 0.5) AS median, max(n) AS most FROM n GROUP BY width
 """)
 def e18(t):
-    probes = t("region").sparkSession.range(20).select(F.col("id").alias("k"), (20000.0 * F.col("id") + 25000).alias("x"))
-    pairs = J.absolute_band_join(probes, t("orders").select("o_totalprice"), "x", "o_totalprice", 200.0).groupBy("k").agg(F.count("*").alias("n"))
-    all_n = probes.join(pairs, "k", "left").select(F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    return all_n.agg(F.round(F.avg("n"), 6).alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("most"))
+    """How many rows lie within each of three widths of a row, over every row."""
+    widths = {f"n{w}": float(w) for w in (50, 100, 200)}
+    counts = J.window_counts(t("orders").select("o_totalprice"), "o_totalprice", t("orders"), "o_totalprice", widths)
+    each = F.explode(F.array(*[F.struct(F.lit(int(w)).alias("width"), F.col(name).alias("n")) for name, w in widths.items()])).alias("r")
+    # few distinct counts, each with its rows
+    sizes = counts.select(each).groupBy("r.width", "r.n").agg(F.count("*").alias("rows"))
+    return sizes.groupBy("width").agg(F.round(F.sum(F.col("n") * F.col("rows")) / F.sum("rows"), 6).alias("mean"), F.percentile("n", F.lit(0.5), F.col("rows")).alias("median"), F.max("n").alias("most"))
 
 
 @query("e19_group_correlation", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 5) AS r FROM lineitem GROUP BY 1")

@@ -159,9 +159,9 @@ def j13(t):
 
 @query("j14_window_population", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_totalprice >= 10 * c_acctbal - 50 AND o_totalprice < 10 * c_acctbal + 50 GROUP BY 1")
 def j14(t):
+    """Counts of a half-open window around every value, by ranks."""
     left = t("customer").select("c_custkey", (10 * F.col("c_acctbal")).alias("v"))
-    pairs = J.absolute_band_join(left, prices(t), "v", "o_totalprice", 50.0, half_open=True).groupBy("c_custkey").agg(F.count("*").alias("n"))
-    return left.select("c_custkey").join(pairs, "c_custkey", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return J.window_counts(left, "v", prices(t), "o_totalprice", {"n": 50.0}, half_open=True).select("c_custkey", "n")
 
 
 @query("j18_lookup_else_mean", """

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quern.functions import peaks as P
 from quern.functions import vectors as V
+from quern.operators import bits as B
 from quern.operators import generate as G
+from quern.operators import graphs
 from quern.operators import joins as J
 from quern.operators import rank as R
 from quern.plans.registry import query
@@ -36,18 +38,29 @@ def j15(t):
     return best.select(F.col("item_id").alias("a"), F.col("other").alias("b"), F.round("similarity", 6).alias("sim"), "rank")
 
 
+@query("j15_bit_topk", """
+WITH v AS (SELECT vec_id AS a, list_transform(embedding, lambda x: CAST(x > 0 AS INTEGER)) AS v FROM embeddings), n AS (SELECT *, list_sum(v) AS n FROM v),
+p AS (SELECT x.a, y.a AS b, list_sum(list_transform(list_zip(x.v, y.v), lambda z: z[1] * z[2])) AS c, x.n AS na, y.n AS nb FROM n x JOIN n y ON x.a <> y.a),
+k AS (SELECT a, b, c / (na + nb - c) AS sim, row_number() OVER (PARTITION BY a ORDER BY c / (na + nb - c) DESC, b) AS rank FROM p WHERE c > 0)
+SELECT a, b, round(sim, 6) AS sim, rank FROM k WHERE rank <= 10
+""")
+def j15_bits(t):
+    """For each vector the ten most similar others by the Tanimoto index of their signs, packed into words."""
+    signs = t("embeddings").select("vec_id", B.packed(F.transform("embedding", lambda x: x > 0)).alias("bits"))
+    best, _ = B.top_similar_bits(signs, "vec_id", "bits", 10)
+    return best.select(F.col("key").alias("a"), F.col("other").alias("b"), F.round("similarity", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("j16_two_stage_search", f"""
-WITH c AS ({WEIGHTS}), f AS (SELECT w, count(*) AS df FROM c GROUP BY 1), l AS (SELECT x.item_id AS a, y.item_id AS b, sum(x.n * y.n) AS s FROM c x JOIN c y USING (w) JOIN f USING (w) WHERE df <= 20 AND x.item_id <> y.item_id GROUP BY 1, 2),
+WITH c AS ({WEIGHTS}), f AS (SELECT w, count(*) AS df FROM c GROUP BY 1), l AS (SELECT x.item_id AS a, y.item_id AS b, sum(x.n * y.n) AS s FROM c x JOIN c y USING (w) JOIN f USING (w) WHERE x.item_id <> y.item_id GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM l), g AS (SELECT a, b FROM k WHERE r <= 10), z AS (SELECT item_id, sqrt(sum(n * n)) AS z FROM c GROUP BY 1),
 e AS (SELECT a, b, coalesce(sum(x.n * y.n), 0) / (any_value(za.z) * any_value(zb.z)) AS cos FROM g JOIN c x ON x.item_id = a JOIN c y ON y.item_id = b AND x.w = y.w JOIN z za ON za.item_id = a JOIN z zb ON zb.item_id = b GROUP BY 1, 2)
 SELECT a, b, round(cos, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(cos, 9) DESC, b) AS r FROM e) WHERE r <= 3
 """)
 def j16(t):
-    """A shortlist by shared rare words, then an exact cosine over all words on the shortlist alone."""
+    """A shortlist by all shared words, then an exact cosine on the shortlist alone."""
     c = counts(t)
-    rare = c.groupBy("w").agg(F.count("*").alias("df")).where("df <= 20").select("w")
-    kept = c.join(rare, "w", "left_semi")
-    left, right = kept.withColumnsRenamed({"item_id": "a", "n": "x"}), kept.withColumnsRenamed({"item_id": "b", "n": "y"})
+    left, right = c.withColumnsRenamed({"item_id": "a", "n": "x"}), c.withColumnsRenamed({"item_id": "b", "n": "y"})
     short = R.top_k(J.index_join(left, right, "a", "b", "w", "x", "y").where("a <> b"), ["a"], [F.col("score").desc(), F.col("b")], 10).select("a", "b")
     norms = c.groupBy("item_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("z"))
     full = short.join(c.withColumnsRenamed({"item_id": "a", "n": "x"}), "a").join(c.withColumnsRenamed({"item_id": "b", "n": "y"}), ["b", "w"])
@@ -345,6 +358,26 @@ def f20(t):
     return around.join(d, "a").select(F.col("a").alias("node"), F.md5(F.concat_ws(":", F.col("h").cast("string"), F.array_join(F.col("l").cast("array<string>"), ","))).alias("h"))
 
 
+MARK = "CAST('0x' || substr(md5({x} || '|{r}'), 1, 13) AS BIGINT)"
+HASHES = ", ".join(f"""s{r} AS (SELECT e.g, e.a, sum({MARK.format(x="bond || '/' || h", r=r)}) AS s FROM u e JOIN h{r - 1} n ON n.g = e.g AND n.a = e.b GROUP BY 1, 2),
+h{r} AS (SELECT h.g, h.a, md5('{r}:' || h || ':' || CAST(coalesce(s, 0) AS VARCHAR)) AS h FROM h{r - 1} h LEFT JOIN s{r} s USING (g, a))""" for r in (1, 2))
+
+
+@query("f20_neighbourhood_bits", f"""
+WITH e AS (SELECT o_custkey AS g, o_orderkey AS a, -l_suppkey - 1 AS b, min(l_returnflag) AS bond FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2, 3),
+u AS (SELECT * FROM e UNION ALL SELECT g, b, a, bond FROM e),
+h0 AS (SELECT o_custkey AS g, o_orderkey AS a, md5(o_orderstatus) AS h FROM orders UNION ALL SELECT DISTINCT g, b, md5('S') FROM e), {HASHES},
+b AS (SELECT DISTINCT g, CAST('0x' || substr(h, 1, 13) AS BIGINT) % 2048 AS bit FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2))
+SELECT g AS o_custkey, count(*) AS n, md5(string_agg(CAST(bit AS VARCHAR), ',' ORDER BY bit)) AS bits FROM b GROUP BY 1
+""")
+def f20_bits(t):
+    """Neighbourhoods of up to two steps in each customer's graph, folded to 2,048 bits."""
+    nodes, edges = order_graphs(t)
+    hashes = graphs.neighbourhood_hashes(nodes, edges, "o_custkey", "node", "label", "o_orderkey", "s", "bond", 2)
+    bits = graphs.folded_bits(hashes, "o_custkey", 2048)
+    return bits.select("o_custkey", F.size("bits").cast("long").alias("n"), F.md5(F.array_join(F.col("bits").cast("array<string>"), ",")).alias("bits"))
+
+
 @query("f21_formula_mass", """
 SELECT p_partkey, p_size // 10 AS c, p_size % 10 AS h, round((p_size // 10) * 12.0 + (p_size % 10) * 1.00782503207, 6) AS mass, 'C' || (p_size // 10) || 'H' || (p_size % 10) AS key FROM part
 """)
@@ -376,11 +409,20 @@ def f24(t):
     return R.top_k(m, ["l_suppkey"], [F.col("y").desc(), F.col("x")], 100, "k").select("l_suppkey", "x", "y")
 
 
+def order_graphs(t):
+    """(nodes, edges) of a graph per customer: its orders and their suppliers, an edge for each pair that a line joins."""
+    lines = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", (-F.col("l_suppkey") - 1).alias("s"), "l_returnflag")
+    edges = lines.groupBy("o_custkey", "o_orderkey", "s").agg(F.min("l_returnflag").alias("bond"))
+    orders = t("orders").select("o_custkey", F.col("o_orderkey").alias("node"), F.round(F.col("o_totalprice")).cast("long").alias("w"), F.col("o_orderstatus").alias("label"))
+    ends = edges.select("o_custkey", F.col("s").alias("node")).distinct()
+    return orders.unionAll(ends.select("o_custkey", "node", (-F.col("node")).alias("w"), F.lit("S"))), edges
+
+
 @query("g1_fragment_enumeration")
 def g1(t):
-    """Pieces after one or two cuts of each customer's orders, all of them, as a chain with weights."""
-    lists = t("orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_totalprice"))), lambda x: x.o_totalprice / 1000).alias("weights"))
-    return G.chain_fragments(lists, "o_custkey", "weights")
+    """How often each weight arises as a piece of a customer's graph of orders and suppliers after a cut."""
+    nodes, edges = order_graphs(t)
+    return graphs.fragments(nodes, edges, "o_custkey", "node", "w", "o_orderkey", "s")
 
 
 @query("g2_shifted_fragments", """
@@ -399,6 +441,35 @@ def g3(t):
     return G.compositions(x, "c_custkey", "m", {"c": 12.0, "o": 15.9949, "h": 1.00783}, {"c": 8, "o": 6, "h": 20}, 0.02)
 
 
+# Masses of the units, and the ratio limits that sensible formulas keep.
+UNIT_MASSES = {"c": 12.0, "h": 1.00782503207, "n": 14.0030740048, "o": 15.99491461956, "p": 30.97376163, "s": 31.972071, "f": 18.99840322, "cl": 34.96885268, "br": 78.9183371}
+UNIT_LIMITS = {"c": 12, "h": 40, "n": 12, "o": 40, "p": 2, "s": 3, "f": 6, "cl": 4, "br": 3}
+HETERO_RULE = "CAST(br > 0 AS INT) + CAST(cl > 0 AS INT) + CAST(f > 0 AS INT) <= 1 AND br + cl + f + s + p <= 4"
+FRAME_RULE = "c >= 1 AND h <= 3.1 * c + 3 AND h >= 0.1 * c - 1"
+FORMULA_RULE = """n <= 1.3 * c AND o <= 1.2 * c + 1 AND p <= 0.3 * c + 1 AND s <= 0.8 * c + 1 AND f <= 1.5 * c AND cl <= 0.8 * c AND br <= 0.8 * c
+  AND 2 * c + n + p - h - f - cl - br + 2 >= 0 AND (2 * c + n + p - h - f - cl - br + 2) % 2 = 0
+  AND 4 * c + h + 3 * n + 2 * o + 3 * p + 2 * s + f + cl + br >= 2 * (c + h + n + o + p + s + f + cl + br - 1)"""
+HETERO, FRAME = ("n", "o", "p", "s", "f", "cl", "br"), ("c", "h")
+
+
+def mass_sql(units):
+    return " + ".join(f"{u} * CAST({UNIT_MASSES[u]!r} AS DOUBLE)" for u in units)
+
+
+@query("g3_ruled_compositions", f"""
+WITH x AS (SELECT c_custkey, 2 * c_acctbal / 100 AS m FROM customer WHERE c_acctbal > 0), {", ".join(f"r{u} AS (SELECT CAST(range AS INTEGER) AS {u} FROM range({UNIT_LIMITS[u] + 1}))" for u in UNIT_MASSES)},
+a AS (SELECT *, {mass_sql(HETERO)} AS ma FROM {", ".join(f"r{u}" for u in HETERO)} WHERE {mass_sql(HETERO)} <= 201 AND {HETERO_RULE}), b AS (SELECT *, {mass_sql(FRAME)} AS mb FROM rc, rh WHERE {FRAME_RULE}),
+y AS (SELECT * FROM a JOIN b ON {FORMULA_RULE.replace(chr(10), " ")})
+SELECT c_custkey, {", ".join(UNIT_MASSES)} FROM x JOIN y ON m BETWEEN ma + mb - 0.02 AND ma + mb + 0.02 WHERE abs(m - (ma + mb)) <= 0.002
+""")
+def g3_ruled(t):
+    """Formulas of nine units for a mass, by two half tables that meet in the middle, with limits on ratios and valences."""
+    x = t("customer").where("c_acctbal > 0").select("c_custkey", (2 * F.col("c_acctbal") / 100).alias("m"))
+    halves = tuple({u: UNIT_MASSES[u] for u in half} for half in (HETERO, FRAME))
+    rules = tuple((lambda r=r: F.expr(r)) for r in (HETERO_RULE, FRAME_RULE, FORMULA_RULE))
+    return G.ruled_compositions(x, "c_custkey", "m", halves, UNIT_LIMITS, 0.002, rules).select("c_custkey", *UNIT_MASSES)
+
+
 @query("g4_log_posterior", """
 WITH w AS (SELECT o_custkey AS q, o_orderpriority AS c, sum(o_totalprice) AS w, count(DISTINCT o_orderstatus) AS n FROM orders GROUP BY 1, 2), x AS (SELECT *, ln(w) / 0.5 AS x, max(ln(w) / 0.5) OVER (PARTITION BY q) AS m FROM w)
 SELECT q, c, n AS n_sources, round(x - m - ln(sum(exp(x - m)) OVER (PARTITION BY q)), 5) AS log_p FROM x
@@ -418,9 +489,23 @@ def g5(t):
     return G.sub_compositions(rows, "p_partkey", {"c": "c", "h": "h"}, {"c": 12.0, "h": 1.00783}, "m", 0.8)
 
 
+@query("g5_composition_counts", """
+WITH x AS (SELECT DISTINCT p_size, p_size // 5 AS c, p_size AS h, p_size % 7 AS o, p_size % 4 AS n FROM part),
+y AS (SELECT *, (12 * c + h + 16 * o + 14 * n) // 2 AS m FROM x),
+k AS (SELECT p_size, (SELECT count(*) FROM range(0, 11) a(i), range(0, 51) b(j), range(0, 7) d(k), range(0, 4) e(l) WHERE i <= c AND j <= h AND k <= o AND l <= n AND abs(12 * i + j + 16 * k + 14 * l - m) <= 1) AS n FROM y)
+SELECT p_partkey, k.n FROM part JOIN k USING (p_size)
+""")
+def g5_counts(t):
+    """How many sub-formulas have about half a formula's whole mass, by tables of counts instead of the formulas themselves."""
+    size = F.col("p_size").cast("long")
+    rows = t("part").select("p_partkey", F.floor(size / 5).alias("c"), size.alias("h"), (size % 7).alias("o"), (size % 4).alias("n"))
+    rows = rows.withColumn("m", F.floor((12 * F.col("c") + F.col("h") + 16 * F.col("o") + 14 * F.col("n")) / 2))
+    return G.composition_counts(rows.withColumnRenamed("n", "k"), "p_partkey", {"c": "c", "h": "h", "o": "o", "n": "k"}, {"c": 12, "h": 1, "o": 16, "n": 14}, "m", 1)
+
+
 @query("g6_operation_chains", """
 WITH ops AS (SELECT n_nationkey AS op, (n_nationkey - 12) * CAST(3.7 AS DOUBLE) AS s FROM nation), c AS (SELECT op AS a, NULL AS b, s FROM ops UNION ALL SELECT x.op, y.op, x.s + y.s FROM ops x JOIN ops y ON x.op <= y.op WHERE abs(x.s + y.s) > 1e-9)
-SELECT s_suppkey, a AS first, b AS second FROM supplier JOIN c ON abs(s_acctbal / 100 - c.s) <= 0.050303
+SELECT s_suppkey, a AS first, b AS second FROM supplier JOIN c ON abs(s_acctbal / 100 - c.s) <= 0.0503
 """)
 def g6(t):
     ops = t("nation").select(F.col("n_nationkey").alias("op"), ((F.col("n_nationkey") - 12) * F.lit(3.7)).alias("s"))

@@ -1,5 +1,6 @@
 """Sources and sinks: tables written in a format and read back, compared with what went in."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quern.plans.registry import query
@@ -49,11 +50,11 @@ def s3(t):
 
 @query("s5_binary_heads", "SELECT CAST(p_partkey AS INTEGER) AS mol, CAST(p_size AS INTEGER) AS n, CAST(p_size % 10 AS INTEGER) AS category, CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_size % 5 AS INTEGER) END AS instrument FROM part")
 def s5(t):
-    """Fixed-width headers, written by tasks and decoded again; unknown instruments survive."""
+    """Fixed-width headers in binary files, read by byte ranges; unknown instruments survive."""
     spark = t("region").sparkSession
     path = f"{shared_dir(spark)}/heads"
-    S.encode_heads(heads(t)).write.parquet(path)
-    return S.decode_heads(spark.read.parquet(path)).select("mol", "n", "category", "instrument")
+    S.write_heads(heads(t), path)
+    return S.read_heads(spark, path).select("mol", "n", "category", "instrument")
 
 
 def heads(t):
@@ -65,12 +66,12 @@ def heads(t):
 
 @query("s6_binary_sink", "SELECT CAST(20 * count(*) AS BIGINT) AS n_bytes, CAST(count(*) AS BIGINT) AS n_heads FROM part")
 def s6(t):
-    """Headers of a fixed width as bytes, encoded batch by batch."""
+    """Headers of a fixed width as files, counted by their bytes and by their records."""
     spark = t("region").sparkSession
     path = f"{shared_dir(spark)}/heads"
-    S.encode_heads(heads(t)).write.parquet(path)
-    made = spark.read.parquet(path)
-    return made.agg(F.sum(F.octet_length("content")).cast("long").alias("n_bytes")).crossJoin(S.decode_heads(made).agg(F.count("*").alias("n_heads")))  # one row each
+    S.write_heads(heads(t), path)
+    files = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+    return files.crossJoin(S.read_heads(spark, path).agg(F.count("*").alias("n_heads")))  # one row each
 
 
 @query("s7_named_lines", "SELECT n_nationkey AS number, 'N' || n_nationkey AS name, n_name AS rest FROM nation")
@@ -131,11 +132,11 @@ def s11(t):
 
 @query("s12_sparse_bits", "SELECT vec_id AS row, len(list_filter(embedding, lambda x: x > 0)) AS n FROM embeddings")
 def s12(t):
-    """Sparse bit rows as arrays in Parquet."""
-    df = t("embeddings").select(F.col("vec_id").alias("row"), F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull()).alias("bits"))
+    """Sparse bit rows as 16-bit numbers in binary files, found through a sidecar of their places."""
+    df = t("embeddings").select(F.col("vec_id").alias("row"), F.filter(F.transform("embedding", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull()).alias("values"))
     path = f"{shared_dir(df.sparkSession)}/bits"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path).select("row", F.size("bits").cast("long").alias("n"))
+    S.write_bit_rows(df, path)
+    return S.read_bit_places(df.sparkSession, path).select("row", F.size("values").cast("long").alias("n"))
 
 
 @query("s15_ranked_csv", """
@@ -202,3 +203,29 @@ def s20(t):
 @query("s21_range_slice", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 200000 AND o_totalprice < 201000")
 def s21(t):
     return t("orders").where("o_totalprice >= 200000 AND o_totalprice < 201000").select("o_orderkey", "o_totalprice")
+
+
+PRICED = np.dtype([("o_orderkey", "<i8"), ("o_totalprice", "<f8")])
+
+
+@query("s21_binary_slice", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 200000 AND o_totalprice < 201000")
+def s21_binary(t):
+    """A range of a binary file that is sorted by a column, found by bisection."""
+    spark = t("region").sparkSession
+    path = f"{shared_dir(spark)}/priced"
+    S.write_records(t("orders").where("o_orderkey IS NOT NULL AND o_totalprice IS NOT NULL").select("o_orderkey", "o_totalprice").repartitionByRange("o_totalprice").sortWithinPartitions("o_totalprice"), path, PRICED)
+    return S.read_records(spark, path, PRICED, ranges={"o_totalprice": (200_000.0, 201_000.0)}, sorted_by="o_totalprice").where("o_totalprice < 201000")
+
+
+NAMED = np.dtype([("p_partkey", "<i8"), ("p_retailprice", "<f8"), ("at", "<i8"), ("n", "<i4")])
+
+
+@query("s14_offset_strings", "SELECT p_partkey, p_name FROM part WHERE p_retailprice BETWEEN 905 AND 907 OR p_retailprice BETWEEN 950 AND 951")
+def s14_offsets(t):
+    """Strings in one binary file, read by the places that a sorted sidecar gives for two ranges."""
+    spark = t("region").sparkSession
+    path = f"{shared_dir(spark)}/named"
+    df = t("part").where("p_name IS NOT NULL").select("p_partkey", "p_retailprice", F.col("p_name").alias("values"))
+    S.write_lists(df.repartitionByRange("p_retailprice").sortWithinPartitions("p_retailprice"), f"{path}/places", NAMED, f"{path}/names", "u1", "at", "n", text=True)
+    read = lambda low, high: S.read_lists(spark, f"{path}/places", NAMED, f"{path}/names", "u1", "at", "n", text=True, columns=["p_partkey"], ranges={"p_retailprice": (low, high)}, sorted_by="p_retailprice")
+    return read(905.0, 907.0).unionAll(read(950.0, 951.0)).select("p_partkey", F.col("values").alias("p_name"))

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.sources.fixed_width import PARTITION_BYTES, read_lists, read_records, write_lists, write_records
 from quern.storage import materialize
 
 
@@ -156,24 +157,27 @@ def read_dumps(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 HEAD = np.dtype([("precursor", "<f4"), ("mol", "<i4"), ("off", "<i4"), ("n", "<i4"), ("tag", "<i4")])
 
 
-def decode_heads(files: DataFrame, column: str = "content") -> DataFrame:
-    """20-byte headers of a binary column, with category and instrument decoded from the tag (null: unknown)."""
+def head_tag(category: Column, instrument: Column) -> Column:
+    """category * 16 + instrument, -1 standing for unknown."""
+    return F.coalesce(category.cast("int"), F.lit(-1)) * 16 + F.coalesce(instrument.cast("int"), F.lit(-1))
+
+
+def tag_parts(tag: Column) -> tuple[Column, Column]:
+    """(category, instrument) of a tag, null: unknown. An unknown instrument has taken one from the category."""
+    odd = F.pmod(tag, F.lit(16)) == 15
+    kind = F.floor(tag / F.lit(16)).cast("int") + F.when(odd, 1).otherwise(0)
+    return F.when(kind >= 0, kind), F.when(~odd, F.pmod(tag, F.lit(16)))
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for data in pdf[column]:
-                a = np.frombuffer(data, HEAD, len(data) // HEAD.itemsize)
-                low, high = a["tag"] % 16, a["tag"] // 16
-                odd = low == 15  # an unknown instrument has taken one from the category
-                kind = pd.Series(np.where(odd, high + 1, high), dtype="Int32")
-                yield pd.DataFrame({"precursor": a["precursor"], "mol": a["mol"], "n": a["n"], "category": kind.where(kind >= 0), "instrument": pd.Series(low, dtype="Int32").where(~odd)})
 
-    return files.select(column).mapInPandas(decode, "precursor float, mol int, n int, category int, instrument int")
+def read_heads(spark: SparkSession, path: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """20-byte headers of a file or folder, read by as many tasks as there are byte ranges: precursor, mol, off, n, category, instrument."""
+    category, instrument = tag_parts(F.col("tag"))
+    return read_records(spark, path, HEAD, partition_bytes=partition_bytes).select("precursor", "mol", "off", "n", category.alias("category"), instrument.alias("instrument"))
 
 
-def read_heads(spark: SparkSession, path: str) -> DataFrame:
-    """Headers of binary files; a file is read whole by one task, as offsets count from its start."""
-    return decode_heads(spark.read.format("binaryFile").load(path))
+def write_heads(df: DataFrame, path: str) -> None:
+    """Rows (precursor, mol, off, n, category, instrument) as headers, a file for each task."""
+    write_records(df.withColumn("tag", head_tag(F.col("category"), F.col("instrument"))), path, HEAD)
 
 
 def pack_heads(rows: list[tuple[float, int, int, int, int | None, int | None]]) -> bytes:
@@ -181,22 +185,21 @@ def pack_heads(rows: list[tuple[float, int, int, int, int | None, int | None]])
     return b"".join(struct.pack("<fiiii", p, mol, off, n, (-1 if c is None else c) * 16 + (-1 if i is None else i)) for p, mol, off, n, c, i in rows)
 
 
-def encode_heads(df: DataFrame) -> DataFrame:
-    """Rows (precursor, mol, off, n, category, instrument) as headers: one binary value, content, for each Arrow batch."""
+BIT_PLACES = np.dtype([("row", "<i8"), ("at", "<i8"), ("n", "<i4")])
+
+
+def write_bit_rows(df: DataFrame, folder: str) -> None:
+    """Rows (row, values: places of the bits) as 16-bit numbers, with a sidecar that says where each row's stand."""
+    write_lists(df, f"{folder}/places", BIT_PLACES, f"{folder}/bits", "<u2", "at", "n")
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            a = np.zeros(len(pdf), HEAD)
-            for name in ("precursor", "mol", "off", "n"):
-                a[name] = pdf[name]
-            a["tag"] = pdf["category"].fillna(-1) * 16 + pdf["instrument"].fillna(-1)
-            yield pd.DataFrame({"content": [a.tobytes()]})
 
-    return df.select("precursor", "mol", "off", "n", "category", "instrument").mapInPandas(encode, "content binary")
+def read_bit_places(spark: SparkSession, folder: str) -> DataFrame:
+    """What write_bit_rows wrote, by as many tasks as there are ranges of the sidecar."""
+    return read_lists(spark, f"{folder}/places", BIT_PLACES, f"{folder}/bits", "<u2", "at", "n", columns=["row"])
 
 
 def read_bit_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Sparse bit sets of binary files: a count and a width as 32-bit numbers, then per row a 16-bit count and 16-bit places."""
+    """Sparse bit sets of binary files without places, so that a file is read whole by one task: a count and a width as 32-bit numbers, then per row a 16-bit count and 16-bit places."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

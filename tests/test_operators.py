@@ -325,12 +325,6 @@ def test_matched_sample_follows_the_target(spark):
     assert len(got) == 100 and got.count("b") > 60
 
 
-def test_fragments_of_a_chain(spark):
-    df = spark.createDataFrame([("g", [1.0, 2.0, 4.0], [(0, 1), (1, 2)])], "k string, w array<double>, e array<struct<a:int,b:int>>")
-    got = {r.weight_milli: r.n_pieces for r in generate.fragments(df, "k", "w", "e").collect()}
-    assert got == {7000: 1, 1000: 1, 6000: 1, 3000: 1, 4000: 1, 2000: 1}
-
-
 def test_absorbing_chain_by_hand(spark):
     edges = spark.createDataFrame([("g", "a", "b", 0.5), ("g", "a", "c", 0.25), ("g", "b", "c", 1.0), ("g", "c", "d", 0.5), ("h", "a", "b", 1.0)], "g string, u string, v string, p double")
     starts = spark.createDataFrame([("g", "a"), ("h", "a"), ("lone", "x")], "g string, n string")
@@ -340,32 +334,6 @@ def test_absorbing_chain_by_hand(spark):
     assert got(1, True) == {("g", "a"): 0.25, ("g", "b"): 0.5, ("g", "c"): 0.25, ("h", "b"): 1.0, ("lone", "x"): 1.0}
 
 
-def test_chain_fragments_match_a_search_over_cuts(spark):
-    rng = np.random.default_rng(6)
-    rows = [(k, [round(float(x), 5) for x in rng.uniform(0, 300, n)]) for k, n in enumerate([1, 2, 3, 7, 12, 19])]
-    rows = [(k, w, [(i, i + 1) for i in range(len(w) - 1)]) for k, w in rows] + [(99, [1.0] * 15, [(i, i + 1) for i in range(14)])]
-    df = spark.createDataFrame(rows, "k long, w array<double>, e array<struct<a:int,b:int>>")
-    got = sorted(map(tuple, generate.chain_fragments(df, "k", "w").collect()))
-    assert got == sorted(map(tuple, generate.fragments(df, "k", "w", "e").collect()))
-
-
-def test_fragment_query_takes_all_orders(spark):
-    from quern.plans import reference
-
-    sf = "/root/testdata/sf0.001"
-    want = {}
-    for r in spark.read.parquet(f"{sf}/orders.parquet").orderBy("o_orderkey").collect():
-        want.setdefault(r.o_custkey, []).append(r.o_totalprice / 1000)
-    pieces = {}
-    for c, w in want.items():
-        for i in range(len(w)):
-            for x in itertools.accumulate(w[i:]):
-                m = round(x * 1000)
-                pieces[c, m] = pieces.get((c, m), 0) + 1
-    got = {(r.o_custkey, r.weight_milli): r.n_pieces for r in reference.QUERIES["g1_fragment_enumeration"](spark, sf).collect()}
-    assert got == pieces and max(map(len, want.values())) > 6
-
-
 def test_grid_components_match_a_flood_fill(spark):
     rng = np.random.default_rng(5)
     board = rng.integers(0, 2, (12, 12))
