@@ -11,12 +11,18 @@ from quern.operators.joins import absolute_band_join
 from quern.storage import materialize
 
 
+#: Operations whose pairs `chains` makes; one side is broadcast.
+MOST_OPS = 4096
+
+
 def chains(queries: DataFrame, ops: DataFrame, query: str, delta: str, op: str, shift: str, tol: float) -> DataFrame:
     """Chains of one or two operations whose shifts sum to delta within tol: query, first, second (null), total.
 
-    Two-step chains are unordered (first <= second) and never an operation with its exact opposite. ops: a table of fixed
-    size, self-joined once; the queries meet the sums in a band join.
+    Two-step chains are unordered (first <= second) and never an operation with its exact opposite. ops: at most MOST_OPS
+    rows, more are an error; their pairs are made once, and the queries meet the sums in a band join.
     """
+    if ops.limit(MOST_OPS + 1).count() > MOST_OPS:
+        raise ValueError(f"over {MOST_OPS} operations")
     one = ops.select(F.col(op).alias("first"), F.lit(None).cast(ops.schema[op].dataType).alias("second"), F.col(shift).alias("total"))
     a, b = ops.select(F.col(op).alias("first"), F.col(shift).alias("_x")), ops.select(F.col(op).alias("second"), F.col(shift).alias("_y"))
     two = F.broadcast(a).join(b, F.col("first") <= F.col("second")).where(F.abs(F.col("_x") + F.col("_y")) > 1e-9).select("first", "second", (F.col("_x") + F.col("_y")).alias("total"))

@@ -42,6 +42,19 @@ def grid_components(cells: DataFrame, frame: str, y: str, x: str, colour: str) -
     return labelled.select(frame, y, x, colour, F.struct(F.col("label_y").alias("y"), F.col("label_x").alias("x")).alias("label"))
 
 
+def grid_objects(labelled: DataFrame, frame: str, y: str, x: str, colour: str, label: str = "label", scenery: float = 1 / 8) -> DataFrame:
+    """frame, place (from 1, largest first), colour, area, y, x: the components of a frame, at the middle of their extent, rounded down.
+
+    Colours that cover more than `scenery` of a frame's cells are no objects. Equal areas go by greater x, then greater y, then
+    the lesser label.
+    """
+    tinted = labelled.withColumn("_of", F.count("*").over(Window.partitionBy(frame, colour))).withColumn("_all", F.count("*").over(Window.partitionBy(frame)))
+    middle = lambda c: F.floor((F.min(c) + F.max(c)) / 2)
+    found = tinted.where(F.col("_of") <= F.floor(F.col("_all") * scenery)).groupBy(frame, label, colour).agg(F.count("*").alias("area"), middle(y).alias("y"), middle(x).alias("x"))
+    order = Window.partitionBy(frame).orderBy(F.col("area").desc(), F.col("x").desc(), F.col("y").desc(), label)
+    return found.select(frame, F.row_number().over(order).cast("long").alias("place"), colour, "area", "y", "x")
+
+
 def frame_diff(before: DataFrame, after: DataFrame, key: str, y: str, x: str) -> DataFrame:
     """Objects of two frames as events: vanished, appeared, moved (key, event, dy, dx); those that stay give none."""
     a, b = before.select(key, F.col(y).alias("_ya"), F.col(x).alias("_xa")), after.select(key, F.col(y).alias("_yb"), F.col(x).alias("_xb"))

@@ -317,7 +317,9 @@ def nearest_values(left: DataFrame, right: DataFrame, left_value: str, right_val
 
     def pairs(held: np.ndarray, m: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         low, high = windows(m)
-        a, b = np.searchsorted(held, np.maximum(m - d, low), side="left"), np.searchsorted(held, np.minimum(m + d, high), side="right")
+        with np.errstate(invalid="ignore"):
+            least, most = (np.where(np.isinf(m) & np.isinf(d), e, x) for e, x in ((-np.inf, m - d), (np.inf, m + d)))
+        a, b = np.searchsorted(held, np.maximum(least, low), side="left"), np.searchsorted(held, np.minimum(most, high), side="right")
         size = np.maximum(b - a, 0)
         stop = np.cumsum(size)
         return np.repeat(m, size), held[np.repeat(a - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)]
@@ -333,9 +335,11 @@ def nearest_values(left: DataFrame, right: DataFrame, left_value: str, right_val
         low, high = windows(m)
         there = (near >= 0) & (near < len(held))
         v = held[np.clip(near, 0, max(0, len(held) - 1))] if len(held) else np.zeros(near.shape)
-        far = np.where(there & (v >= low[:, None]) & (v <= high[:, None]), np.abs(v - m[:, None]), np.inf)
+        with np.errstate(invalid="ignore"):  # an infinite value is as far as can be from all but its like
+            gap = np.where(v == m[:, None], 0.0, np.abs(v - m[:, None]))
+        far = np.where(there & (v >= low[:, None]) & (v <= high[:, None]), gap, np.inf)
         d = np.partition(far, k - 1, axis=1)[:, k - 1]
-        d = np.sqrt(d * d + (tie * m) ** 2) * (1 + 1e-12)
+        d = np.sqrt(d * d + np.where(np.isinf(m), 0.0, tie * m) ** 2) * (1 + 1e-12)
         inside = np.ones(len(m), bool)
         if r > 0:
             inside &= np.maximum(m - d, low) >= cuts[r - 1]
@@ -373,7 +377,7 @@ def band_top_k(left: DataFrame, right: DataFrame, left_key: str, left_value: str
 def nearest_join(left: DataFrame, right: DataFrame, left_key: str, left_value: str, right_value: str) -> DataFrame:
     """left_key, left_value and distance to the nearest right value; null where there is none."""
     near = nearest_values(left, right, left_value, right_value, 1)
-    found = near.groupBy(F.col("m").alias("_m")).agg(F.min(F.abs(F.col("v") - F.col("m"))).alias("_distance"))
+    found = near.groupBy(F.col("m").alias("_m")).agg(F.min(F.when(F.col("v") == F.col("m"), 0.0).otherwise(F.abs(F.col("v") - F.col("m")))).alias("_distance"))
     rows = left.select(left_key, F.col(left_value).cast("double").alias(left_value))
     # by the negative, so that both sides are shuffled for the join and Spark can split a value that very many rows have
     return rows.join(found, F.negative(F.col(left_value)) == F.negative(F.col("_m")), "left").select(left_key, left_value, F.col("_distance").alias("distance"))

@@ -117,53 +117,34 @@ def insert_top(a: DataFrame, b: DataFrame, query: str, item: str, position: str,
 def slot_interleave(a: DataFrame, b: DataFrame, query: str, item: str, position: str, slots: list[int], n: int) -> DataFrame:
     """Places 1 to n of each query: the slots take b's items in order, the others a's; where one runs out the other goes on.
 
-    Runs of places follow from counts alone: an item of b at rank r <= number of slots takes slot r if a can fill what
-    stands before it. Duplicates between the lists are not looked for.
+    Places follow from counts alone: b's r-th item takes the r-th slot if a can fill what stands before it, else the place
+    behind all of a; a's k-th item stands behind the items of b whose slots need fewer of a than k. Duplicates between the
+    lists are not looked for.
     """
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf[pdf["_list"] == 0].sort_values("_p")[item].tolist()
-        two = pdf[pdf["_list"] == 1].sort_values("_p")[item].tolist()[: len(slots)]
-        out, i, j = [], 0, 0
-        for place in range(1, n + 1):
-            if (place in slots or i >= len(one)) and j < len(two):
-                out.append(two[j])
-                j += 1
-            elif i < len(one):
-                out.append(one[i])
-                i += 1
-            else:
-                break
-        return pd.DataFrame({query: pdf[query].iloc[0], item: out, "place": range(1, len(out) + 1)})
-
+    own = Window.partitionBy(query)
     both = a.where(F.col(position) <= n).select(query, item, F.lit(0).alias("_list"), F.col(position).alias("_p"))
     both = both.unionAll(b.where(F.col(position) <= len(slots)).select(query, item, F.lit(1), F.col(position)))
-    kinds = {f.name: f.dataType.simpleString() for f in a.schema.fields}
-    return both.groupBy(query).applyInPandas(fill, f"{query} {kinds[query]}, {item} {kinds[item]}, place long")
+    both = both.withColumn("_r", F.row_number().over(Window.partitionBy(query, "_list").orderBy("_p", item)))
+    both = both.withColumns({f"_n{k}": F.count(F.when(F.col("_list") == k, 1)).over(own) for k in (0, 1)}).where((F.col("_list") == 0) | (F.col("_r") <= len(slots)))
+    before = [slot - r for r, slot in enumerate(sorted(slots), 1)]  # items of a that each slot needs before it
+    needs = F.array(*map(F.lit, before)) if before else F.array().cast("array<int>")
+    taken = F.size(F.filter(F.slice(needs, F.lit(1), F.greatest(F.least(F.col("_n1"), F.lit(len(slots))), F.lit(0)).cast("int")), lambda x: x < F.col("_r")))
+    place = F.when(F.col("_list") == 0, F.col("_r") + taken).otherwise(F.least(F.get(needs, F.col("_r") - 1), F.col("_n0")) + F.col("_r"))
+    return both.select(query, item, place.cast("long").alias("place")).where(F.col("place") <= n)
 
 
 def threshold_merge(a: DataFrame, b: DataFrame, query: str, item: str, score: str, n: int, margin: float = 0.0) -> DataFrame:
-    """Two lists in their orders of falling score: b's next goes in where it beats a's next by more than the margin."""
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = lambda k: pdf[pdf["_list"] == k].sort_values([score, item], ascending=[False, True])
-        one, two = part(0), part(1)
-        x, y = one[score].tolist(), two[score].tolist()
-        out, i, j = [], 0, 0
-        seen = set()
-        while len(out) < n and (i < len(x) or j < len(y)):
-            second = j < len(y) and (i >= len(x) or y[j] > x[i] + margin)
-            name = two[item].iloc[j] if second else one[item].iloc[i]
-            i, j = (i, j + 1) if second else (i + 1, j)
-            if name not in seen:
-                seen.add(name)
-                out.append(name)
-        return pd.DataFrame({query: pdf[query].iloc[0], item: out, "place": range(1, len(out) + 1)})
+    """Two lists in their orders of falling score: b's next goes in where it beats a's next by more than the margin.
 
+    As both fall, that is one order by score, a's raised by the margin and first among equals; an item that comes again is
+    passed over.
+    """
     # n places take 2 * n of a list at most, as only items of the other list are passed over
-    head = lambda df: top_k(df.select(query, item, score), [query], [F.col(score).desc(), F.col(item)], 2 * n).drop("rank")
-    both = head(a).withColumn("_list", F.lit(0)).unionAll(head(b).withColumn("_list", F.lit(1)))
-    kinds = {f.name: f.dataType.simpleString() for f in a.schema.fields}
-    return both.groupBy(query).applyInPandas(merge, f"{query} {kinds[query]}, {item} {kinds[item]}, place long")
+    part = lambda df, k: best_k(df.select(query, item, score), [query], [F.col(score).desc(), F.col(item)], 2 * n).withColumn("_list", F.lit(k))
+    both = part(a, 0).unionAll(part(b, 1)).withColumn("_key", F.when(F.col("_list") == 0, F.col(score) + F.lit(float(margin))).otherwise(F.col(score)))
+    order = [F.col("_key").desc(), F.col("_list"), F.col(score).desc(), F.col(item)]
+    first = both.withColumn("_again", F.row_number().over(Window.partitionBy(query, item).orderBy(*order))).where("_again = 1")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(*order)).cast("long")).where(F.col("place") <= n).select(query, item, "place")
 
 
 def log_sum_exp(x: Column, group: list[str]) -> Column:

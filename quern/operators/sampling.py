@@ -49,13 +49,13 @@ def holdout(df: DataFrame, key: str, row: str, eligible: Column, least: int, n_k
     keys = df.where(eligible).groupBy(key).agg(F.count("*").alias("_m")).where(F.col("_m") >= least)
     drawn = draw(keys, key, n_keys, seed)
     limit = F.least(F.lit(cap), F.col("_m") - 1) if mode == "sibling" else F.lit(cap)
-    rows = df.where(eligible).join(F.broadcast(drawn), key)  # n_keys rows
+    rows = df.where(eligible).join(drawn, key)
     queries = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(row))).where(F.col("_n") <= limit).select(*df.columns)
-    rest = df.join(F.broadcast(queries.select(row)), row, "left_anti")  # at most n_keys * cap rows
+    rest = df.join(queries.select(row), row, "left_anti")
     if mode == "denovo":
-        rest = rest.join(F.broadcast(drawn.select(key)), key, "left_anti")
+        rest = rest.join(drawn.select(key), key, "left_anti")
     elif mode == "other_kind":
-        own = rest.join(F.broadcast(drawn.select(key, F.lit(True).alias("_drawn"))), key, "left")
+        own = rest.join(drawn.select(key, F.lit(True).alias("_drawn")), key, "left")
         rest = own.where(F.col("_drawn").isNull() | ~F.coalesce(eligible, F.lit(False))).select(*df.columns)
     return queries, rest.select(*df.columns)
 

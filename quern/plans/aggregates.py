@@ -202,12 +202,14 @@ def a26(t):
 
 
 @query("x2_frame_diff", """
-WITH a AS (SELECT user_id, arg_min(value, event_id) AS v FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, arg_min(value, event_id) AS v FROM events WHERE event_id % 2 = 1 GROUP BY 1)
-SELECT user_id, CASE WHEN b.v IS NULL THEN 'vanished' WHEN a.v IS NULL THEN 'appeared' ELSE 'moved' END AS event FROM a FULL JOIN b USING (user_id) WHERE a.v IS NULL OR b.v IS NULL OR a.v <> b.v
+WITH f AS (SELECT user_id, event_id % 2 AS k, arg_min(value, event_id) AS y, arg_min(hour(ts), event_id) AS x FROM events GROUP BY 1, 2), a AS (SELECT * FROM f WHERE k = 0), b AS (SELECT * FROM f WHERE k = 1)
+SELECT user_id, CASE WHEN b.y IS NULL THEN 'vanished' WHEN a.y IS NULL THEN 'appeared' ELSE 'moved' END AS event, round(b.y - a.y, 6) AS dy, CAST(b.x - a.x AS INTEGER) AS dx
+FROM a FULL JOIN b USING (user_id) WHERE a.y IS NULL OR b.y IS NULL OR a.y <> b.y OR a.x <> b.x
 """)
 def x2(t):
-    frame = lambda k: t("events").where(f"event_id % 2 = {k}").groupBy("user_id").agg(F.min_by("value", "event_id").alias("y")).withColumn("x", F.lit(0.0))
-    return grid.frame_diff(frame(0), frame(1), "user_id", "y", "x").select("user_id", "event")
+    place = (F.min_by("value", "event_id").alias("y"), F.min_by(F.hour("ts"), "event_id").alias("x"))
+    frame = lambda k: t("events").where(f"event_id % 2 = {k}").groupBy("user_id").agg(*place)
+    return grid.frame_diff(frame(0), frame(1), "user_id", "y", "x").select("user_id", "event", F.round("dy", 6).alias("dy"), "dx")
 
 
 @query("x1_grid_components", """
@@ -223,6 +225,20 @@ def x1(t):
     return got.groupBy("frame", (F.col("label.y") * 8 + F.col("label.x")).alias("label")).agg(F.count("*").alias("area"))
 
 
+@query("x1_grid_objects", """
+WITH RECURSIVE c AS (SELECT vec_id AS frame, (generate_subscripts(embedding, 1) - 1) // 8 AS y, (generate_subscripts(embedding, 1) - 1) % 8 AS x, CAST(floor(4 * CAST(unnest(embedding) AS DOUBLE)) AS BIGINT) AS colour FROM embeddings),
+r AS (SELECT frame, y, x, colour, y * 8 + x AS label FROM c UNION SELECT c.frame, c.y, c.x, c.colour, r.label FROM r JOIN c ON c.frame = r.frame AND c.colour = r.colour AND abs(c.y - r.y) + abs(c.x - r.x) = 1),
+k AS (SELECT frame, y, x, colour, min(label) AS label FROM r GROUP BY 1, 2, 3, 4), s AS (SELECT frame, colour FROM c GROUP BY 1, 2 HAVING count(*) <= 8),
+o AS (SELECT frame, label, colour, count(*) AS area, (min(y) + max(y)) // 2 AS y, (min(x) + max(x)) // 2 AS x FROM k JOIN s USING (frame, colour) GROUP BY 1, 2, 3)
+SELECT frame, row_number() OVER (PARTITION BY frame ORDER BY area DESC, x DESC, y DESC, label) AS place, colour, area, y, x FROM o
+""")
+def x1_objects(t):
+    """The boards' objects, largest first, at the middle of their extent; colours of over an eighth of a board are scenery."""
+    cells = t("embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("i", "v"))
+    cells = cells.select("frame", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).cast("long").alias("x"), F.floor(4 * F.col("v").cast("double")).alias("colour"))
+    return grid.grid_objects(grid.grid_components(cells, "frame", "y", "x", "colour"), "frame", "y", "x", "colour")
+
+
 @query("x3_clock_cells", """
 WITH a AS (SELECT o_custkey, year(o_orderdate) AS y, min(o_orderstatus) = max(o_orderstatus) AS same, min(o_orderstatus) AS v FROM orders GROUP BY 1, 2)
 SELECT o_custkey FROM a GROUP BY 1 HAVING bool_and(same) AND min(v) <> max(v)

@@ -63,14 +63,14 @@ def e5(t):
 
 @query("e6_bootstrap", f"""
 {STANDING}, r AS (SELECT q, coalesce(1 / (better + 1), 0) AS rr FROM d),
-u AS (SELECT rr, k, {uniform_sql("q, '|', k", 3)} AS u FROM r, (SELECT unnest(range(1, 201)) AS k)),
+u AS (SELECT rr, k, {uniform_sql("q, '|', k", 3)} AS u FROM r, (SELECT unnest(range(1, 1001)) AS k)),
 w AS (SELECT k, rr, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183], lambda p: u > CAST(p AS DOUBLE))) AS w FROM u),
 m AS (SELECT k, sum(w * rr) / sum(w) AS m FROM w GROUP BY 1)
 SELECT round((SELECT avg(rr) FROM r), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m
 """)
 def e6(t):
     rows = standing(t).select("q", F.coalesce(1 / (F.col("better") + 1), F.lit(0.0)).alias("rr"))
-    return sampling.bootstrap_mean(rows, "q", "rr", 200, seed=3).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    return sampling.bootstrap_mean(rows, "q", "rr", 1000, seed=3).select(*[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @query("e7_paired_error", "SELECT count(*) AS n, round(avg(o_totalprice - 1000 * (o_custkey % 300)), 4) AS mean_delta, round(stddev_samp(o_totalprice - 1000 * (o_custkey % 300)) / sqrt(count(*)), 4) AS standard_error FROM orders")

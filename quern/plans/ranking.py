@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.operators import fusion
 from quern.operators import rank as R
 from quern.plans.registry import query
 
@@ -59,6 +60,38 @@ def w6(t):
     return t("orders").select("o_orderkey", F.round(R.zscore(v, ["o_custkey"]), 4).alias("z"), R.capped_rank(v, ["o_custkey"]).alias("r"), F.round(F.percent_rank().over(down), 6).alias("rel"), F.round(v - F.max(v).over(w), 4).alias("gap"), F.count("*").over(w).alias("n"), F.round(F.log1p(v), 6).alias("logv"))
 
 
+#: Raw columns of a candidate and its query, from a line and its order.
+RAW_SQL = {
+    "phys": "l_quantity", "mlp": "l_discount", "rev": "l_extendedprice / 1000", "lib": "l_tax * 12", "ana": "l_discount * l_tax * 100",
+    "a_cos": "l_tax", "a_mcos": "l_discount / 2", "a_shift2": "l_partkey % 3", "a_shift4": "l_partkey % 4", "a_pairs": "l_linenumber",
+    "g0": "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END", "g1": "l_tax * 2", "g2": "l_suppkey % 2", "g3": "l_discount", "g4": "l_linenumber % 3", "g5": "l_tax",
+    "error": "l_quantity * 1.5", "n_records": "l_orderkey % 7", "mass": "l_orderkey % 1000", "polarity": "l_orderkey % 2", "category": "l_orderkey % 5", "instrument": "l_orderkey % 3",
+}
+RANK = "CAST(rank() OVER (PARTITION BY q ORDER BY {x} DESC) - 1 AS DOUBLE)"
+MODELS = "".join(f"z_{m}, least({RANK.format(x=m)}, 50) AS rank_{m}, {RANK.format(x=m)} / greatest(n - 1, 1) AS share_{m}, z_{m} - max(z_{m}) OVER w AS gap_{m}, " for m in ("phys", "mlp", "rev"))
+VECTOR_SQL = f"""
+WITH r AS (SELECT l_orderkey AS q, l_partkey, l_linenumber, {", ".join(f"CAST({x} AS DOUBLE) AS {c}" for c, x in RAW_SQL.items())} FROM lineitem),
+z AS (SELECT *, {", ".join(f"({m} - avg({m}) OVER w) / (stddev_pop({m}) OVER w + CAST(1e-6 AS DOUBLE)) AS z_{m}" for m in ("phys", "mlp", "rev"))}, CAST(count(*) OVER w AS DOUBLE) AS n, row_number() OVER (PARTITION BY q ORDER BY lib DESC) AS place FROM r WINDOW w AS (PARTITION BY q)),
+h AS (SELECT *, round(z_phys + CAST(0.25 AS DOUBLE) * z_mlp + z_rev, 9) AS spec, round(z_phys + CAST(0.25 AS DOUBLE) * z_mlp + z_rev + 8 * pow(greatest(lib, 0), 32) + 24 * ana - 2 * g0 - g2 + 4 * g3 + CAST(1.5 AS DOUBLE) * g5, 9) AS hand FROM z),
+f AS (SELECT q, l_partkey, l_linenumber, {MODELS} hand, least({RANK.format(x="hand")}, 50) AS rank_hand, hand - max(hand) OVER w AS gap_hand, spec, least({RANK.format(x="spec")}, 50) AS rank_spec,
+  lib, lib - max(lib) OVER w AS gap_lib, least({RANK.format(x="lib")}, 50) AS rank_lib, max(lib) OVER w AS q_lib, coalesce(max(CASE WHEN place > 1 THEN lib END) OVER w, 0) AS q_lib2, CAST(count(CASE WHEN lib >= CAST(0.8 AS DOUBLE) THEN 1 END) OVER w AS DOUBLE) AS q_lib80,
+  ana, ana - max(ana) OVER w AS gap_ana, least({RANK.format(x="ana")}, 50) AS rank_ana, max(ana) OVER w AS q_ana, a_cos, a_mcos, a_shift2, a_shift4, a_pairs, g0, g1, g2, g3, g4, g5,
+  least(error, 50) AS error, ln(n) AS q_size, count(CASE WHEN g0 > CAST(0.5 AS DOUBLE) THEN 1 END) OVER w / n AS q_generated, n_records AS q_n_records, mass AS q_mass, polarity AS q_polarity, category AS q_category, instrument AS q_instrument, phys AS raw_phys, rev AS raw_rev
+  FROM h WINDOW w AS (PARTITION BY q))
+SELECT q, l_partkey, l_linenumber, {{columns}} FROM f
+"""
+VECTOR = [f"{x}_{m}" for m in ("phys", "mlp", "rev") for x in ("z", "rank", "share", "gap")]
+VECTOR += ["hand", "rank_hand", "gap_hand", "spec", "rank_spec", "lib", "gap_lib", "rank_lib", "q_lib", "q_lib2", "q_lib80", "ana", "gap_ana", "rank_ana", "q_ana", "a_cos", "a_mcos", "a_shift2", "a_shift4", "a_pairs"]
+VECTOR += [*(f"g{k}" for k in range(6)), "error", "q_size", "q_generated", *(f"q_{c}" for c in fusion.META), "raw_phys", "raw_rev"]
+
+
+@query("w6_feature_vector", VECTOR_SQL.format(columns=", ".join(f"round({c}, 5) AS {c}" for c in VECTOR)))
+def w6_vector(t):
+    """All 48 features of a candidate within its query."""
+    raw = t("lineitem").select(F.col("l_orderkey").alias("q"), "l_partkey", "l_linenumber", *[F.expr(f"CAST({x} AS DOUBLE)").alias(c) for c, x in RAW_SQL.items()])
+    return fusion.feature_vectors(raw, "q", ["l_partkey", "l_linenumber"]).select("q", "l_partkey", "l_linenumber", *[F.round(c, 5).alias(c) for c in VECTOR])
+
+
 @query("w7_running_offset", "SELECT o_orderkey, round(coalesce(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS off FROM orders")
 def w7(t):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import peaks as P
 from quern.functions import vectors as V
 from quern.operators import bits as B
+from quern.operators import fusion
 from quern.operators import generate as G
 from quern.operators import graphs
 from quern.operators import joins as J
@@ -319,6 +320,34 @@ def f16(t):
     return df.select("l_orderkey", "l_partkey", "l_quantity", F.round(fused, 4).alias("fused"))
 
 
+# Weights of fifteen terms; the library score counts by its 32nd power.
+FUSION_STANDARD = {"phys": 1.0, "mlp": 0.25, "rev": 1.0, "att": 2.0, "cnn": 2.0, "ft": 2.0, "fp": 1.0}
+FUSION_PLAIN = {"ana": 24.0, "g0": -2.0, "g1": 0.0, "g2": -1.0, "g3": 4.0, "g4": 0.0, "g5": 1.5}
+FUSION_POWERS = {"lib": (32.0, 8.0)}
+#: Some queries lack a model altogether, some candidates a library or analog score.
+FUSION_TERMS = {
+    "phys": "l_quantity", "mlp": "l_discount", "rev": "l_extendedprice / 1000", "att": "CASE WHEN l_orderkey % 3 <> 0 THEN l_tax END", "cnn": "CASE WHEN l_orderkey % 4 <> 1 THEN l_partkey % 100 END",
+    "ft": "CASE WHEN l_orderkey % 5 <> 2 THEN l_linenumber END", "fp": "CASE WHEN l_orderkey % 7 <> 3 THEN l_suppkey % 10 END", "lib": "CASE WHEN l_returnflag <> 'N' THEN l_discount * 10 END", "ana": "CASE WHEN l_returnflag <> 'A' THEN l_tax END",
+    "g0": "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END", "g1": "l_tax * 2", "g2": "l_suppkey % 2", "g3": "l_discount", "g4": "l_linenumber % 3", "g5": "l_tax",
+}
+FUSED_SQL = " + ".join(
+    [f"coalesce({w} * ({c} - avg({c}) OVER w) / (stddev_pop({c}) OVER w + CAST(1e-6 AS DOUBLE)), 0)" for c, w in FUSION_STANDARD.items()]
+    + [f"coalesce({w} * {c}, 0)" for c, w in FUSION_PLAIN.items()]
+    + [f"coalesce({w} * pow(greatest({c}, 0), {p}), 0)" for c, (p, w) in FUSION_POWERS.items()]
+)
+
+
+@query("f16_fusion_terms", f"""
+WITH r AS (SELECT l_orderkey, l_partkey, l_linenumber, {", ".join(f"CAST({x} AS DOUBLE) AS {c}" for c, x in FUSION_TERMS.items())} FROM lineitem)
+SELECT l_orderkey, l_partkey, l_linenumber, round({FUSED_SQL}, 4) AS fused FROM r WINDOW w AS (PARTITION BY l_orderkey)
+""")
+def f16_terms(t):
+    """Fifteen terms, of which queries or candidates may lack some."""
+    rows = t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", *[F.expr(f"CAST({x} AS DOUBLE)").alias(c) for c, x in FUSION_TERMS.items()])
+    fused = fusion.fused_score(rows, "l_orderkey", FUSION_STANDARD, FUSION_PLAIN, FUSION_POWERS)
+    return rows.select("l_orderkey", "l_partkey", "l_linenumber", F.round(fused, 4).alias("fused"))
+
+
 @query("f17_gated_blend", "SELECT o_orderkey, round(CASE WHEN o_orderstatus = 'O' THEN 0.7 * o_totalprice + 0.3 * o_custkey ELSE o_totalprice END, 4) AS blend FROM orders")
 def f17(t):
     return t("orders").select("o_orderkey", F.round(F.when(F.col("o_orderstatus") == "O", 0.7 * F.col("o_totalprice") + 0.3 * F.col("o_custkey")).otherwise(F.col("o_totalprice")), 4).alias("blend"))

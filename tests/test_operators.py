@@ -409,3 +409,43 @@ def test_stream_and_batch_agree(spark, tmp_path, width):
     name = f"out_{width.replace(' ', '_')}"
     got = {(r.start, r.event_type): r.n for r in run_to_table(windowed(stream, width), name, "complete", str(tmp_path / "c")).collect()}
     assert got == batch
+
+
+def test_interleaving_and_merging_by_plain_loops(spark):
+    """Lists of all lengths, some empty, against walks along both."""
+    import random
+
+    rnd = random.Random(14)
+    lists = {f"q{k}": ([f"a{i}" for i in range(rnd.randint(0, 7))], [f"b{i}" for i in range(rnd.randint(0, 5))]) for k in range(60)}
+    rows = lambda k: [(q, x, i + 1) for q, ab in lists.items() for i, x in enumerate(ab[k])]
+    a, b = (spark.createDataFrame(rows(k), "q string, item string, pos long") for k in (0, 1))
+    for slots, n in (([2, 3], 6), ([1, 4, 9], 7), ([5], 3), ([], 4)):
+        want = []
+        for q, (one, two) in lists.items():
+            one, two, out = one[:n], two[: len(slots)], []
+            while len(out) < n and (one or two):
+                out.append(two.pop(0) if two and (len(out) + 1 in slots or not one) else one.pop(0))
+            want += [(q, x, i + 1) for i, x in enumerate(out)]
+        assert sorted(map(tuple, rank.slot_interleave(a, b, "q", "item", "pos", slots, n).select("q", "item", "place").collect())) == sorted(want)
+    scored = [{q: sorted(((rnd.randrange(6) / 2, f"i{rnd.randrange(9)}") for _ in range(rnd.randint(0, 6))), key=lambda x: (-x[0], x[1])) for q in lists} for _ in range(2)]
+    scored = [{q: list({i: (s, i) for s, i in reversed(held)}.values()) for q, held in part.items()} for part in scored]
+    a, b = (spark.createDataFrame([(q, i, s) for q, held in part.items() for s, i in held], "q string, item string, s double") for part in scored)
+    for n, margin in ((4, 0.0), (9, 0.5), (3, 1.0)):
+        want = []
+        for q in lists:
+            one, two = (sorted(part[q], key=lambda x: (-x[0], x[1])) for part in scored)
+            out = []
+            while len(out) < n and (one or two):
+                _, item = two.pop(0) if two and (not one or two[0][0] > one[0][0] + margin) else one.pop(0)
+                if item not in out:
+                    out.append(item)
+            want += [(q, x, i + 1) for i, x in enumerate(out)]
+        assert sorted(map(tuple, rank.threshold_merge(a, b, "q", "item", "s", n, margin).collect())) == sorted(want)
+
+
+def test_nearest_of_infinite_values(spark):
+    left = spark.createDataFrame([(1, float("inf")), (2, 3.0), (3, float("-inf")), (4, None), (5, float("nan"))], "k long, x double")
+    both = spark.createDataFrame([(float("inf"),), (1.0,)], "y double")
+    got = {r.k: r.distance for r in joins.nearest_join(left, both, "k", "x", "y").collect()}
+    assert got == {1: 0.0, 2: 2.0, 3: float("inf"), 4: None, 5: None}
+    assert {r.k: r.distance for r in joins.nearest_join(left, both.where("y < 2"), "k", "x", "y").collect()} == {1: float("inf"), 2: 2.0, 3: float("inf"), 4: None, 5: None}
