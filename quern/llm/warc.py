@@ -229,8 +229,8 @@ def write_warc(
     return spark.read.schema(MANIFEST).parquet(f"{fs_folder}/manifest")
 
 
-def members(stream, chunk: int = 1 << 20) -> Iterator[bytes]:
-    """The decompressed gzip members of a stream, one at a time."""
+def members(stream, chunk: int = 1 << 15) -> Iterator[bytes]:
+    """The decompressed gzip members of a stream, one at a time; chunks are short, as each member copies what is left of its last one."""
     data, press, out = b"", None, []
     while True:
         if not data:
