@@ -53,6 +53,28 @@ def modified_cosine(a: Column, b: Column, shift: float, tol: float) -> Column:
     return F.when(_norm(a, b) > 0, -chosen.cost / _norm(a, b)).otherwise(F.lit(0.0))
 
 
+def _greedy_cosine(a: Column, b: Column, shift: Column | None, tol: float) -> Column:
+    """score (at most 1) and matches of one-to-one pairs, largest products first, direct or, beyond the tolerance, moved by the shift."""
+    direct = lambda d: F.abs(d) <= tol
+    near = direct if shift is None else (lambda d: direct(d) | ((F.abs(shift) > tol) & (F.abs(d - shift) <= tol)))
+    chosen = _one_to_one(_candidates(F.array_sort(a), F.array_sort(b), near, lambda p, q, d: -(F.sqrt(p.y) * F.sqrt(q.y))))
+    score = lambda c: F.when(_norm(a, b) > 0, F.least(-c.cost / _norm(a, b), F.lit(1.0))).otherwise(F.lit(0.0))
+    return let(chosen, lambda c: F.struct(score(c).alias("score"), F.size(c.i).alias("matches")))
+
+
+def modified_cosines(a: Column, b: Column, a_whole: Column, b_whole: Column, tol: float, margin: float) -> Column:
+    """Three cosines of square-rooted heights, each a struct of score and matches: direct pairs alone (direct), also pairs that are
+    moved by the difference of the whole values (moved), and the latter without the peaks beyond whole - margin on either side,
+    whose heights then don't count in the lengths (lower). A null whole value allows no moved pairs and takes no peak away."""
+    shift = F.coalesce(a_whole - b_whole, F.lit(0.0))
+    below = lambda peaks, whole: F.filter(peaks, lambda p: F.coalesce(p.x <= whole - margin, F.lit(True)))
+    return F.struct(
+        _greedy_cosine(a, b, None, tol).alias("direct"),
+        _greedy_cosine(a, b, shift, tol).alias("moved"),
+        _greedy_cosine(below(a, a_whole), below(b, b_whole), shift, tol).alias("lower"),
+    )
+
+
 def closest_matches(a: Column, b: Column, tol: float) -> Column:
     """How many one-to-one pairs within tol there are, the closest taken first."""
     chosen = _one_to_one(_candidates(F.array_sort(a), F.array_sort(b), lambda d: F.abs(d) <= tol, lambda p, q, d: F.abs(d)))

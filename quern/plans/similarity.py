@@ -188,6 +188,35 @@ def f4(t):
     return _peak_pairs(t).select("vec_id", F.round(P.modified_cosine(F.col("a"), F.col("b"), 0.02, 0.004), 6).alias("similarity"))
 
 
+_L = "l AS (\n  SELECT * FROM (SELECT vec_id, list_sort(a) AS a, list_sort(lead(a) OVER (PARTITION BY label ORDER BY vec_id)) AS b FROM e) WHERE b IS NOT NULL\n)"
+VARIANTS = PEAKS.replace(_L, """l0 AS (
+  SELECT * FROM (SELECT vec_id, list_sort(a) AS a, list_sort(lead(a) OVER (PARTITION BY label ORDER BY vec_id)) AS b FROM e) WHERE b IS NOT NULL
+), m AS (
+  SELECT *, list_max(list_transform(a, lambda p: p.x)) + CAST(0.01 AS DOUBLE) * (vec_id % 3) AS ma, list_max(list_transform(b, lambda p: p.x)) AS mb FROM l0
+), l AS (
+  SELECT vec_id * 3 + v AS vec_id, v, coalesce(ma - mb, 0) AS s, CASE WHEN v = 2 THEN list_filter(a, lambda p: p.x <= ma - CAST(0.05 AS DOUBLE)) ELSE a END AS a,
+         CASE WHEN v = 2 THEN list_filter(b, lambda p: p.x <= mb - CAST(0.05 AS DOUBLE)) ELSE b END AS b FROM m, (VALUES (0), (1), (2)) t(v)
+)""")
+
+
+@query("f4_cosine_variants", f"""
+WITH RECURSIVE {VARIANTS}, c AS (
+  SELECT pa.vec_id, i, j, sqrt(pa.y) * sqrt(pb.y) AS cost, row_number() OVER (PARTITION BY pa.vec_id ORDER BY sqrt(pa.y) * sqrt(pb.y) DESC, i, j) AS k
+  FROM pa JOIN pb ON pb.vec_id = pa.vec_id JOIN l ON l.vec_id = pa.vec_id
+  WHERE abs(pa.x - pb.x) <= CAST(0.004 AS DOUBLE) OR v > 0 AND abs(s) > CAST(0.004 AS DOUBLE) AND abs(pa.x - pb.x - s) <= CAST(0.004 AS DOUBLE)
+), {GREEDY}, r AS (SELECT vec_id // 3 AS vec_id, vec_id % 3 AS v, CASE WHEN z > 0 THEN least(cost / z, 1) ELSE 0 END AS score, len(ui) AS n FROM done JOIN norm USING (vec_id))
+SELECT vec_id, round(max(CASE WHEN v = 0 THEN score END), 6) AS direct, round(max(CASE WHEN v = 1 THEN score END), 6) AS moved, round(max(CASE WHEN v = 2 THEN score END), 6) AS lower,
+       CAST(max(CASE WHEN v = 0 THEN n END) AS INTEGER) AS n_direct, CAST(max(CASE WHEN v = 1 THEN n END) AS INTEGER) AS n_moved, CAST(max(CASE WHEN v = 2 THEN n END) AS INTEGER) AS n_lower FROM r GROUP BY 1
+""")
+def f4_variants(t):
+    """Direct, moved, and moved without the region at the upper end; the whole value is the last peak's place, a little further for some."""
+    last = lambda c: F.array_max(F.transform(c, lambda p: p.x))
+    whole = last(F.col("a")) + F.lit(0.01) * (F.col("vec_id") % 3)
+    scored = _peak_pairs(t).select("vec_id", P.modified_cosines(F.col("a"), F.col("b"), whole, last(F.col("b")), 0.004, 0.05).alias("s"))
+    names = ("direct", "moved", "lower")
+    return scored.select("vec_id", *[F.round(f"s.{n}.score", 6).alias(n) for n in names], *[F.col(f"s.{n}.matches").alias(f"n_{n}") for n in names])
+
+
 @query("f5_closest_matches", f"""
 WITH RECURSIVE {PEAKS}, c AS (
   SELECT pa.vec_id, i, j, abs(pa.x - pb.x) AS cost, row_number() OVER (PARTITION BY pa.vec_id ORDER BY abs(pa.x - pb.x), i, j) AS k FROM pa JOIN pb ON pb.vec_id = pa.vec_id AND abs(pa.x - pb.x) <= CAST(0.004 AS DOUBLE)
