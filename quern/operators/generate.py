@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import formulas
 from quern.operators.joins import absolute_band_join
 from quern.storage import materialize
 
@@ -88,6 +89,21 @@ def composition_counts(rows: DataFrame, key: str, counts: dict[str, str], units:
     return asked.join(solved, same).select(key, "n")
 
 
+def generated_products(analogs: DataFrame, ops: DataFrame, query: str, units: str, similarity: str, rank: str, op: str, change: str) -> DataFrame:
+    """query, product, best_sim, best_rank, n_ops, support: formulas that operations make of a query's analogs, folded by their keys.
+
+    analogs: query, units (see functions.formulas), similarity and rank; ops: at most MOST_OPS operations with the units that
+    they add or, where negative, take away; products that lack a unit that is taken away don't arise. Analogs of one formula
+    are folded before they meet the operations; support counts all of them. An unknown similarity or rank counts for neither.
+    """
+    if ops.limit(MOST_OPS + 1).count() > MOST_OPS:
+        raise ValueError(f"over {MOST_OPS} operations")
+    few = analogs.where(F.col(units).isNotNull()).groupBy(query, units).agg(F.max(similarity).alias("_sim"), F.min(rank).alias("_rank"), F.count("*").alias("_n"))
+    made = few.crossJoin(F.broadcast(ops.select(F.col(op).alias("_op"), F.col(change).alias("_change")))).withColumn("_made", formulas.added(F.col(units), F.col("_change"))).where("_made IS NOT NULL")
+    keyed = made.groupBy(query, formulas.key(F.col("_made")).alias("product"))
+    return keyed.agg(F.max("_sim").alias("best_sim"), F.min("_rank").alias("best_rank"), F.countDistinct("_op").alias("n_ops"), F.sum("_n").alias("support"))
+
+
 def multisets(units: dict[str, float], most: dict[str, int], heaviest: float, keep: Callable[[], Column] | None, spark) -> DataFrame:
     """All numbers of the units up to their maxima that weigh at most `heaviest` and pass keep: a column each, and mass.
 

@@ -5,6 +5,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quern.functions import formulas
 from quern.functions import peaks as P
 from quern.functions import vectors as V
 from quern.operators import bits as B
@@ -444,6 +445,21 @@ def f21(t):
     return t("part").select("p_partkey", c.alias("c"), h.alias("h"), F.round(c * 12.0 + h * 1.00782503207, 6).alias("mass"), F.concat(F.lit("C"), c.cast("string"), F.lit("H"), h.cast("string")).alias("key"))
 
 
+#: A formula of a part: units in no order, some twice, some of number 0.
+FORMULA = "concat('H', 2 * p_size + 2, 'C', p_size, 'O', p_size % 3, 'N', p_size % 4, 'Cl', p_size % 2, 'O2', CASE WHEN p_size % 5 = 0 THEN 'Xx' ELSE '' END)"
+KEY_SQL = "'C' || CASE WHEN c > 1 THEN CAST(c AS VARCHAR) ELSE '' END || 'H' || h || " + " || ".join(f"CASE WHEN {u} = 0 THEN '' WHEN {u} = 1 THEN '{n}' ELSE '{n}' || {u} END" for u, n in (("cl", "Cl"), ("n", "N"), ("o", "O")))
+
+
+@query("f21_parsed_formulas", f"""
+WITH x AS (SELECT p_partkey, p_size AS c, 2 * p_size + 2 AS h, p_size % 2 AS cl, p_size % 4 AS n, p_size % 3 + 2 AS o, p_size % 5 = 0 AS odd FROM part)
+SELECT p_partkey, {KEY_SQL} || CASE WHEN odd THEN 'Xx' ELSE '' END AS key, CASE WHEN NOT odd THEN round(c * 12.0 + h * CAST(1.00782503207 AS DOUBLE) + cl * CAST(34.96885268 AS DOUBLE) + n * CAST(14.0030740048 AS DOUBLE) + o * CAST(15.99491461956 AS DOUBLE), 5) END AS mass FROM x
+""")
+def f21_parsed(t):
+    """Keys and masses of formulas as texts; a unit without a mass leaves the key alone."""
+    units = t("part").select("p_partkey", formulas.parsed(F.expr(FORMULA)).alias("u"))
+    return units.select("p_partkey", formulas.key(F.col("u")).alias("key"), F.round(formulas.mass(F.col("u")), 5).alias("mass"))
+
+
 @query("f22_metric_identity", """
 WITH d AS (SELECT DISTINCT p_type FROM part), k AS (SELECT p_type, left(md5(upper(regexp_replace(p_type, '[^A-Za-z ]', '', 'g'))), 14) AS key FROM d) SELECT key, count(*) AS n FROM part JOIN k USING (p_type) GROUP BY 1
 """)
@@ -581,6 +597,24 @@ def g7(t):
     return k.groupBy("product").agg(F.max("l_discount").alias("best_sim"), F.min("l_linenumber").alias("best_rank"), F.countDistinct("l_suppkey").alias("n_ops"), F.count("*").alias("support"))
 
 
+@query("g7_formula_products", f"""
+WITH a AS (SELECT l_suppkey AS q, p_size AS c, 2 * p_size + 2 AS h, p_size % 2 AS cl, p_size % 4 AS n, p_size % 3 + 2 AS o, l_discount AS sim, l_linenumber AS rank FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size % 5 <> 0),
+op AS (SELECT n_nationkey AS op, n_nationkey % 3 - 1 AS dc, 2 * (n_nationkey % 3 - 1) AS dh, n_nationkey % 5 - 2 AS d_o, -(n_nationkey % 2) AS dcl FROM nation),
+p AS (SELECT q, op, c + dc AS c, h + dh AS h, cl + dcl AS cl, n, o + d_o AS o, sim, rank FROM a, op WHERE c + dc >= 0 AND h + dh >= 0 AND cl + dcl >= 0 AND o + d_o >= 0)
+SELECT q, CASE WHEN c = 0 THEN concat(CASE WHEN cl = 0 THEN '' WHEN cl = 1 THEN 'Cl' ELSE 'Cl' || cl END, CASE WHEN h = 0 THEN '' WHEN h = 1 THEN 'H' ELSE 'H' || h END, CASE WHEN n = 0 THEN '' WHEN n = 1 THEN 'N' ELSE 'N' || n END,
+  CASE WHEN o = 0 THEN '' WHEN o = 1 THEN 'O' ELSE 'O' || o END) ELSE {KEY_SQL} END AS product,
+  max(sim) AS best_sim, min(rank) AS best_rank, count(DISTINCT op) AS n_ops, count(*) AS support FROM p GROUP BY 1, 2
+""")
+def g7_formulas(t):
+    """Formulas that operations make of a supplier's parts, each with its best source."""
+    lines = t("lineitem").join(t("part").where("p_size % 5 <> 0"), F.col("l_partkey") == F.col("p_partkey"))
+    analogs = lines.select(F.col("l_suppkey").alias("q"), formulas.parsed(F.expr(FORMULA)).alias("u"), "l_discount", "l_linenumber")
+    step = F.col("n_nationkey") % 3 - 1
+    change = F.array(*[F.struct(F.lit(u).alias("unit"), n.cast("long").alias("n")) for u, n in (("C", step), ("H", 2 * step), ("O", F.col("n_nationkey") % 5 - 2), ("Cl", -(F.col("n_nationkey") % 2)))])
+    ops = t("nation").select("n_nationkey", change.alias("change"))
+    return G.generated_products(analogs, ops, "q", "u", "l_discount", "l_linenumber", "n_nationkey", "change")
+
+
 @query("g8_absorbing_chain", """
 WITH RECURSIVE n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
 e AS (SELECT a.o_custkey, a.i AS i, b.i AS j, CASE WHEN b.i = a.i + 1 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.25 AS DOUBLE) END AS p FROM n a JOIN n b ON a.o_custkey = b.o_custkey AND b.i IN (a.i + 1, a.i + 2)),

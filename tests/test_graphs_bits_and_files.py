@@ -296,3 +296,19 @@ def test_lists_that_share_and_overlap(spark, tmp_path):
     (tmp_path / "p.bin").write_bytes(np.array(held, places).tobytes())
     got = S.read_lists(spark, str(tmp_path / "p.bin"), places, str(tmp_path / "v.bin"), "<f4", "off", "n", unit=8, per=2)
     assert {r.id: list(r["values"]) for r in got.collect()} == {i: values[2 * o : 2 * (o + n)].tolist() for i, o, n in held}
+
+
+# -- formulas
+
+
+def test_formulas_of_odd_texts(spark):
+    from quern.functions import formulas
+
+    rows = ["C6H12O6", "", None, "H2O", "ClNaCl2", "CH3CH2OH", "c6", "C6 H12", "C0H4", "Xx3", "Br1", "C99999999999"]
+    df = spark.createDataFrame([(r,) for r in rows], "f string").select("f", formulas.parsed(F.col("f")).alias("u"))
+    got = {r.f: (r.k, r.m) for r in df.select("f", formulas.key(F.col("u")).alias("k"), F.round(formulas.mass(F.col("u")), 4).alias("m")).collect()}
+    assert got == {"C6H12O6": ("C6H12O6", 180.0634), "": ("", 0.0), None: (None, None), "H2O": ("H2O", 18.0106), "ClNaCl2": ("Cl3Na", 127.8963), "CH3CH2OH": ("C2H6O", 46.0419),
+                   "c6": (None, None), "C6 H12": (None, None), "C0H4": ("H4", 4.0313), "Xx3": ("Xx3", None), "Br1": ("Br", 78.9183), "C99999999999": (None, None)}
+    pairs = spark.createDataFrame([("C2H6O",)], "f string").select(formulas.parsed(F.col("f")).alias("u"))
+    change = lambda u: pairs.select(formulas.key(formulas.added(F.col("u"), formulas.changed(u))).alias("k")).first().k
+    assert change({"C": 1, "H": 2}) == "C3H8O" and change({"O": -1}) == "C2H6" and change({"O": -2}) is None and change({"N": -1}) is None
