@@ -165,7 +165,9 @@ def test_overlaps_of_odd_rows(spark, partitions):
     for k in range(900):  # one session of the hot client that lasts for days, and one that begins before 1970
         clicks.append((7, start + 500 * k, "view"))
     clicks += [(3, -(10**10), "view"), (3, -(10**10) + 60, "purchase"), *clicks[:40]]
-    sales += [(1000, 3, -(10**10) + 5), *sales[:30]]
+    sales += [(1000, 3, -(10**10) + 5), (2000, 99, 86400 + 1800), *sales[:30]]
+    clicks += [(99, 86400 + k, "view") for k in (-900, -400, 100)]  # a session that sale 2000 outlasts and starts in the last slot of
+    lines.append((2000, 86400 * 19))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
     try:
