@@ -25,27 +25,44 @@ def packed(flags: Column) -> Column:
     return F.transform(words, lambda w: reduce(lambda a, b: a.bitwiseOR(b), [bit(w, i) for i in range(64)]))
 
 
-def _tanimoto(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Rows of words against rows of words."""
-    shared = np.zeros((len(a), len(b)), np.int64)
-    for w in range(a.shape[1]):
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common bits of rows of words and rows of words, in as few bytes as hold them."""
+    shared = np.bitwise_count(a[:, 0, None] & b[None, :, 0]).astype(np.uint8 if a.shape[1] == 1 else np.int32, copy=False)
+    for w in range(1, a.shape[1]):
         shared += np.bitwise_count(a[:, w, None] & b[None, :, w])
-    whole = np.bitwise_count(a).sum(axis=1, dtype=np.int64)[:, None] + np.bitwise_count(b).sum(axis=1, dtype=np.int64)[None, :] - shared
-    return np.where(whole > 0, shared / np.maximum(whole, 1), 0.0)
+    return shared
 
 
 def _best(ids: np.ndarray, words: np.ndarray, others: np.ndarray, theirs: np.ndarray, k: int, least: np.ndarray) -> list[np.ndarray]:
-    """(id, other, similarity) of each row's k best others of at least `least` and over 0, ties to lesser ids; a row is no other of its own id."""
+    """(id, other, similarity) of each row's k best others of at least `least` and over 0, ties to lesser ids; a row is no other of its own id.
+
+    A similarity of t or more needs t / (1 + t) of both sets' bits in common: rows with a bound get exact similarities, and are
+    sorted, only where single precision, less a margin, allows that.
+    """
     out = []
     order = np.argsort(others, kind="stable")
     others, theirs = others[order], theirs[order]
+    bits, their_bits = (np.bitwise_count(x).sum(axis=1, dtype=np.int64) for x in (words, theirs))
     for a in range(0, len(ids), 256):
-        sim = _tanimoto(words[a : a + 256], theirs)
-        sim[(others[None, :] == ids[a : a + 256, None]) | (sim < least[a : a + 256, None])] = 0.0
-        kept = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(sim, kept, axis=1)
-        row, place = np.nonzero(value > 0)
-        out.append([ids[a : a + 256][row], others[kept[row, place]], value[row, place]])
+        z = min(a + 256, len(ids))
+        shared = _shared(words[a:z], theirs)
+        floor = least[a:z].copy()
+        bare = np.flatnonzero(floor <= 0)
+        if len(bare) and len(others) > k:  # the k-th best of this block is a bound, too; its own id may be one of the k
+            sim = shared[bare] / np.maximum(bits[a:z][bare, None] + their_bits[None, :] - shared[bare], 1)
+            sim[others[None, :] == ids[a:z][bare, None]] = 0.0
+            floor[bare] = np.partition(sim, len(others) - k, axis=1)[:, len(others) - k]
+        part = (floor / (1 + floor) * (1 - 1e-4)).astype(np.float32)
+        need = part[:, None] * bits[a:z, None].astype(np.float32) + part[:, None] * their_bits[None, :].astype(np.float32)
+        row, place = np.nonzero((shared >= need) & (shared > 0))
+        both = shared[row, place].astype(np.int64)
+        value = both / (bits[a:z][row] + their_bits[place] - both)
+        kept = (value >= floor[row]) & (others[place] != ids[a:z][row])
+        row, place, value = row[kept], place[kept], value[kept]
+        order = np.lexsort((place, -value, row))
+        row, place, value = row[order], place[order], value[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append([ids[a:z][row[best]], others[place[best]], value[best]])
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 
@@ -129,4 +146,6 @@ def _compared(blocks: DataFrame, pairs: DataFrame, k: int, least: DataFrame | No
                 made = _best(ids, _words(words, len(ids)), other_ids, _words(theirs, len(other_ids)), k, low)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made[0]), block[0].as_py())), *(pa.array(c) for c in made)], names=["block", "key", "other_key", "similarity"])
 
-    return both.select("block", "keys", "words", "least", "other_keys", "other_words").mapInArrow(run, "block long, key long, other_key long, similarity double")
+    # pairs are few bytes and much work: without a stated number of partitions Spark would leave them to one task
+    dealt = both.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block", "other")
+    return dealt.select("block", "keys", "words", "least", "other_keys", "other_words").mapInArrow(run, "block long, key long, other_key long, similarity double")
