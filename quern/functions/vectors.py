@@ -57,9 +57,9 @@ def normalized(xs: Column) -> Column:
 
 
 def entropy_weighted(xs: Column) -> Column:
-    """Shares of the array; where their entropy S is under 3, raised to 0.25 + 0.25 S and normalized again."""
-    raised = lambda p, s: let(F.transform(p, lambda x: F.when(x > 0, F.pow(x, 0.25 + 0.25 * s)).otherwise(F.lit(0.0))), normalized)
-    return let(normalized(xs), lambda p: let(entropy(p), lambda s: F.when(s < 3, raised(p, s)).otherwise(p)))
+    """Shares of the array; where their entropy S is under 3, raised to 0.25 + 0.25 S. All are normalized again, raised or not."""
+    raised = lambda p, s: F.transform(p, lambda x: F.when(x > 0, F.pow(x, 0.25 + 0.25 * s)).otherwise(F.lit(0.0)))
+    return let(normalized(xs), lambda p: let(let(entropy(p), lambda s: F.when(s < 3, raised(p, s)).otherwise(p)), normalized))
 
 
 def stride_sample(xs: Column, n: int) -> Column:
