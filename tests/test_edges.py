@@ -19,3 +19,10 @@ def both(spark, path, name, **tables):
 def test_shares_are_normalized_again_whatever_their_entropy(spark, tmp_path):
     got, want = both(spark, tmp_path, "f2_entropy_similarity", benchmark="SELECT * FROM '/root/testdata/sf0.1/benchmark.parquet' WHERE item_id IN (64, 106, 120)")
     assert got == want and {(64, 120), (106, 120)}.isdisjoint(r[:2] for r in got)
+
+
+def test_compositions_at_the_tolerance(spark, tmp_path):
+    # balances whose hundredth has a 5 behind its cents, or that units miss by 0.02
+    balances = "SELECT CAST(range AS BIGINT) AS c_custkey, CAST(range / 100 AS DOUBLE) AS c_acctbal FROM range(50, 360000, 100)"
+    got, want = both(spark, tmp_path, "g3_compositions", customer=balances)
+    assert len(got) > 300 and got == want
