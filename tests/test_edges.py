@@ -26,3 +26,9 @@ def test_compositions_at_the_tolerance(spark, tmp_path):
     balances = "SELECT CAST(range AS BIGINT) AS c_custkey, CAST(range / 100 AS DOUBLE) AS c_acctbal FROM range(50, 360000, 100)"
     got, want = both(spark, tmp_path, "g3_compositions", customer=balances)
     assert len(got) > 300 and got == want
+
+
+def test_chains_at_the_tolerance(spark, tmp_path):
+    rows = "SELECT CAST(range AS BIGINT) AS s_suppkey, CAST(range / 100 AS DOUBLE) AS s_acctbal FROM range(-50000, 50000)"
+    got, want = both(spark, tmp_path, "g6_operation_chains", supplier=rows, nation="SELECT * FROM '/root/testdata/sf0.001/nation.parquet'")
+    assert len(got) > 1000 and got == want
