@@ -101,9 +101,12 @@ SELECT c_custkey, bool_or(coalesce(o_custkey = c_custkey, false)) AS reachable,
 def e10(t):
     """Whether a band of candidates holds the row's own."""
     left = t("customer").where("c_acctbal > 0").select("c_custkey", (20 * F.col("c_acctbal")).alias("m"))
-    pairs = J.relative_band_join(left, t("orders").select("o_orderkey", "o_custkey", "o_totalprice"), "m", "o_totalprice", 0.01)
-    got = pairs.groupBy("c_custkey").agg(F.bool_or(F.col("o_custkey") == F.col("c_custkey")).alias("r"), F.count("*").alias("k"))
-    return left.join(got, "c_custkey", "left").select("c_custkey", F.coalesce("r", F.lit(False)).alias("reachable"), F.coalesce("k", F.lit(0).cast("long")).alias("n"))
+    low, high = F.col("m") * F.lit(1 - 0.01), F.col("m") * F.lit(1 + 0.01)
+    bands = left.select("m").distinct().select("m", low.alias("low"), high.alias("high"))
+    counts = J.counts_between(bands, t("orders").where("o_orderkey IS NOT NULL"), "o_totalprice", "n").select("m", "n")
+    mine = (F.col("c_custkey") == F.col("o_custkey")) & F.col("o_totalprice").between(low, high)
+    own = left.join(t("orders").select("o_custkey", "o_totalprice"), mine, "left_semi").select("c_custkey", F.lit(True).alias("r")).distinct()
+    return left.join(counts, "m").join(own, "c_custkey", "left").select("c_custkey", F.coalesce("r", F.lit(False)).alias("reachable"), "n")
 
 
 @query("e11_records_under_other_keys", """

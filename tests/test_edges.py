@@ -1,7 +1,12 @@
 """Rows at the very edge of a tolerance or a threshold, where the order of roundings decides."""
 
+import random
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from quern.operators import joins
 from quern.plans import reference
 
 
@@ -32,3 +37,36 @@ def test_chains_at_the_tolerance(spark, tmp_path):
     rows = "SELECT CAST(range AS BIGINT) AS s_suppkey, CAST(range / 100 AS DOUBLE) AS s_acctbal FROM range(-50000, 50000)"
     got, want = both(spark, tmp_path, "g6_operation_chains", supplier=rows, nation="SELECT * FROM '/root/testdata/sf0.001/nation.parquet'")
     assert len(got) > 1000 and got == want
+
+
+def test_band_counts_equal_the_pairs(spark):
+    rnd = random.Random(3)
+    left = [(i, rnd.choice([None, 0.0, -5.0, float("nan"), rnd.uniform(1, 400), 77.0])) for i in range(80)]
+    right = [(rnd.choice([None, *range(40)]), rnd.choice([None, 0.0, -4.0, rnd.uniform(1, 400), 77.0, 77.77])) for _ in range(400)]
+    left, right = spark.createDataFrame(left, "a long, x double"), spark.createDataFrame(right, "b long, y double")
+    for first, passes in ((0.01, 3), (0.2, 4)):
+        pairs = joins.adaptive_band_join(left, right, "a", "b", "x", "y", first, 6, passes=passes)
+        want = pairs.groupBy("a", "x", "pass", "tight_count").agg(F.countDistinct("b").alias("n_keys"), F.count("*").alias("n_pairs"))
+        got = joins.adaptive_band_counts(left, right, "b", "x", "y", first, 6, passes=passes)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def band_rows(n):
+    """Tables of n parts of one price and n orders and customers around it: every part meets every order."""
+    return {
+        "part": f"SELECT range AS p_partkey, CAST(950 AS DOUBLE) AS p_retailprice FROM range({n})",
+        "orders": f"SELECT range AS o_orderkey, range % 50 AS o_custkey, 95000 + CAST(range % 90 AS DOUBLE) AS o_totalprice FROM range({n})",
+        "customer": f"SELECT range AS c_custkey, 4750 + CAST(range % 9 AS DOUBLE) AS c_acctbal FROM range({n})",
+        "lineitem": "SELECT CAST(1 AS BIGINT) AS l_partkey, CAST(50 AS DOUBLE) AS l_quantity",
+    }
+
+
+@pytest.mark.parametrize("name", ["e10_source_ceiling", "j2_adaptive_band", "j3_adaptive_band_unmatched", "j6_two_source_band"])
+def test_parts_of_one_price_are_not_paired_one_by_one(spark, tmp_path, monkeypatch, name):
+    got, want = both(spark, tmp_path, name, **band_rows(300))
+    assert got == want
+    met = []
+    joined = joins.relative_band_join
+    monkeypatch.setattr(joins, "relative_band_join", lambda *a, **k: met.append(joined(*a, **k)) or met[-1])
+    reference.QUERIES[name](spark, str(tmp_path)).count()
+    assert sum(df.count() for df in met) <= 600
