@@ -29,6 +29,21 @@ def capped_rank(x: Column, group: list[str], cap: int = 50) -> Column:
     return F.least(F.rank().over(Window.partitionBy(*group).orderBy(x.desc())) - 1, F.lit(cap)).cast("long")
 
 
+def with_capped_rank(df: DataFrame, group: list[str], value: str, name: str, cap: int = 50) -> DataFrame:
+    """df with capped_rank of a column, for groups of any size: no task holds a group's rows.
+
+    Only the cap + 1 greatest distinct values of a group have ranks under the cap: these are counted and met by equality,
+    all others have the cap. Null groups are one group, null values come last.
+    """
+    keys = [*group, value]
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    above = Window.partitionBy(*group).orderBy(F.col(value).desc())
+    first = top_k(counted, group, [F.col(value).desc()], cap + 1, "_place")
+    ranks = first.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_n").over(above.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_above"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)])
+    return df.join(ranks, same, "left").select(*df.columns, F.least(F.coalesce("_above", F.lit(cap)), F.lit(cap)).cast("long").alias(name))
+
+
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group in a total order, with their rank from 1 as a long."""
     w = Window.partitionBy(*group).orderBy(*order)

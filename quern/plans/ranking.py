@@ -32,7 +32,8 @@ def w2(t):
 
 @query("w3_capped_rank", "SELECT l_orderkey, l_partkey, l_quantity, least(rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity DESC) - 1, 50) AS r FROM lineitem")
 def w3(t):
-    return t("lineitem").select("l_orderkey", "l_partkey", "l_quantity", R.capped_rank(F.col("l_quantity"), ["l_returnflag"]).alias("r"))
+    rows = R.with_capped_rank(t("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_returnflag"), ["l_returnflag"], "l_quantity", "r")
+    return rows.drop("l_returnflag")
 
 
 @query("w4_relative_rank", "SELECT o_orderkey, round(percent_rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC), 6) AS r FROM orders")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators import joins, sampling
+from quern.operators import joins, rank, sampling
 from quern.plans import reference
 
 
@@ -94,3 +94,18 @@ def test_bootstrap_is_dealt_and_hashes_arrays(spark):
     r = got.first()
     assert np.allclose([r.low, r.high], np.quantile(means, [0.025, 0.975]), rtol=1e-12)
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_capped_ranks_without_a_window_over_rows(spark, tmp_path):
+    rnd = random.Random(6)
+    rows = [(rnd.choice([None, "a", "b", "c"]), rnd.choice([None, float("nan"), 0.0, -0.0, *map(float, range(9 if i % 2 else 400))]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, x double, i long")
+    for cap in (0, 3, 50):
+        want = df.select("i", rank.capped_rank(F.col("x"), ["g"], cap).alias("r"))
+        got = rank.with_capped_rank(df, ["g"], "x", "r", cap).select("i", "r")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '/root/testdata/sf0.001/lineitem.parquet') TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    plan = reference.QUERIES["w3_capped_rank"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    tree = plan[plan.index("Window") :]
+    assert "Aggregate" in tree
