@@ -58,20 +58,27 @@ def _greedy_cosine(a: Column, b: Column, shift: Column | None, tol: float) -> Co
     direct = lambda d: F.abs(d) <= tol
     near = direct if shift is None else (lambda d: direct(d) | ((F.abs(shift) > tol) & (F.abs(d - shift) <= tol)))
     chosen = _one_to_one(_candidates(F.array_sort(a), F.array_sort(b), near, lambda p, q, d: -(F.sqrt(p.y) * F.sqrt(q.y))))
-    score = lambda c: F.when(_norm(a, b) > 0, F.least(-c.cost / _norm(a, b), F.lit(1.0))).otherwise(F.lit(0.0))
-    return let(chosen, lambda c: F.struct(score(c).alias("score"), F.size(c.i).alias("matches")))
+    score = lambda c, norm: F.when(norm > 0, F.least(-c.cost / norm, F.lit(1.0))).otherwise(F.lit(0.0))
+    made = F.struct(chosen.alias("c"), _norm(a, b).alias("norm"))
+    return let(made, lambda m: F.struct(score(m.c, m.norm).alias("score"), F.size(m.c.i).alias("matches")))
 
 
 def modified_cosines(a: Column, b: Column, a_whole: Column, b_whole: Column, tol: float, margin: float) -> Column:
     """Three cosines of square-rooted heights, each a struct of score and matches: direct pairs alone (direct), also pairs that are
     moved by the difference of the whole values (moved), and the latter without the peaks beyond whole - margin on either side,
-    whose heights then don't count in the lengths (lower). A null whole value allows no moved pairs and takes no peak away."""
-    shift = F.coalesce(a_whole - b_whole, F.lit(0.0))
+    whose heights then don't count in the lengths (lower). A null whole value allows no moved pairs and takes no peak away.
+
+    Lists, whole values and their difference are worked out once a row, not once for each peak or pair of peaks."""
     below = lambda peaks, whole: F.filter(peaks, lambda p: F.coalesce(p.x <= whole - margin, F.lit(True)))
-    return F.struct(
-        _greedy_cosine(a, b, None, tol).alias("direct"),
-        _greedy_cosine(a, b, shift, tol).alias("moved"),
-        _greedy_cosine(below(a, a_whole), below(b, b_whole), shift, tol).alias("lower"),
+    sides = F.struct(a.alias("a"), b.alias("b"), a_whole.alias("wa"), b_whole.alias("wb"), F.coalesce(a_whole - b_whole, F.lit(0.0)).alias("shift"))
+    lower = lambda z: F.struct(below(z.a, z.wa).alias("a"), below(z.b, z.wb).alias("b"), z.shift.alias("shift"))
+    return let(
+        sides,
+        lambda z: F.struct(
+            _greedy_cosine(z.a, z.b, None, tol).alias("direct"),
+            _greedy_cosine(z.a, z.b, z.shift, tol).alias("moved"),
+            let(lower(z), lambda y: _greedy_cosine(y.a, y.b, y.shift, tol)).alias("lower"),
+        ),
     )
 
 
