@@ -17,3 +17,18 @@ def test_peak_pairs_are_dealt_over_all_tasks(spark):
     made = similarity._peak_pairs(lambda _: rows)
     parts = made.groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) > 1 and sum(r["count"] for r in parts) == 63
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_products_are_not_shuffled(spark):
+    from quern.operators import generate
+
+    units = "array<struct<unit:string,n:bigint>>"
+    rows = spark.createDataFrame([(q, [("C", 1 + q % 3)], 0.5, 1) for q in range(20)], f"q long, u {units}, s double, r int")
+    ops = spark.createDataFrame([(1, [("C", 1)]), (2, [("C", -1)]), (3, [("C", 1), ("H", 0)])], f"op long, c {units}")
+    made = generate.generated_products(rows, ops, "q", "u", "s", "r", "op", "c")
+    assert "hashpartitioning(q" in plan(made) and "hashpartitioning(q#" in plan(made) and "product#" not in "".join(x for x in plan(made).splitlines() if "Exchange hashpartitioning" in x)
+    assert {(r.q, r.product): (r.n_ops, r.support) for r in made.where("q < 2").collect()} == {(0, "C2"): (2, 2), (0, ""): (1, 1), (1, "C3"): (2, 2), (1, "C"): (1, 1)}
