@@ -32,3 +32,12 @@ def test_products_are_not_shuffled(spark):
     made = generate.generated_products(rows, ops, "q", "u", "s", "r", "op", "c")
     assert "hashpartitioning(q" in plan(made) and "hashpartitioning(q#" in plan(made) and "product#" not in "".join(x for x in plan(made).splitlines() if "Exchange hashpartitioning" in x)
     assert {(r.q, r.product): (r.n_ops, r.support) for r in made.where("q < 2").collect()} == {(0, "C2"): (2, 2), (0, ""): (1, 1), (1, "C3"): (2, 2), (1, "C"): (1, 1)}
+
+
+def test_best_postings_need_no_second_shuffle_and_ask_one_bin(spark):
+    from quern.operators import joins
+
+    rows = spark.createDataFrame([(k, f"e{k % 3}", 0, k * 0.4) for k in range(30)], "k long, e string, d long, y double")
+    made = joins.best_postings(rows, "k", "e", "d", "y", 1.0)
+    assert not [x for x in plan(made).splitlines() if "Exchange hashpartitioning(_key" in x]
+    assert made.count() == made.select("k", "e", "d").distinct().count()
