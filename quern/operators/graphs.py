@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from random import Random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,10 @@ from quern.operators.sampling import mark
 from quern.storage import materialize
 
 
+#: Pieces that are held before they are counted, and rows of an output batch.
+PIECES, BATCH = 1 << 16, 1 << 16
+
+
 def cut_pieces(weights: list[int], edges: list[tuple[int, int]]) -> Counter:
     """Weight -> number of ways: each connected graph as it is, and both pieces of every cut of one edge, or of two edges of a ring, that parts it.
 
@@ -65,13 +69,25 @@ def cut_pieces(weights: list[int], edges: list[tuple[int, int]]) -> Counter:
         for piece in below.pop(0, ()):
             found[piece] += 1
             found[whole - piece] += 1
+        parts, held = [], 0
+
+        def count() -> None:
+            if parts:
+                pieces, times = np.unique(np.concatenate(parts), return_counts=True)
+                for weight, n in zip(pieces.tolist(), times.tolist(), strict=True):
+                    found[weight] += n
+                    found[whole - weight] += n  # noqa: B023
+
         for key, pieces in below.items():
             under = np.array(sorted(pieces) if min(weights) >= 0 else pieces, np.int64)
             ends = np.append(under, whole) if key in alone else under  # with the edge outside the tree, the piece below is cut off
             for k in range(1, len(ends)):
-                part = ends[k] - under[:k] if k < len(under) else under
-                for weight, times in zip(*np.unique(np.concatenate([part, whole - part]), return_counts=True), strict=True):
-                    found[int(weight)] += int(times)
+                parts.append(ends[k] - under[:k] if k < len(under) else under)
+                held += k
+                if held >= PIECES:
+                    count()
+                    parts, held = [], 0
+        count()
     return found
 
 
@@ -89,15 +105,29 @@ def fragments(nodes: DataFrame, edges: DataFrame, graph: str, node: str, weight:
     links = edges.groupBy(graph).agg(F.array_sort(F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b")))).alias("edges"))
     both = lists.join(links, graph, "left")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for name, held, pairs in zip(pdf[graph], pdf["nodes"], pdf["edges"], strict=True):
-                place = {x["node"]: k for k, x in enumerate(held)}
-                known = [(place[e["a"]], place[e["b"]]) for e in (pairs if pairs is not None else ()) if e["a"] in place and e["b"] in place]
-                made = sorted(cut_pieces([int(x["w"]) for x in held], known).items())
-                yield pd.DataFrame({graph: [name] * len(made), "weight": [w for w, _ in made], "ways": [n for _, n in made]})
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column(0)
+            graphs, weights, ways = [], [], []
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([names.take(pa.array(graphs, pa.int64())), pa.array(weights, pa.int64()), pa.array(ways, pa.int64())], names=[graph, "weight", "ways"])  # noqa: B023
+
+            lists = [b.column(k).to_pylist() for k in range(1, 5)]
+            for i, (held, heavy, left, right) in enumerate(zip(*lists, strict=True)):
+                place = {x: k for k, x in enumerate(held)}
+                known = [(place[x], place[y]) for x, y in zip(left or (), right or (), strict=True) if x in place and y in place]
+                made = sorted(cut_pieces(heavy, known).items())
+                graphs += [i] * len(made)
+                weights += [w for w, _ in made]
+                ways += [n for _, n in made]
+                if len(graphs) >= BATCH:
+                    yield out()
+                    graphs, weights, ways = [], [], []
+            yield out()
 
-    return both.mapInPandas(cut, f"{graph} {kind}, weight long, ways long")
+    flat = lambda c, *names: [F.col(f"{c}.{n}").alias(f"_{n}") for n in names]
+    return both.select(graph, *flat("nodes", "node", "w"), *flat("edges", "a", "b")).mapInArrow(cut, f"{graph} {kind}, weight long, ways long")
 
 
 def neighbourhood_hashes(nodes: DataFrame, edges: DataFrame, graph: str, node: str, label: str, a: str, b: str, bond: str, radius: int) -> DataFrame:
@@ -114,8 +144,11 @@ def neighbourhood_hashes(nodes: DataFrame, edges: DataFrame, graph: str, node: s
     out = now.select(graph, node, F.lit(0).alias("radius"), "hash")
     for r in range(1, radius + 1):
         seen = both.join(now.select(graph, F.col(node).alias("_b"), F.col("hash").alias("_h")), [graph, "_b"])
-        sums = seen.groupBy(graph, F.col("_a").alias(node)).agg(F.sum(mark(F.concat_ws("/", "_bond", "_h"), r).cast("decimal(38,0)")).alias("_sum"))
-        around = F.coalesce(F.col("_sum"), F.lit(0)).cast("string")
+        # marks have 52 bits: sums of halves fit longs, which are added far faster than wide decimals
+        m = seen.select(graph, F.col("_a").alias(node), mark(F.concat_ws("/", "_bond", "_h"), r).alias("_m"))
+        sums = m.groupBy(graph, node).agg(F.sum(F.shiftright("_m", 26)).alias("_high"), F.sum(F.col("_m").bitwiseAND((1 << 26) - 1)).alias("_low"))
+        whole = F.col("_high").cast("decimal(20,0)") * F.lit(1 << 26).cast("decimal(8,0)") + F.col("_low")
+        around = F.coalesce(whole.cast("decimal(38,0)"), F.lit(0)).cast("string")
         now = materialize(now.join(sums, [graph, node], "left").select(graph, node, F.md5(F.concat_ws(":", F.lit(str(r)), "hash", around)).alias("hash")), "hashes")
         out = out.unionAll(now.select(graph, node, F.lit(r).alias("radius"), "hash"))
     return out

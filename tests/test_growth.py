@@ -41,3 +41,38 @@ def test_best_postings_need_no_second_shuffle_and_ask_one_bin(spark):
     made = joins.best_postings(rows, "k", "e", "d", "y", 1.0)
     assert not [x for x in plan(made).splitlines() if "Exchange hashpartitioning(_key" in x]
     assert made.count() == made.select("k", "e", "d").distinct().count()
+
+
+def test_pieces_of_many_graphs_are_put_out_together(spark, monkeypatch):
+    from quern.operators import graphs
+
+    nodes = spark.createDataFrame([(g, n, 1) for g in range(40) for n in range(3)], "g long, n long, w long").coalesce(1)
+    edges = spark.createDataFrame([(g, 0, 1) for g in range(40)], "g long, a long, b long").coalesce(1)
+    made = graphs.fragments(nodes, edges, "g", "n", "w", "a", "b")
+    assert "MapInArrow" in plan(made) and "MapInPandas" not in plan(made)
+    assert {(r.g, r.weight): r.ways for r in made.collect()} == {(g, w): n for g in range(40) for w, n in ((1, 3), (2, 1))}
+
+
+def test_cut_pieces_are_counted_in_parts(monkeypatch):
+    from quern.operators import graphs
+
+    ring = [(k, (k + 1) % 9) for k in range(9)]
+    whole = graphs.cut_pieces(list(range(1, 10)), ring)
+    monkeypatch.setattr(graphs, "PIECES", 4)
+    assert graphs.cut_pieces(list(range(1, 10)), ring) == whole and sum(whole.values()) == 1 + 9 * 8
+
+
+def test_sums_of_marks_are_longs(spark):
+    from quern.operators import graphs
+
+    nodes = spark.createDataFrame([(1, n, "x") for n in range(3)], "g long, n long, l string")
+    edges = spark.createDataFrame([(1, 0, 1, "-"), (1, 0, 2, "-")], "g long, a long, b long, e string")
+    seen = graphs.neighbourhood_hashes(nodes, edges, "g", "n", "l", "a", "b", "e", 1)
+    assert seen.where("radius = 1").select("hash").distinct().count() == 2
+
+
+def test_graphs_of_orders_join_their_lines_once(spark):
+    from quern.plans import similarity
+
+    edges = similarity.order_graphs(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"))[1]
+    assert not [f for f in edges.inputFiles() if "lineitem" in f]
