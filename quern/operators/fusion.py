@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.storage import by_rows
+
 # Weights of the hand-made score over the standardized model scores, the library score's power and the generation terms.
 HAND_MODELS = {"phys": 1.0, "mlp": 0.25, "rev": 1.0}
 HAND_LIBRARY, HAND_POWER, HAND_ANALOG = 8.0, 32.0, 24.0
@@ -25,7 +27,8 @@ def standardized(x: Column, query: str, eps: float = 1e-6) -> Column:
 
 
 def feature_vectors(df: DataFrame, query: str, keep: list[str], digits: int = 9) -> DataFrame:
-    """query, keep and 48 features of each candidate from RAW and META: three stages of windows over one shuffle by query.
+    """query, keep and 48 features of each candidate from RAW and META: three stages of windows over one shuffle by query,
+    with more tasks the more rows there are.
 
     Of each model score: standardized, rank from 0 (ties share the best, at most MOST), rank by the number of others, and the
     distance to the best. Of the hand score, the model part of it, the library and the analog score: value, rank, distance to the
@@ -33,7 +36,7 @@ def feature_vectors(df: DataFrame, query: str, keep: list[str], digits: int = 9)
     of generated candidates, and META. Fused scores are ranked by `digits` digits, so that rounding never parts equals. Nulls
     count as 0; a query's rows are ordered by one value at a time and never gathered.
     """
-    rows = df.select(query, *keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in (*RAW, *META)])
+    rows = by_rows(df, query).select(query, *keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in (*RAW, *META)])
     own = Window.partitionBy(query)
     rank = lambda c: F.rank().over(own.orderBy(F.col(c).desc())) - 1
     capped = lambda c: F.least(rank(c), F.lit(MOST)).cast("double")

@@ -38,6 +38,20 @@ def discard(spark: SparkSession) -> int:
     return n
 
 
+#: Rows of a task that by_rows deals.
+TASK_ROWS = 1 << 17
+
+
+def by_rows(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """df dealt by keys over as many tasks as hold about `rows` rows each, so that sorts in a task don't grow with the table.
+
+    A table that the session's number of shuffle partitions holds by itself is left alone. Rows are counted for it; one key's
+    rows still meet in one task.
+    """
+    n = -(-df.count() // rows)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df and read it back: cuts the lineage of a loop, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}"

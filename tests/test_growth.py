@@ -43,7 +43,7 @@ def test_best_postings_need_no_second_shuffle_and_ask_one_bin(spark):
     assert made.count() == made.select("k", "e", "d").distinct().count()
 
 
-def test_pieces_of_many_graphs_are_put_out_together(spark, monkeypatch):
+def test_pieces_of_many_graphs_are_put_out_together(spark):
     from quern.operators import graphs
 
     nodes = spark.createDataFrame([(g, n, 1) for g in range(40) for n in range(3)], "g long, n long, w long").coalesce(1)
@@ -76,3 +76,19 @@ def test_graphs_of_orders_join_their_lines_once(spark):
 
     edges = similarity.order_graphs(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"))[1]
     assert not [f for f in edges.inputFiles() if "lineitem" in f]
+
+
+def test_tasks_of_windows_grow_in_number_with_the_rows(spark):
+    from quern import storage
+
+    few, many = (storage.by_rows(spark.range(200), "id", rows=n) for n in (100, 10))
+    assert "Exchange" not in plan(few) and many.rdd.getNumPartitions() == 20 and many.count() == 200
+
+
+def test_feature_vectors_and_ranking_rows_are_dealt_by_rows(spark, monkeypatch):
+    from quern import storage
+    from quern.plans import aggregates, ranking
+
+    monkeypatch.setitem(storage.by_rows.__kwdefaults__, "rows", 1000)
+    t = lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+    assert "REPARTITION_BY_NUM" in plan(aggregates.ranking_rows(t)) and "REPARTITION_BY_NUM" in plan(ranking.w6_vector(t))
