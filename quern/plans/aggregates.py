@@ -7,6 +7,7 @@ from quern.functions import vectors as V
 from quern.operators import aggregate as A
 from quern.operators import boosting, grid, learn, sampling
 from quern.plans.registry import mark_sql, query, uniform_sql
+from quern.storage import by_rows
 from quern.streaming.windows import windowed
 
 WORDS = "regexp_extract_all(lower(text), '[a-z]+')"
@@ -408,7 +409,7 @@ def l3(t):
 def ranking_rows(t):
     """Lines of orders as candidates: the truth is the line of the largest price less its discount; a fifth of the orders is held out."""
     first = Window.partitionBy("l_orderkey").orderBy((F.col("l_extendedprice") * (1 - F.col("l_discount"))).desc(), "l_partkey", "l_linenumber", "l_extendedprice")
-    rows = t("lineitem").withColumn("truth", F.row_number().over(first) == 1)
+    rows = by_rows(t("lineitem"), "l_orderkey").withColumn("truth", F.row_number().over(first) == 1)
     same = ["l_extendedprice", "l_discount", "l_tax"]
     rows = rows.groupBy(F.col("l_orderkey").alias("q"), (F.col("l_partkey") * 1000 + F.col("l_linenumber")).alias("c")).agg(F.bool_or("truth").alias("truth"), *[F.max(c).alias(c) for c in same])
     return rows.withColumn("held", learn.hash_fold(F.col("q"), 5) == 0)
