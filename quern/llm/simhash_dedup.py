@@ -7,10 +7,11 @@ it, prunes branches by the triangle inequality, and emits a spanning forest of t
 
 At 4 of 64 bits a node visits about 84 % of each half of a tree, so work grows as about the power 1.75 of the nodes.
 
-For a far wider radius, as a similarity of 0.8 needs it, bounds prune nothing between unrelated texts, whose distances are
-all nearly the same. With `similarity` shards are therefore dealt by min-hashes: nodes (sets of distinct shingles) that agree
-in a band of them meet in a family. Within a family, where distances do spread, a vantage-point tree over 256-bit
-fingerprints finds the pairs within the radius, and a link counts only if the exact Jaccard similarity reaches the bound.
+With `similarity` the same top tree and shards find the nodes (sets of distinct shingles) whose first 64 bits are at most 4
+apart. A similarity of 0.8 needs a far wider radius, at which bounds prune nothing between unrelated texts, whose distances
+are all nearly the same; what lies beyond the 4 bits is found by min-hashes as well, nodes that agree in a band of them. What
+either way connects is a family. Within a family, where distances do spread, a vantage-point tree over 256-bit fingerprints
+finds the pairs within the radius, and a link counts only if the exact Jaccard similarity reaches the bound.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ LEAF = 24
 BANDS, ROWS = 24, 4
 #: Seeds of the words of a fingerprint.
 SEEDS = (42, 0x5EED, 0xC0DE, 0xFACE)
+#: Bits of the first word of a fingerprint within which the top tree's shards find members of a family.
+NEAR_BITS = 4
 #: Nodes and shingles of a block of a family; larger families are verified by pairs of blocks.
 FAMILY_NODES, FAMILY_SHINGLES = 1 << 11, 1 << 21
 #: Links that a shard holds before it reduces them to a spanning forest.
@@ -384,6 +387,15 @@ def similar_pairs(sets: list[np.ndarray], fps: np.ndarray, blocks: np.ndarray, r
     return found
 
 
+def near_links(nodes: DataFrame, radius: int = NEAR_BITS) -> DataFrame:
+    """Links (u, v) of fp that connect nodes (fp, code) whose first 64 bits differ by at most `radius`, by link_nodes; equal words are one node there."""
+    first = nodes.select("fp", F.substring("code", 1, 8).alias("code"))
+    words = materialize(first.groupBy("code").agg(F.min("fp").alias("u"), F.max("fp").alias("most")), "words")
+    several = words.where("u < most").select(F.hex("code").alias("word"), "u")
+    same = rehashed(first.select("fp", F.hex("code").alias("word")), several, "word").where("fp <> u").select("u", F.col("fp").alias("v"))
+    return same.unionAll(link_nodes(words.select(F.col("u").alias("fp"), "code"), radius, 1))
+
+
 def family_links(nodes: DataFrame) -> DataFrame:
     """Links (u, v) of fp that connect nodes (fp, bands) with a min-hash key in common: each with the least node of a key."""
     keyed = nodes.select("fp", F.explode("bands").alias("band"))
@@ -394,12 +406,13 @@ def family_links(nodes: DataFrame) -> DataFrame:
 def verified_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, width: int, radius: int, words: int, similarity: float) -> DataFrame:
     """Links (u, v) of fp that connect the nodes as all pairs would whose shingle sets have at least the Jaccard similarity.
 
-    Nodes that min-hash keys connect form families. A family's texts meet in one task, those of a large one in a task for
-    each pair of its blocks, and every link is verified there.
+    Nodes that the top tree's shards or min-hash keys connect form families. A family's texts meet in one task, those of a large
+    one in a task for each pair of its blocks, and every link is verified there.
     """
     # two different sets, the larger of n shingles, share n - 1 of n at most
     least = max(1, int(np.ceil(1 / (1 - similarity) - 1e-9)) - 1) if similarity < 1 else 1 << 62
-    families = components(family_links(nodes.where(F.col("size") >= least))).select(F.col("node").alias("fp"), F.col("label").alias("family"))
+    able = nodes.where(F.col("size") >= least)
+    families = components(near_links(able).unionAll(family_links(able))).select(F.col("node").alias("fp"), F.col("label").alias("family"))
     families = materialize(families.join(nodes, "fp").select("fp", "code", "size", "family", F.col("rep.doc_id").alias("_id"), F.col("rep.key").alias("_key")), "families")
     counted = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / FAMILY_NODES), F.ceil(F.sum("size") / FAMILY_SHINGLES)).cast("int").alias("parts"))
     large = counted.where("parts > 1")
@@ -441,8 +454,8 @@ def verified_links(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, words: int = 1, similarity: float | None = None) -> DataFrame:
     """One row per document: doc_id, key, fp, label (one fingerprint of its component), component_id (the least doc_id that links reach).
 
-    similarity: links are pairs of at least this Jaccard similarity of their distinct shingles; min-hashes and fingerprints
-    within the radius only find them. A null text counts as empty; documents without words have fingerprint 0, which links like any
+    similarity: links are pairs of at least this Jaccard similarity of their distinct shingles; the top tree's shards, min-hashes
+    and fingerprints within the radius only find them. A null text counts as empty; documents without words have fingerprint 0, which links like any
     other. A null doc_id takes part but is never a component's id unless all of its ids are null. Repeated rows are all
     returned. Fingerprints that thousands of rows share are one node. Further columns are not read; an empty table gives
     an empty one.
@@ -471,8 +484,8 @@ NEAR_WORDS, NEAR_RADIUS, NEAR_SIMILARITY = 4, 80, 0.8
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = NEAR_RADIUS, words: int = NEAR_WORDS, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """One document of each component, that with the least doc_id, with all its columns; a null id stays only where no other is.
 
-    Links join documents of at least the Jaccard similarity of their distinct five-word shingles, verified exactly;
-    min-hashes and 256-bit fingerprints at most NEAR_RADIUS bits apart find them.
+    Links join documents of at least the Jaccard similarity of their distinct five-word shingles, verified exactly; the top
+    tree's shards, min-hashes and 256-bit fingerprints at most NEAR_RADIUS bits apart find them.
     """
     groups = simhash_groups(docs, id_col, text_col, width, radius, words, similarity)
     first = groups.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))

@@ -811,6 +811,21 @@ def test_large_families_are_verified_in_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in groups.collect()} == label and len(set(label.values())) > 2
 
 
+def test_the_top_tree_finds_near_duplicates_without_min_hashes(spark, monkeypatch):
+    """A word changed in 400; equal first words of fingerprints of different sets count as one node."""
+    monkeypatch.setattr(simhash_dedup, "family_links", lambda nodes: spark.createDataFrame([], "u long, v long"))
+    rnd = random.Random(11)
+    rows = []
+    for d in range(12):
+        words = ["%x" % rnd.getrandbits(48) for _ in range(400)]
+        rows += [(2 * d, " ".join(words)), (2 * d + 1, " ".join([*words[:-1], "last"]))]
+    kept = simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 24, 2))
+    nodes = spark.createDataFrame([(k, bytes(8) + bytes([k]) * 24) for k in range(1, 5)] + [(9, b"\x0f" + bytes(31)), (10, b"\xff" * 32)], "fp long, code binary")
+    links = components.components(simhash_dedup.near_links(nodes))
+    assert {(r.node, r.label) for r in links.collect()} == {(k, 1) for k in (1, 2, 3, 4, 9)}
+
+
 @pytest.mark.parametrize("words", [1, 2])
 def test_links_equal_all_pairs(spark, words):
     rng = np.random.default_rng(5)
