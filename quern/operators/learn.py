@@ -26,91 +26,113 @@ def interleaved_fold(df: DataFrame, key: str, folds: int) -> DataFrame:
 
 #: Rows of a block of conditional_logit.
 LOGIT_ROWS = 1 << 16
+#: Scores of a block that lie no farther apart need no greatest one of each query: their exponentials stay far from 0.
+LOGIT_SPAN = 600.0
 
 
 def conditional_logit(df: DataFrame, query: str, truth: str, features: list[str], steps: int = 600, rate: float = 0.1, l2: float = 1e-3, weight: str | None = None) -> dict[str, float]:
     """Weights that maximize the weighted mean log-probability of each query's true candidate, by Adam.
 
     weight: a number per query (the largest of its rows; null: 0). Queries without a true candidate, and several rows of one
-    query that are true, count as their mean or not at all. Rows are packed once into written blocks of numbers, sorted by
-    query over all tasks; a step is one pass over the blocks, which return their share of the gradient, and apart from it the
-    sums of the first and last query of a block, as a query may reach over blocks: three rows a block reach the driver.
+    query that are true, count as their mean or not at all. Rows are packed once into written blocks, sorted by query over all
+    tasks: a block's distinct rows of features, and of each candidate only which of them it has. A step is one pass over the
+    blocks, which return their share of the gradient. Blocks end with a query; the sums of those that reach over blocks or
+    tasks come apart, two rows a task and a block of a longer query.
     """
-    known = df.where(F.col(truth)).groupBy(query).agg(F.count("*").alias("_true"))
     own = F.coalesce(F.col(weight).cast("double"), F.lit(0.0)) if weight else F.lit(1.0)
-    rows = df.join(known, query).select(F.col(query).alias("q"), own.alias("w"), (F.coalesce(F.col(truth), F.lit(False)).cast("double") / F.col("_true")).alias("t"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)])
-    if weight:
-        rows = rows.withColumn("w", F.max("w").over(Window.partitionBy("q")))
+    rows = df.select(F.col(query).alias("q"), own.alias("w"), F.coalesce(F.col(truth), F.lit(False)).alias("t"), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, f in enumerate(features)])
     columns = [f"x{i}" for i in range(len(features))]
+    known = rows.groupBy("q").agg(F.max("w").alias("_w"), F.count_if("t").alias("_true")).where("_true > 0")
+    rows = rows.join(known, "q").select("q", F.col("_w").alias("w"), (F.col("t").cast("double") / F.col("_true")).alias("t"), *columns)
     dealt = rows.repartitionByRange("q", *columns).sortWithinPartitions("q")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        n = 0
-
-        def block() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            q = table.column(0).combine_chunks()
-            keys = q.dictionary_encode()
-            numbers = np.column_stack([c.to_numpy() for c in table.columns[1:]])
-            starts = np.flatnonzero(np.diff(keys.indices.to_numpy(), prepend=-1)).astype(np.int64)
-            ends = [str(q[0].as_py()), str(q[len(q) - 1].as_py())]
-            return pa.RecordBatch.from_arrays([pa.array([ends[0]]), pa.array([ends[1]]), pa.array([starts.tobytes()], pa.binary()), pa.array([numbers.tobytes()], pa.binary())], names=["first", "last", "starts", "numbers"])
+        n, opened = 0, True  # the first query may have begun before
+
+        def starts(table: pa.Table) -> np.ndarray:
+            keys = table.column(0).combine_chunks().dictionary_encode()
+            return np.flatnonzero(np.diff(keys.indices.to_numpy(), prepend=-1))
+
+        def block(table: pa.Table, open_end: bool) -> pa.RecordBatch:
+            at = starts(table)
+            counts = np.diff(at, append=table.num_rows).astype(np.int32)
+            w, t, *x = (c.to_numpy() for c in table.columns[1:])
+            x = np.column_stack(x)
+            values, codes = np.unique(x, axis=0, return_inverse=True)
+            codes = codes.reshape(-1).astype(np.min_scalar_type(len(values)))
+            q = table.column(0)
+            ends = [str(q[0].as_py()) if opened else None, str(q[len(q) - 1].as_py()) if open_end else None]
+            sent = [w[at].tobytes(), counts.tobytes(), codes.tobytes(), values.tobytes()]
+            return pa.RecordBatch.from_arrays([*(pa.array([e], pa.string()) for e in ends), *(pa.array([s], pa.binary()) for s in sent), pa.array([((w * t) @ x).tolist()], pa.list_(pa.float64()))], names=["first", "last", "own", "counts", "codes", "values", "pull"])
 
         for b in batches:
             if b.num_rows:
                 held.append(b)
                 n += b.num_rows
             if n >= LOGIT_ROWS:
-                yield block()
-                held, n = [], 0
+                table = pa.Table.from_batches(held)
+                cut = int(starts(table)[-1])  # where the last query begins; one that fills the block is cut anywhere
+                yield block(table[:cut] if cut else table, not cut)
+                held, opened = table[cut:].to_batches() if cut else [], not cut
+                n = sum(h.num_rows for h in held)
         if held:
-            yield block()
+            yield block(pa.Table.from_batches(held), True)
 
-    blocks = materialize(dealt.mapInArrow(pack, "first string, last string, starts binary, numbers binary"), "blocks")
+    blocks = materialize(dealt.mapInArrow(pack, "first string, last string, own binary, counts binary, codes binary, values binary, pull array<double>"), "blocks")
     blocks = blocks.coalesce(max(1, min(blocks.rdd.getNumPartitions(), blocks.sparkSession.sparkContext.defaultParallelism))).persist()
-    total = rows.groupBy("q").agg(F.max("w").alias("w")).agg(F.sum("w")).first()[0] or 1.0
+    pull = blocks.agg(*[F.coalesce(F.sum(F.get("pull", F.lit(i))), F.lit(0.0)) for i in range(len(features))]).first() if features else []
     w, m, v = (np.zeros(len(features)) for _ in range(3))
     for t in range(1, steps + 1):
-        g = _logit_gradient(blocks, w) / total + l2 * w
+        push, total = _logit_push(blocks, w)
+        g = (push - np.array(pull, float)) / (total or 1.0) + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     blocks.unpersist()
     return dict(zip(features, w.tolist(), strict=True))
 
 
-def _logit_gradient(blocks: DataFrame, w: np.ndarray) -> np.ndarray:
-    """The gradient of the summed negative log-probabilities."""
+def _logit_push(blocks: DataFrame, w: np.ndarray) -> tuple[np.ndarray, float]:
+    """The weighted sum of the queries' expected features, which less that of their true ones is the gradient, and the sum of their weights."""
     f = len(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, edges = np.zeros(f), []
+        whole, edges = np.zeros(f + 1), []
         for b in batches:
-            for first, last, starts, numbers in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                starts, x = np.frombuffer(starts, np.int64), np.frombuffer(numbers).reshape(-1, f + 2)
-                own, t, x = x[:, 0], x[:, 1], x[:, 2:]
-                s = x @ w
-                most = np.maximum.reduceat(s, starts)
-                e = np.exp(s - np.repeat(most, np.diff(starts, append=len(s))))
-                z, ex, tx = np.add.reduceat(e, starts), np.add.reduceat(e[:, None] * x, starts), np.add.reduceat(t[:, None] * x, starts)
-                weight = own[starts]
-                whole += (weight[1:-1, None] * (ex[1:-1] / z[1:-1, None] - tx[1:-1])).sum(axis=0)
-                edges += [(name, [weight[k], most[k], z[k], *ex[k], *tx[k]]) for name, k in dict(((0, (first, 0)), (len(starts) - 1, (last, -1)))).values()]
+            for first, last, own, counts, codes, values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own, counts, values = np.frombuffer(own).copy(), np.frombuffer(counts, np.int32), np.frombuffer(values).reshape(-1, f)
+                ends = np.cumsum(counts)
+                starts, codes = ends - counts, np.frombuffer(codes, f"u{len(codes) // ends[-1]}").astype(np.intp)
+                s = values @ w
+                most = s.max()
+                if most - s.min() < LOGIT_SPAN:
+                    top, e = np.full(len(counts), most), np.exp(s - most)[codes]
+                else:
+                    s = s[codes]
+                    top = np.maximum.reduceat(s, starts)
+                    e = np.exp(s - np.repeat(top, counts))
+                z = np.add.reduceat(e, starts)
+                for k, name in dict((k, name) for k, name in ((0, first), (len(counts) - 1, last)) if name is not None).items():
+                    part = slice(starts[k], ends[k])
+                    edges.append((name, [own[k], top[k], z[k], *(e[part] @ values[codes[part]])]))
+                    own[k] = 0.0
+                whole[:f] += np.bincount(codes, e * np.repeat(own / z, counts), len(values)) @ values
+                whole[f] += own.sum()
         edges.append((None, whole.tolist()))
         yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in edges], pa.string()), pa.array([[float(y) for y in x] for _, x in edges], pa.list_(pa.float64()))], names=["q", "sums"])
 
-    total, open_ones = np.zeros(f), {}
-    for name, sums in blocks.mapInArrow(run, "q string, sums array<double>").collect():
+    push, total, open_ones = np.zeros(f), 0.0, {}
+    for name, sums in blocks.select("first", "last", "own", "counts", "codes", "values").mapInArrow(run, "q string, sums array<double>").collect():
         if name is None:
-            total += sums
+            push, total = push + sums[:f], total + sums[f]
         else:
             open_ones.setdefault(name, []).append(np.array(sums))
     for parts in open_ones.values():
         most = max(p[1] for p in parts)
         scale = [np.exp(p[1] - most) for p in parts]
-        z, ex = sum(c * p[2] for c, p in zip(scale, parts, strict=True)), sum(c * p[3 : 3 + f] for c, p in zip(scale, parts, strict=True))
-        total += parts[0][0] * (ex / z - sum(p[3 + f :] for p in parts))
-    return total
+        z, ex = sum(c * p[2] for c, p in zip(scale, parts, strict=True)), sum(c * p[3:] for c, p in zip(scale, parts, strict=True))
+        push, total = push + parts[0][0] * ex / z, total + parts[0][0]
+    return push, total
 
 
 def lambda_gradients(df: DataFrame, query: str, item: str, score: str, truth: str, k: int = 25) -> DataFrame:

@@ -191,3 +191,27 @@ def test_logit_of_queries_over_blocks(spark, monkeypatch):
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     assert np.allclose([got["a"], got["b"]], w, rtol=1e-6)
+
+
+def test_logit_blocks_hold_distinct_rows_and_end_with_queries(spark, monkeypatch):
+    """What a step reads: two bytes or fewer a candidate beside a block's distinct features, and few queries that come apart."""
+    seen = []
+    push = learn._logit_push
+    monkeypatch.setattr(learn, "_logit_push", lambda blocks, w: (seen.append(blocks), push(blocks, w))[1])
+    monkeypatch.setattr(learn, "LOGIT_ROWS", 1000)
+    df = spark.range(40000, numPartitions=2).select((F.col("id") / 4).cast("long").alias("q"), (F.col("id") % 4 == 1).alias("t"), ((F.col("id") * 7 % 13) / 13).alias("a"), (F.col("id") % 3 * 400.0).alias("b"))
+    fits = []
+    for span in (600.0, 0.0):  # the same by the greatest score of each query
+        monkeypatch.setattr(learn, "LOGIT_SPAN", span)
+        fits.append(learn.conditional_logit(df, "q", "t", ["a", "b"], steps=4))
+    assert np.allclose(list(fits[0].values()), list(fits[1].values()), rtol=1e-9)
+    blocks = seen[0].withColumn("n", F.length("codes")).toPandas()
+    assert blocks.n.sum() == 40000 and len(blocks) >= 4 and (blocks["values"].map(len) <= 39 * 16).all()
+    assert blocks["first"].notna().sum() + blocks["last"].notna().sum() <= 2 * 8
+
+
+def test_logit_of_nothing(spark):
+    none = spark.createDataFrame([], "q long, t boolean, a double")
+    assert learn.conditional_logit(none, "q", "t", ["a"], steps=2) == {"a": 0.0}
+    wild = spark.createDataFrame([(1, True, 1e4), (1, False, -1e4), (2, False, 3e4), (2, True, 0.0), (3, False, 1.0), (None, True, 1.0)], "q long, t boolean, a double")
+    assert np.isfinite(learn.conditional_logit(wild, "q", "t", ["a"], steps=5)["a"])
