@@ -1,7 +1,8 @@
 """Ranking by gradient-boosted trees: rank-aware gradients, quantile bins, leaf-wise trees grown from histograms.
 
-Rows never leave the executors. A round's rows (bins, scores, gradients) are one written table; what reaches the driver are
-histograms of whole-number gradients by node, feature and bin, whose sums don't depend on how rows are partitioned.
+Rows never leave the executors. They are packed once into blocks of whole queries; a round's blocks (bins, scores, gradients)
+are one written table. What reaches the driver are histograms of whole-number gradients by node, feature and bin, whose sums
+don't depend on how rows are partitioned. Tables with a query too long for a block stay rows, ranked by windows that spill.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from quern.storage import materialize
 
 #: Gradients are whole multiples of 1/SCALE; their sums stay whole up to 10**11 rows.
 SCALE = 1 << 26
+#: Rows that a block gathers, and rows of the longest query that is packed at all.
+BLOCK_ROWS, QUERY_ROWS = 1 << 16, 1 << 18
 
 
 def bin_edges(df: DataFrame, feature: str, most: int) -> list[float]:
@@ -74,6 +77,128 @@ def gradients(rows: DataFrame, metric: str, sigma: float, normalize: bool) -> Da
     return pairs.select(*rows.columns, whole(g).alias("g"), whole(h).alias("h"))
 
 
+BLOCK = "counts binary, names array<string>, truth binary, w binary, held binary, score binary, bins binary, g binary, h binary, used binary, gained double, held_weight double"
+
+
+def packed(rows: DataFrame, names: bool) -> DataFrame:
+    """rows (q, item, truth, w, held, score, bins) as blocks of whole queries, items in order, so that ties of scores need no item."""
+    columns = [F.col("q").cast("string").alias("name") if names else F.lit(None).cast("string").alias("name"), "q", "truth", "w", "held", "score", "bins"]
+    dealt = rows.repartition("q").sortWithinPartitions("q", "item").select(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def starts(table: pa.Table) -> np.ndarray:
+            keys = table.column(1).combine_chunks().dictionary_encode(null_encoding="encode")
+            return np.flatnonzero(np.diff(keys.indices.to_numpy(), prepend=-1))
+
+        def block(table: pa.Table) -> pa.RecordBatch:
+            at = starts(table)
+            truth, held_out = (table.column(k).to_numpy().astype(np.uint8) for k in (2, 4))
+            bins = _bins_of(table.column(6).combine_chunks(), table.num_rows)
+            sent = [np.diff(at, append=table.num_rows).astype(np.int32), truth, table.column(3).to_numpy(), held_out, table.column(5).to_numpy(), np.ascontiguousarray(bins.T)]
+            counts, *rest = [pa.array([x.tobytes()], pa.binary()) for x in sent]
+            q = pa.array([table.column(0).take(pa.array(at)).to_pylist() if names else []], pa.list_(pa.string()))
+            empty = [pa.array([b""], pa.binary())] * 3 + [pa.array([0.0])] * 2
+            return pa.RecordBatch.from_arrays([counts, q, *rest, *empty], names=_BLOCK_NAMES)
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= BLOCK_ROWS:
+                table = pa.Table.from_batches(held)
+                cut = int(starts(table)[-1])  # the last query may go on
+                if cut:
+                    yield block(table[:cut])
+                    held = table[cut:].to_batches()
+                    n = sum(x.num_rows for x in held)
+        if held:
+            yield block(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, BLOCK)
+
+
+_BLOCK_NAMES = [x.split(" ")[0] for x in BLOCK.split(", ")]
+
+
+def block_gradients(counts: np.ndarray, truth: np.ndarray, w: np.ndarray, score: np.ndarray, used: np.ndarray, metric: str, sigma: float, normalize: bool) -> tuple[np.ndarray, np.ndarray]:
+    """g and h of the rows of whole queries, items in order: what gradients() gives."""
+    starts, query = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((-score, query))  # stable
+    rank = np.empty(len(score))
+    rank[order] = np.arange(len(score)) - np.repeat(starts, counts) + 1
+    gain = 1.0 / rank if metric == "mrr" else 1.0 / np.log2(1.0 + rank)
+    # the best of the true rows of a query
+    at = order[truth[order]]
+    known, first = np.unique(query[at], return_index=True)
+    best = np.full(len(counts), -1)
+    best[known] = at[first]
+    of = best[query]
+    with np.errstate(over="ignore"):
+        rho = 1 / (1 + np.exp(sigma * (score[of] - score)))
+    swap = np.where(truth | (of < 0) | ~used, 0.0, sigma * np.abs(gain[of] - gain))
+    pull, bend = swap * rho, sigma * swap * rho * (1 - rho)
+    total, total_h = np.add.reduceat(pull, starts), np.add.reduceat(bend, starts)
+    factor = w
+    if normalize:
+        some = np.where(total > 0, total, 1.0)
+        factor = w * np.where(total > 0, np.log2(1 + 2 * some) / (2 * some), 1.0)[query]
+    g, h = np.where(truth, total[query], -pull), np.where(truth, total_h[query], bend)
+    return np.rint(g * factor * SCALE).astype(np.int64), np.rint(h * factor * SCALE).astype(np.int64)
+
+
+def block_standing(counts: np.ndarray, truth: np.ndarray, w: np.ndarray, score: np.ndarray) -> tuple[float, float]:
+    """The weighted sum of reciprocal ranks up to 25 over whole queries, ties averaged, and the sum of the weights."""
+    if not len(counts):
+        return 0.0, 0.0
+    starts, query = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
+    own = np.maximum.reduceat(np.where(truth, score, -np.inf), starts)
+    known = np.maximum.reduceat(truth, starts)
+    better = np.add.reduceat((score > own[query]).astype(np.int64), starts)
+    tied = np.add.reduceat((score == own[query]).astype(np.int64), starts) - 1
+    weight = np.maximum.reduceat(w, starts)
+    value = np.where(known & (better < 25), 1.0 / (better + 1 + np.where(known, tied, 0) / 2), 0.0)
+    return float(weight @ value), float(weight.sum())
+
+
+def next_blocks(blocks: DataFrame, tree: tuple[list, list[float]] | None, bag: Column | None, metric: str, sigma: float, normalize: bool) -> DataFrame:
+    """Blocks after one more tree: scores, gradients and the held-out queries' standing. bag: which names take part (none: all)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                counts = np.frombuffer(row["counts"], np.int32)
+                truth, held = (np.frombuffer(row[c], np.uint8).astype(bool) for c in ("truth", "held"))
+                w, score = np.frombuffer(row["w"]), np.frombuffer(row["score"])
+                if tree:
+                    score = score + np.array(tree[1])[walked(np.frombuffer(row["bins"], np.int16).reshape(-1, len(score)).T, tree[0])]
+                used = ~held & (w > 0)
+                if row["bag"] is not None:
+                    used &= np.repeat(np.array(row["bag"], bool), counts)
+                g, h = block_gradients(counts, truth, w, score, used, metric, sigma, normalize)
+                mine = np.add.reduceat(held.astype(np.int32), np.cumsum(counts) - counts)
+                gained, weight = block_standing(mine[mine > 0], truth[held], w[held], score[held])
+                row |= {"score": score.tobytes(), "g": g.tobytes(), "h": h.tobytes(), "used": used.tobytes(), "gained": gained, "held_weight": weight}
+                made = [pa.array([row[c]], t) for c, t in zip(_BLOCK_NAMES, [pa.binary(), pa.list_(pa.string()), *[pa.binary()] * 8, pa.float64(), pa.float64()], strict=True)]
+                yield pa.RecordBatch.from_arrays(made, names=_BLOCK_NAMES)
+
+    return blocks.withColumn("bag", F.lit(None).cast("array<boolean>") if bag is None else bag).mapInArrow(run, BLOCK)
+
+
+def _arrays_of_blocks(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for bins, g, h, used in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        used = np.frombuffer(used, bool)
+        bins = np.frombuffer(bins, np.int16).reshape(-1, len(used)).T
+        yield bins[used], np.frombuffer(g, np.int64)[used], np.frombuffer(h, np.int64)[used]
+
+
+def _arrays_of_rows(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    keep = np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
+    yield _bins_of(b.column(0), b.num_rows)[keep], b.column(1).to_numpy()[keep], b.column(2).to_numpy()[keep]
+
+
 @dataclass
 class Node:
     """A node while a tree grows: sums over its rows, its best split, and its children once their histograms are known."""
@@ -164,8 +289,8 @@ def _bins_of(column: pa.Array, n: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(n, -1)
 
 
-def _histograms(rows: DataFrame, n_bins: int, features: list[int], n_features: int) -> Callable[[list[Node], list[int]], dict[int, np.ndarray]]:
-    """One pass over the rows for the histograms of some nodes' left children."""
+def _histograms(rows: DataFrame, arrays: Callable, n_bins: int, features: list[int], n_features: int) -> Callable[[list[Node], list[int]], dict[int, np.ndarray]]:
+    """One pass over the rows or blocks, which arrays() reads, for the histograms of some nodes' left children."""
 
     def asked(nodes: list[Node], wanted: list[int]) -> dict[int, np.ndarray]:
         table = [(n.split[1], n.split[2], *n.children) if n.children else (-1, 0, 0, 0) for n in nodes] or [(-1, 0, 0, 0)]
@@ -174,17 +299,15 @@ def _histograms(rows: DataFrame, n_bins: int, features: list[int], n_features: i
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((3, len(wanted) * len(features) * n_bins), np.int64)
-            for b in batches:
-                bins = _bins_of(b.column(0), b.num_rows)
-                g, h = (b.column(k).to_numpy() for k in (1, 2))
+            for bins, g, h in (x for b in batches for x in arrays(b)):
                 if lefts:
-                    at, which = walked(bins, table), np.full(b.num_rows, -1)
+                    at, which = walked(bins, table), np.full(len(bins), -1)
                     for k, f, last in lefts:
                         which[(at == k) & (bins[:, f] <= last)] = place[k]
                     keep = np.flatnonzero(which >= 0)
                     bins, g, h, which = bins[keep], g[keep], h[keep], which[keep]
                 else:
-                    which = np.zeros(b.num_rows, np.int64)
+                    which = np.zeros(len(bins), np.int64)
                 for i, f in enumerate(features):
                     cell = (which * len(features) + i) * n_bins + bins[:, f]
                     for k, w in enumerate((g, h, None)):
@@ -192,7 +315,7 @@ def _histograms(rows: DataFrame, n_bins: int, features: list[int], n_features: i
             cells = np.flatnonzero(total.any(axis=0))
             yield pa.RecordBatch.from_arrays([pa.array(cells), *(pa.array(t[cells]) for t in total)], names=["cell", "g", "h", "n"])
 
-        sums = rows.select("bins", "g", "h").mapInArrow(run, "cell long, g long, h long, n long").groupBy("cell").agg(*[F.sum(c).alias(c) for c in "ghn"])
+        sums = rows.select("bins", "g", "h", "used").mapInArrow(run, "cell long, g long, h long, n long").groupBy("cell").agg(*[F.sum(c).alias(c) for c in "ghn"])
         out = np.zeros((len(wanted), n_features, n_bins, 3), np.int64)
         flat = np.zeros((len(wanted) * len(features) * n_bins, 3), np.int64)
         for r in sums.collect():  # nodes x features x bins at most
@@ -251,10 +374,12 @@ def lambda_mart(
     feature times its coefficient. row_share of the queries and column_share of the features take part in a tree, by hashes.
     Ties of scores are ranked by item. An empty table gives no trees.
 
-    A round is one shuffle by query, one written table and as many aggregations as the tree has levels.
+    df is written once, and packed by one shuffle by query; a round is one written table and as many aggregations as the tree
+    has levels. Queries of over QUERY_ROWS rows make each round a shuffle of rows by query instead.
     """
     if metric not in ("mrr", "ndcg"):
         raise ValueError("metric is mrr or ndcg")
+    df = materialize(df.select(*dict.fromkeys([query, item, truth, *features, *([weight] if weight else []), *([held_out] if held_out else []), *([base[0]] if base else [])])), "candidates")
     edges = {f: bin_edges(df, f, bins) for f in features}
     start = F.coalesce(F.col(base[0]).cast("double"), F.lit(0.0)) * base[1] if base else F.lit(0.0)
     state = df.select(
@@ -270,11 +395,20 @@ def lambda_mart(
     made: list[str] = []
     validation: list[float] = []
     best = 0
+    long = bool(df.groupBy(query).count().where(F.col("count") > QUERY_ROWS).limit(1).collect())
+    if not long:
+        state = materialize(packed(state, row_share < 1), "blocks")
+    tree = None
     for k in range(1, trees + 2):
-        bag = ~F.col("held") & (F.col("w") > 0) & (uniform(F.concat_ws("/", F.col("q").cast("string"), F.lit(str(k))), seed) < row_share if row_share < 1 else F.lit(True))
-        rows = materialize(gradients(state.withColumn("used", bag), metric, sigma, normalize), "round")
+        drawn = _drawn(k, seed, row_share)
+        if long:
+            bag = ~F.col("held") & (F.col("w") > 0) & (drawn(F.col("q")) if row_share < 1 else F.lit(True))
+            rows = materialize(gradients((_rescored(state, *tree) if tree else state).withColumn("used", bag), metric, sigma, normalize), "round")
+        else:
+            bag = F.transform("names", drawn) if row_share < 1 else None
+            rows = materialize(next_blocks(state, tree, bag, metric, sigma, normalize), "round")
         if held_out:
-            validation.append(_validation(rows))
+            validation.append(_validation(rows) if long else _block_validation(rows))
             if validation[-1] > validation[best] + 1e-6:
                 best = k - 1
         else:
@@ -282,16 +416,20 @@ def lambda_mart(
         if k > trees or held_out and k - 1 - best >= patience:
             break
         chosen = _columns(features, column_share, k, seed)
-        asked = _histograms(rows.where("used"), n_bins, chosen, len(features))
+        asked = _histograms(rows, _arrays_of_rows if long else _arrays_of_blocks, n_bins, chosen, len(features))
         nodes, order = grow(asked, how)
         if not order:
             break
         text, table, values = _written(nodes, order, list(edges.values()), rate, how.l2)
         made.append(text)
-        state = _rescored(rows, table, values)
+        state, tree = rows, (table, values)
     return RankingModel("".join(made[:best]), features, base, validation)
 
 
+def _drawn(tree: int, seed: int, share: float) -> Callable[[Column], Column]:
+    return lambda q: uniform(F.concat_ws("/", q.cast("string"), F.lit(str(tree))), seed) < share
+
+
 def _columns(features: list[str], share: float, tree: int, seed: int) -> list[int]:
     import hashlib
 
@@ -339,6 +477,11 @@ def _validation(rows: DataFrame) -> float:
     return round(found.m, 12) if found.m is not None else 0.0
 
 
+def _block_validation(blocks: DataFrame) -> float:
+    sums = blocks.agg(F.sum("gained").alias("gained"), F.sum("held_weight").alias("w")).first()
+    return round(sums.gained / sums.w, 12) if sums.w else 0.0
+
+
 def permuted_truth(df: DataFrame, query: str, item: str, truth: str, seed: int) -> DataFrame:
     """df with another truth, the control of a ranker: of each query that has one, the item of the least hash is the truth."""
     own = Window.partitionBy(query)

@@ -121,6 +121,21 @@ def test_trees_are_those_of_a_plain_fit(rows, metric):
         assert np.allclose([n[4] for n in a], [n[4] for n in b], atol=1e-9)
 
 
+def test_blocks_fit_as_rows_do(rows, monkeypatch):
+    """Small blocks, drawn queries and features, against the way of rows, which tables with a long query take."""
+    args = {"trees": 2, "rate": 0.3, "how": Growth(leaves=4, depth=3), "bins": 16, "held_out": "held", "base": ("l_discount", 1.0), "row_share": 0.6, "column_share": 0.7}
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    kept, passes = boosting.gradients, []
+    monkeypatch.setattr(boosting, "gradients", lambda *a: (passes.append(1), kept(*a))[1])
+    blocks = boosting.lambda_mart(rows, "q", "c", "truth", FEATURES, **args)
+    assert not passes  # no window over rows
+    monkeypatch.setattr(boosting, "QUERY_ROWS", 2)
+    whole = boosting.lambda_mart(rows, "q", "c", "truth", FEATURES, **args)
+    assert passes and blocks.validation == pytest.approx(whole.validation, abs=1e-9)
+    a, b = (np.array([n for t in learn.parse_trees(m.text) for n in t]) for m in (blocks, whole))
+    assert len(a) and np.allclose(a, b, atol=1e-9)
+
+
 def test_fit_ranks_better_than_its_base(spark):
     from quern.plans import reference
 
